@@ -1,6 +1,10 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import line_dedup
+from . import html_extract, line_dedup, packing
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_html_extraction": html_extract.op10_html_extraction,
+}
 ORACLES = {"op1_line_dedup": line_dedup.SQL}
