@@ -1,10 +1,13 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import html_extract, line_dedup, packing
+from . import decontaminate, html_extract, line_dedup, packing, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_exact_topk": topk.op9_exact_topk,
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
-ORACLES = {"op1_line_dedup": line_dedup.SQL}
+ORACLES = {"op1_line_dedup": line_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL}
