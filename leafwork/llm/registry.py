@@ -1,10 +1,11 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, html_extract, line_dedup, packing, topk, toxicity
+from . import decontaminate, html_extract, line_dedup, near_dedup, packing, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_topk": topk.op9_exact_topk,
