@@ -1,9 +1,11 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, html_extract, line_dedup, near_dedup, packing, topk, toxicity
+from . import decontaminate, html_extract, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -11,4 +13,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
-ORACLES = {"op1_line_dedup": line_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL}
+ORACLES = {"op1_line_dedup": line_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL}
