@@ -1,10 +1,11 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, html_extract, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
+from . import decontaminate, html_extract, katz, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_lm_scoring": katz.op3_lm_scoring,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
