@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,19 @@ def later_windows(docs: DataFrame, width: int = 3) -> DataFrame:
     return marked.groupBy("_id", "_th").agg(F.collect_set("pos").alias("starts"))
 
 
+def cut_lines(text: str, starts, width: int) -> tuple[int, int, str]:
+    """(lines, removed lines, what stays) of a text whose windows at these starts are later ones."""
+    lines = text.split("\n")
+    if starts is None or len(starts) == 0:
+        return len(lines), 0, text
+    edge = np.zeros(len(lines) + 1, dtype=np.int64)
+    starts = np.asarray(starts)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + width, -1)
+    keep = np.cumsum(edge)[:-1] == 0
+    return len(lines), int((~keep).sum()), "\n".join(x for x, k in zip(lines, keep) if k)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per document: id_col, n_lines, n_removed, kept_text.
 
@@ -54,27 +69,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, gone, kept = [], [], []
-            for text, starts in zip(b["_text"], b["starts"]):
-                lines = text.split("\n")
-                n.append(len(lines))
-                if starts is None or len(starts) == 0:
-                    gone.append(0)
-                    kept.append(text)
-                    continue
-                edge = np.zeros(len(lines) + 1, dtype=np.int64)
-                starts = np.asarray(starts)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + width, -1)
-                keep = np.cumsum(edge)[:-1] == 0
-                gone.append(int((~keep).sum()))
-                kept.append("\n".join(x for x, k in zip(lines, keep) if k))
-            yield pd.DataFrame({id_col: b["_id"], "n_lines": n, "n_removed": gone, "kept_text": kept})
+            got = [cut_lines(t, s, width) for t, s in zip(b["_text"], b["starts"])]
+            yield pd.DataFrame([(i, *g) for i, g in zip(b["_id"], got)], columns=[id_col, "n_lines", "n_removed", "kept_text"])
 
     kind = base.schema["_id"].dataType.simpleString()
     return both.mapInPandas(cut, f"`{id_col}` {kind}, n_lines long, n_removed long, kept_text string")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, count_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, without the lines that line_dedup removes; count_col, where docs has it, is
+    counted anew in changed rows. A document of which only blank lines would stay is left out; one
+    that was blank from the start, or has no id, stays as it is."""
+    names = docs.columns
+    keyed_docs = docs.withColumns({"__t": F.coalesce(F.col(text_col), F.lit(""))}).withColumn("__h", F.xxhash64("__t"))
+    cuts = later_windows(keyed(docs, id_col, text_col), width).select(F.col("_id").alias("__i"), F.col("_th").alias("__th"), F.col("starts").alias("__s"))
+    both = keyed_docs.join(cuts, (F.col(id_col) == F.col("__i")) & (F.col("__h") == F.col("__th")), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, starts = b.column("__t").to_pylist(), b.column("__s").to_pylist()
+            new = [t if not s else cut_lines(t, s, width)[2] for t, s in zip(texts, starts)]
+            live = [not s or bool(x.strip()) for x, s in zip(new, starts)]
+            columns = {c: b.column(c) for c in names}
+            changed = pa.array([bool(s) for s in starts])
+            columns[text_col] = pc.if_else(changed, pa.array(new, pa.string()), columns[text_col].cast(pa.string()))
+            if count_col in columns:
+                columns[count_col] = pc.if_else(changed, pa.array([len(x) for x in new]).cast(columns[count_col].type), columns[count_col])
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(live))
+
+    return both.select(*names, "__t", "__s").mapInArrow(run, docs.schema)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
