@@ -1,8 +1,13 @@
-"""Queries of the layout engine and the SQL they are held against."""
+"""Queries of the layout engine and the SQL they are held against, by name of what they show."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import layout_queries
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+for _m in (layout_queries,):
+    QUERIES.update(_m.QUERIES)
+    ORACLES.update(_m.ORACLES)
