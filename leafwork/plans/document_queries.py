@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions import text as t
-from leafwork.operators import evaluate, graph, layout, ocr, structure, telemetry, typography
+from leafwork.operators import evaluate, graph, images, layout, ocr, plugins, structure, telemetry, typography
 from leafwork.sources import compositors as pages
 from leafwork.sources import files, sinks
+from leafwork.streaming import events as streams
 
 from .oracles import sql
 
@@ -136,6 +137,10 @@ QUERIES = {
     "telemetry_final_states": lambda s, d: telemetry.final_states(_states(s, d)),
     "telemetry_durations": lambda s, d: telemetry.durations(_states(s, d)),
     "telemetry_batch": lambda s, d: telemetry.batch_outcome(telemetry.final_states(_states(s, d))),
+    "stream_windows": lambda s, d: streams.windowed(pages.table(s, d, "events")),
+    "image_tiers": lambda s, d: pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", images.tier(F.col("l_quantity") * 30).alias("tier"), images.denoise_decision(F.col("l_quantity") * 30, F.col("l_linenumber") % 2 == 0).alias("denoise")),
+    "image_prepared": lambda s, d: images.prepare(images.drawn(_lines(s, d)), files.Profile(threshold=True)).select(*PAGE, "height", "width", F.round("blur", 3).alias("blur"), "operations"),
+    "plugin_detected": lambda s, d: plugins.detected(images.drawn(_lines(s, d))),
     "telemetry_recovery": lambda s, d: telemetry.recovery(_states(s, d)),
 }
 
@@ -268,5 +273,7 @@ ORACLES = {
     "telemetry_final_states": _STATES + "SELECT * FROM fin",
     "telemetry_durations": _STATES + "SELECT doc_id, state, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM st GROUP BY ALL",
     "telemetry_batch": _STATES + "SELECT count(*) AS documents, count_if(final_state = 'COMPLETED') AS succeeded, round(avg((final_state = 'COMPLETED')::INT), 6) AS success_rate, avg((final_state = 'COMPLETED')::INT) >= 0.85 AS target_met FROM fin",
+    "stream_windows": "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS latency FROM events GROUP BY ALL",
+    "image_tiers": """SELECT l_orderkey, l_linenumber, CASE WHEN q < 300 THEN 'blurred' WHEN q < 700 THEN 'low_quality' WHEN q < 1000 THEN 'normal' ELSE 'sharp' END AS tier, CASE WHEN q < 1000 THEN 'bilateral' WHEN l_linenumber % 2 = 0 THEN 'skip' ELSE 'bilateral' END || '_blur=' || printf('%.2f', q) AS denoise FROM (SELECT *, l_quantity * 30 AS q FROM lineitem)""",
     "telemetry_recovery": _STATES + "SELECT doc_id, event_id, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) = 1 THEN 'RETRY' ELSE 'FAIL_FAST' END AS action FROM st WHERE state = 'FAILED'",
 }
