@@ -22,13 +22,13 @@ from .common import Ranges, far, keyed, mix, passes, table, written
 from .components import components
 
 #: A list of more documents isn't paired but joins its documents to one family.
-PAIRED = 24
+PAIRED = 64
 #: The most frequent sketch values, up to so many, go to the end of the order; which these are changes
 #: the work and not the result. A value on fewer lists stays.
-LATE, LATE_COUNT = 100_000, 48
+LATE, LATE_COUNT = 100_000, 16
 #: Shingles that one task compares with each other at most, unless one document has more.
 BLOCK_SHINGLES = 400_000
-SPARE = 0.02
+SPARE = 0.05
 
 
 def normal(text: str) -> bytes:
