@@ -64,6 +64,14 @@ def sets_of(texts: list[bytes], width: int) -> list[tuple[np.ndarray, np.ndarray
     return out
 
 
+def slices(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[list, list]]:
+    """(ids, sets) of a few texts at a time, so that a worker holds the sets of one pass."""
+    for b in batches:
+        ids, texts = b["_id"].tolist(), [normal(t) for t in b["_text"]]
+        for lo, hi in passes(texts):
+            yield ids[lo:hi], sets_of(texts[lo:hi], width)
+
+
 def order_of(k: np.ndarray, size: np.ndarray, late: np.ndarray) -> np.ndarray:
     """Places of the shingles in the order that all documents share."""
     v = (mix(k) >> np.uint64(7)) | ((np.uint64(63) - np.minimum(size, 63).astype(np.uint64)) << np.uint64(57))
@@ -84,9 +92,9 @@ def sketches(base: DataFrame, width: int, percent: int, late: np.ndarray) -> Dat
     shared = base.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for keys, sets in slices(batches, width):
             vs, ids, ns = [], [], []
-            for key, (k, size) in zip(b["_id"], sets_of([normal(t) for t in b["_text"]], width)):
+            for key, (k, size) in zip(keys, sets):
                 if len(k):
                     m = sketch_length(len(k), percent)[0]
                     v = order_of(k, size, shared.value)
@@ -104,9 +112,9 @@ def members(base: DataFrame, width: int) -> DataFrame:
     """(_id, n, rep): set size, and the smallest id of a document with an equal set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for keys, sets in slices(batches, width):
             rows = []
-            for key, (k, _) in zip(b["_id"], sets_of([normal(t) for t in b["_text"]], width)):
+            for key, (k, _) in zip(keys, sets):
                 with np.errstate(over="ignore"):
                     one, two = mix(k).sum(dtype=np.uint64), mix(k ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
                 rows.append((key, len(k), np.uint64(one).astype(np.int64), np.uint64(two).astype(np.int64)))
@@ -195,8 +203,11 @@ def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
         for rows in batches:
-            ks = [k.tobytes() for k, _ in sets_of([z.decompress(bytes(x)) for x in rows["z"]], width)]
-            yield pd.DataFrame({"root": rows["root"], "x": rows["bk"], "nb": rows["nb"], "_id": rows["_id"], "k": ks})
+            texts = [z.decompress(bytes(x)) for x in rows.pop("z")]
+            for lo, hi in passes(texts):
+                part = rows.iloc[lo:hi]
+                ks = [k.tobytes() for k, _ in sets_of(texts[lo:hi], width)]
+                yield pd.DataFrame({"root": part["root"], "x": part["bk"], "nb": part["nb"], "_id": part["_id"], "k": ks})
 
     full = base.mapInPandas(squeeze, "_id long, z binary").join(dealt, "_id").mapInPandas(spread, "root long, x int, nb int, _id long, k binary")
     cells = full.select("root", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"), "_id", "k")
