@@ -200,6 +200,43 @@ def resized(img: np.ndarray, scale: float) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def ordered_corners(quad: Column) -> Column:
+    """Four points as top left, top right, bottom right, bottom left: by their sums and differences."""
+    best = lambda key: F.array_min(F.transform(quad, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))["p"]
+    return F.array(best(lambda p: p["x"] + p["y"]), best(lambda p: p["y"] - p["x"]), best(lambda p: -p["x"] - p["y"]), best(lambda p: p["x"] - p["y"]))
+
+
+def page_corners(img: np.ndarray, least: float = 0.2, full: float = 0.85) -> np.ndarray | None:
+    """Corners (x, y) of the bright page on a darker ground, in order; None unless the bright part nearly
+    fills the quadrilateral of its outermost points and that is a fifth of the picture."""
+    g = gray(img)
+    y, x = np.nonzero(g > otsu(g))
+    if not len(x):
+        return None
+    at = [np.argmin(x + y), np.argmin(y - x), np.argmax(x + y), np.argmax(y - x)]
+    q = np.stack([x[at], y[at]], axis=1).astype(np.float64)
+    nxt = np.roll(q, -1, axis=0)
+    size = abs((q[:, 0] * nxt[:, 1] - nxt[:, 0] * q[:, 1]).sum()) / 2
+    return q if size >= least * g.size and len(x) >= full * size and size < 0.98 * (g.shape[0] - 1) * (g.shape[1] - 1) else None
+
+
+def flattened(img: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The page seen from above, and whether it was found; else the picture as it is."""
+    q = page_corners(img)
+    if q is None:
+        return gray(img), False
+    w = max(2, round(max(np.hypot(*(q[1] - q[0])), np.hypot(*(q[2] - q[3])))))
+    h = max(2, round(max(np.hypot(*(q[3] - q[0])), np.hypot(*(q[2] - q[1])))))
+    target = [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)]
+    rows = [r for (u, v), (a, b) in zip(target, q) for r in ([u, v, 1, 0, 0, 0, -a * u, -a * v], [0, 0, 0, u, v, 1, -b * u, -b * v])]
+    m = np.append(np.linalg.solve(np.array(rows, dtype=np.float64), q.reshape(-1)), 1).reshape(3, 3)
+    v, u = np.mgrid[0:h, 0:w]
+    d = m[2, 0] * u + m[2, 1] * v + 1
+    sx, sy = (m[0, 0] * u + m[0, 1] * v + m[0, 2]) / d, (m[1, 0] * u + m[1, 1] * v + m[1, 2]) / d
+    g = gray(img)
+    return g[np.clip(np.rint(sy).astype(int), 0, g.shape[0] - 1), np.clip(np.rint(sx).astype(int), 0, g.shape[1] - 1)], True
+
+
 def prepared(img: np.ndarray, p) -> tuple[np.ndarray, list[str], float]:
     """The chain of a profile over one page: picture, what was done, blur score."""
     score = blur_score(img)
@@ -221,6 +258,9 @@ def prepared(img: np.ndarray, p) -> tuple[np.ndarray, list[str], float]:
     if abs(p.scale - 1) > 1e-6:
         out = resized(out, p.scale)
         done.append("resize")
+    if p.perspective:
+        out, found = flattened(out)
+        done.append("perspective" if found else "perspective_unchanged")
     return out, done, score
 
 

@@ -139,6 +139,8 @@ QUERIES = {
     "telemetry_batch": lambda s, d: telemetry.batch_outcome(telemetry.final_states(_states(s, d))),
     "stream_windows": lambda s, d: streams.windowed(pages.table(s, d, "events")),
     "image_tiers": lambda s, d: pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", images.tier(F.col("l_quantity") * 30).alias("tier"), images.denoise_decision(F.col("l_quantity") * 30, F.col("l_linenumber") % 2 == 0).alias("denoise")),
+    "image_corner_order": lambda s, d: pages.ocr_boxes(pages.text_words(pages.table(s, d, "documents"))).select(*PAGE, "box_idx", images.ordered_corners(F.reverse("quad")).alias("q")).select(*PAGE, "box_idx", *[F.col("q")[i][k].alias(f"{k}{i}") for i in range(4) for k in ("x", "y")]),
+    "telemetry_log_lines": lambda s, d: sinks.log_lines(_states(s, d)),
     "image_prepared": lambda s, d: images.prepare(images.drawn(_lines(s, d)), files.Profile(threshold=True)).select(*PAGE, "height", "width", F.round("blur", 3).alias("blur"), "operations"),
     "plugin_detected": lambda s, d: plugins.detected(images.drawn(_lines(s, d))),
     "telemetry_recovery": lambda s, d: telemetry.recovery(_states(s, d)),
@@ -274,6 +276,7 @@ ORACLES = {
     "telemetry_durations": _STATES + "SELECT doc_id, state, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM st GROUP BY ALL",
     "telemetry_batch": _STATES + "SELECT count(*) AS documents, count_if(final_state = 'COMPLETED') AS succeeded, round(avg((final_state = 'COMPLETED')::INT), 6) AS success_rate, avg((final_state = 'COMPLETED')::INT) >= 0.85 AS target_met FROM fin",
     "stream_windows": "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS latency FROM events GROUP BY ALL",
+    "image_corner_order": _with(", z AS (SELECT *, word_idx % 3 - 1 AS d FROM words) ", "SELECT doc_id, page_number, word_idx AS box_idx, (x1 + d)::DOUBLE AS x0, (y1 + d)::DOUBLE AS y0, (x2 + d)::DOUBLE AS x1, (y1 + d)::DOUBLE AS y1, (x2 + d)::DOUBLE AS x2, (y2 + d)::DOUBLE AS y2, (x1 + d)::DOUBLE AS x3, (y2 + d)::DOUBLE AS y3 FROM z", "words"),
     "image_tiers": """SELECT l_orderkey, l_linenumber, CASE WHEN q < 300 THEN 'blurred' WHEN q < 700 THEN 'low_quality' WHEN q < 1000 THEN 'normal' ELSE 'sharp' END AS tier, CASE WHEN q < 1000 THEN 'bilateral' WHEN l_linenumber % 2 = 0 THEN 'skip' ELSE 'bilateral' END || '_blur=' || printf('%.2f', q) AS denoise FROM (SELECT *, l_quantity * 30 AS q FROM lineitem)""",
     "telemetry_recovery": _STATES + "SELECT doc_id, event_id, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) = 1 THEN 'RETRY' ELSE 'FAIL_FAST' END AS action FROM st WHERE state = 'FAILED'",
 }

@@ -34,7 +34,7 @@ def markdown(tokens: DataFrame) -> DataFrame:
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda c: F.lit("---")), " | "), F.lit(" |"))
     pipe = F.concat_ws("\n", line(F.get(rows, F.lit(0))), rule, F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.lit(1), F.size(rows))), line), "\n"))
-    pair = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("**"), F.trim(F.substring_index(x, ":", 1)), F.lit(":** "), F.trim(F.expr("''") if False else F.regexp_replace(x, r"^[^:]*:", "")))), "\n")
+    pair = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("**"), F.trim(F.substring_index(x, ":", 1)), F.lit(":** "), F.trim(F.regexp_replace(x, r"^[^:]*:", "")))), "\n")
     item = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), F.regexp_replace(x, r"^[•\-*●○▪►]\s*", ""))), "\n")
     body = F.when(F.col("block_type") == "heading", F.concat(F.lit("# "), F.col("text"))).when((F.col("block_type") == "table") & (F.size(rows) > 0), pipe).when(F.col("block_type") == "key_value", pair).when(F.col("block_type") == "list", item).otherwise(F.col("text"))
     return _documents(_pages(tokens, body, "markdown"), "markdown", "\n\n---\n\n")
@@ -72,6 +72,11 @@ def overlays(lines: DataFrame) -> DataFrame:
     return lines.select(*PAGE, "line_idx", "x1", "y1", "x2", "y2", (F.col("line_idx") % 10).alias("colour"), F.when(F.col("confidence") < g.real(0.7), 1).otherwise(2).alias("thickness"), F.col("reading_order").cast("string").alias("label"))
 
 
+def log_lines(states: DataFrame) -> DataFrame:
+    """One JSON line per event, ready for an appending text writer."""
+    return states.select("doc_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.lit("INFO").alias("level"), F.col("state").alias("stage"), "doc_id", "event_id", "latency")).alias("value"))
+
+
 def violations(tokens: DataFrame) -> DataFrame:
     """Rows that a writer must not get: without id, type or box."""
     bad = F.col("token_id").isNull() | F.col("block_type").isNull() | F.col("x").isNull() | (F.col("width") <= 0) | (F.col("height") <= 0)

@@ -118,6 +118,16 @@ def test_kernels():
         images.resized(img, 0)
 
 
+def test_perspective():
+    img = np.full((120, 160), 20, dtype=np.uint8)
+    for y in range(15, 105):
+        a = 20 + (y - 15) // 6
+        img[y, a : 140 - (y - 15) // 6] = 240
+    out, found = images.flattened(img)
+    assert found and (out > 200).mean() > 0.95
+    assert images.flattened(np.full((20, 20), 240, np.uint8))[1] is False
+
+
 def test_files_and_plugins(spark, tmp_path):
     for name, size in (("a.png", 10), ("b.TXT", 10), ("c.pdf", 2)):
         (tmp_path / name).write_bytes(b"x" * size)
