@@ -24,7 +24,7 @@ from .common import Ranges, far, passes, written
 #: Different segments of one anchor that a matcher takes together at most.
 CROWD = 1000
 #: Bytes of segments in one shard of a matcher, beyond which it begins the next.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -142,11 +142,17 @@ def covered(base: DataFrame, kind: Kind, matcher: Callable[[pd.DataFrame, Kind],
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
         for rows in batches:
+            out: dict[str, list] = {k: [] for k in ("g", "_id", "pos", "nw", "crowd", "text")}
             for key, raw, want in zip(rows["_id"], rows["z"], rows["want"]):
                 raw = z.decompress(bytes(raw))
                 parts = raw.split() if kind.symbols == "words" else raw
-                got = [parts[w["pos"] : w["pos"] + w["nw"] + size - 1] for w in want]
-                yield pd.DataFrame({"g": [w["g"] for w in want], "_id": key, "pos": [w["pos"] for w in want], "nw": [w["nw"] for w in want], "crowd": [w["crowd"] for w in want], "text": [b" ".join(x) for x in got] if kind.symbols == "words" else got})
+                for w in want:
+                    got = parts[w["pos"] : w["pos"] + w["nw"] + size - 1]
+                    out["text"].append(b" ".join(got) if kind.symbols == "words" else got)
+                    for k in ("g", "pos", "nw", "crowd"):
+                        out[k].append(w[k])
+                out["_id"] += [key] * len(want)
+            yield pd.DataFrame(out)
 
     texts = written(squeezed(base).join(asked, "_id").mapInPandas(cut, "g long, _id long, pos int, nw int, crowd boolean, text binary"), spark)
 

@@ -18,7 +18,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of the suffixes of s, whose last symbol is found nowhere else, by prefix doubling."""
     n = len(s)
     rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    step, kinds = 1, int(rank.max()) + 2
+    if kinds < 2**15:  # four symbols in one number
+        ahead = np.concatenate([rank + 1, np.zeros(3, dtype=np.int64)])
+        key = ((ahead[:n] * kinds + ahead[1 : n + 1]) * kinds + ahead[2 : n + 2]) * kinds + ahead[3:]
+        rank, step = np.unique(key, return_inverse=True)[1].astype(np.int64), 4
     while True:
         nxt = np.zeros(n, dtype=np.int64)
         nxt[: n - step] = rank[step:] + 1 if step < n else 0
