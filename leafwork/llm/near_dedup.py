@@ -28,7 +28,7 @@ PAIRED = 64
 LATE, LATE_COUNT = 100_000, 16
 #: Shingles that one task compares with each other at most, unless one document has more.
 BLOCK_SHINGLES = 400_000
-SPARE = 0.05
+SPARE = 0.04
 
 
 def normal(text: str) -> bytes:
@@ -88,12 +88,12 @@ def sketch_length(n: int, percent: int, spare: float = SPARE) -> tuple[int, int]
 
 
 def sketches(base: DataFrame, width: int, percent: int, late: np.ndarray) -> DataFrame:
-    """(v, _id, n): the sketch values of each document."""
+    """(v, _id): the sketch values of each document."""
     shared = base.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, sets in slices(batches, width):
-            vs, ids, ns = [], [], []
+            vs, ids = [], []
             for key, (k, size) in zip(keys, sets):
                 if len(k):
                     m = sketch_length(len(k), percent)[0]
@@ -101,11 +101,10 @@ def sketches(base: DataFrame, width: int, percent: int, late: np.ndarray) -> Dat
                     v = np.partition(v, m - 1)[:m] if m < len(v) else v
                     vs.append(v)
                     ids.append(np.full(len(v), key))
-                    ns.append(np.full(len(v), len(k)))
             if vs:
-                yield pd.DataFrame({"v": np.concatenate(vs).view(np.int64), "_id": np.concatenate(ids), "n": np.concatenate(ns)})
+                yield pd.DataFrame({"v": np.concatenate(vs).view(np.int64), "_id": np.concatenate(ids)})
 
-    return base.mapInPandas(run, "v long, _id long, n int")
+    return base.mapInPandas(run, "v long, _id long")
 
 
 def members(base: DataFrame, width: int) -> DataFrame:
@@ -178,8 +177,8 @@ def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_c
 
     rows = sketches(base, width, percent, late)
     several = rows.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select(far(F.col("v")).alias("j"))
-    listed = rows.withColumn("j", far(F.col("v"))).join(several, "j").select("v", "_id", "n")
-    once = written(listed.join(who.select("_id", "rep"), "_id").groupBy("v", "rep").agg(F.max("n").alias("n")), spark)
+    listed = rows.withColumn("j", far(F.col("v"))).join(several, "j").select("v", "_id")
+    once = written(listed.join(who.select("_id", "rep", "n"), "_id").groupBy("v", "rep").agg(F.max("n").alias("n")), spark)
     sizes = once.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
     lists = once.withColumn("j", far(F.col("v"))).join(sizes.select(far(F.col("v")).alias("j"), "c", "lead"), "j").select("v", "rep", "n", "c", "lead")
     lists = written(lists, spark)
