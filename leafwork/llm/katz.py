@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, keyed, table, written
+from .common import PASS_BYTES, Ranges, keyed, table, written
 
 #: Bytes of text in a chunk, unless one text has more; distinct entries that a partition of a table
 #: gets on average; counts up to K are discounted.
-CHUNK_BYTES, PART_ENTRIES, K = 16 << 20, 1_500_000, 5
+CHUNK_BYTES, PART_ENTRIES, K = 8 << 20, 1_500_000, 5
 FOLDS, FOLD = 7, 2
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -83,14 +83,21 @@ class Chunk:
     def __init__(self, ids: bytes, lens: bytes, z: bytes):
         self.ids, lens = numbers(ids, np.int64), numbers(lens, np.int64)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(z)), dtype=np.uint8)
-        data = np.full(len(raw) + len(lens), 10, dtype=np.uint8)
-        data[np.arange(len(raw)) + np.repeat(np.arange(len(lens)), lens)] = raw
-        end = np.flatnonzero((data == 32) | (data == 10))
-        begin = np.concatenate([[0], end[:-1] + 1])
-        doc = np.concatenate([[0], np.cumsum(data[end] == 10)[:-1]])
-        hashes = Ranges(data, 21).of(begin, end)
-        full = end > begin
-        hashes, doc = hashes[full], doc[full]
+        edge = np.concatenate([[0], np.cumsum(lens)])
+        found, owner, lo = [], [], 0
+        while lo < len(lens):  # some texts at a time: hashing takes many times their bytes
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + PASS_BYTES, side="right")) - 1)
+            own = lens[lo:hi]
+            data = np.full(int(own.sum()) + len(own), 10, dtype=np.uint8)
+            data[np.arange(int(own.sum())) + np.repeat(np.arange(len(own)), own)] = raw[edge[lo] : edge[hi]]
+            end = np.flatnonzero((data == 32) | (data == 10))
+            begin = np.concatenate([[0], end[:-1] + 1])
+            doc = lo + np.concatenate([[0], np.cumsum(data[end] == 10)[:-1]])
+            full = end > begin
+            found.append(Ranges(data, 21).of(begin[full], end[full]))
+            owner.append(doc[full])
+            lo = hi
+        hashes, doc = np.concatenate(found), np.concatenate(owner)
         counts = np.bincount(doc, minlength=len(lens))
         at = np.arange(len(hashes)) + doc  # one end after each text
         tokens = np.full(len(hashes) + len(lens), END, dtype=np.uint64)
