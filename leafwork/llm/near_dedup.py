@@ -137,6 +137,7 @@ def linked_groups(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
     post, label = who[order], np.full(len(sets), -1)
     stop = np.append(first[1:], len(flat))
     left = len(sets)
+    there = np.ones(len(sets), dtype=np.int64)  # how often a document is on its own shingles' lists
     for seed in np.argsort(ids, kind="stable"):
         if label[seed] >= 0:
             continue
@@ -147,7 +148,7 @@ def linked_groups(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
             i = todo.pop()
             mine = at[edge[i] : edge[i + 1]]
             a, c = first[mine], stop[mine] - first[mine]
-            some = c > 1
+            some = c > there[i]
             a, c = a[some], c[some]
             if not len(a):
                 continue
@@ -159,6 +160,7 @@ def linked_groups(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
             todo += near.tolist()
             if left and len(post) > 4096 and left < len(sets) // 4 and (label[post] >= 0).mean() > 0.7:
                 keep = label[post] < 0  # assigned documents need not be found again
+                there = (label < 0).astype(np.int64)
                 total = np.concatenate([[0], np.cumsum(keep)])
                 first, stop = total[first], total[stop]
                 post = post[keep]

@@ -147,6 +147,30 @@ def test_near_dedup(spark, monkeypatch, paired, block):
     assert got == brute_components(rows, 2)
 
 
+def links_of(ids, sets):
+    """The smallest id that each set reaches, all pairs compared."""
+    low = dict(zip(ids, ids))
+    for _ in ids:
+        for i, a in zip(ids, sets):
+            for j, b in zip(ids, sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+    return [low[i] for i in ids]
+
+
+def test_links_after_lists_are_cut():
+    chain = [set(range(60 * k, 60 * k + 600)) for k in range(8)]  # each is linked with the next alone
+    rng, many = np.random.default_rng(4), []
+    for g in range(3):
+        base = rng.integers(10**6 * g, 10**6 * (g + 1), 500)
+        for k in range(12):
+            many.append({*base[40 * k : 40 * k + 400].tolist(), *base[: max(0, 40 * k - 100)].tolist()})
+    for sets in (chain, many, many[::-1]):
+        ids = np.arange(10, 10 + len(sets))
+        got = near_dedup.linked_groups(ids, [np.array(sorted(s), dtype=np.uint64) for s in sets], 80)
+        assert sum(map(len, sets)) > 4096 and got.tolist() == links_of(ids.tolist(), sets)
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, "Alpha beta, gamma"), (3, None), (4, ""), (None, "x y z"), (5, prose(2, 40))], "item_id long, text string")
     rows = [*ODD, (20, "some ALPHA Beta gamma. More"), (21, " ".join(PASSAGE.split()[:50]))]
