@@ -41,7 +41,7 @@ def ledger_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def box_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of neighbouring words: areas, overlap, IoU, distance, union, clip."""
-    w = words(spark, sf).where("word_idx < 40")
+    w = words(spark, sf)
     a, b = w.alias("a"), w.alias("b")
     p = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (F.col("b.word_idx") == F.col("a.word_idx") + 1))
     return p.select(

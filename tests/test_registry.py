@@ -46,3 +46,15 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(spark.table("w")) == key(events.windowed(table))
+
+
+@needs_data
+def test_boxes_of_all_words(spark):
+    """Against the SQL without its limit of forty words a page, which the query doesn't have."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    r = con.execute(entry.oracle_sql()["layout_box_arithmetic"].replace(" WHERE a.word_idx < 40 AND b.word_idx < 40", ""))
+    cols = [d[0] for d in r.description]
+    want = sorted(tuple(round(v, 6) for v in row) for row in r.fetchall())
+    got = sorted(tuple(round(v, 6) for v in row) for row in entry.queries()["layout_box_arithmetic"](spark, SF).select(*cols).collect())
+    assert got == want and max(row[cols.index("word_idx")] for row in got) >= 40
