@@ -73,7 +73,7 @@ def _truth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn against the one before it, as recognised text against truth."""
-    c = pages.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(F.slice(t.words(F.col("text")), 1, 12), " ").alias("truth"))
+    c = pages.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("truth"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("truth").alias("found"))
     return evaluate.wer(c.join(nxt, ["conv_id", "turn"])).select("conv_id", "turn", "errors", "n_words", "wer")
 
@@ -96,7 +96,7 @@ QUERIES = {
     "graph_nodes": lambda s, d: graph.nodes(_decorated_lines(s, d)).drop("page_width", "page_height"),
     "graph_edges": lambda s, d: graph.edges(graph.nodes(_decorated_lines(s, d))),
     "graph_inverse_edges": lambda s, d: graph.inverse(graph.edges(graph.nodes(_decorated_lines(s, d)))),
-    "graph_orphans": lambda s, d: graph.orphan_links(n := graph.nodes(_decorated_lines(s, d)).where("node % 7 = 0"), graph.edges(n)),
+    "graph_orphans": lambda s, d: graph.orphan_links(n := graph.nodes(_decorated_lines(s, d)), graph.edges(n)),
     "graph_neighbours": lambda s, d: graph.neighbours(n := graph.nodes(_decorated_lines(s, d)), graph.edges(n)),
     "graph_column_centres": lambda s, d: graph.column_centres(graph.nodes(_decorated_lines(s, d))),
     "graph_columns": lambda s, d: nodes(s, d).select(*PAGE, "node", "column_id", "num_columns"),

@@ -141,3 +141,41 @@ def test_files_and_plugins(spark, tmp_path):
 def test_text_rules(spark):
     df = spark.createDataFrame([("ABC DEF",), ("1) one",), ("- x",), ("one two three four five six",), ("ab",)], "t string")
     assert [r[0] for r in df.select(structure.text_class(F.col("t"))).collect()] == ["heading", "unknown", "list", "paragraph", "unknown"]
+
+
+def test_orphans_of_all_nodes(spark, tmp_path):
+    """Against brute force: two documents with a word at the top left and others in the second column."""
+    from leafwork.operators import graph
+    from leafwork.plans import document_queries as q
+
+    wide = "w" * (51 * 36)  # over 51 rows of 36, so that the next word stands in the second column
+    texts = [(1, f"{wide} beta"), (7, f"{wide} {'x' * 162} gamma"), (2, "\n".join(["some words of a line"] * 12))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    n = graph.nodes(q._decorated_lines(spark, str(tmp_path)))
+    used = {(r.doc_id, r.page_number, k) for r in graph.edges(n).collect() for k in (r.src, r.dst)}
+    at = {(r.doc_id, r.page_number, r.node): (r.x + r.width / 2, r.y + r.height / 2) for r in n.collect()}
+    want = set()
+    for a in at.keys() - used:
+        far = [(round(((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5, 6), b[2]) for b in at if b[:2] == a[:2] and b != a]
+        want |= {(*a, d, w) for w, d in sorted(far)[:1]}
+    got = {(r.doc_id, r.page_number, r.src, r.dst, r.weight) for r in q.QUERIES["graph_orphans"](spark, str(tmp_path)).collect()}
+    assert got == want and {(1, 0, 1), (1, 1, 0)} <= {(g[0], g[2], g[3]) for g in got} and 7 in {g[0] for g in got}
+
+
+def test_word_errors_of_whole_turns(spark, tmp_path):
+    from leafwork.plans import document_queries as q
+
+    turns = [(1, 0, " ".join(f"a{i % 90}" for i in range(150))), (1, 1, " ".join(f"a{i % 80}" for i in range(140)) + " end"), (1, 2, "one"), (2, 0, "x " * 13 + "y"), (2, 1, "x " * 13 + "z\n"), (2, 2, ""), (3, 0, None)]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    own = {(c, t): x.split() for c, t, x in turns if x is not None}
+    want = {(*k, edits(a, own[k[0], k[1] + 1]), len(a), round(edits(a, own[k[0], k[1] + 1]) / len(a), 6)) for k, a in own.items() if (k[0], k[1] + 1) in own}
+    assert {tuple(r) for r in q.QUERIES["evaluate_wer"](spark, str(tmp_path)).collect()} == want
