@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
@@ -26,17 +27,21 @@ def any_match(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFra
     return n.join(m, PAGE, "full").join(hit, PAGE, "left").select(*PAGE, z("tp").alias("tp"), (z("n") - z("tp")).alias("fp"), (z("m") - z("hit")).alias("fn"))
 
 
-def one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5, rounds: int = 3) -> DataFrame:
-    """Matches that are best for both sides, taken in rounds: what a greedy choice by falling IoU takes
-    first in each neighbourhood."""
-    left, out = pairs(found, truth, least), None
-    for k in range(rounds):
-        best = lambda by: F.row_number().over(Window.partitionBy(*PAGE, by).orderBy(F.desc("iou"), "line_idx", "truth_idx"))
-        top = left.withColumns({"_a": best("line_idx"), "_b": best("truth_idx")}).where("_a = 1 and _b = 1").select(*PAGE, "line_idx", "truth_idx", "iou")
-        out = top if out is None else out.unionByName(top)
-        if k + 1 < rounds:
-            left = left.join(top.select(*PAGE, "line_idx"), [*PAGE, "line_idx"], "left_anti").join(top.select(*PAGE, "truth_idx"), [*PAGE, "truth_idx"], "left_anti")
-    return out
+def one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
+    """Matches of a greedy choice by falling IoU, until no pair is left."""
+    p = pairs(found, truth, least)
+
+    def choose(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["iou", "line_idx", "truth_idx"], ascending=[False, True, True])
+        a, b, taken = set(), set(), []
+        for i, j in zip(page["line_idx"], page["truth_idx"]):
+            taken.append(i not in a and j not in b)
+            if taken[-1]:
+                a.add(i)
+                b.add(j)
+        return page[taken]
+
+    return p.groupBy(*PAGE).applyInPandas(choose, p.schema)
 
 
 def scores(counts: DataFrame) -> DataFrame:

@@ -179,3 +179,22 @@ def test_word_errors_of_whole_turns(spark, tmp_path):
     own = {(c, t): x.split() for c, t, x in turns if x is not None}
     want = {(*k, edits(a, own[k[0], k[1] + 1]), len(a), round(edits(a, own[k[0], k[1] + 1]) / len(a), 6)) for k, a in own.items() if (k[0], k[1] + 1) in own}
     assert {tuple(r) for r in q.QUERIES["evaluate_wer"](spark, str(tmp_path)).collect()} == want
+
+
+def test_one_to_one_goes_on_until_no_pair_is_left(spark):
+    from leafwork.operators import evaluate
+
+    # Along the row each box overlaps the next of the other side a little less, so a greedy choice takes one pair at a time.
+    box = lambda i, x: (1, 1, i, x, 0, x + 1000, 10)
+    at = [0]
+    for k in range(13):
+        at.append(at[-1] + 100 + 5 * k)
+    cols = "doc_id long, page_number int, {} int, x1 int, y1 int, x2 int, y2 int"
+    found = spark.createDataFrame([box(i, x) for i, x in enumerate(at[::2])], cols.format("line_idx"))
+    truth = spark.createDataFrame([box(i, x) for i, x in enumerate(at[1::2])], cols.format("truth_idx"))
+    left, want = sorted(((-r.iou, r.line_idx, r.truth_idx) for r in evaluate.pairs(found, truth).collect())), []
+    while left:
+        want.append(left[0][1:])
+        left = [p for p in left if p[1] != left[0][1] and p[2] != left[0][2]]
+    got = evaluate.one_to_one(found, truth).collect()
+    assert sorted((r.line_idx, r.truth_idx) for r in got) == sorted(want) and len(want) == 7
