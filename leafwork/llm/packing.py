@@ -68,8 +68,6 @@ class Coder:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(hashes) > REMEMBERED:
-            self.forget()
         counts, flat = np.zeros(len(words), dtype=np.int64), []
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
@@ -135,11 +133,10 @@ class Coder:
             at = np.searchsorted(self.known, distinct)
             new = (at == len(self.known)) | (self.known[np.minimum(at, max(len(self.known) - 1, 0))] != distinct) if len(self.known) else np.ones(len(distinct), dtype=bool)
             if new.any():
-                had = len(self.known)
+                if len(self.known) + new.sum() > REMEMBERED:
+                    self.forget()
+                    new[:] = True  # all words of this pass, however many
                 self.learn(distinct[new], [joined[begin[k] : end[k]] for k in where[new]])
-                if len(self.known) < had + new.sum():  # it has forgotten words of this pass
-                    old = ~new
-                    self.learn(distinct[old], [joined[begin[k] : end[k]] for k in where[old]])
                 at = np.searchsorted(self.known, distinct)
             first, count = self.first[at][back], self.count[at][back]
             total = np.cumsum(count)

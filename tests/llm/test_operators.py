@@ -215,6 +215,14 @@ def test_packing(spark):
     assert len(by) <= 1 + -(-sum(r.length for r in got) // 512) * 1.1
 
 
+def test_more_words_in_a_pass_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    coder = packing.Coder(packing.tokenizer_path(None))
+    letters = lambda *a: prose(*a).translate({48 + i: 97 + i for i in range(10)})  # noqa: E731 (digits are words of one letter)
+    for text in ("some words here", "some words here and " + letters(6, 400, 300), "here again", letters(6, 90, 300)):
+        assert next(coder.encode([text])).tolist() == coder.slow.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_is_near_the_bound():
     h = np.zeros(4097, dtype=np.int64)
     for n in np.random.default_rng(3).lognormal(6, 1, 20_000).astype(int).clip(1, 4096):
