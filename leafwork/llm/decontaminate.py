@@ -3,8 +3,8 @@
 An item with q shingles whose share found in a document reaches the threshold t misses at most
 floor((1 - t) q) of them, so that any floor((1 - t) q) + 1 of its shingles hold one that the document
 has. Those with the smallest hash values, a bottom-k MinHash sketch whose k follows from the item's
-size, are the index. Items are partitioned by size, each partition with its own k for its sizes; what
-a document's shingles hit is verified by exact containment on all of an item's shingles.
+size, are the index, one for all sizes. What a document's shingles hit is verified by exact containment
+on all of an item's shingles.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ class Index:
             pairs = np.unique(np.stack([who.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
             who, h = pairs[0].astype(np.int64), pairs[1]
             size = np.bincount(who, minlength=len(own))
-            # Size classes by powers of two; an item's k follows its size within its class.
+            # An item's k follows its size.
             k_of = np.array([sketch_size(int(q), threshold) if q else 0 for q in size])
             order = np.lexsort((mix(h), who))
             rank = np.arange(len(h)) - (np.cumsum(size) - size)[who[order]]
