@@ -1,5 +1,6 @@
-"""Where models come in: what a rasteriser, a detector and a recogniser must do, and stubs that are
-always there. A registry names them; an unknown name is an error."""
+"""Where models come in: what a detector and a recogniser must do, with a stub of the detector that is
+always there. A registry names detectors; an unknown name is an error. Nothing here calls a recogniser,
+and there is no rasteriser."""
 
 from __future__ import annotations
 
