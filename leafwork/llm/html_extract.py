@@ -227,14 +227,14 @@ def main_text(page: str) -> str:
         inside |= {id(k) for k in n.kids if isinstance(k, Node) and k.tag == "article" and not k.skip and k.hint == best.hint and ranked.get(id(k), 0) >= 0.2 * ranked[id(best)]}
     kept: list[str] = []
     known: dict[int, bool] = {}
-    for node, text, linked in blocks:
+    for node, text, _ in blocks:
         seen, n = [], node
         while n is not None and id(n) not in known and id(n) not in inside:
             seen.append(id(n))
             n = n.parent
         ok = n is not None and (id(n) in inside or known[id(n)])
         known.update(dict.fromkeys(seen, ok))
-        if ok and not (node.tag in ("li", "td", "div", "ul") and linked >= 0.8 * len(text) and len(text) < 80):
+        if ok:
             kept.append(text)
     return "\n\n".join(kept)
 

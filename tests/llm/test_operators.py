@@ -314,6 +314,12 @@ def test_html():
     assert html_extract.main_text("<div>" * 5000 + "deep text, here" + "</div>" * 5000) == "deep text, here"
 
 
+def test_html_keeps_links_of_the_article():
+    page = """<article><p>First, with text, and more of it.</p><h2>Sources</h2><ul><li><a href=a>Paper, one</a><li><a href=b>Paper two</a></ul>
+    <table><tr><td>Data</td><td><a href=c>Table three</a></td></tr></table><div><a href=d>Next part</a></div></article>"""
+    assert html_extract.main_text(page).split("\n\n") == ["First, with text, and more of it.", "Sources", "Paper, one", "Paper two", "Data", "Table three", "Next part"]
+
+
 def test_html_rows(spark):
     out = html_extract.extract_text(spark.createDataFrame([(1, "u", None), (2, None, "<p>A&lt;b, c</p>")], "page_id long, url string, html string")).collect()
     assert [tuple(r) for r in sorted(out)] == [(1, "u", "", 0), (2, None, "A<b, c", 6)]
