@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset and Spark runs in
+    one process (tests). On a cluster each executor would write to its own disk, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="leafwork-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/leafwork/{uuid.uuid4().hex}"

@@ -1,10 +1,11 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-An item with q shingles whose share found in a document reaches the threshold t misses at most
-floor((1 - t) q) of them, so that any floor((1 - t) q) + 1 of its shingles hold one that the document
-has. Those with the smallest hash values, a bottom-k MinHash sketch whose k follows from the item's
-size, are the index, one for all sizes. What a document's shingles hit is verified by exact containment
-on all of an item's shingles.
+Items are partitioned by size, each class (sizes from a power of two up to the next) with an index and
+a threshold of its own. An item's sketch are its k smallest shingle hashes. If the share of its q
+shingles that a document holds reaches the threshold t, at most floor((1 - t) q) of them are missing, so
+that the document hits at least k minus that many of the sketch; k is chosen by class, so that this
+least number, `hits`, grows with the size and chance hits alone don't reach it. What reaches it is
+verified by exact containment of all the item's shingles. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,15 +49,26 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return h.of(a, b), owner[:n][ok]
 
 
-def sketch_size(q: int, threshold: float) -> int:
-    return q - -(-round(threshold * 1000) * q // 1000) + 1
+def size_class(q: np.ndarray) -> np.ndarray:
+    """Class of each size: c holds 2**c to 2**(c + 1) - 1 shingles."""
+    return np.log2(np.maximum(q, 1)).astype(int)
+
+
+def least_hits(c: int) -> int:
+    """Hits in its sketch that an item of size class c must have to be verified."""
+    return 1 + (1 << c) // 16
+
+
+def sketch_size(q: int, threshold: float, hits: int) -> int:
+    return q - -(-round(threshold * 1000) * q // 1000) + hits
 
 
 class Index:
-    """Items by size class: sketch values to items, and all shingles to verify with."""
+    """Of each shingle width and size class: sketch values to items. Of each width: all shingles of the
+    items, to verify with."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int, threshold: float):
-        self.width, self.threshold = width, threshold
+        self.threshold = threshold
         self.ids = np.array([i for i, _ in items], dtype=object)
         #: by shingle width (that of shorter items is their own number of words)
         self.groups: dict[int, tuple] = {}
@@ -70,37 +82,44 @@ class Index:
             pairs = np.unique(np.stack([who.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
             who, h = pairs[0].astype(np.int64), pairs[1]
             size = np.bincount(who, minlength=len(own))
-            # An item's k follows its size.
-            k_of = np.array([sketch_size(int(q), threshold) if q else 0 for q in size])
             order = np.lexsort((mix(h), who))
             rank = np.arange(len(h)) - (np.cumsum(size) - size)[who[order]]
-            probe = order[rank < k_of[who[order]]]
-            probe = probe[np.lexsort((who[probe], np.log2(np.maximum(size[who[probe]], 1)).astype(int), h[probe]))]
+            classes = []
+            for c in np.unique(size_class(size[size > 0])):
+                k_of = np.where((size_class(size) == c) & (size > 0), [sketch_size(int(q), threshold, least_hits(c)) for q in size], 0)
+                probe = order[rank < k_of[who[order]]]
+                probe = probe[np.argsort(h[probe], kind="stable")]
+                classes.append((least_hits(c), np.unique(h[probe]), h[probe], who[probe]))
             vocab = np.unique(h)
-            self.groups[w] = (np.array(own), np.unique(h[probe]), h[probe], who[probe], vocab, np.searchsorted(vocab, h), who, size)
+            self.groups[w] = (np.array(own), classes, vocab, np.searchsorted(vocab, h), who, size)
 
     def hits(self, texts: list[bytes]):
         """(text, item, shingles found, shingles of the item) of each match."""
-        for w, (own, values, p_h, p_who, vocab, v_at, v_who, size) in self.groups.items():
+        for w, (own, classes, vocab, v_at, v_who, size) in self.groups.items():
             h, doc = shingles(texts, w)
             if not len(h):
                 continue
             at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
             on = vocab[at] == h
             h, doc, at = h[on], doc[on], at[on]
-            probed = values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
-            for d in np.unique(doc[probed]):
-                mine = doc == d
-                seen = np.unique(h[mine & probed])
-                lo, hi = np.searchsorted(p_h, seen), np.searchsorted(p_h, seen, side="right")
-                cand = np.unique(np.concatenate([p_who[a:b] for a, b in zip(lo, hi)]))
+            found: dict[int, list[np.ndarray]] = {}
+            for least, values, p_h, p_who in classes:
+                probed = values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
+                for d in np.unique(doc[probed]):
+                    seen = np.unique(h[probed & (doc == d)])
+                    if len(seen) < least:
+                        continue
+                    lo, hi = np.searchsorted(p_h, seen), np.searchsorted(p_h, seen, side="right")
+                    item, n = np.unique(np.concatenate([p_who[a:b] for a, b in zip(lo, hi)]), return_counts=True)
+                    found.setdefault(int(d), []).append(item[n >= least])
+            for d, cand in found.items():
                 has = np.zeros(len(vocab), dtype=bool)
-                has[at[mine]] = True
-                for c in cand:
+                has[at[doc == d]] = True
+                for c in np.concatenate(cand):
                     a, b = np.searchsorted(v_who, [c, c + 1])
-                    found = int(has[v_at[a:b]].sum())
-                    if found * 1000 >= round(self.threshold * 1000) * size[c]:
-                        yield int(d), self.ids[own[c]], found, int(size[c])
+                    n = int(has[v_at[a:b]].sum())
+                    if n * 1000 >= round(self.threshold * 1000) * size[c]:
+                        yield d, self.ids[own[c]], n, int(size[c])
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, most: int = BROADCAST_SHINGLES) -> DataFrame:

@@ -12,121 +12,198 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+#: What ends a tag, or begins a quoted value in it.
+EDGE = re.compile(r"""=\s*["']|>""")
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose content isn't markup, up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-#: Elements that never hold main text.
-NEVER = RAW | {"nav", "footer", "aside", "form", "head", "button", "select", "option", "input", "menu", "dialog", "svg", "math", "object", "embed", "canvas", "audio", "video", "map", "label", "fieldset", "search"}
-#: Words in class, id or role that mark what stands beside an article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|outbrain|taboola|popup|modal|overlay|cookies?|consent|gdpr|notices?|notification|alert|newsletter|subscri\w*|signup|login|paywall"
-    r"|nav|navbar|navigation|menu|menus|breadcrumbs?|pagination|pager|toc|topbar|sidebar|side|aside|rail|widgets?|related|recommend\w*|popular|trending|more-\w+|see-also|read-next|teasers?"
-    r"|comments?|commentlist|respond|replies|reply|disqus|discussion|reviews?|share|sharing|social|follow|footer|foot|header|masthead|copyright|legal|disclaimer|tags|skip|search|complementary|contentinfo|dialog|toolbar|byline-?\w*|author-?bio)"
-    r"(?=$|[\s_-]|\d)", re.I)
+BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that never hold main text, and those that don't unless the article is in them.
+NEVER = RAW | {"nav", "footer", "aside", "head", "button", "select", "option", "datalist", "input", "menu", "dialog", "svg", "object", "embed", "canvas", "audio", "video", "map", "label", "search"}
+SELDOM = {"form", "fieldset"}
+#: Words in class, id or role that mark what stands beside an article; the weak ones can also be names
+#: of an article's own sections, so that inside one they don't count in an id.
+_WORDS = r"(?:^|[\s_-])(?:{})(?=$|[\s_-]|\d)"
+READERS = re.compile(_WORDS.format(r"comments?|commentlist|comment-\w+|respond|replies|reply|disqus"), re.I)
+TOP = re.compile(_WORDS.format(r"header|head|masthead|banner|topbar"), re.I)
+BESIDE = re.compile(_WORDS.format(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|outbrain|taboola|popup|modal|overlay|cookies?|consent|gdpr|newsletter|subscri\w*|signup|login|paywall|nav|navbar|navigation|menu|menus|breadcrumbs?|pagination|pager"
+    r"|sidebar|sidebars|widgets?|share|sharing|social|footer|foot|copyright|complementary|contentinfo|dialog|toolbar"), re.I)
+WEAK = re.compile(_WORDS.format(r"notices?|notification|alert|toc|side|aside|rail|related|recommend\w*|popular|trending|more-\w+|see-also|read-next|teasers?|discussion|reviews?|follow|legal|disclaimer|tags|skip|search"), re.I)
 GOOD = re.compile(r"article|post|entry|content|story|main|text|body", re.I)
 SPACE = re.compile(r"\s+")
 #: A start tag of the left closes an open element of the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Deeper elements become siblings, as in browsers, so that no walk to the top is long.
+DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "kids", "text", "linked", "score", "skip")
+    """why: what speaks against the element itself: "", "never", "hidden", "header" (a page's), "top",
+    "readers" or "beside"; skip says whether it or one above is left out."""
 
-    def __init__(self, tag: str, hint: str, parent: Node | None, skip: bool):
-        self.tag, self.hint, self.parent, self.skip = tag, hint, parent, skip
+    __slots__ = ("tag", "hint", "parent", "kids", "depth", "inside", "why", "skip", "size", "text", "linked", "score")
+
+    def __init__(self, tag: str, hint: str, parent: Node | None, why: str):
+        self.tag, self.hint, self.parent, self.why, self.skip = tag, hint, parent, why, False
         self.kids: list = []
-        self.text = self.linked = 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.size = self.text = self.linked = 0
         self.score = 0.0
 
 
-def _hints(attrs: str) -> tuple[str, bool]:
-    hint, hide = [], False
-    for m in ATTR.finditer(attrs):
+def _judge(tag: str, attrs: str, parent: Node) -> tuple[str, str]:
+    """(class, id and role; what speaks against the element)."""
+    named: dict[str, str] = {}
+    hide = False
+    for m in ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             hide = True
         elif key in ("class", "id", "role"):
-            hint.append(value)
-    return " ".join(hint), hide
+            named[key] = value
+    hint = " ".join(named.values())
+    if tag in NEVER:
+        return hint, "never"
+    if hide:
+        return hint, "hidden"
+    if tag == "header" and not parent.inside:
+        return hint, "header"
+    if tag in SELDOM:
+        return hint, "beside"
+    if not hint or tag in ("body", "html", "main"):
+        return hint, ""
+    if tag in HEADING or (tag == "article" and not READERS.search(hint)):
+        own = named.get("class", "") if tag in HEADING else ""
+        return hint, "beside" if own and BESIDE.search(own) else ""
+    if READERS.search(hint):
+        return hint, "readers"
+    weak = " ".join(v for k, v in named.items() if k != "id") if parent.inside else hint
+    if BESIDE.search(hint) or WEAK.search(weak):
+        return hint, "beside"
+    return hint, "top" if TOP.search(weak) else ""
+
+
+def parse(page: str) -> list[Node]:
+    """A tree of elements and text pieces, as its nodes from the top. Tags may be left open or cross."""
+    at = Node("html", "", None, "")
+    nodes, pos, open_tags = [at], 0, {}
+    gone: set[str] = set()  # what isn't found any more from here on
+
+    def ahead(what: str, start: int) -> int:
+        found = -1 if what in gone else page.find(what, start)
+        if found < 0:
+            gone.add(what)
+        return found
 
+    def tag_end(start: int) -> int:
+        while m := EDGE.search(page, start):
+            if m[0] == ">":
+                return m.start()
+            close = ahead(m[0][-1], m.end())
+            start = close + 1 if close >= 0 else m.end()
+        return -1
+
+    def leave(upto: Node) -> Node:
+        n = at
+        while n is not upto:
+            open_tags[n.tag] -= 1
+            n = n.parent
+        return n
 
-def parse(page: str) -> Node:
-    """A tree of elements and text pieces. Tags may be left open or cross."""
-    root = Node("html", "", None, False)
-    at, pos, open_tags = root, 0, {}
-    lower = None
     while True:
-        m = TOKEN.search(page, pos)
+        m = MARK.search(page, pos)
         if m is None:
             at.kids.append(page[pos:])
             break
         if m.start() > pos:
             at.kids.append(page[pos : m.start()])
-        pos = m.end()
-        name = m[2]
+        pos, name = m.end(), m[2]
         if name is None:
-            if page.startswith("<![CDATA[", m.start()):
-                at.kids.append(entities.escape(page[m.start() + 9 : pos].removesuffix("]]>")))
+            mark = m[0]
+            end = ahead({"<!--": "-->", "<![CDATA[": "]]>"}.get(mark, ">"), pos)
+            if mark == "<![CDATA[":
+                at.kids.append(entities.escape(page[pos : end if end >= 0 else len(page)]))
+            pos = len(page) if end < 0 else end + (1 if len(mark) == 2 else 3)
             continue
-        name = name.lower()
+        stop = -1 if ">" in gone else tag_end(pos)
+        if stop < 0 and (stop := ahead(">", pos)) < 0:  # no tag ends from here on
+            at.kids.append(page[m.start() :].replace("<", "&lt;"))
+            break
+        attrs, pos, name = page[pos:stop], stop + 1, name.lower()
         if m[1]:
             if open_tags.get(name):
-                while at.tag != name:
-                    open_tags[at.tag] -= 1
-                    at = at.parent
+                n = at
+                while n.tag != name:
+                    n = n.parent
+                at = leave(n)
                 open_tags[name] -= 1
                 at = at.parent
             continue
         if name in ("html", "body") and open_tags.get(name):
             continue
-        attrs = m[3] or ""
         if name in RAW:
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{name}", pos)
-            if attrs.rstrip().endswith("/") and end < 0:
-                continue
-            pos = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+            end = None if name in gone else re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, pos)
+            if end is None:
+                gone.add(name)
+                if attrs.rstrip().endswith("/") or name not in ("script", "style", "title", "textarea"):
+                    continue
+                pos = len(page)
+            else:
+                pos = page.find(">", end.end()) + 1 or len(page)
             continue
         if name in VOID:
             at.kids.append(None if name in ("br", "hr") else "")
             if name == "hr":
-                at.kids.append(Node("hr", "", at, True))
+                at.kids.append(Node("hr", "", at, "never"))
+                nodes.append(at.kids[-1])
             continue
         if name in BLOCK and open_tags.get("p"):  # a block ends an open paragraph
             p = at
-            while p.tag != "p" and p.tag not in ("td", "th", "li", "blockquote", "div", "section", "article", "button", "aside", "nav", "form"):
+            while p.tag != "p" and p.parent and p.tag not in ("td", "th", "li", "blockquote", "div", "section", "article", "button", "aside", "nav", "form"):
                 p = p.parent
             if p.tag == "p":
-                while at is not p:
-                    open_tags[at.tag] -= 1
-                    at = at.parent
-                open_tags["p"] -= 1
-                at = at.parent
+                at = leave(p.parent)
         if name in CLOSES:
             p = at
             while p.parent and p.tag not in CLOSES[name] and p.tag not in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "select") and not (p.tag == "tr" and name in ("td", "th")):
                 p = p.parent
             if p.tag in CLOSES[name]:
-                while at is not p:
-                    open_tags[at.tag] -= 1
-                    at = at.parent
-                open_tags[p.tag] -= 1
-                at = p.parent
-        hint, hide = _hints(attrs) if attrs else ("", False)
-        skip = at.skip or hide or name in NEVER or (bool(hint) and name not in ("body", "html", "article", "main") and bool(BESIDE.search(hint)))
-        if name == "header" and not skip:  # a page's header goes; an article's own keeps its headline
-            p = at
-            while p and p.tag not in ("article", "main"):
-                p = p.parent
-            skip = p is None
-        node = Node(name, hint, at, skip)
+                at = leave(p.parent)
+        if at.depth >= DEPTH:
+            at = leave(at.parent)
+        hint, why = _judge(name, attrs, at)
+        node = Node(name, hint, at, why)
         at.kids.append(node)
+        nodes.append(node)
         open_tags[name] = open_tags.get(name, 0) + 1
         at = node
-    return root
+    return nodes
+
+
+def left_out(nodes: list[Node], strict: bool = True) -> None:
+    """Mark what is left out. A wrapper stays if most of the page's text and the article's headline or
+    element are in it; a headline's wrapper stays in an article. Not strict: only what never counts."""
+    never = ("never", "hidden", "header") if strict else ("never", "hidden")
+    holds: dict[int, str] = {}
+    for n in reversed(nodes):
+        n.size += sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        if n.why in never:
+            continue
+        if n.tag in ("main", "h1") or (n.tag == "article" and not n.why):
+            holds[id(n)] = "h1" if n.tag == "h1" else holds.get(id(n), n.tag)
+        if n.parent:
+            n.parent.size += n.size
+            if id(n) in holds:
+                holds[id(n.parent)] = holds[id(n)]
+    whole = nodes[0].size
+    for n in nodes:
+        stays = not n.why or (n.why not in never and (not strict or (id(n) in holds and n.why != "readers" and (2 * n.size > whole or (n.why == "top" and (n.inside or GOOD.search(n.hint)))))))
+        n.skip = not stays or (n.parent is not None and n.parent.skip)
 
 
 def blocks_of(top: Node) -> list[tuple[Node, str, int]]:
@@ -184,47 +261,61 @@ def main_text(page: str) -> str:
     """The article of a page: blocks joined by an empty line."""
     if not page:
         return ""
-    root = parse(page)
-    blocks = blocks_of(root)
+    nodes = parse(page)
+    left_out(nodes)
+    blocks = blocks_of(nodes[0])
+    if not blocks:  # all is in what looks like a wrapper
+        for n in nodes:
+            n.size = 0
+        left_out(nodes, strict=False)
+        blocks = blocks_of(nodes[0])
     if not blocks:
         return ""
     holders: dict[int, Node] = {}
     for node, text, linked in blocks:
-        n = node
-        while n is not None:
-            n.text += len(text)
-            n.linked += linked
-            n = n.parent
-        if node.tag[0] == "h" and node.tag[1:].isdigit():
+        node.text += len(text)
+        node.linked += linked
+        if node.tag in HEADING:
             continue
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
         points *= 1 - linked / len(text)
         # The block itself is a container where it isn't a paragraph; then parents by halves.
-        n, share = (node.parent if node.tag in ("p", "pre", "li", "dd", "dt", "td", "blockquote") else node), 1.0
+        n, share = (node.parent if node.tag in ("p", "pre", "li", "dd", "dt", "td", "th", "blockquote") and node.parent else node), 1.0
         while n is not None and share > 0.05:
             n.score += points * share
             holders[id(n)] = n
             n, share = n.parent, share / 2
     if not holders:
         return "\n\n".join(t for _, t, _ in blocks)
+    headed = {id(node) for node, _, _ in blocks if node.tag == "h1"}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.text += n.text
+            n.parent.linked += n.linked
+            if id(n) in headed:
+                headed.add(id(n.parent))
     weigh = lambda n: (n.score + (25 if n.tag in ("article", "main") else 10 if n.hint and GOOD.search(n.hint) else 0)) * (1 - n.linked / n.text if n.text else 1)
     ranked = {k: weigh(n) for k, n in holders.items()}
     best = max(holders.values(), key=lambda n: ranked[id(n)])
+    n = best
+    while n is not None and n.tag != "article":
+        n = n.parent
+    if n is not None:  # parts of an article go together
+        best = n
     while best.parent is not None and best.tag not in ("article", "main", "body", "html") and sum(1 for k in best.parent.kids if isinstance(k, Node) and not k.skip) == 1:
         best = best.parent
     inside = {id(best)}
     n = best.parent
     if n is not None and best.tag not in ("article", "main"):
-        bar = max(10.0, 0.2 * ranked[id(best)])
+        bar = 0.05 * ranked.get(id(best), 0)
         for k in n.kids:
             if not isinstance(k, Node) or k is best or k.skip or not k.text:
                 continue
             density = k.linked / k.text
-            heading = k.tag[0] == "h" and k.tag[1:].isdigit()
-            if heading or ranked.get(id(k), 0) + (0.2 * ranked[id(best)] if k.hint and k.hint == best.hint else 0) >= bar or (k.tag in ("p", "blockquote", "pre", "ul", "ol", "table") and density < 0.25):
+            if k.tag in HEADING or (id(k) in headed and density < 0.5) or (density < 0.5 and ranked.get(id(k), 0) + (bar if k.hint and k.hint == best.hint else 0) >= bar) or (k.tag in ("p", "blockquote", "pre", "ul", "ol", "dl", "table") and density < 0.5):
                 inside.add(id(k))
-    elif best.tag == "article" and n is not None:  # an article in parts
-        inside |= {id(k) for k in n.kids if isinstance(k, Node) and k.tag == "article" and not k.skip and k.hint == best.hint and ranked.get(id(k), 0) >= 0.2 * ranked[id(best)]}
+    elif best.tag == "article" and n is not None:  # an article in parts, and its headline beside it
+        inside |= {id(k) for k in n.kids if isinstance(k, Node) and not k.skip and ((k.tag == "article" and k.hint == best.hint and ranked.get(id(k), 0) >= 0.05 * ranked.get(id(best), 0)) or (k.tag == "h1" and id(best) not in headed))}
     kept: list[str] = []
     known: dict[int, bool] = {}
     for node, text, _ in blocks:
@@ -243,7 +334,9 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     """`keep` columns, text, n_chars (code points) of every row.
 
     Elements that never hold an article (menus, footers, sidebars, forms, scripts, comments of
-    readers, hidden ones, those that class, id or role name so) are left out before scoring. Each
+    readers, hidden ones, those that class, id or role name so) are left out before scoring; a form or
+    a container so named stays where most of the page and the article are in it, and all of these where
+    nothing else is left. An article element is kept as a whole. Each
     remaining block passes points (one, one a comma, one a hundred characters up to three, times the
     share outside links) to its container, half to the next and so on; points are discounted by link
     density; the best container and siblings like it are kept, in page order, joined by an empty

@@ -47,8 +47,10 @@ def steps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
-def chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, ids, lens, z): ids as int64, bytes of each text, and the normal texts joined."""
+def chunks(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """(chunk, ids, lens, z): ids as int64, bytes of each text, and the normal texts joined; a chunk has
+    about `size` bytes of text (CHUNK_BYTES) or one text."""
+    size = CHUNK_BYTES if size is None else size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n = TaskContext.get().partitionId(), 0
@@ -135,9 +137,8 @@ def ask_words(rows: DataFrame, parts: int) -> DataFrame:
                 c = Chunk(r.ids, r.lens, r.z)
                 n = c.words()
                 cut = np.searchsorted(part_of(c.vocab, parts), np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cut)):
-                    a, z = cut[p], cut[p + 1]
-                    yield pd.DataFrame({"part": [p], "chunk": [r.chunk], "h": [planes(steps(c.vocab[a:z]))], "n": [planes(n[a:z].astype(np.int32))]})
+                out = [(p, r.chunk, planes(steps(c.vocab[a:z])), planes(n[a:z])) for p, a, z in zip(range(parts), cut, cut[1:]) if z > a]
+                yield pd.DataFrame(out, columns=["part", "chunk", "h", "n"])
 
     return rows.mapInPandas(run, "part int, chunk long, h binary, n binary")
 
@@ -150,7 +151,7 @@ def tally(counts: np.ndarray) -> np.ndarray:
 def answer_words(rows: pd.DataFrame) -> pd.DataFrame:
     """One partition of the word table: a row of its statistics, and a row for each chunk."""
     h = [np.cumsum(numbers(x, np.uint64), dtype=np.uint64) for x in rows["h"]]
-    n = np.concatenate([numbers(x, np.int32) for x in rows["n"]]).astype(np.int64)
+    n = np.concatenate([numbers(x, np.int64) for x in rows["n"]])
     _, back = np.unique(np.concatenate(h), return_inverse=True)
     total = np.bincount(back, weights=n).astype(np.int64)
     out = [{"chunk": None, "part": rows["part"].iloc[0], "n": None, "stats": [int(total.sum()), int((total > 0).sum()), *tally(total).tolist()]}]
@@ -203,13 +204,12 @@ def ask_pairs(rows: DataFrame, parts: int) -> DataFrame:
                 h, w, n, _ = c.pairs()
                 of = part_of(c.vocab[h], parts)
                 cut = np.searchsorted(of, np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cut)):
-                    a, z = cut[p], cut[p + 1]
-                    hh, size = np.unique(h[a:z], return_counts=True)
-                    yield pd.DataFrame({
-                        "part": [p], "chunk": [r.chunk], "h": [planes(steps(c.vocab[hh]))], "size": [planes(size.astype(np.int32))],
-                        "w": [planes48(c.vocab[w[a:z]])], "wn": [planes(known[w[a:z]])], "n": [planes(n[a:z].astype(np.int32))],
-                    })
+                out = []
+                for p, a, z in zip(range(parts), cut, cut[1:]):
+                    if z > a:
+                        hh, size = np.unique(h[a:z], return_counts=True)
+                        out.append((p, r.chunk, planes(steps(c.vocab[hh])), planes(size.astype(np.int32)), planes48(c.vocab[w[a:z]]), planes(known[w[a:z]]), planes(n[a:z])))
+                yield pd.DataFrame(out, columns=["part", "chunk", "h", "size", "w", "wn", "n"])
 
     return rows.mapInPandas(run, "part int, chunk long, h binary, size binary, w binary, wn binary, n binary")
 
@@ -240,7 +240,7 @@ def answer_pairs(words: Words):
         hs = [np.cumsum(numbers(x, np.uint64), dtype=np.uint64) for x in rows["h"]]
         sizes = [numbers(x, np.int32) for x in rows["size"]]
         w = np.concatenate([numbers48(x) for x in rows["w"]])
-        n = np.concatenate([numbers(x, np.int32) for x in rows["n"]]).astype(np.int64)
+        n = np.concatenate([numbers(x, np.int64) for x in rows["n"]])
         wn = np.concatenate([numbers(x, np.int64) for x in rows["wn"]])
         vocab, hb = np.unique(np.concatenate(hs), return_inverse=True)
         h = np.repeat(hb, np.concatenate(sizes))
@@ -254,7 +254,7 @@ def answer_pairs(words: Words):
         m = len(vocab)
         count = np.bincount(own, weights=total, minlength=m).astype(np.int64)
         low = np.bincount(own[seen], weights=p[seen], minlength=m)
-        few = np.stack([np.bincount(own[total == r], minlength=m) for r in range(1, K + 1)]).astype(np.int32)
+        few = np.stack([np.bincount(own[total == r], minlength=m) for r in range(1, K + 1)])
         back = np.empty(len(h), dtype=np.int64)
         back[order] = kind
         part = rows["part"].iloc[0]
@@ -262,7 +262,7 @@ def answer_pairs(words: Words):
         a = z = 0
         for chunk, x, size in zip(rows["chunk"], hs, sizes):
             mine, pairs = hb[a : a + len(x)], int(size.sum())
-            out.append({"chunk": chunk, "part": part, "n": planes(total[back[z : z + pairs]].astype(np.int32)), "count": planes(count[mine]), "few": planes(few[:, mine].T.reshape(-1)), "low": planes(low[mine]), "stats": None})
+            out.append({"chunk": chunk, "part": part, "n": planes(total[back[z : z + pairs]]), "count": planes(count[mine]), "few": planes(few[:, mine].T.reshape(-1)), "low": planes(low[mine]), "stats": None})
             a, z = a + len(x), z + pairs
         return pd.DataFrame(out)
 
@@ -323,8 +323,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 seen = gathered(r.got, np.int64)
                 had = sorted(r.had, key=lambda x: x["part"])
                 read = lambda k, dtype: np.concatenate([numbers(x[k], dtype) for x in had])
-                n, count, low = read("n", np.int32).astype(np.int64), read("count", np.int64), read("low", np.float64)
-                few = read("few", np.int32).reshape(-1, K)
+                n, count, low = read("n", np.int64), read("count", np.int64), read("low", np.float64)
+                few = read("few", np.int64).reshape(-1, K)
                 h, w, _, back = c.pairs()
                 histories, at = np.unique(h, return_inverse=True)
                 factor, weight = backoff(count, few, low, d)

@@ -2,10 +2,12 @@
 
 One hash function orders shingles: those on many documents' short lists last, longer before shorter,
 then by mixed bits. A document's sketch is its smallest values: as many as a document that is similar
-enough can lack, and SPARE more. Two linked documents then share more sketch values than the spare of
-the smaller, whatever the data. Inverted lists of sketch values count what each pair shares; pairs
-that share enough, and lists too long to be paired, make families; within a family, exact Jaccard on
-full sets decides. Documents of equal sets are one from the start.
+enough can lack, and SPARE more. What two linked documents share of the union of their sketches then
+has a least number, which follows from their sizes whatever the data (`least_shared`); it stands in
+for an estimate, which could lose links. Inverted lists of sketch values count what each pair shares;
+pairs that share enough, and lists too long to be paired, make families; within a family, exact Jaccard
+on full sets decides. Documents of equal sets are one from the start. Shingles are told apart by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Ranges, far, keyed, mix, passes, table, written
@@ -67,9 +69,10 @@ def sets_of(texts: list[bytes], width: int) -> list[tuple[np.ndarray, np.ndarray
 def slices(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[list, list]]:
     """(ids, sets) of a few texts at a time, so that a worker holds the sets of one pass."""
     for b in batches:
-        ids, texts = b["_id"].tolist(), [normal(t) for t in b["_text"]]
+        ids, texts = b["_id"].tolist(), b["_text"].tolist()
+        del b
         for lo, hi in passes(texts):
-            yield ids[lo:hi], sets_of(texts[lo:hi], width)
+            yield ids[lo:hi], sets_of([normal(t) for t in texts[lo:hi]], width)
 
 
 def order_of(k: np.ndarray, size: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -81,10 +84,17 @@ def order_of(k: np.ndarray, size: np.ndarray, late: np.ndarray) -> np.ndarray:
     return v
 
 
-def sketch_length(n: int, percent: int, spare: float = SPARE) -> tuple[int, int]:
-    """(values kept, values that a linked document shares at least)."""
-    need = 1 + int(spare * n)
-    return min(n, n - -(-percent * n // 100) + need), need
+def sketch_length(n: int, percent: int, spare: float = SPARE) -> int:
+    return min(n, n - -(-percent * n // 100) + 1 + int(spare * n))
+
+
+def least_shared(na: Column, nb: Column, percent: int) -> Column:
+    """Values that the sketches of two linked sets of these sizes share at least: up to the smaller of
+    the sketches' last values both are complete, so that of one sketch all are shared but what its
+    document may lack, and linked sets have percent / (100 + percent) of na + nb in common."""
+    common = F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - F.lit(1e-9))
+    kept = lambda n: F.least(n, n - F.ceil(F.lit(percent) * n / F.lit(100.0) - F.lit(1e-9)) + 1 + F.floor(F.lit(SPARE) * n))
+    return F.greatest(F.lit(1), F.least(kept(na) - na, kept(nb) - nb) + common)
 
 
 def sketches(base: DataFrame, width: int, percent: int, late: np.ndarray) -> DataFrame:
@@ -96,7 +106,7 @@ def sketches(base: DataFrame, width: int, percent: int, late: np.ndarray) -> Dat
             vs, ids = [], []
             for key, (k, size) in zip(keys, sets):
                 if len(k):
-                    m = sketch_length(len(k), percent)[0]
+                    m = sketch_length(len(k), percent)
                     v = order_of(k, size, shared.value)
                     v = np.partition(v, m - 1)[:m] if m < len(v) else v
                     vs.append(v)
@@ -186,7 +196,7 @@ def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     lists = written(lists, spark)
     short = lists.where(F.col("c") <= PAIRED)  # at most PAIRED rows of a value
     a, b = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    need = F.lit(1) + F.floor(F.lit(SPARE) * F.least("na", "nb"))
+    need = least_shared(F.col("na"), F.col("nb"), percent)
     fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where(F.col("both") >= need).select("a", "b")
     stars = lists.where((F.col("c") > PAIRED) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .anchors import Kind, with_cuts
 from .common import keyed, table
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM, FINE = 50, 20, 2
 #: First code point that stands for a word; surrogates lie below.
 BASE = 0xE000
 
@@ -78,7 +78,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         return len(words), len(words) - len(kept), [list(r) for r in runs], b" ".join(kept).decode("utf-8", "replace")
 
     base = keyed(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    kind = Kind("words", window, gram, True)
+    kind = Kind("words", window, gram, FINE, True, True)
     out = with_cuts(base, kind, locate, finish, "n_words long, n_removed long, spans array<array<int>>, kept_text string")
     return out.withColumnRenamed("_id", id_col)
 

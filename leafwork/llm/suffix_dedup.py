@@ -11,61 +11,76 @@ from pyspark.sql import functions as F
 from .anchors import Kind, with_cuts
 from .common import keyed, table
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM, FINE = 100, 32, 8
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of s, whose last symbol is found nowhere else, by prefix doubling."""
+def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the rotations of s (numbers 0 to 256) by their first `depth` symbols at least, by prefix
+    doubling from seven symbols, which fit in one number; what is alone in its rank stays in place."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    step, kinds = 1, int(rank.max()) + 2
-    if kinds < 2**15:  # four symbols in one number
-        ahead = np.concatenate([rank + 1, np.zeros(3, dtype=np.int64)])
-        key = ((ahead[:n] * kinds + ahead[1 : n + 1]) * kinds + ahead[2 : n + 2]) * kinds + ahead[3:]
-        rank, step = np.unique(key, return_inverse=True)[1].astype(np.int64), 4
+    key = np.zeros(n, dtype=np.int64)
+    twice = np.concatenate([s, s[:6] if n >= 6 else np.resize(s, 6)])
+    for k in range(7):
+        key *= 257
+        key += twice[k : k + n]
+    order = np.argsort(key)
+    key = key[order]
+    slots, step = np.arange(n), 7
+    rank = np.empty(n, dtype=np.int64)
+    bits = max(1, int(n - 1).bit_length())
     while True:
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        # slots are those of the order still looked at, by rank; key is what they were sorted by.
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        begin = np.flatnonzero(new)
+        rank[order[slots]] = slots[begin][np.cumsum(new) - 1]
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone]
+        if step >= depth or not len(slots):
             return order
+        own = order[slots]
+        ahead = own + step
+        ahead[ahead >= n] %= n
+        key = (rank[own] << bits) | rank[ahead]
+        if 3 * bits < 63:
+            both = np.sort((key << bits) | own)
+            key, order[slots] = both >> bits, both & ((1 << bits) - 1)
+        else:
+            by = np.argsort(key)
+            key, order[slots] = key[by], own[by]
         step *= 2
 
 
 def short_prefixes(bwt: np.ndarray, least: int) -> np.ndarray:
-    """Of each suffix in order, the length it has in common with the one before if that is under
-    `least`, else -1. Intervals of strings are extended backward by one symbol at a time, in order of
-    length; where an extension's end isn't marked yet, its length is the common prefix there."""
+    """Of each row in order, the length it has in common with the one before if that is under `least`,
+    else -1. Intervals of strings are extended backward by one symbol at a time, in order of length;
+    where an extension's end isn't marked yet, its length is the common prefix there. The rows need to
+    be in order by their first `least` symbols only: no longer string has its interval looked up."""
     n = len(bwt)
-    by = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, dtype=np.int64)
-    lf[by] = np.arange(n)
-    lcp = np.full(n + 1, -1, dtype=np.int64)
+    by = np.argsort(bwt, kind="stable").astype(np.int32)
+    lf = np.empty(n, dtype=np.int32)
+    lf[by] = np.arange(n, dtype=np.int32)
+    first = bwt[by]
+    lcp = np.full(n + 1, -1, dtype=np.int16)
     lcp[0] = lcp[n] = 0
-    lo, hi = np.array([0]), np.array([n])  # the empty string's
+    of = np.zeros(n, dtype=np.int32)  # the interval that a row is in
+    lo, hi = np.array([0], dtype=np.int32), np.array([n], dtype=np.int32)  # the empty string's
     for length in range(least):
         size = hi - lo
-        which = np.repeat(np.arange(len(lo)), size)
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        to = lf[at]
+        single = lf[lo[size == 1]]
+        lo, size = lo[size > 1], size[size > 1]
+        at = (np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())).astype(np.int32)
+        of[at] = np.repeat(np.arange(len(lo), dtype=np.int32), size)
         # Within an interval the rows of one symbol go to neighbouring rows, and no two of its
-        # symbols do: sorted by target, a new interval begins where source or run changes.
-        order = np.argsort(to, kind="stable")
-        to, which = to[order], which[order]
-        sym = bwt[at[order]]
-        new = np.concatenate([[True], (to[1:] != to[:-1] + 1) | (which[1:] != which[:-1]) | (sym[1:] != sym[:-1])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(to)) - 1
-        left, right = to[first], to[last] + 1
+        # symbols do: sorted by target, a new interval begins where source, symbol or run changes.
+        to = np.sort(lf[at])
+        source, symbol = of[by[to]], first[to]
+        new = np.concatenate([[True], (to[1:] != to[:-1] + 1) | (source[1:] != source[:-1]) | (symbol[1:] != symbol[:-1])]) if len(to) else np.zeros(0, dtype=bool)
+        begin = np.flatnonzero(new)
+        left, right = np.concatenate([to[begin], single]), np.concatenate([to[np.append(begin[1:], len(to)) - 1] + 1 if len(to) else to, single + 1])
         fresh = lcp[right] < 0
+        lcp[right[fresh]] = length
         if length == 0:
             fresh |= right == n
-        lcp[right[fresh]] = length
         lo, hi = left[fresh], right[fresh]
         if not len(lo):
             break
@@ -77,35 +92,31 @@ def repeats(rows: pd.DataFrame, kind: Kind) -> pd.DataFrame:
     no shorter common prefix between; all but the earliest place of each such class are covered."""
     size = kind.window
     texts = [bytes(t) for t in rows["text"]]
-    n = len(texts)
     lens = np.array([len(t) for t in texts])
-    s = np.empty(int(lens.sum()) + n, dtype=np.int32)
     ends = np.cumsum(lens + 1) - 1
-    keep = np.ones(len(s), dtype=bool)
-    keep[ends] = False
-    s[keep] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int32) + n
-    s[ends] = np.arange(n)  # each text ends in a symbol of its own
-    sa = suffix_array(s)
-    lcp = short_prefixes(s[sa - 1], size)
-    group = np.cumsum(lcp >= 0)
-    owner = np.searchsorted(ends, sa)
-    ids, pos = rows["_id"].to_numpy(np.int64)[owner], rows["pos"].to_numpy(np.int64)[owner] + sa - (ends - lens)[owner]
-    many = np.bincount(group)[group] > 1
-    group, ids, pos, owner = group[many], ids[many], pos[many], owner[many]
-    order = np.lexsort((pos, ids, group))
-    group, ids, pos, owner = group[order], ids[order], pos[order], owner[order]
-    lead = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=bool)
-    lead_at = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(group) else np.zeros(0, np.int64)
-    later = (ids > ids[lead_at]) | (pos > pos[lead_at])
-    ids, pos = ids[later], pos[later]
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    if not len(ids):
-        return pd.DataFrame({"_id": [], "s": [], "e": []}).astype({"_id": "int64", "s": "int32", "e": "int32"})
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (pos[1:] > pos[:-1] + 1)])
+    s = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    s[ends] = 0  # between texts; strings that reach it are left out below
+    sa = suffix_array(s, size)
+    group = np.cumsum(short_prefixes(s[sa - 1].astype(np.int16), size) >= 0)
+    owner = np.repeat(np.arange(len(texts)), lens + 1)[sa]
+    whole = ends[owner] - sa >= size
+    sa, group, owner = sa[whole], group[whole], owner[whole]
+    many = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, dtype=bool)
+    sa, group, owner = sa[many], group[many], owner[many]
+    none = pd.DataFrame({"_id": [], "s": [], "e": []}).astype({"_id": "int64", "s": "int32", "e": "int32"})
+    if not len(sa):
+        return none
+    ids, rank = np.unique(rows["_id"].to_numpy(np.int64), return_inverse=True)
+    place = (rank[owner].astype(np.int64) << 32) + rows["pos"].to_numpy(np.int64)[owner] + sa - (ends - lens)[owner]
+    lead = np.concatenate([[True], group[1:] != group[:-1]])
+    low = np.minimum.reduceat(place, np.flatnonzero(lead))[np.cumsum(lead) - 1]
+    place = np.sort(place[place > low])
+    if not len(place):
+        return none
+    new = np.concatenate([[True], place[1:] > place[:-1] + 1])
     a = np.flatnonzero(new)
-    b = np.append(a[1:], len(ids)) - 1
-    return pd.DataFrame({"_id": ids[a], "s": pos[a], "e": pos[b] + size})
+    b = np.append(a[1:], len(place)) - 1
+    return pd.DataFrame({"_id": ids[place[a] >> 32], "s": place[a] & 0xFFFFFFFF, "e": (place[b] & 0xFFFFFFFF) + size})
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +140,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         return len(raw), len(raw) - len(out), [list(r) for r in runs], out
 
     base = keyed(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    kind = Kind("bytes", window, gram, False)
+    kind = Kind("bytes", window, gram, FINE, False, False)
     return with_cuts(base, kind, repeats, finish, "n_bytes long, n_removed long, spans array<array<int>>, kept binary").withColumnRenamed("_id", id_col)
 
 

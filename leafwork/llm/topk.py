@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Rows of a shard on average, rows of a leaf at most, queries of a block at most.
-SHARD, LEAF, BLOCK = 32768, 256, 4096
+SHARD, LEAF, BLOCK = 8192, 256, 16384
 
 
 def build(x: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:

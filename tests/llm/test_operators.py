@@ -1,11 +1,16 @@
 """Each operator against a plain version of its rule, on small and odd inputs."""
 
+import html
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from leafwork.llm import anchors, decontaminate, html_extract, katz, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
 
@@ -59,9 +64,14 @@ def test_lines_keep_all_columns(spark):
     assert 1 in kept and kept[1].text is None and None in kept and kept[13].text == "x\ny" and kept[13].n_chars == 3
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_substring_dedup(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, together", [(64, 2000), (1, 2000), (1, 1), (64, 1)])
+def test_substring_dedup(spark, monkeypatch, crowd, together):
     monkeypatch.setattr(anchors, "CROWD", crowd)
+    monkeypatch.setattr(anchors, "TOGETHER", together)
+    monkeypatch.setattr(anchors, "BROADCAST_CROWDS", 0 if together == 1 else 100_000)
+    if together == 1:
+        monkeypatch.setattr(anchors, "PASS_BYTES", 500)
+        monkeypatch.setattr(anchors, "PIECE_BYTES", 500)
     first, want = {}, {}
     rows = [(i, words(t)) for i, t in ODD if i is not None]
     for i, w in rows:
@@ -74,9 +84,14 @@ def test_substring_dedup(spark, monkeypatch, crowd):
     assert got == want
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_suffix_dedup(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, together", [(64, 2000), (1, 2000), (1, 1), (64, 1)])
+def test_suffix_dedup(spark, monkeypatch, crowd, together):
     monkeypatch.setattr(anchors, "CROWD", crowd)
+    monkeypatch.setattr(anchors, "TOGETHER", together)
+    monkeypatch.setattr(anchors, "BROADCAST_CROWDS", 0 if together == 1 else 100_000)
+    if together == 1:
+        monkeypatch.setattr(anchors, "PASS_BYTES", 500)
+        monkeypatch.setattr(anchors, "PIECE_BYTES", 500)
     seen, want = set(), {}
     for i, t in ODD:
         if i is None:
@@ -97,8 +112,9 @@ def test_suffix_dedup(spark, monkeypatch, crowd):
 def test_interval_expansion_gives_common_prefixes():
     rng = np.random.default_rng(7)
     s = np.concatenate([rng.integers(1, 4, 300), [0]]).astype(np.int32)
-    sa = suffix_dedup.suffix_array(s)
+    sa = suffix_dedup.suffix_array(s, len(s))
     assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    sa = suffix_dedup.suffix_array(s, 6)
     got = suffix_dedup.short_prefixes(s[sa - 1], 6)
     for k in range(1, len(sa)):
         a, b = s[sa[k - 1] :].tolist(), s[sa[k] :].tolist()
@@ -266,7 +282,54 @@ def test_katz(spark, monkeypatch):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(uni[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(np.log10((uni[w] + 1) / (n + kinds + 1)) for w in t))
-        assert np.isfinite(r.score) and r.score < 0
+        assert r.score == pytest.approx(sum(katz_logs(tok, held, [w for w in t])))
+
+
+def good_turing(counts):
+    n = Counter(counts)
+    common = 6 * n[6] / n[1] if n[1] else 1
+    flat = min(0.999, n[1] / (n[1] + 2 * n[2])) if n[1] else 0.5
+    out = {}
+    for r in range(1, 6):
+        x = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common != 1 else -1
+        out[r] = x if 0 < x < 1 else (r - flat) / r
+    return out
+
+
+def katz_logs(tok, held, text):
+    """log10 probabilities of a text's tokens by the plain rule: a known pair's discounted share, else
+    the history's weight, summed over its followers one by one, times the word's own probability."""
+    key = id(tok)
+    if key not in _MODELS:
+        uni, pairs, after = Counter(), Counter(), {}
+        for i, t in tok.items():
+            if not held[i]:
+                for a, b in zip(["<start>", *t], t):
+                    uni[b] += 1
+                    pairs[a, b] += 1
+                    after.setdefault(a, set()).add(b)
+        _MODELS[key] = uni, pairs, after, good_turing(uni.values()), good_turing(pairs.values())
+    uni, pairs, after, d1, d2 = _MODELS[key]
+    total = sum(uni.values())
+    one = {w: d1.get(c, 1) * c / total for w, c in uni.items()}
+    unseen = 1 - sum(one.values())
+    assert unseen > 1e-6
+    out = []
+    for a, b in zip(["<start>", *text], text):
+        own = after.get(a, ())
+        n = sum(pairs[a, w] for w in own)
+        direct = {w: d2.get(pairs[a, w], 1) * pairs[a, w] / n for w in own}
+        left = 1 - sum(direct.values())
+        if own and left < 1e-12:
+            direct, left = {w: p * n / (n + 1) for w, p in direct.items()}, 1 / (n + 1)
+        rest = 1 - sum(one[w] for w in own)
+        out.append(np.log10(direct[b] if b in direct else (left / rest if own else 1) * one.get(b, unseen)))
+        if own:
+            assert sum(direct.values()) + (left / rest) * (sum(p for w, p in one.items() if w not in direct) + unseen) == pytest.approx(1)
+    return out
+
+
+_MODELS: dict = {}
 
 
 def test_backoff_sums_to_one():
@@ -300,6 +363,10 @@ def test_toxicity(spark):
     assert set(got) == {i for i, _ in rows} | {900, 901} and got[900].score == got[901].score
     long = "w1 " * 600_000 + "scumbag w2 w3"
     assert m.scores([long])[0] > 0.5 and m.scores(["w1 " * 600_000])[0] < 0.5
+    twice = toxicity.fit(d.unionAll(d), labels)
+    assert twice.default == m.default and np.array_equal(twice.out, m.out)  # repeated rows count once
+    kept = toxicity.clean(d.withColumn("lang", F.lit(None).cast("string")), m)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < m.default} | {None}
     empty = toxicity.fit(d.limit(0), labels.limit(0))
     assert toxicity.toxicity(d.limit(0), empty).count() == 0
 
@@ -314,6 +381,49 @@ def test_html():
     assert html_extract.main_text("<div>" * 5000 + "deep text, here" + "</div>" * 5000) == "deep text, here"
 
 
+HEAD, BODY = "<h1>Head</h1>", "<p>First one, with text, and more of it.</p><p>Second one, yes, and so on.</p>"
+WANT = ["Head", "First one, with text, and more of it.", "Second one, yes, and so on."]
+THREAD = "<section id=comments>" + "<article><p>Nice, very, long, comment, here, and there, and more, and more.</p></article>" * 3 + "</section>"
+
+
+@pytest.mark.parametrize("page, more", [
+    (f"<body><form><div><article>{HEAD}{BODY}</article></div></form>", []),
+    (f"<body><article>{HEAD}{BODY}</article><form><p>Sign up, here</p></form>", []),
+    (f"<body><div class='product-review'><article>{HEAD}{BODY}</article></div>", []),
+    (f"<article><div class='entry-header'>{HEAD}</div>{BODY}</article>", []),
+    (f"<article>{HEAD}{BODY}<p>Value <math><mi>x</mi></math></p></article>", ["Value x"]),
+    (f"<article>{HEAD}{BODY}</article>{THREAD}", []),
+    (f"<div class=header><h1>Site</h1></div><div id=content><div class=entry-header>{HEAD}</div><div class=entry-content>{BODY}</div><div class=sidebar><p>Popular, things</p></div></div>", []),
+    (f"<main>{HEAD}<section>{BODY}</section><section id=discussion><h2 id=discussion>Discussion</h2><p>Short.</p></section></main>", ["Discussion", "Short."]),
+    (f"<BODY><SCRIPT>x</script >{HEAD}{BODY}<DIV CLASS='Cookie-Notice'>We use</DIV></BODY>", []),
+    (f"<body><header><p>Site, name</p></header>{HEAD}{BODY}<div class=ad>Buy</div><footer>foot</footer>", []),
+])
+def test_html_wrappers(page, more):
+    assert html_extract.main_text(page).split("\n\n") == [*WANT, *more]
+
+
+def test_html_case_changes_no_places():
+    assert html_extract.main_text("<p>" + "\u0130" * 60 + "</p><script>var x;</script>" + BODY).split("\n\n") == ["\u0130" * 60, *WANT[1:]]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a x="' * 170_000, "<" * 10**6, "<div>x" * 60_000, "<iframe/>" * 100_000, "<p>" + "<span>" * 30_000 + "<h1>x</h1>" * 10_000])
+def test_html_of_broken_marks_ends(page):
+    began = time.time()
+    html_extract.main_text(page)
+    assert time.time() - began < 10
+
+
+def test_html_pages_against_the_article_element():
+    """In the tables' pages all of the article element is wanted, and nothing else."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    for r in pq.read_table(path).to_pylist():
+        own = re.search("<article>(.*?)</article>", r["html"], re.S)[1].replace("<br>", " ")
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", p))).strip() for p in re.split("</?(?:p|h1|ul|li|div)>", own)]
+        assert html_extract.main_text(r["html"]) == "\n\n".join(p for p in parts if p)
+
+
 def test_html_keeps_links_of_the_article():
     page = """<article><p>First, with text, and more of it.</p><h2>Sources</h2><ul><li><a href=a>Paper, one</a><li><a href=b>Paper two</a></ul>
     <table><tr><td>Data</td><td><a href=c>Table three</a></td></tr></table><div><a href=d>Next part</a></div></article>"""
