@@ -71,3 +71,9 @@ def overlap_share(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Col
     """Overlap over the smaller extent; 0 where that is 0."""
     least = F.least(hi_a - lo_a, hi_b - lo_b)
     return F.when(least > 0, F.greatest(F.lit(0), F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b)) / least).otherwise(real(0))
+
+
+def normalised_polygon(points: Column, width: Column, height: Column) -> Column:
+    """Pixels of a polygon's points given in shares of the page: rounded half to even, cut to the page."""
+    pixel = lambda v, most: F.least(F.greatest(F.bround(v * most).cast("int"), F.lit(0)), most)
+    return F.transform(points, lambda p: F.struct(pixel(p["x"], width).alias("x"), pixel(p["y"], height).alias("y")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import resource
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
@@ -66,3 +68,40 @@ def wer(pairs_: DataFrame) -> DataFrame:
     n = F.size(words(F.col("truth")))
     e = word_errors(F.col("truth"), F.col("found"))
     return pairs_.withColumn("errors", e).withColumn("n_words", n).withColumn("wer", F.when(n > 0, F.round(F.col("errors") / n, 6)).otherwise(F.when(F.col("errors") > 0, g.real(1)).otherwise(g.real(0))))
+
+
+def ground_truth(spark: SparkSession, path: str, kind: str = "custom") -> DataFrame:
+    """(source, truth_idx, x1, y1, x2, y2, text) of a folder of ground truth. "funsd": JSON files with a
+    form of boxes; "sroie": text lines of eight corner coordinates and a text, by commas; "custom": JSON
+    lines or Parquet with these columns."""
+    box = ["x1", "y1", "x2", "y2"]
+    if kind == "funsd":
+        entry = "struct<id:int,box:array<int>,text:string>"
+        f = spark.read.option("multiLine", "true").schema(f"form array<{entry}>").json(path).select(F.col("_metadata.file_name").alias("source"), F.explode("form").alias("e"))
+        return f.select("source", F.col("e.id").alias("truth_idx"), *[F.col("e.box")[i].alias(k) for i, k in enumerate(box)], "e.text")
+    if kind == "sroie":
+        f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.posexplode(F.split("value", r"\r?\n")).alias("truth_idx", "line"))
+        parts = F.split("line", ",", 9)
+        n = f.where(F.size(parts) == 9).select("source", "truth_idx", F.transform(F.slice(parts, 1, 8), lambda x: F.trim(x).cast("int")).alias("c"), parts[8].alias("text"))
+        xs, ys = F.array(*[F.col("c")[i] for i in (0, 2, 4, 6)]), F.array(*[F.col("c")[i] for i in (1, 3, 5, 7)])
+        return n.select("source", "truth_idx", F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"), "text")
+    if kind != "custom":
+        raise ValueError(f"unknown kind of ground truth: {kind}")
+    schema = "source string, truth_idx int, x1 int, y1 int, x2 int, y2 int, text string"
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.schema(schema).json(path)
+
+
+#: What a report is held against.
+TARGETS = {"precision": 0.85, "recall": 0.80, "f1": 0.82, "wer": 0.15}
+
+
+def report(scored: DataFrame, errors: DataFrame, latency: DataFrame, ram_mb: float | None = None) -> DataFrame:
+    """One row per document with ground truth: scores, word error rate over all its pairs, mean latency of
+    a page, peak memory of the driver (the argument, else measured), and which targets it meets."""
+    if ram_mb is None:
+        ram_mb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    w = errors.groupBy("doc_id").agg(F.round(F.sum("errors") / F.greatest(F.lit(1), F.sum("n_words")), 6).alias("wer"))
+    lat = latency.groupBy("doc_id").agg(F.round(F.sum("latency") / F.count("*"), 6).alias("latency_per_page"))
+    r = scored.join(w, "doc_id", "left").join(lat, "doc_id", "left")
+    met = F.array(*[F.when((F.col(k) <= g.real(v)) if k == "wer" else (F.col(k) >= g.real(v)), F.lit(k)) for k, v in TARGETS.items()])
+    return r.select("doc_id", "precision", "recall", F.col("f1").alias("f1_score"), "wer", "latency_per_page", F.lit(float(ram_mb)).alias("ram_usage_mb"), F.filter(met, lambda x: x.isNotNull()).alias("targets_met"))

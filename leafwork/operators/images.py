@@ -4,6 +4,7 @@ library's bits. Pictures are uint8, height x width or height x width x 3 in BGR
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,14 @@ from pyspark.sql import functions as F
 
 #: Blur scores that part the tiers, and what a tier changes in a profile.
 TIERS = ((300.0, "blurred"), (700.0, "low_quality"), (1000.0, "normal"))
-OVERRIDES = {"blurred": {"sharpen": True, "morphology": True}, "low_quality": {"sharpen": False}, "normal": {}, "sharp": {"denoise": False}}
+OVERRIDES: dict[str, dict] = {
+    "blurred": {"sharpen": True, "sharpen_strength": 0.5, "threshold_mode": "adaptive", "adaptive_block_size": 19, "adaptive_C": 18, "morphology_opening": True, "morphology_kernel_size": 2, "morphology_closing": False, "clahe_clip_limit": 1.0},
+    "low_quality": {"sharpen": False, "threshold_mode": "adaptive", "adaptive_block_size": 25, "adaptive_C": 14, "morphology_opening": False, "morphology_kernel_size": 2},
+    "normal": {},
+    "sharp": {"sharpen": False, "morphology_opening": False, "morphology_closing": False},
+}
+#: Under the first blur score only bilateral helps; over the second a page needs nothing.
+RECOVERY, SHARP = 1000.0, 700.0
 
 
 def gray(img: np.ndarray) -> np.ndarray:
@@ -39,12 +47,44 @@ def tier(score: Column) -> Column:
     return out.otherwise("sharp")
 
 
-def denoise_decision(score: Column, adaptive: Column, strategy: str = "bilateral") -> Column:
-    """What denoising does and its label: below 1000 bilateral; above, nothing if adaptive, else the strategy."""
-    how = F.when(score < 1000, "bilateral").when(adaptive, "skip").otherwise(strategy)
+def is_low_quality(score: Column, under: float = 300.0) -> Column:
+    return score < under
+
+
+def overridden(pages: DataFrame, p, score: str = "blur") -> DataFrame:
+    """pages with the tier of their score and, under the profile's names, the settings that hold for
+    them: those of the tier where it has any, else the profile's."""
+    keys = sorted({k for o in OVERRIDES.values() for k in o})
+    out = {"tier": tier(F.col(score))}
+    for k in keys:
+        c = F.lit(getattr(p, k))
+        for name, o in OVERRIDES.items():
+            if k in o:
+                c = F.when(out["tier"] == name, F.lit(o[k])).otherwise(c)
+        out[k] = c
+    return pages.withColumns(out)
+
+
+def denoise_decision(score: Column, adaptive: Column, strategy: str = "bilateral", blur_safe: bool = False) -> Column:
+    """What denoising does, and the score: bilateral under 1000; over it nothing if adaptive, else the
+    strategy, where a safe one takes the place of Gaussian."""
+    strategy = "nlmeans" if blur_safe and strategy == "gaussian" else strategy
+    how = F.when(score < RECOVERY, "bilateral_recovery_mode").when(adaptive & (score > SHARP), "skipped_already_sharp").otherwise(strategy)
     return F.concat(how, F.lit("_blur="), F.format_string("%.2f", score))
 
 
+def denoised(img: np.ndarray, p, score: float) -> tuple[np.ndarray, str]:
+    strategy = "nlmeans" if p.blur_safe_mode and p.denoise_strategy == "gaussian" else p.denoise_strategy
+    if score < RECOVERY:
+        return bilateral(img), f"bilateral_recovery_mode_blur={score:.2f}"
+    if p.adaptive_denoise and score > SHARP:
+        return img, f"skipped_already_sharp_blur={score:.2f}"
+    kernels = {"none": lambda x: x, "nlmeans": nl_means, "bilateral": bilateral, "gaussian": lambda x: np.clip(np.rint(gaussian(gray(x).astype(np.float64))), 0, 255).astype(np.uint8)}
+    if strategy not in kernels:
+        return img, f"unknown_strategy_skipped({strategy})_blur={score:.2f}"
+    return kernels[strategy](img), f"{strategy}_blur={score:.2f}"
+
+
 def gaussian(img: np.ndarray, k: int = 5, sigma: float = 0.0) -> np.ndarray:
     sigma = sigma or 0.3 * ((k - 1) * 0.5 - 1) + 0.8
     x = np.arange(k) - k // 2
@@ -113,7 +153,7 @@ def thresholded(img: np.ndarray, mode: str = "otsu", block: int = 11, c: float =
 
 def _extreme(img: np.ndarray, k: int, best) -> np.ndarray:
     fill = 255 if best is np.minimum else 0
-    p = np.pad(img, k // 2, mode="constant", constant_values=fill)
+    p = np.pad(img, ((k // 2, k - 1 - k // 2),) * 2, mode="constant", constant_values=fill)
     rows = p[: img.shape[0], :]
     for i in range(1, k):
         rows = best(rows, p[i : i + img.shape[0], :])
@@ -123,17 +163,72 @@ def _extreme(img: np.ndarray, k: int, best) -> np.ndarray:
     return out
 
 
+def _mirrored(img: np.ndarray, k: int) -> np.ndarray:
+    """Turned by half where the square is even, so that the second pass takes it the other way round."""
+    return img if k % 2 else img[::-1, ::-1]
+
+
 def opened(img: np.ndarray, k: int = 3) -> np.ndarray:
-    return _extreme(_extreme(gray(img), k, np.minimum), k, np.maximum)
+    return _mirrored(_extreme(_mirrored(_extreme(gray(img), k, np.minimum), k), k, np.maximum), k)
 
 
 def closed(img: np.ndarray, k: int = 3) -> np.ndarray:
-    return _extreme(_extreme(gray(img), k, np.maximum), k, np.minimum)
+    return _mirrored(_extreme(_mirrored(_extreme(gray(img), k, np.maximum), k), k, np.minimum), k)
+
+
+#: Linear sRGB to CIE XYZ over the D65 white.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def to_lab(img: np.ndarray) -> np.ndarray:
+    """CIE LAB (L from 0 to 100) of a picture in BGR."""
+    c = img[..., 2::-1].astype(np.float64) / 255
+    c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    x = (c @ _XYZ.T) / _WHITE
+    f = np.where(x > 0.008856, np.cbrt(x), 7.787 * x + 16 / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    fy = (lab[..., 0] + 16) / 116
+    f = np.stack([fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200], axis=-1)
+    x = np.where(f**3 > 0.008856, f**3, (f - 16 / 116) / 7.787) * _WHITE
+    c = np.clip(x @ np.linalg.inv(_XYZ).T, 0, 1)
+    c = np.where(c > 0.0031308, 1.055 * c ** (1 / 2.4) - 0.055, 12.92 * c)
+    return np.clip(np.rint(c[..., ::-1] * 255), 0, 255).astype(np.uint8)
+
+
+def _cubic(d: np.ndarray, a: float = -0.75) -> np.ndarray:
+    """Keys' kernel of cubic convolution."""
+    d = np.abs(d)
+    return np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, np.where(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a, 0.0))
+
+
+def sampled(g: np.ndarray, sy: np.ndarray, sx: np.ndarray, fill: float | None = None) -> np.ndarray:
+    """Values at places between pixels, by cubic convolution; outside it is fill, or the nearest pixel."""
+    h, w = g.shape
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    out = np.zeros(np.broadcast(sy, sx).shape)
+    for dy in range(-1, 3):
+        wy = _cubic(sy - (y0 + dy))
+        for dx in range(-1, 3):
+            yy, xx = y0 + dy, x0 + dx
+            v = g[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)]
+            if fill is not None:
+                v = np.where((yy >= 0) & (yy < h) & (xx >= 0) & (xx < w), v, fill)
+            out += v * wy * _cubic(sx - (x0 + dx))
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
 def clahe(img: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
-    """Zuiderveld 1994: equalisation by tiles, histograms clipped, maps blended between tiles."""
-    g = gray(img)
+    """Zuiderveld 1994: equalisation by tiles, histograms clipped, maps blended between tiles. Of a picture
+    in colour only the lightness L of CIE LAB changes."""
+    if img.ndim == 3:
+        lab = to_lab(img)
+        lab[..., 0] = clahe(np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.uint8), clip, tiles) / 2.55
+        return from_lab(lab)
+    g = img
     h, w = g.shape
     ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
     maps = np.zeros((tiles, tiles, 256))
@@ -177,27 +272,49 @@ def rotated(img: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
 def skew(img: np.ndarray) -> float:
     """Of -15 to 15 degrees by halves, the first turn that makes row sums of ink vary most."""
     g = gray(img)
-    ink = np.where(g > otsu(g), 0, 255).astype(np.uint8)
+    y, x = np.nonzero(g <= otsu(g))
     angles = np.arange(-15, 15.25, 0.5)
-    return float(angles[int(np.argmax([rotated(ink, a, 0).sum(axis=1, dtype=np.float64).var() for a in angles]))])
+    if not len(x):
+        return float(angles[0])
+    h, w = g.shape
+    y, x = y - (h - 1) / 2, x - (w - 1) / 2
+
+    def spread(a: float) -> float:
+        row = np.rint(np.cos(np.deg2rad(a)) * y - np.sin(np.deg2rad(a)) * x + (h - 1) / 2).astype(int)
+        return float(np.bincount(row[(row >= 0) & (row < h)], minlength=h).var())
+
+    return float(angles[int(np.argmax([spread(a) for a in angles]))])
 
 
 def deskewed(img: np.ndarray) -> np.ndarray:
-    a = skew(img)
-    return gray(img) if abs(a) < 0.5 else rotated(img, a)
+    """Turned by the skew found, by cubic convolution; by less than half a degree not at all."""
+    a, g = skew(img), gray(img).astype(np.float64)
+    if abs(a) < 0.5:
+        return gray(img)
+    t, (h, w) = np.deg2rad(a), g.shape
+    y, x = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    return sampled(g, np.sin(t) * x + np.cos(t) * y + (h - 1) / 2, np.cos(t) * x - np.sin(t) * y + (w - 1) / 2, 255.0)
 
 
 def resized(img: np.ndarray, scale: float) -> np.ndarray:
+    """Larger by cubic convolution, smaller by means over the areas that pixels cover."""
     if scale <= 0:
         raise ValueError("scale must be over 0")
     g = gray(img).astype(np.float64)
     h, w = max(1, round(g.shape[0] * scale)), max(1, round(g.shape[1] * scale))
-    y, x = np.clip((np.arange(h) + 0.5) / scale - 0.5, 0, g.shape[0] - 1), np.clip((np.arange(w) + 0.5) / scale - 0.5, 0, g.shape[1] - 1)
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, g.shape[0] - 1), np.minimum(x0 + 1, g.shape[1] - 1)
-    wy, wx = (y - y0)[:, None], (x - x0)[None, :]
-    out = (1 - wy) * ((1 - wx) * g[y0][:, x0] + wx * g[y0][:, x1]) + wy * ((1 - wx) * g[y1][:, x0] + wx * g[y1][:, x1])
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    if scale > 1:
+        y, x = (np.arange(h) + 0.5) * g.shape[0] / h - 0.5, (np.arange(w) + 0.5) * g.shape[1] / w - 0.5
+        return sampled(g, y[:, None], x[None, :])
+
+    def means(a: np.ndarray, n: int) -> np.ndarray:
+        """Means of n even stretches of the rows, by interpolating their running sums."""
+        total = np.concatenate([np.zeros((1, a.shape[1])), np.cumsum(a, axis=0)])
+        edge = np.arange(n + 1) * a.shape[0] / n
+        low = np.minimum(edge.astype(int), a.shape[0] - 1)
+        at = total[low] + (edge - low)[:, None] * a[low]
+        return np.diff(at, axis=0) * n / a.shape[0]
+
+    return np.clip(np.rint(means(means(g, h).T, w).T), 0, 255).astype(np.uint8)
 
 
 def ordered_corners(quad: Column) -> Column:
@@ -238,30 +355,144 @@ def flattened(img: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def prepared(img: np.ndarray, p) -> tuple[np.ndarray, list[str], float]:
-    """The chain of a profile over one page: picture, what was done, blur score."""
+    """The chain of a profile over one page: picture, what was done, blur score. The tier of the page's
+    blur score changes the profile first."""
     score = blur_score(img)
     name = next((n for most, n in TIERS if score < most), "sharp")
-    on = {k: getattr(p, k) for k in ("denoise", "deskew", "threshold", "sharpen", "morphology")} | OVERRIDES[name]
-    out, done = gray(img), ["grayscale"]
-    for key, f in (("denoise", bilateral), ("deskew", deskewed), ("sharpen", unsharp)):
-        if on[key]:
-            out = f(out)
-            done.append(key)
-    out = clahe(out, p.clahe_clip)
-    done.append("clahe")
-    if on["threshold"]:
-        out = thresholded(out)
-        done.append("threshold")
-    if on["morphology"]:
-        out = closed(opened(out))
-        done += ["open", "close"]
-    if abs(p.scale - 1) > 1e-6:
-        out = resized(out, p.scale)
-        done.append("resize")
-    if p.perspective:
+    p = replace(p, **OVERRIDES[name])
+    out, done = img, [f"adaptive_decision({name},blur={score:.1f})"]
+    if p.denoise or p.thresholding:
+        out = gray(out)
+        done.append("grayscale")
+    if p.denoise:
+        score = blur_score(out)
+        out, how = denoised(out, p, score)
+        done.append(f"denoise_{how}")
+    if p.deskew:
+        out = deskewed(out)
+        done.append("deskew")
+    if p.sharpen:
+        out = unsharp(out, p.sharpen_strength)
+        done.append(f"sharpen(s={p.sharpen_strength})")
+    out = clahe(out, p.clahe_clip_limit)
+    done.append(f"clahe(clip={p.clahe_clip_limit})")
+    if p.thresholding:
+        out = thresholded(out, p.threshold_mode, p.adaptive_block_size, p.adaptive_C)
+        done.append(f"threshold_{p.threshold_mode}" + (f"(bs={p.adaptive_block_size},C={p.adaptive_C})" if p.threshold_mode == "adaptive" else ""))
+    k = max(1, p.morphology_kernel_size)
+    if p.morphology_opening:
+        out = opened(out, k)
+        done.append(f"morphology_open(k={k})")
+    if p.morphology_closing:
+        out = closed(out, k)
+        done.append(f"morphology_close(k={k})")
+    if abs(p.resize_scale - 1) > 1e-6:
+        out = resized(out, p.resize_scale)
+        done.append(f"resize×{p.resize_scale}")
+    if p.perspective_correction:
         out, found = flattened(out)
         done.append("perspective" if found else "perspective_unchanged")
-    return out, done, score
+    return gray(out), done, score
+
+
+def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 1 of the 8-connected parts of a mask, and how many: row runs joined by least label."""
+    h, w = mask.shape
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    root = np.arange(len(row))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1))
+    for y in range(1, h):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if a[i] <= b[j] and a[j] <= b[i]:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+            if b[i] < b[j]:
+                i += 1
+            else:
+                j += 1
+    roots = np.array([find(i) for i in range(len(root))], dtype=int)
+    _, number = np.unique(roots, return_inverse=True)
+    out = np.zeros((h, w + 1), dtype=int)
+    np.add.at(out, (row, a), number + 1)
+    np.add.at(out, (row, b), -(number + 1))
+    return np.cumsum(out, axis=1)[:, :w], int(number.max()) + 1 if len(number) else 0
+
+
+def _ink(img: np.ndarray) -> np.ndarray:
+    """Text as true: a picture of two values by the rarer colour of its ground, others by Otsu."""
+    g = gray(img)
+    if len(np.unique(g)) <= 2:
+        return g < 128 if g.mean() > 127 else g >= 128
+    return g <= otsu(g)
+
+
+def _closed_by(mask: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Closing by a rectangle: sums over it are full or empty."""
+
+    def spread(m: np.ndarray) -> np.ndarray:
+        p = np.pad(m.astype(np.int64), ((h // 2 + 1, h - 1 - h // 2), (w // 2 + 1, w - 1 - w // 2))).cumsum(0).cumsum(1)
+        return p[h:, w:] - p[:-h, w:] - p[h:, :-w] + p[:-h, :-w] > 0
+
+    grown = spread(mask)
+    return ~spread(~grown[::-1, ::-1])[::-1, ::-1] if (h % 2 == 0 or w % 2 == 0) else ~spread(~grown)
+
+
+def found_blocks(img: np.ndarray, least: float = 0.0008) -> list[tuple[int, int, int, int, float]]:
+    """(x1, y1, x2, y2, fill) of blocks of text without a model: ink closed along lines, then between
+    lines; parts whose box covers that share of the page. fill is the part's pixels over its box's."""
+    ink = _closed_by(_closed_by(_ink(img), 2, 35), 18, 3)
+    label, n = components(ink)
+    if not n:
+        return []
+    y, x = np.nonzero(label)
+    k = label[y, x] - 1
+    lo_x, lo_y = np.full(n, ink.shape[1]), np.full(n, ink.shape[0])
+    hi_x, hi_y = np.zeros(n, dtype=int), np.zeros(n, dtype=int)
+    np.minimum.at(lo_x, k, x)
+    np.minimum.at(lo_y, k, y)
+    np.maximum.at(hi_x, k, x + 1)
+    np.maximum.at(hi_y, k, y + 1)
+    area = (hi_x - lo_x) * (hi_y - lo_y)
+    fill = np.bincount(k, minlength=n) / area
+    keep = np.flatnonzero(area >= least * ink.size)
+    return [(int(lo_x[i]), int(lo_y[i]), int(hi_x[i]), int(hi_y[i]), float(fill[i])) for i in keep]
+
+
+def has_bands(img: np.ndarray, box: tuple[int, int, int, int]) -> bool:
+    """Whether rows of a crop over fifty pixels high pass between ink and white at least six times: a row
+    has ink where its share of the fullest row's is over a tenth."""
+    x1, y1, x2, y2 = box
+    crop = gray(img)[max(0, y1) : y2, max(0, x1) : x2]
+    if not crop.size or y2 - y1 <= 50:
+        return False
+    rows = _ink(crop).sum(axis=1)
+    if rows.max() == 0:
+        return False
+    on = rows / rows.max() > 0.1
+    return int((on[1:] != on[:-1]).sum()) >= 6
+
+
+def side_by_side(left: np.ndarray, right: np.ndarray, gap: int = 20) -> np.ndarray:
+    """Two pictures in BGR beside each other, the lower one filled up in white, a gray stripe between."""
+    both = [x if x.ndim == 3 else np.repeat(x[..., None], 3, axis=2) for x in (left, right)]
+    h = max(x.shape[0] for x in both)
+    both = [np.pad(x, ((0, h - x.shape[0]), (0, 0), (0, 0)), constant_values=255) for x in both]
+    return np.concatenate([both[0], np.full((h, gap, 3), 200, dtype=np.uint8), both[1]], axis=1)
+
+
+def as_pixmap(img: np.ndarray) -> bytes:
+    """A picture as a portable pixmap, which viewers read without a library here."""
+    g = img if img.ndim == 3 else np.repeat(img[..., None], 3, axis=2)
+    return b"P6\n%d %d\n255\n" % (g.shape[1], g.shape[0]) + np.ascontiguousarray(g[..., ::-1]).tobytes()
 
 
 def prepare(pages: DataFrame, p) -> DataFrame:

@@ -252,7 +252,8 @@ def greedy_merge(boxes: DataFrame, threshold: float = 0.6, min_share: float = 0.
             mine = free & (np.arange(len(p)) >= i) & ((both >= threshold * union) & (union > 0) | (np.arange(len(p)) == i))
             free &= ~mine
             out.append((key[0], key[1], len(out), box[mine, 0].min(), box[mine, 1].min(), box[mine, 2].max(), box[mine, 3].max(), conf[mine].max(), int(mine.sum())))
-        return pd.DataFrame(out, columns=["doc_id", "page_number", "merged_idx", "x1", "y1", "x2", "y2", "confidence", "n_merged"])
+        made = pd.DataFrame(out, columns=["doc_id", "page_number", "merged_idx", "x1", "y1", "x2", "y2", "confidence", "n_merged"])
+        return made.astype({k: "float64" if k == "confidence" else "int64" for k in made if k != "doc_id"} | ({"doc_id": p["doc_id"].dtype} if "doc_id" in p else {}))
 
     kind = boxes.schema["doc_id"].dataType.simpleString()
     cols = [*PAGE, "line_idx", "x1", "y1", "x2", "y2", "confidence", "page_width", "page_height"]
@@ -268,6 +269,26 @@ def contract(boxes: DataFrame, page_width: Column, page_height: Column) -> DataF
                      F.struct(F.format_string("page-%d", "page_number").alias("page_id"), F.array("x1", "y1", "x2", "y2").alias("bbox")).alias("crop_ref"))
 
 
+#: Keys that regions must not carry, and the defaults of those that they must.
+FORBIDDEN = ("header", "footer", "title", "section", "caption", "semantic_class", "paragraph_type", "section_type", "heading_level")
+DEFAULTS = {"reading_order": "-1", "cluster_id": "-1", "column_id": "0", "adjacency_links": "[]", "table_candidate": "false", "paragraph_candidate": "false", "spatial_group_id": "-1"}
+
+
+def contract_violations(regions: DataFrame) -> DataFrame:
+    """Regions (with type and metadata, a map) that break the contract, and how: another type than
+    text_block, or keys of meaning."""
+    leaked = F.filter(F.map_keys("metadata"), lambda k: k.isin(*FORBIDDEN))
+    why = F.when(F.col("type") != "text_block", "type").when(F.size(leaked) > 0, F.concat(F.lit("keys:"), F.array_join(F.array_sort(leaked), ",")))
+    return regions.withColumn("violation", why).where("violation is not null")
+
+
+def with_defaults(regions: DataFrame) -> DataFrame:
+    """Regions that keep the contract, each required key at its default where it is missing."""
+    filled = F.map_concat(F.map_filter(F.create_map(*[F.lit(x) for kv in DEFAULTS.items() for x in kv]), lambda k, v: ~F.array_contains(F.map_keys("metadata"), k)), F.col("metadata"))
+    ok = (F.col("type") == "text_block") & ~F.exists(F.map_keys("metadata"), lambda k: k.isin(*FORBIDDEN))
+    return regions.where(ok).withColumn("metadata", filled)
+
+
 def wide_gap_columns(boxes: DataFrame, wide: float = 0.6, least: int = 40, gap: int = 15) -> DataFrame:
     """The older column finder: occupied runs of x of at least `least` pixels, of boxes that aren't wide,
     joined where they are closer than `gap`."""

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stages by type of event, and which state may follow which.
-STAGE_OF = {"view": "INITIALIZED", "click": "INGESTED", "signup": "PREPROCESSED", "purchase": "LAYOUT_COMPLETED", "error": "FAILED"}
-ALLOWED = [("INITIALIZED", "INGESTED"), ("INGESTED", "PREPROCESSED"), ("PREPROCESSED", "LAYOUT_COMPLETED"), ("LAYOUT_COMPLETED", "OCR_COMPLETED"), ("OCR_COMPLETED", "SEMANTIC_COMPLETED"), ("SEMANTIC_COMPLETED", "COMPLETED"),
-           ("INITIALIZED", "FAILED"), ("INGESTED", "FAILED"), ("PREPROCESSED", "FAILED"), ("LAYOUT_COMPLETED", "FAILED"), ("OCR_COMPLETED", "FAILED"), ("SEMANTIC_COMPLETED", "FAILED")]
+#: States by type of event, and which states may follow which.
+STAGE_OF = {"view": "INITIALIZED", "click": "LOADED", "signup": "PREPROCESSED", "purchase": "LAYOUT_ANALYZED", "error": "FAILED"}
+FOLLOWS = {
+    "INITIALIZED": ("LOADED", "FAILED"),
+    "LOADED": ("PREPROCESSED", "FAILED"),
+    "PREPROCESSED": ("LAYOUT_ANALYZED", "FAILED"),
+    "LAYOUT_ANALYZED": ("OCR_COMPLETED", "FAILED", "PARTIAL_FAILURE"),
+    "OCR_COMPLETED": ("M5_SEMANTIC_RECONSTRUCTION", "COMPLETED", "PARTIAL_FAILURE", "FAILED", "M5_FAILURE"),
+    "M5_SEMANTIC_RECONSTRUCTION": ("COMPLETED", "PARTIAL_FAILURE", "FAILED"),
+    "PARTIAL_FAILURE": ("COMPLETED", "FAILED"),
+    "M5_FAILURE": ("COMPLETED", "PARTIAL_FAILURE", "FAILED"),
+    "COMPLETED": (),
+    "FAILED": (),
+}
+ALLOWED = [(a, b) for a, own in FOLLOWS.items() for b in own]
 
 
 def state_events(events: DataFrame) -> DataFrame:
@@ -30,8 +41,8 @@ def violations(states: DataFrame) -> DataFrame:
 
 
 def final_states(states: DataFrame) -> DataFrame:
-    s = states.groupBy("doc_id").agg(F.max(F.struct("ts", "event_id", "state")).alias("m"), F.count_if(F.col("state") == "FAILED").alias("fatal"), F.count_if(F.col("state") == "INGESTED").alias("ingested"))
-    state = F.when(F.col("fatal") > 0, "FAILED").when(F.col("ingested") == 0, "PARTIAL_FAILURE").otherwise("COMPLETED")
+    s = states.groupBy("doc_id").agg(F.max(F.struct("ts", "event_id", "state")).alias("m"), F.count_if(F.col("state") == "FAILED").alias("fatal"), F.count_if(F.col("state") == "LOADED").alias("loaded"))
+    state = F.when(F.col("fatal") > 0, "FAILED").when(F.col("loaded") == 0, "PARTIAL_FAILURE").otherwise("COMPLETED")
     return s.select("doc_id", F.col("m.state").alias("last_state"), state.alias("final_state"))
 
 
@@ -45,7 +56,20 @@ def batch_outcome(final: DataFrame, least: float = 0.85) -> DataFrame:
     return final.agg(F.count("*").alias("documents"), F.count_if(F.col("final_state") == "COMPLETED").alias("succeeded"), F.round(rate, 6).alias("success_rate"), (rate >= least).alias("target_met"))
 
 
-def recovery(states: DataFrame) -> DataFrame:
-    """What to do about each failure: the second and later ones of a document stop it."""
+def recovery(failures: DataFrame, tries: int = 2) -> DataFrame:
+    """What to do about each failure (doc_id, event_id, ts, kind): a recoverable one is skipped, a fatal one
+    stops at once, any other is tried again until a document has had so many of them."""
+    w = Window.partitionBy("doc_id", "kind").orderBy("ts", "event_id")
+    action = F.when(F.col("kind") == "recoverable", "SKIP").when(F.col("kind") == "fatal", "FAIL_FAST").when(F.row_number().over(w) < tries, "RETRY").otherwise("FAIL_FAST")
+    return failures.select("doc_id", "event_id", "kind", action.alias("action"))
+
+
+def context_status(final: DataFrame, states: DataFrame) -> DataFrame:
+    """(doc_id, status, error_stage, n_events): success, failed or partial; the state before the first
+    failure is where it happened."""
     w = Window.partitionBy("doc_id").orderBy("ts", "event_id")
-    return states.where("state = 'FAILED'").select("doc_id", "event_id", F.when(F.row_number().over(w) == 1, "RETRY").otherwise("FAIL_FAST").alias("action"))
+    s = states.withColumn("before", F.lag("state").over(w))
+    bad = s.where("state = 'FAILED'").groupBy("doc_id").agg(F.min_by(F.coalesce("before", F.lit("")), F.struct("ts", "event_id")).alias("error_stage"))
+    n = states.groupBy("doc_id").agg(F.count("*").alias("n_events"))
+    status = F.when(F.col("final_state") == "COMPLETED", "success").when(F.col("final_state") == "FAILED", "failed").otherwise("partial")
+    return final.join(n, "doc_id").join(bad, "doc_id", "left").select("doc_id", status.alias("status"), F.coalesce("error_stage", F.lit("")).alias("error_stage"), "n_events")

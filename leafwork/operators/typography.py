@@ -81,3 +81,9 @@ def tree(tokens: DataFrame) -> DataFrame:
 def viewer_offsets(pages: DataFrame, gap: int = 30) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     return pages.select(*PAGE, "page_height", F.coalesce(F.sum(F.col("page_height") + gap).over(w), F.lit(0)).cast("long").alias("y_offset"))
+
+
+def viewer_boxes(tokens: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Where each token stands in the viewer: down by its page's offset, at least twenty by fifteen."""
+    t = tokens.join(offsets.select(*PAGE, "y_offset"), PAGE)
+    return t.select(*PAGE, "token_id", "x", (F.col("y") + F.col("y_offset")).alias("y"), F.greatest(F.lit(20), F.col("width")).alias("width"), F.greatest(F.lit(15), F.col("height")).alias("height"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.functions import geometry as g
 from leafwork.functions import text as t
+from leafwork.functions.tables import written
 from leafwork.operators import evaluate, graph, images, layout, ocr, plugins, structure, telemetry, typography
 from leafwork.sources import compositors as pages
 from leafwork.sources import files, sinks
@@ -36,7 +38,8 @@ def recognised(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    n = graph.nodes(_decorated_lines(spark, sf))
+    """Nodes with columns; written, as they go two ways."""
+    n = written(graph.nodes(_decorated_lines(spark, sf)))
     return graph.assigned(n, graph.column_centres(n))
 
 
@@ -46,8 +49,9 @@ def ledger_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    n = nodes(spark, sf)
-    return structure.ordered(structure.build(n, graph.edges(n)))
+    """Blocks in order. Nodes, edges and blocks are tables: each class of block reads them again."""
+    n = written(nodes(spark, sf))
+    return structure.ordered(written(structure.build(n, written(graph.edges(n).where("relation = 'SAME_ROW'")))))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,12 +66,53 @@ def simple_tokens(spark: SparkSession, sf: str) -> DataFrame:
                     (F.col("y2") - F.col("y1")).alias("height"), F.lit("left_column").alias("layout_role"), F.lit(0).alias("column_id"), "confidence", F.lit(None).cast("array<array<string>>").alias("table_rows"))
 
 
+def mixed_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """simple_tokens and, as documents of negative ids, the ledger's pages as tables: those of even number
+    with rows of cells, the others with text alone."""
+    row = pages.ledger_words(pages.table(spark, sf, "orders")).withColumn("r", F.floor(F.col("word_idx") / 4)).groupBy(*PAGE, "r").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda v: v["text"]).alias("c"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    page = row.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c"))), lambda v: v["c"]).alias("rows"), F.min("x1").alias("x"), F.min("y1").alias("y"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    table = page.select(
+        (-1 - F.col("doc_id")).alias("doc_id"), "page_number", F.lit("table-0").alias("token_id"), F.lit("table").alias("block_type"), F.lit(0).alias("block_order"), F.array_join(F.transform("rows", lambda c: F.array_join(c, " | ")), "\n").alias("text"), "x", "y",
+        (F.col("x2") - F.col("x")).alias("width"), (F.col("y2") - F.col("y")).alias("height"), F.lit("full_width").alias("layout_role"), F.lit(0).alias("column_id"), F.lit(0.9).alias("confidence"), F.when(F.col("page_number") % 2 == 0, F.col("rows")).alias("table_rows"), F.lit(2).alias("num_columns"),
+    )
+    return simple_tokens(spark, sf).withColumn("num_columns", F.lit(1)).unionByName(table)
+
+
+def relative_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words as shares of a page of 1024 x 1024, whose products are exact."""
+    w = pages.text_words(pages.table(spark, sf, "documents"))
+    share = lambda k: (F.col(k) + g.real(0.5)) / g.real(1024)
+    return w.select(*PAGE, "word_idx", "confidence", share("x1").alias("x_min"), share("y1").alias("y_min"), share("x2").alias("x_max"), share("y2").alias("y_max"), F.lit(1024).alias("page_width"), F.lit(1024).alias("page_height"))
+
+
+def regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as regions with metadata, some of which break the contract."""
+    n = F.col("line_idx")
+    kind = F.when(n % 17 == 3, "header").otherwise("text_block")
+    meta = F.when(n % 13 == 5, F.create_map(F.lit("title"), F.lit("1"), F.lit("caption"), F.lit("2"))).otherwise(F.create_map(F.lit("column_id"), F.lit("1"), F.lit("reading_order"), n.cast("string")))
+    return _lines(spark, sf).select(*PAGE, "line_idx", kind.alias("type"), meta.alias("metadata"))
+
+
+def typed_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Decorated lines as the older engine's regions."""
+    n = F.col("line_idx")
+    kind = F.when(t.is_upper(F.col("text")), "header").when(n % 19 == 7, "table").when(n % 23 == 11, "footer").otherwise("paragraph")
+    text = F.when(kind == "table", F.regexp_replace("text", " ", " | ")).otherwise(F.col("text"))
+    return _decorated_lines(spark, sf).select(*PAGE, n.alias("region_order"), kind.alias("type"), text.alias("text"))
+
+
+def document_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    docs = pages.table(spark, sf, "documents")
+    return docs.select("doc_id", F.format_string("%d.txt", "doc_id").alias("filename"), F.col("n_chars").alias("file_size"), F.lit(1).alias("page_count"), F.lit(pages.PAGE_WIDTH).alias("width"), F.lit(pages.PAGE_HEIGHT).alias("height"))
+
+
 def _states(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.state_events(pages.table(spark, sf, "events"))
 
 
 def _truth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    found = _lines(spark, sf)
+    found = written(_lines(spark, sf))
     return found, pages.shifted_truth(found)
 
 
@@ -120,11 +165,12 @@ QUERIES = {
     "typography_tables": lambda s, d: typography.solved(structure.tokens(structure.tables(n := ledger_nodes(s, d), graph.edges(n)).withColumn("block_order", F.col("block_no")).withColumn("width", F.col("width") * (F.col("page_number") % 5) / 8))).select(*PAGE, "token_id", "font", "wrap", "status"),
     "typography_tree": lambda s, d: typography.tree(simple_tokens(s, d)),
     "typography_viewer": lambda s, d: typography.viewer_offsets(_lines(s, d).groupBy(*PAGE).agg(F.first("page_height").alias("page_height"))),
-    "export_txt": lambda s, d: sinks.txt(simple_tokens(s, d)),
-    "export_markdown": lambda s, d: sinks.markdown(simple_tokens(s, d)),
+    "export_txt": lambda s, d: sinks.txt(mixed_tokens(s, d)),
+    "export_markdown": lambda s, d: sinks.markdown(mixed_tokens(s, d)),
+    "export_docx_commands": lambda s, d: sinks.docx_commands(mixed_tokens(s, d)),
     "export_json": lambda s, d: sinks.json_documents(tokens(s, d)),
     "export_table_cells": lambda s, d: sinks.table_cells(structure.tokens(structure.tables(n := ledger_nodes(s, d), graph.edges(n)).withColumn("block_order", F.col("block_no")))),
-    "export_draw_commands": lambda s, d: sinks.draw_commands(simple_tokens(s, d)),
+    "export_draw_commands": lambda s, d: sinks.draw_commands(mixed_tokens(s, d)),
     "export_overlays": lambda s, d: sinks.overlays(_ordered(s, d)),
     "export_violations": lambda s, d: sinks.violations(simple_tokens(s, d).withColumn("width", F.when(F.col("block_order") % 9 == 0, 0).otherwise(F.col("width")))),
     "evaluate_pairs": lambda s, d: evaluate.pairs(*_truth(s, d)),
@@ -141,9 +187,24 @@ QUERIES = {
     "image_tiers": lambda s, d: pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", images.tier(F.col("l_quantity") * 30).alias("tier"), images.denoise_decision(F.col("l_quantity") * 30, F.col("l_linenumber") % 2 == 0).alias("denoise")),
     "image_corner_order": lambda s, d: pages.ocr_boxes(pages.text_words(pages.table(s, d, "documents"))).select(*PAGE, "box_idx", images.ordered_corners(F.reverse("quad")).alias("q")).select(*PAGE, "box_idx", *[F.col("q")[i][k].alias(f"{k}{i}") for i in range(4) for k in ("x", "y")]),
     "telemetry_log_lines": lambda s, d: sinks.log_lines(_states(s, d)),
-    "image_prepared": lambda s, d: images.prepare(images.drawn(_lines(s, d)), files.Profile(threshold=True)).select(*PAGE, "height", "width", F.round("blur", 3).alias("blur"), "operations"),
+    "image_prepared": lambda s, d: images.prepare(images.drawn(_lines(s, d)), files.Profile(denoise=True, deskew=True, thresholding=True, perspective_correction=True, resize_scale=0.5)).select(*PAGE, "height", "width", F.round("blur", 3).alias("blur"), "operations"),
+    "image_overrides": lambda s, d: images.overridden(pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 30).alias("blur")), files.Profile()),
+    "image_low_quality": lambda s, d: pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", images.is_low_quality(F.col("l_quantity") * 30).alias("low_quality")),
+    "image_blocks": lambda s, d: plugins.detected(images.drawn(_lines(s, d)), "shape"),
     "plugin_detected": lambda s, d: plugins.detected(images.drawn(_lines(s, d))),
-    "telemetry_recovery": lambda s, d: telemetry.recovery(_states(s, d)),
+    "plugin_recognised": lambda s, d: plugins.recognised(images.drawn(_lines(s, d))).select(*PAGE, "box_idx", "text", "confidence", "failed"),
+    "plugin_relative_boxes": lambda s, d: plugins.relative_boxes(relative_words(s, d)),
+    "plugin_corrected": lambda s, d: plugins.corrected(_lines(s, d)).select(*PAGE, "line_idx", "text"),
+    "plugin_versions": lambda s, d: pages.table(s, d, "events").select("event_id", plugins.version(F.element_at(F.array(*map(F.lit, ("latest", "stable", "PP-OCRv3", "PP-OCRv2"))), (F.col("event_id") % 4 + 1).cast("int"))).alias("version")),
+    "ocr_crops": lambda s, d: plugins.crops(_lines(s, d)).select(*PAGE, "line_idx", "crop_x1", "crop_y1", "crop_x2", "crop_y2"),
+    "layout_contract_violations": lambda s, d: layout.contract_violations(regions(s, d)).select(*PAGE, "line_idx", "violation"),
+    "layout_contract_defaults": lambda s, d: layout.with_defaults(regions(s, d)).select(*PAGE, "line_idx", F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("metadata")),
+    "typography_viewer_boxes": lambda s, d: typography.viewer_boxes(t := simple_tokens(s, d), typography.viewer_offsets(t.select(*PAGE, F.lit(pages.PAGE_HEIGHT).alias("page_height")).distinct())),
+    "export_rendered": lambda s, d: sinks.rendered(solved_sizes(s, d)).drop("table_rows"),
+    "export_legacy_json": lambda s, d: sinks.legacy_json(typed_regions(s, d), document_metadata(s, d)),
+    "evaluate_report": lambda s, d: evaluate.report(evaluate.scores(evaluate.any_match(*_truth(s, d))), pages.table(s, d, "documents").select("doc_id", (F.col("doc_id") % 7).alias("errors"), F.lit(50).alias("n_words")), pages.table(s, d, "documents").select("doc_id", (F.col("doc_id") % 5 + 1).alias("latency")), 512.0),
+    "telemetry_recovery": lambda s, d: telemetry.recovery(_states(s, d).where("state = 'FAILED'").withColumn("kind", F.element_at(F.array(*map(F.lit, ("recoverable", "fatal", "other"))), (F.col("event_id") % 3 + 1).cast("int")))),
+    "telemetry_context": lambda s, d: telemetry.context_status(telemetry.final_states(_states(s, d)), _states(s, d)),
 }
 
 # -- SQL ------------------------------------------------------------------------------------------
@@ -159,7 +220,7 @@ _OCR = f""", o AS ({_ORDERED}), b0 AS (SELECT *, word_idx % 3 - 1 AS d FROM word
  m AS (SELECT b.doc_id, b.page_number, box_idx, any_value(b.text) AS text, any_value(b.confidence) AS confidence, any_value(ocr_order) AS ocr_order, arg_min(line_idx, reading_order) AS line_idx FROM b JOIN o ON b.doc_id = o.doc_id AND b.page_number = o.page_number AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2 GROUP BY ALL),
  rec AS (SELECT o.doc_id, o.page_number, o.line_idx, reading_order, coalesce(t, '') AS ocr_text, coalesce(c, 0) AS ocr_confidence, coalesce(n, 0) AS n_boxes FROM o LEFT JOIN (SELECT doc_id, page_number, line_idx, string_agg(text, ' ' ORDER BY ocr_order) AS t, round(avg(confidence), 6) AS c, count(*) AS n FROM m GROUP BY ALL) USING (doc_id, page_number, line_idx))
  """
-_NODES = f""", n AS (SELECT doc_id, page_number, line_idx AS node, 'p' || page_number || '-' || line_idx AS node_id, x1::DOUBLE AS x, y1::DOUBLE AS y, (x2 - x1)::DOUBLE AS width, (y2 - y1)::DOUBLE AS height, {_STRIP.format('text')} AS text, confidence FROM lines WHERE {_STRIP.format('text')} <> '')
+_NODES = f""", n AS MATERIALIZED (SELECT doc_id, page_number, line_idx AS node, 'p' || page_number || '-' || line_idx AS node_id, x1::DOUBLE AS x, y1::DOUBLE AS y, (x2 - x1)::DOUBLE AS width, (y2 - y1)::DOUBLE AS height, {_STRIP.format('text')} AS text, confidence FROM lines WHERE {_STRIP.format('text')} <> '')
  """
 _EDGES = """, p AS (SELECT a.doc_id, a.page_number, a.node AS src, b.node AS dst, a.x AS ax, a.y AS ay, a.x + a.width AS ax2, a.y + a.height AS ay2, a.width AS aw, a.height AS ah, b.x AS bx, b.y AS by_, b.x + b.width AS bx2, b.y + b.height AS by2, b.width AS bw, b.height AS bh
   FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.node <> b.node),
@@ -195,8 +256,15 @@ def _blocks(where: str, order: str, gap: int, sep: str, by_column: bool, extra:
 _ROLE = ", any_value(column_id) AS column_id, CASE any_value(column_id) WHEN -1 THEN 'full_width' WHEN 0 THEN 'left_column' WHEN 1 THEN 'right_column' ELSE 'multi_column' END AS layout_role"
 _SIMPLE = f""", t AS (SELECT doc_id, page_number, 't' || line_idx AS token_id, CASE WHEN {_UP} THEN 'heading' WHEN contains(text, ':') THEN 'key_value' WHEN text[1] IN ('•', '-', '*', '●', '○', '▪', '►') THEN 'list' ELSE 'paragraph' END AS block_type, line_idx AS block_order, text, x1 AS x, y1 AS y, x2 - x1 AS width, y2 - y1 AS height, confidence FROM lines)
  """
-_STATES = """WITH st AS (SELECT user_id AS doc_id, event_id, ts, CASE event_type WHEN 'view' THEN 'INITIALIZED' WHEN 'click' THEN 'INGESTED' WHEN 'signup' THEN 'PREPROCESSED' WHEN 'purchase' THEN 'LAYOUT_COMPLETED' WHEN 'error' THEN 'FAILED' END AS state, value AS latency FROM events),
- fin AS (SELECT doc_id, arg_max(state, (ts, event_id)) AS last_state, CASE WHEN count_if(state = 'FAILED') > 0 THEN 'FAILED' WHEN count_if(state = 'INGESTED') = 0 THEN 'PARTIAL_FAILURE' ELSE 'COMPLETED' END AS final_state FROM st GROUP BY doc_id)
+#: Decorated lines and, as documents of negative ids, the ledger's pages as tables: half of them with rows, half with text alone.
+_MIXED = _SIMPLE.rstrip() + """, lg AS (SELECT doc_id, page_number, word_idx // 4 AS r, list(text ORDER BY word_idx) AS c, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM ledger GROUP BY doc_id, page_number, word_idx // 4),
+ t0 AS (SELECT * FROM t), mixed AS (SELECT doc_id, page_number, token_id, block_type, block_order, text, x, y, width, height, confidence, 1 AS num_columns, NULL::VARCHAR[][] AS table_rows FROM t0
+  UNION ALL SELECT -1 - doc_id, page_number, 'table-0', 'table', 0, string_agg(array_to_string(c, ' | '), chr(10) ORDER BY r), min(x1), min(y1), max(x2) - min(x1), max(y2) - min(y1), 0.9::DOUBLE, 2, CASE WHEN page_number % 2 = 0 THEN list(c ORDER BY r) END FROM lg GROUP BY doc_id, page_number)
+ """
+_MIXED = _MIXED.replace("t0 AS (SELECT * FROM t), mixed AS", "mixed AS").replace("FROM t0", "FROM s0").replace(", t AS (SELECT", ", s0 AS (SELECT") + ", t AS (SELECT * FROM mixed) "
+_CELLS = f"list_transform(CASE WHEN len(table_rows) > 0 THEN table_rows ELSE list_transform(string_split(text, chr(10)), lambda l: string_split(l, ' | ')) END, lambda r: list_transform(r, lambda c: {_STRIP.format('c')}))"
+_STATES = """WITH st AS (SELECT user_id AS doc_id, event_id, ts, CASE event_type WHEN 'view' THEN 'INITIALIZED' WHEN 'click' THEN 'LOADED' WHEN 'signup' THEN 'PREPROCESSED' WHEN 'purchase' THEN 'LAYOUT_ANALYZED' WHEN 'error' THEN 'FAILED' END AS state, value AS latency FROM events),
+ fin AS (SELECT doc_id, arg_max(state, (ts, event_id)) AS last_state, CASE WHEN count_if(state = 'FAILED') > 0 THEN 'FAILED' WHEN count_if(state = 'LOADED') = 0 THEN 'PARTIAL_FAILURE' ELSE 'COMPLETED' END AS final_state FROM st GROUP BY doc_id)
  """
 _LED = {"lines": "SELECT *, word_idx AS line_idx FROM ledger"}
 _ROWS = """, comp AS (SELECT doc_id, page_number, node, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY y) - 1 AS row_no FROM n)
@@ -217,6 +285,29 @@ def _rec(parts: str, query: str, *needs: str, swap: dict | None = None) -> str:
     return _with(parts, query, *needs, swap=swap).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _banded(src: str, tolerance: int, wide: str, name: str) -> str:
+    """Parts that number the nodes of src by bands; the last is `name`."""
+    return f""", {name}0 AS (SELECT *, max(x + width) OVER (PARTITION BY doc_id, page_number) - min(x) OVER (PARTITION BY doc_id, page_number) AS span FROM {src}),
+ {name}1 AS (SELECT *, CASE WHEN {wide} THEN 0 ELSE 1 END AS p, CASE WHEN {wide} THEN -1 ELSE column_id END AS c, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y, x, node) AS i FROM {name}0),
+ {name}2(doc_id, page_number, i, a, b) AS (SELECT doc_id, page_number, i, y, 0 FROM {name}1 WHERE i = 1 UNION ALL SELECT k.doc_id, k.page_number, k.i, CASE WHEN abs(k.y - z.a) > {tolerance} THEN k.y ELSE z.a END, CASE WHEN abs(k.y - z.a) > {tolerance} THEN z.b + 1 ELSE z.b END
+  FROM {name}2 z JOIN {name}1 k ON k.doc_id = z.doc_id AND k.page_number = z.page_number AND k.i = z.i + 1),
+ {name} AS (SELECT k.*, z.b AS band, row_number() OVER (PARTITION BY k.doc_id, k.page_number ORDER BY z.b, p, c, y, x, node) - 1 AS place FROM {name}1 k JOIN {name}2 z USING (doc_id, page_number, i))
+ """
+
+
+_KIDS = ", list(node ORDER BY {}, node) AS children, round(avg(confidence), 6) AS confidence, NULL::VARCHAR[][] AS table_rows"
+_ALL_BLOCKS = f""", ncm AS MATERIALIZED (SELECT * FROM nc), hd AS (SELECT *, (length(text) < 80 AND (width > 0.55::DOUBLE * 800 OR ({_UP} AND length(text) > 2))) AS is_h FROM ncm), rest AS (SELECT * FROM hd WHERE NOT is_h),
+ rw AS (SELECT doc_id, page_number, y, max(y + height) AS d, min(x) AS x, max(x + width) AS r, list(text ORDER BY x, node) AS cells, list(node ORDER BY x, node) AS kids, sum(confidence) AS conf, count(*) AS k FROM rest GROUP BY doc_id, page_number, y HAVING count(*) >= 2),
+ rn AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page_number ORDER BY y) AS run FROM (SELECT *, CASE WHEN y - lag(d) OVER (PARTITION BY doc_id, page_number ORDER BY y) < 40 THEN 0 ELSE 1 END AS b FROM rw)),
+ tb AS MATERIALIZED (SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY run) - 1 AS block_no, list(cells ORDER BY y) AS rows, flatten(list(kids ORDER BY y)) AS children, min(x) AS x, min(y) AS y, max(r) AS r, max(d) AS d, round(sum(conf) / sum(k), 6) AS confidence FROM rn GROUP BY doc_id, page_number, run HAVING count(*) >= 2),
+ rest2 AS MATERIALIZED (SELECT * FROM rest ANTI JOIN (SELECT doc_id, page_number, unnest(children) AS node FROM tb) USING (doc_id, page_number, node)),
+ bl AS (SELECT doc_id, page_number, 'heading' AS block_type, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY node) - 1 AS block_no, text, x, y, width, height, -1 AS column_id, 'full_width' AS layout_role, [node] AS children, round(confidence, 6) AS confidence, NULL::VARCHAR[][] AS table_rows FROM hd WHERE is_h
+  UNION ALL SELECT doc_id, page_number, 'table', block_no, array_to_string(list_transform(rows, lambda c: array_to_string(c, ' | ')), chr(10)), x, y, r - x, d - y, -1, 'full_width', children, confidence, rows FROM tb
+  UNION ALL SELECT doc_id, page_number, 'key_value', block_no, text, x, y, width, height, column_id, layout_role, children, confidence, table_rows FROM ({_blocks(_KV, "y, x", 30, "chr(10)", False, _ROLE.replace("any_value(column_id)", "arg_min(column_id, (y, x, node))") + _KIDS.format("y, x")).replace("FROM nc", "FROM rest2")})
+  UNION ALL SELECT doc_id, page_number, 'list', block_no, text, x, y, width, height, column_id, layout_role, children, confidence, table_rows FROM ({_blocks(f"NOT {_KV} AND {_LIST}", "column_id, y", 25, "chr(10)", True, _ROLE + _KIDS.format("column_id, y")).replace("FROM nc", "FROM rest2")})
+  UNION ALL SELECT doc_id, page_number, 'paragraph', block_no, text, x, y, width, height, column_id, layout_role, children, confidence, table_rows FROM ({_blocks(f"NOT {_KV} AND NOT {_LIST}", "column_id, y, x", 30, "' '", True, _ROLE + _KIDS.format("column_id, y, x")).replace("FROM nc", "FROM rest2")})),
+ bn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y, x, block_type, block_no) AS node FROM bl)
+ """ + _banded("bn", 20, "layout_role = 'full_width'", "bo")
 _BLOCK_COLS = "doc_id, page_number, block_no, text, x, y, width, height"
 ORACLES = {
     "files_extension_rule": r"""SELECT rejected, count(*) AS n FROM (SELECT CASE WHEN length(html) < 4 THEN 'unreadable' WHEN lower(regexp_extract(url, '(\.[^./]+)$', 1)) NOT IN ('.pdf', '.png', '.jpg', '.jpeg', '.tiff', '.bmp') THEN 'extension' WHEN length(html) / 1048576::DOUBLE > 0.005::DOUBLE THEN 'size' END AS rejected FROM pages) GROUP BY ALL""",
@@ -227,12 +318,13 @@ ORACLES = {
     "ocr_matched": _with(_OCR, "SELECT * FROM rec", "lines"),
     "ocr_confident": _with(_OCR, "SELECT * FROM rec WHERE ocr_confidence >= 0.7::DOUBLE", "lines"),
     "ocr_page_text": _with(_OCR, "SELECT doc_id, page_number, coalesce(string_agg(ocr_text, chr(10) ORDER BY reading_order) FILTER (WHERE ocr_text <> ''), '') AS page_text, count(*) AS n_regions FROM rec GROUP BY ALL", "lines"),
-    "ocr_metrics": _with(_OCR, "SELECT doc_id, count(*) AS regions, count_if(ocr_confidence >= 0.7::DOUBLE) AS accepted, count_if(ocr_confidence < 0.7::DOUBLE) AS rejected, count_if(ocr_text = '') AS blank, round(avg(ocr_confidence), 6) AS mean_confidence, count(DISTINCT page_number) AS pages FROM rec GROUP BY ALL", "lines"),
+    "ocr_metrics": _with(_OCR, "SELECT doc_id, count(*) AS regions, count_if(ocr_confidence >= 0.7::DOUBLE) AS accepted, count_if(ocr_confidence < 0.7::DOUBLE) AS rejected, count_if(ocr_text = '') AS blank, floor((2 * sum(round(ocr_confidence * 1000000)::BIGINT) + count(*)) / (2 * count(*))::DOUBLE) / 1000000::DOUBLE AS mean_confidence, count(DISTINCT page_number) AS pages FROM rec GROUP BY ALL", "lines"),
     "graph_nodes": _with(_NODES, "SELECT * FROM n", "lines", swap=_D),
     "graph_edges": _with(_NODES + _EDGES, "SELECT doc_id, page_number, src, dst, relation, round(weight, 6) AS weight FROM e", "lines", swap=_D),
     "graph_inverse_edges": _with(_NODES + _EDGES, "SELECT doc_id, page_number, dst AS src, src AS dst, CASE relation WHEN 'BELOW' THEN 'ABOVE' ELSE 'LEFT_OF' END AS relation, round(weight, 6) AS weight FROM e WHERE relation IN ('BELOW', 'RIGHT_OF')", "lines", swap=_D),
-    "graph_orphans": _with(_NODES.replace("FROM lines WHERE", "FROM lines WHERE line_idx % 7 = 0 AND") + _EDGES, """SELECT doc_id, page_number, src, arg_min(dst, (w, dst)) AS dst, 'ADJACENT' AS relation, min(w) AS weight FROM (SELECT p.doc_id, p.page_number, src, dst, round(sqrt(pow((ax + ax2) / 2 - (bx + bx2) / 2, 2) + pow((ay + ay2) / 2 - (by_ + by2) / 2, 2)), 6) AS w FROM p
-        WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = p.doc_id AND e.page_number = p.page_number AND (e.src = p.src OR e.dst = p.src))) GROUP BY doc_id, page_number, src""", "lines", swap=_D),
+    "graph_orphans": _with(_NODES + _EDGES, """, used AS (SELECT doc_id, page_number, src AS node FROM e UNION SELECT doc_id, page_number, dst FROM e), lone AS (SELECT n.* FROM n ANTI JOIN used USING (doc_id, page_number, node))
+        SELECT doc_id, page_number, src, arg_min(dst, (w, dst)) AS dst, 'ADJACENT' AS relation, min(w) AS weight FROM (SELECT a.doc_id, a.page_number, a.node AS src, b.node AS dst, round(sqrt(pow(a.x + a.width / 2 - (b.x + b.width / 2), 2) + pow(a.y + a.height / 2 - (b.y + b.height / 2), 2)), 6) AS w
+        FROM lone a JOIN n b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.node <> b.node) GROUP BY doc_id, page_number, src""", "lines", swap=_D),
     "graph_neighbours": _with(_NODES + _EDGES, "SELECT doc_id, page_number, src AS node, relation, list(dst ORDER BY round(weight, 6), dst) AS neighbours FROM e GROUP BY ALL", "lines", swap=_D),
     "graph_column_centres": _rec(_NODES + _CENTRES, "SELECT * FROM ctr", "lines", swap=_D),
     "graph_columns": _rec(_NODES + _CENTRES, "SELECT doc_id, page_number, node, column_id, num_columns FROM nc", "lines", swap=_D),
@@ -245,6 +337,21 @@ ORACLES = {
     "structure_key_values": _rec(_NODES + _CENTRES, _blocks(_KV, "y, x", 30, "chr(10)", False, ", round(avg(confidence), 6) AS confidence"), "lines", swap=_D),
     "structure_lists": _rec(_NODES + _CENTRES, _blocks(_LIST, "column_id, y", 25, "chr(10)", True, _ROLE), "lines", swap=_D),
     "structure_paragraphs": _rec(_NODES + _CENTRES, _blocks("true", "column_id, y, x", 30, "' '", True, _ROLE), "lines", swap=_D),
+    "graph_order": _rec(_NODES + _CENTRES + ", ncm AS MATERIALIZED (SELECT * FROM nc)" + _banded("ncm", 15, "num_columns > 1 AND width / CASE WHEN span > 0 THEN span ELSE 1 END > 0.6::DOUBLE", "go"), "SELECT doc_id, page_number, node, band, place AS resolved_order FROM go", "lines", swap=_D),
+    "structure_blocks": _rec(_NODES + _CENTRES + _ALL_BLOCKS, "SELECT doc_id, page_number, block_type, block_no, text, x, y, width, height, column_id, layout_role, children, confidence, table_rows, place AS block_order FROM bo", "lines", swap=_D),
+    "structure_sections": _rec(_NODES + _CENTRES + _ALL_BLOCKS, """SELECT doc_id, page_number, section, any_value(text) FILTER (WHERE block_type = 'heading') AS title, coalesce(string_agg(text, chr(10) ORDER BY place) FILTER (WHERE block_type <> 'heading'), '') AS body, count(*) AS n_blocks
+        FROM (SELECT *, sum((block_type = 'heading')::INT) OVER (PARTITION BY doc_id, page_number ORDER BY place)::INT AS section FROM bo) GROUP BY ALL""", "lines", swap=_D),
+    "structure_merged_tokens": _rec(_NODES + _CENTRES + _ALL_BLOCKS, """, tk AS MATERIALIZED (SELECT doc_id, page_number, place, block_type, column_id, text, trunc(y)::INT AS y, trunc(height)::INT AS h, confidence FROM bo),
+        mt(doc_id, page_number, place, grp, t, c, y, h, conf) AS (SELECT doc_id, page_number, place, 0, block_type, column_id, y, h, confidence FROM tk WHERE place = 0
+         UNION ALL SELECT k.doc_id, k.page_number, k.place, CASE WHEN j THEN grp ELSE grp + 1 END, k.block_type, k.column_id, CASE WHEN j THEN m_y ELSE k.y END, CASE WHEN j THEN m_h ELSE k.h END, CASE WHEN j THEN (conf + k.confidence) / 2 ELSE k.confidence END
+         FROM (SELECT k.*, m.grp, m.y AS m_y, m.h AS m_h, m.conf, k.block_type = 'paragraph' AND m.t = 'paragraph' AND k.column_id = m.c AND k.y - (m.y + m.h) < 20 AS j FROM mt m JOIN tk k ON k.doc_id = m.doc_id AND k.page_number = m.page_number AND k.place = m.place + 1) k)
+        SELECT mt.doc_id, mt.page_number, min(place) AS block_order, any_value(t) AS block_type, any_value(c) AS column_id, string_agg(text, ' ' ORDER BY place) AS text, round(arg_max(conf, place), 6) AS confidence FROM mt JOIN tk USING (doc_id, page_number, place) GROUP BY mt.doc_id, mt.page_number, grp""", "lines", swap=_D),
+    "ocr_batches": _rec("", """, z AS MATERIALIZED (SELECT doc_id, page_number, line_idx, (x2 - x1) * (y2 - y1) AS px FROM lines),
+        f(doc_id, page_number, line_idx, b, n, p) AS (SELECT doc_id, page_number, line_idx, 0, 1, px::BIGINT FROM z WHERE line_idx = 0
+         UNION ALL SELECT z.doc_id, z.page_number, z.line_idx, CASE WHEN n >= 16 OR p + px > 60000 THEN b + 1 ELSE b END, CASE WHEN n >= 16 OR p + px > 60000 THEN 1 ELSE n + 1 END, CASE WHEN n >= 16 OR p + px > 60000 THEN px ELSE p + px END
+         FROM f JOIN z ON z.doc_id = f.doc_id AND z.page_number = f.page_number AND z.line_idx = f.line_idx + 1) SELECT doc_id, page_number, line_idx, b AS batch FROM f""", "lines"),
+    "typography_tables": sql("""SELECT doc_id, page_number, 'table-p' || page_number || '-0' AS token_id, 11 - 0.5::DOUBLE * k AS font, CASE WHEN k = 10 THEN 'wrap_text' ELSE 'cell' END AS wrap, CASE WHEN k = 10 THEN 'warning' WHEN k > 0 THEN 'shrunk' ELSE 'fit' END AS status
+        FROM (SELECT *, coalesce(list_filter(range(10), lambda i: longest * (11 - 0.5::DOUBLE * i) * 0.55::DOUBLE <= each)[1], 10) AS k FROM (SELECT doc_id, page_number, max(length(text)) AS longest, trunc((max(x2) - min(x1)) * (page_number % 5) / 8::DOUBLE) / 4 AS each FROM ledger GROUP BY doc_id, page_number HAVING count(*) >= 8))""", "ledger"),
     "structure_fallback": _with(f", o AS ({_ORDERED}) ", "SELECT doc_id, page_number, region_id, 'unknown' AS block_type, reading_order, text, x1, y1, x2, y2 FROM o", "lines"),
     "structure_text_class": sql(f"SELECT doc_id, page_number, line_idx, CASE WHEN length(text) < 60 AND {_UP} THEN 'heading' WHEN text[1] IN ('•', '-', '*') THEN 'list' WHEN len({_NW}) > 5 THEN 'paragraph' ELSE 'unknown' END AS cls FROM lines", "lines", swap=_D),
     "structure_artifacts": sql(rf"SELECT * FROM (SELECT doc_id, page_number, line_idx, {_STRIP.format(chr(114) + 'egexp_replace(regexp_replace(text, ' + chr(39) + '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B-' + chr(92) + 'x1F' + chr(92) + 'x7F]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + chr(92) + 's{2,}' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS text FROM lines) WHERE length(text) >= 2", "lines"),
@@ -258,18 +365,29 @@ ORACLES = {
         round(CASE WHEN block_type IN ('heading', 'key_value') OR fit IS NOT NULL THEN 1.2::DOUBLE ELSE greatest(1, h / (greatest(1, n / greatest(1, trunc(width / (6 * 0.55::DOUBLE)))::DOUBLE) * 6)) END, 6) AS spacing, 'left' AS align,
         CASE WHEN block_type = 'heading' THEN CASE WHEN n * 18 * 0.55::DOUBLE > width THEN 'wrap' ELSE 'none' END WHEN block_type = 'key_value' THEN CASE WHEN n * (11 * 0.55::DOUBLE) > width THEN 'hard_wrap' ELSE 'none' END WHEN n * (12 * 0.55::DOUBLE) > width THEN 'wrap' ELSE 'none' END AS wrap,
         CASE WHEN block_type = 'heading' THEN CASE WHEN n * 18 * 0.55::DOUBLE > width THEN 'wrapped' ELSE 'fit' END WHEN block_type = 'key_value' THEN CASE WHEN n * (11 * 0.55::DOUBLE) > width THEN 'enable_multiline' ELSE 'fit' END WHEN fit IS NULL THEN 'warning' WHEN fit < 12 THEN 'shrunk' WHEN n * (12 * 0.55::DOUBLE) > width THEN 'wrapped' ELSE 'fit' END AS status FROM u""", "lines", swap=_D),
-    "export_txt": _with(_SIMPLE, """SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY page_number) AS txt FROM (SELECT doc_id, page_number, repeat('=', 60) || chr(10) || 'Page ' || page_number || chr(10) || repeat('=', 60) || chr(10) || chr(10) || string_agg(CASE block_type WHEN 'heading' THEN upper(text) || chr(10) || repeat('-', length(text)) WHEN 'list' THEN '  ' || text ELSE text END, chr(10) || chr(10) ORDER BY block_order) AS p FROM t GROUP BY doc_id, page_number) GROUP BY doc_id""", "lines", swap=_D),
-    "export_markdown": _with(_SIMPLE, r"""SELECT doc_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number) AS markdown FROM (SELECT doc_id, page_number, string_agg(CASE block_type WHEN 'heading' THEN '# ' || text WHEN 'key_value' THEN '**' || trim(split_part(text, ':', 1)) || ':** ' || trim(regexp_replace(text, '^[^:]*:', '')) WHEN 'list' THEN '- ' || regexp_replace(text, '^[•\-*●○▪►]\s*', '') ELSE text END, chr(10) || chr(10) ORDER BY block_order) AS p FROM t GROUP BY doc_id, page_number) GROUP BY doc_id""", "lines", swap=_D),
+    "export_txt": _with(_MIXED, f"""SELECT doc_id, string_agg(p, chr(10) ORDER BY page_number) AS txt FROM (SELECT doc_id, page_number, repeat('=', 60) || chr(10) || 'PAGE ' || page_number || CASE WHEN any_value(num_columns) > 1 THEN ' (' || any_value(num_columns) || ' column(s))' ELSE '' END || chr(10) || repeat('=', 60) || chr(10)
+        || string_agg(chr(10) || CASE block_type WHEN 'heading' THEN '## ' || text WHEN 'table' THEN '[TABLE]' || chr(10) || array_to_string(list_transform({_CELLS}, lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) WHEN 'paragraph' THEN text ELSE '  ' || replace(text, chr(10), chr(10) || '  ') END || chr(10), '' ORDER BY block_order) || chr(10) AS p FROM t GROUP BY doc_id, page_number) GROUP BY doc_id""", "lines", "ledger", swap=_D),
+    "export_markdown": _with(_MIXED, rf"""SELECT doc_id, string_agg(p, chr(10) ORDER BY page_number) AS markdown FROM (SELECT doc_id, page_number, string_agg(CASE block_type WHEN 'heading' THEN '# ' || text WHEN 'table' THEN array_to_string(list_transform({_CELLS}, lambda r, i: '| ' || array_to_string(r, ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '| ' || array_to_string(list_transform(r, lambda c: '---'), ' | ') || ' |' ELSE '' END), chr(10))
+        WHEN 'key_value' THEN array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN contains(l, ':') THEN '**' || {_STRIP.format("regexp_extract(l, '^[^:]*')")} || ':** ' || {_STRIP.format("regexp_replace(l, '^[^:]*:', '')")} ELSE l END), chr(10)) WHEN 'list' THEN array_to_string(list_transform(string_split(text, chr(10)), lambda l: '- ' || regexp_replace(l, '^[•*●○▪► -]+', '')), chr(10)) ELSE text END || chr(10) || chr(10), '' ORDER BY block_order) || '---' || chr(10) AS p FROM t GROUP BY doc_id, page_number) GROUP BY doc_id""", "lines", "ledger", swap=_D),
+    "export_docx_commands": _with(_MIXED, rf""", z AS (SELECT *, printf('[bbox: x=%.1f, y=%.1f, w=%.1f, h=%.1f | col=%d]', x::DOUBLE, y::DOUBLE, width::DOUBLE, height::DOUBLE, 0) AS nt FROM t),
+        c AS (SELECT doc_id, page_number, block_order, nt, unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS row, len(rows) AS k FROM (SELECT *, {_CELLS} AS rows FROM z WHERE block_type = 'table')),
+        l AS (SELECT *, generate_subscripts(items, 1) - 1 AS part, unnest(items) AS item, len(items) AS k FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda v: regexp_replace(v, '^[•*●○▪► -]+', '')), lambda v: v <> '') AS items FROM z WHERE block_type = 'list'))
+        SELECT doc_id, page_number, block_order, 0 AS part, CASE block_type WHEN 'heading' THEN 'heading_1' ELSE 'paragraph' END AS op, text, 0 AS row, 0 AS col, false AS bold, nt AS note FROM z WHERE block_type NOT IN ('table', 'list')
+        UNION ALL SELECT doc_id, page_number, block_order, part, 'bullet', item, 0, 0, false, CASE WHEN part = k - 1 THEN nt END FROM l
+        UNION ALL SELECT doc_id, page_number, block_order, row_number() OVER (PARTITION BY doc_id, page_number, block_order ORDER BY row, col) - 1, 'cell', cell, row, col, row = 0, NULL FROM (SELECT *, unnest(r) AS cell, generate_subscripts(r, 1) - 1 AS col FROM c)
+        UNION ALL SELECT doc_id, page_number, block_order, sum(len(r)), 'paragraph', '', 0, 0, false, any_value(nt) FROM c GROUP BY doc_id, page_number, block_order
+        UNION ALL SELECT doc_id, page_number, -1, 0, 'page_break', '', 0, 0, false, NULL FROM (SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS n FROM (SELECT DISTINCT doc_id, page_number FROM t)) WHERE n > 1""", "lines", "ledger", swap=_D),
     "export_table_cells": sql("SELECT doc_id, page_number, 'table-p' || page_number || '-0' AS token_id, word_idx // 4 AS row, word_idx % 4 AS col, text AS value FROM ledger QUALIFY count(*) OVER (PARTITION BY doc_id, page_number) >= 8", "ledger"),
-    "export_draw_commands": _with(_SIMPLE, "SELECT doc_id, page_number, block_order, 0 AS part, CASE block_type WHEN 'heading' THEN 'centred_text' ELSE 'text' END AS op, x, 1100 - y - height AS y, width, height, text FROM t", "lines", swap=_D),
+    "export_draw_commands": _with(_MIXED, f""", c AS (SELECT *, generate_subscripts(rows, 1) - 1 AS row, unnest(rows) AS r, greatest(14::DOUBLE, height / greatest(1, len(rows))::DOUBLE) AS rh FROM (SELECT *, {_CELLS} AS rows FROM t WHERE block_type = 'table')),
+        d AS (SELECT *, generate_subscripts(r, 1) - 1 AS col, unnest(r) AS cell, width / greatest(1, len(r))::DOUBLE AS cw FROM c)
+        SELECT doc_id, page_number, block_order, 0 AS part, 'centred_text' AS op, x::DOUBLE AS x, (1100 - y - height)::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height, 'Helvetica-Bold' AS face, 10::DOUBLE AS size, text FROM t WHERE block_type = 'heading'
+        UNION ALL SELECT doc_id, page_number, block_order, 0, 'wrapped_text', x + 2, 1100 - y - 12, greatest(width - 4, 50), 12, 'Helvetica', 10, text FROM t WHERE block_type NOT IN ('heading', 'table')
+        UNION ALL SELECT doc_id, page_number, block_order, row * 1000 + col, 'cell', x + col * cw, 1100 - (y + row * rh) - rh, cw, rh, CASE WHEN row = 0 THEN 'Helvetica-Bold' ELSE 'Helvetica' END, 9, cell[1:40] FROM d""", "lines", "ledger", swap=_D),
     "export_overlays": _with(f", o AS ({_ORDERED}) ", "SELECT doc_id, page_number, line_idx, x1, y1, x2, y2, line_idx % 10 AS colour, CASE WHEN confidence < 0.7::DOUBLE THEN 1 ELSE 2 END AS thickness, reading_order::VARCHAR AS label FROM o", "lines"),
     "export_violations": _with(_SIMPLE, "SELECT doc_id, page_number, token_id FROM t WHERE block_order % 9 = 0 OR width <= 0 OR height <= 0", "lines", swap=_D),
     "evaluate_pairs": _with(_PAIRS, "SELECT * FROM pr", "lines"),
     "evaluate_any_match": _with(_PAIRS, "SELECT * FROM am", "lines"),
     "evaluate_scores": _with(_PAIRS, "SELECT doc_id, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT doc_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / sum(tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / sum(tp + fn)::DOUBLE ELSE 0 END AS r FROM am GROUP BY doc_id)", "lines"),
-    "evaluate_wer": r"""WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:12] AS a FROM conversations WHERE text IS NOT NULL), p AS (SELECT c.conv_id, c.turn, c.a, d.a AS b, list_distinct(list_concat(c.a, d.a)) AS v FROM c JOIN c d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1),
-        e AS (SELECT *, levenshtein(array_to_string(list_transform(a, lambda w: chr((list_position(v, w) + 63)::INT)), ''), array_to_string(list_transform(b, lambda w: chr((list_position(v, w) + 63)::INT)), '')) AS errors FROM p)
-        SELECT conv_id, turn, errors, len(a) AS n_words, CASE WHEN len(a) > 0 THEN round(errors / len(a)::DOUBLE, 6) WHEN errors > 0 THEN 1 ELSE 0 END AS wer FROM e""",
     "telemetry_stage_metrics": _STATES + "SELECT doc_id, state, count(*) AS n, round(sum(latency), 6) AS latency, max(event_id) AS last_event FROM st GROUP BY ALL",
     "telemetry_violations": _STATES + "SELECT doc_id, event_id, before, state FROM (SELECT *, lag(state) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS before FROM st) WHERE before IS NOT NULL AND before <> state AND (before, state) NOT IN (" + ", ".join(f"('{a}', '{b}')" for a, b in telemetry.ALLOWED) + ")",
     "telemetry_final_states": _STATES + "SELECT * FROM fin",
@@ -277,6 +395,29 @@ ORACLES = {
     "telemetry_batch": _STATES + "SELECT count(*) AS documents, count_if(final_state = 'COMPLETED') AS succeeded, round(avg((final_state = 'COMPLETED')::INT), 6) AS success_rate, avg((final_state = 'COMPLETED')::INT) >= 0.85 AS target_met FROM fin",
     "stream_windows": "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS latency FROM events GROUP BY ALL",
     "image_corner_order": _with(", z AS (SELECT *, word_idx % 3 - 1 AS d FROM words) ", "SELECT doc_id, page_number, word_idx AS box_idx, (x1 + d)::DOUBLE AS x0, (y1 + d)::DOUBLE AS y0, (x2 + d)::DOUBLE AS x1, (y1 + d)::DOUBLE AS y1, (x2 + d)::DOUBLE AS x2, (y2 + d)::DOUBLE AS y2, (x1 + d)::DOUBLE AS x3, (y2 + d)::DOUBLE AS y3 FROM z", "words"),
-    "image_tiers": """SELECT l_orderkey, l_linenumber, CASE WHEN q < 300 THEN 'blurred' WHEN q < 700 THEN 'low_quality' WHEN q < 1000 THEN 'normal' ELSE 'sharp' END AS tier, CASE WHEN q < 1000 THEN 'bilateral' WHEN l_linenumber % 2 = 0 THEN 'skip' ELSE 'bilateral' END || '_blur=' || printf('%.2f', q) AS denoise FROM (SELECT *, l_quantity * 30 AS q FROM lineitem)""",
-    "telemetry_recovery": _STATES + "SELECT doc_id, event_id, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) = 1 THEN 'RETRY' ELSE 'FAIL_FAST' END AS action FROM st WHERE state = 'FAILED'",
+    "image_tiers": """SELECT l_orderkey, l_linenumber, CASE WHEN q < 300 THEN 'blurred' WHEN q < 700 THEN 'low_quality' WHEN q < 1000 THEN 'normal' ELSE 'sharp' END AS tier, CASE WHEN q < 1000 THEN 'bilateral_recovery_mode' WHEN l_linenumber % 2 = 0 THEN 'skipped_already_sharp' ELSE 'bilateral' END || '_blur=' || printf('%.2f', q) AS denoise FROM (SELECT *, l_quantity * 30 AS q FROM lineitem)""",
+    "image_overrides": """SELECT l_orderkey, l_linenumber, q AS blur, t AS tier, t = 'blurred' AS sharpen, 0.5::DOUBLE AS sharpen_strength, CASE WHEN t IN ('blurred', 'low_quality') THEN 'adaptive' ELSE 'otsu' END AS threshold_mode, CASE t WHEN 'blurred' THEN 19 WHEN 'low_quality' THEN 25 ELSE 31 END AS adaptive_block_size,
+        CASE t WHEN 'blurred' THEN 18 WHEN 'low_quality' THEN 14 ELSE 10 END AS "adaptive_C", t = 'blurred' AS morphology_opening, 2 AS morphology_kernel_size, false AS morphology_closing, CASE t WHEN 'blurred' THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS clahe_clip_limit
+        FROM (SELECT *, CASE WHEN q < 300 THEN 'blurred' WHEN q < 700 THEN 'low_quality' WHEN q < 1000 THEN 'normal' ELSE 'sharp' END AS t FROM (SELECT *, l_quantity * 30 AS q FROM lineitem))""",
+    "image_low_quality": "SELECT l_orderkey, l_linenumber, l_quantity * 30 < 300 AS low_quality FROM lineitem",
+    "plugin_detected": "WITH p AS (" + sql("SELECT DISTINCT doc_id, page_number FROM lines", "lines") + ") SELECT doc_id, page_number, i AS word_idx, 10 + 50 * (i % 2) AS x1, 10 + 30 * (i // 2) AS y1, 50 + 50 * (i % 2) AS x2, 30 + 30 * (i // 2) AS y2, 0.9::DOUBLE AS confidence FROM p, (SELECT unnest(range(4)) AS i)",
+    "plugin_relative_boxes": sql("""SELECT doc_id, page_number, 'p' || page_number || '-r' || (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY word_idx) - 1) AS region_id, 'text_block' AS type, a AS x1, b AS y1, c AS x2, d AS y2, confidence, confidence < 0.7::DOUBLE AS flagged, 'raw_blocks' AS layout_type, 0 AS column_count
+        FROM (SELECT *, least(x1, 1024) AS a, least(y1, 1024) AS b, least(x2, 1024) AS c, least(y2, 1024) AS d FROM words) WHERE c > a AND d > b AND confidence >= 0.5::DOUBLE""", "words"),
+    "plugin_corrected": sql("SELECT doc_id, page_number, line_idx, text FROM lines", "lines"),
+    "plugin_versions": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PP-OCRv5' WHEN 1 THEN 'PP-OCRv4' WHEN 2 THEN 'PP-OCRv3' END AS version FROM events",
+    "ocr_crops": sql("SELECT doc_id, page_number, line_idx, greatest(0, x1 - (x2 - x1) * 2 // 100) AS crop_x1, greatest(0, y1 - (y2 - y1) * 8 // 100) AS crop_y1, least(800, x2 + (x2 - x1) * 2 // 100) AS crop_x2, least(1100, y2 + (y2 - y1) * 8 // 100) AS crop_y2 FROM lines WHERE x2 - x1 >= 8 AND y2 - y1 >= 8", "lines"),
+    "layout_contract_violations": sql("SELECT doc_id, page_number, line_idx, CASE WHEN line_idx % 17 = 3 THEN 'type' ELSE 'keys:caption,title' END AS violation FROM lines WHERE line_idx % 17 = 3 OR line_idx % 13 = 5", "lines"),
+    "layout_contract_defaults": sql("SELECT doc_id, page_number, line_idx, ['adjacency_links=[]', 'cluster_id=-1', 'column_id=1', 'paragraph_candidate=false', 'reading_order=' || line_idx, 'spatial_group_id=-1', 'table_candidate=false'] AS metadata FROM lines WHERE line_idx % 17 <> 3 AND line_idx % 13 <> 5", "lines"),
+    "typography_viewer_boxes": _with(_SIMPLE, """, o AS (SELECT doc_id, page_number, coalesce(sum(1130) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT DISTINCT doc_id, page_number FROM t))
+        SELECT doc_id, page_number, token_id, x, y + off AS y, greatest(20, width) AS width, greatest(15, height) AS height FROM t JOIN o USING (doc_id, page_number)""", "lines", swap=_D),
+    "evaluate_report": _with(_PAIRS, """, sc AS (SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT doc_id, CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / sum(tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / sum(tp + fn)::DOUBLE ELSE 0 END AS r FROM am GROUP BY doc_id))
+        SELECT doc_id, precision, recall, f1 AS f1_score, round(doc_id % 7 / 50::DOUBLE, 6) AS wer, (doc_id % 5 + 1)::DOUBLE AS latency_per_page, 512::DOUBLE AS ram_usage_mb, list_filter([CASE WHEN precision >= 0.85::DOUBLE THEN 'precision' END, CASE WHEN recall >= 0.8::DOUBLE THEN 'recall' END, CASE WHEN f1 >= 0.82::DOUBLE THEN 'f1' END, CASE WHEN round(doc_id % 7 / 50::DOUBLE, 6) <= 0.15::DOUBLE THEN 'wer' END], lambda x: x IS NOT NULL) AS targets_met FROM sc""", "lines"),
+    "export_legacy_json": _with(f""", r AS (SELECT doc_id, page_number, line_idx AS o, CASE WHEN {_UP} THEN 'header' WHEN line_idx % 19 = 7 THEN 'table' WHEN line_idx % 23 = 11 THEN 'footer' ELSE 'paragraph' END AS type, text FROM lines),
+        s0 AS (SELECT *, sum((type = 'header')::INT) OVER (PARTITION BY doc_id, page_number ORDER BY o) AS sec FROM r), s1 AS (SELECT doc_id, page_number, sec, coalesce(any_value(text) FILTER (WHERE type = 'header'), '') AS heading, string_agg(text, ' ' ORDER BY o) FILTER (WHERE type IN ('paragraph', 'footer')) AS content FROM s0 GROUP BY ALL),
+        s2 AS (SELECT doc_id, list({{'content': content, 'heading': heading}} ORDER BY page_number, sec) AS sections, string_agg(content, ' ' ORDER BY page_number, sec) AS raw_text FROM s1 WHERE content IS NOT NULL GROUP BY doc_id),
+        h AS (SELECT doc_id, coalesce(arg_min(text, (page_number, o)) FILTER (WHERE type = 'header'), '') AS title, coalesce(list({{'rows': [list_filter(list_transform(string_split(replace(text, ' ', ' | '), '|'), lambda c: {_STRIP.format('c')}), lambda c: c <> '')]}} ORDER BY page_number, o) FILTER (WHERE type = 'table'), []) AS tables FROM r GROUP BY doc_id)
+        SELECT doc_id, to_json({{'metadata': {{'file_size': n_chars, 'filename': doc_id || '.txt', 'page_count': 1, 'resolution': [800, 1100]}}, 'raw_text': coalesce(raw_text, ''), 'sections': coalesce(sections, []), 'tables': tables, 'title': title}})::VARCHAR AS json FROM h JOIN documents USING (doc_id) LEFT JOIN s2 USING (doc_id)""", "", "lines", swap=_D),
+    "telemetry_context": _STATES + """, b AS (SELECT *, lag(state) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS before FROM st) SELECT doc_id, CASE any_value(final_state) WHEN 'COMPLETED' THEN 'success' WHEN 'FAILED' THEN 'failed' ELSE 'partial' END AS status, coalesce(arg_min(coalesce(before, ''), (ts, event_id)) FILTER (WHERE state = 'FAILED'), '') AS error_stage, count(*) AS n_events FROM b JOIN fin USING (doc_id) GROUP BY doc_id""",
+    "telemetry_log_lines": _STATES + """SELECT doc_id, to_json({'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 'level': 'INFO', 'stage': state, 'doc_id': doc_id, 'event_id': event_id, 'latency': latency})::VARCHAR AS value FROM st""",
+    "telemetry_recovery": _STATES + """SELECT doc_id, event_id, kind, CASE kind WHEN 'recoverable' THEN 'SKIP' WHEN 'fatal' THEN 'FAIL_FAST' ELSE CASE WHEN row_number() OVER (PARTITION BY doc_id, kind ORDER BY ts, event_id) < 2 THEN 'RETRY' ELSE 'FAIL_FAST' END END AS action FROM (SELECT *, ['recoverable', 'fatal', 'other'][event_id % 3 + 1] AS kind FROM st WHERE state = 'FAILED')""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
+from leafwork.functions.tables import written
 from leafwork.operators import layout
 from leafwork.sources import compositors as pages
 
@@ -27,7 +28,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def columned(spark: SparkSession, sf: str) -> DataFrame:
-    held = lines(spark, sf)
+    """Lines with columns. Lines are a table, as boundaries, votes and the result each read them."""
+    held = written(lines(spark, sf))
     return layout.assigned_columns(held, layout.column_boundaries(held))
 
 
@@ -108,8 +110,8 @@ ORACLES = {
     "compositor_words": sql("SELECT * EXCLUDE (page_width, page_height) FROM words", "words"),
     "compositor_ledger": sql("SELECT * EXCLUDE (page_width, page_height) FROM ledger", "ledger"),
     "layout_box_arithmetic": sql("""SELECT doc_id, page_number, word_idx, sa AS area, b AS both, sa + sb - b AS either, round(CASE WHEN sa + sb - b > 0 THEN b / (sa + sb - b)::DOUBLE ELSE 0 END, 9) AS iou, round(sqrt(dx * dx + dy * dy), 6) AS distance FROM (
-        SELECT a.doc_id, a.page_number, a.word_idx, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS b,
-        (a.x1 + a.x2 - b.x1 - b.x2) / 2.0::DOUBLE AS dx, (a.y1 + a.y2 - b.y1 - b.y2) / 2.0::DOUBLE AS dy FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND b.word_idx = a.word_idx + 1 WHERE a.word_idx < 40 AND b.word_idx < 40)""", "words"),
+        SELECT doc_id, page_number, word_idx, (x2 - x1) * (y2 - y1) AS sa, (u2 - u1) * (v2 - v1) AS sb, greatest(0, least(x2, u2) - greatest(x1, u1)) * greatest(0, least(y2, v2) - greatest(y1, v1)) AS b, (x1 + x2 - u1 - u2) / 2.0::DOUBLE AS dx, (y1 + y2 - v1 - v2) / 2.0::DOUBLE AS dy
+        FROM (SELECT *, lead(x1) OVER o AS u1, lead(y1) OVER o AS v1, lead(x2) OVER o AS u2, lead(y2) OVER o AS v2 FROM words WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY word_idx)) WHERE u1 IS NOT NULL)""", "words"),
     "layout_normalised_boxes": sql(f"""SELECT {_W}, least(a, b) AS x1, least(c, d) AS y1, greatest(a, b) AS x2, greatest(c, d) AS y2 FROM (SELECT {_W}, least(greatest(round_even((x1 / 800::DOUBLE + 0.0004::DOUBLE) * 800, 0)::INT, 0), 800) AS a, least(greatest(round_even((x2 / 800::DOUBLE + 0.0004::DOUBLE) * 800, 0)::INT, 0), 800) AS b,
         least(greatest(round_even((y1 / 1100::DOUBLE + 0.0004::DOUBLE) * 1100, 0)::INT, 0), 1100) AS c, least(greatest(round_even((y2 / 1100::DOUBLE + 0.0004::DOUBLE) * 1100, 0)::INT, 0), 1100) AS d FROM words)""", "words"),
     "layout_box_extent": sql(f"SELECT {_W}, greatest(0, least(x1 - 50, 800)) AS x1, greatest(0, least(y1 - 50, 1100)) AS y1, greatest(0, least(x2 + 50, 800)) AS x2, greatest(0, least(y2 + 50, 1100)) AS y2, (x1 + x2) / 2.0::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE AS cy FROM gated", "gated"),

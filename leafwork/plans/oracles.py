@@ -61,6 +61,10 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Parts that several others read.
+HELD = {"words", "gated", "lines", "direct"}
+
+
 def sql(query: str, *needs: str, swap: dict[str, str] | None = None) -> str:
     """query over the parts that it needs, and those that these need. swap: other bodies of parts."""
     done: list[str] = []
@@ -74,4 +78,4 @@ def sql(query: str, *needs: str, swap: dict[str, str] | None = None) -> str:
     for n in needs:
         visit(n)
     bodies = {n: (swap or {}).get(n, PARTS[n][1]) for n in done}
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in bodies.items()) + "\n" + query
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in HELD)}({b})" for n, b in bodies.items()) + "\n" + query

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import os
+from dataclasses import make_dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,33 +14,44 @@ ENDINGS = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")
 MAX_PAGES, MAX_MB = 50, 100
 
 
-@dataclass(frozen=True)
-class Profile:
-    name: str = "default"
-    denoise: bool = False
-    deskew: bool = False
-    threshold: bool = False
-    sharpen: bool = False
-    morphology: bool = False
-    perspective: bool = False
-    scale: float = 1.0
-    clahe_clip: float = 2.0
-    min_confidence: float = 0.5
+#: Keys of a profile's sections, with the defaults of what a file leaves out.
+SECTIONS: dict[str, dict[str, Any]] = {
+    "preprocessing": {
+        "denoise": False, "deskew": False, "thresholding": False, "resize_scale": 1.0, "perspective_correction": False, "denoise_strategy": "nlmeans", "adaptive_denoise": False, "blur_safe_mode": False, "threshold_mode": "otsu",
+        "clahe_clip_limit": 1.5, "sharpen": False, "sharpen_strength": 0.5, "adaptive_block_size": 31, "adaptive_C": 10, "morphology_opening": False, "morphology_kernel_size": 2, "morphology_closing": False,
+    },
+    "layout": {"confidence_threshold": 0.5},
+    "ocr": {"device": "cpu", "language": "en", "batch_size": 8},
+    "postprocess": {"confidence_threshold": 0.5, "grammar_correction": False, "merge_paragraphs": False},
+    "export": {"formats": ["json"], "output_directory": "./data/output"},
+}
+
+Profile = make_dataclass("Profile", [("profile_id", str, "fast_draft"), *((k, type(v), v) for k, v in SECTIONS["preprocessing"].items())], frozen=True)
+Profile.__doc__ = "How pages are prepared: the preprocessing section of a profile, under its keys."
+
+
+def settings(path: str | None = None) -> dict[str, dict[str, Any]]:
+    """Sections of a profile file, each key as the type of its default; keys of other names are refused.
+    Without a file, or where there is none, all defaults."""
+    raw: dict[str, Any] = {}
+    if path and os.path.isfile(path):
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            raw = yaml.safe_load(f) or {}
+    out: dict[str, dict[str, Any]] = {"profile": {"profile_id": str(raw.get("profile_id", os.path.splitext(os.path.basename(path))[0] if path else "fast_draft"))}}
+    for section, keys in SECTIONS.items():
+        own = raw.get(section) or {}
+        unknown = set(own) - set(keys) - {"model"}  # a layout's model names a backend, see plugins
+        if unknown:
+            raise ValueError(f"unknown keys in {section}: {', '.join(sorted(unknown))}")
+        out[section] = {k: type(v)(own[k]) if k in own else v for k, v in keys.items()}
+    return out
 
 
 def profile(path: str | None = None) -> Profile:
-    """A profile from YAML, with defaults for what it leaves out; without a file all defaults."""
-    if not path:
-        return Profile()
-    import yaml
-
-    try:
-        with open(path) as f:
-            raw: dict[str, Any] = yaml.safe_load(f) or {}
-    except FileNotFoundError:
-        return Profile()
-    flat = {k: v for part in raw.values() if isinstance(part, dict) for k, v in part.items()} | {k: v for k, v in raw.items() if not isinstance(v, dict)}
-    return Profile(**{f.name: flat[f.name] for f in fields(Profile) if f.name in flat})
+    s = settings(path)
+    return Profile(**s["profile"], **s["preprocessing"])
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -48,10 +60,10 @@ def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return files.select("path", "length", F.substring("content", 1, 4).alias("head")).dropDuplicates(["path"])
 
 
-def checked(files: DataFrame, max_mb: float = MAX_MB) -> DataFrame:
+def checked(files: DataFrame, max_mb: float = MAX_MB, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
     """files with ending, doc key and why they are rejected (null: taken)."""
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    why = F.when(F.length("head") < 4, "unreadable").when(~ending.isin(*ENDINGS), "extension").when(F.col("length") / 1048576 > max_mb, "size")
+    why = F.when(F.length("head") < 4, "unreadable").when(~ending.isin(*endings), "extension").when(F.col("length") / 1048576 > max_mb, "size")
     return files.withColumn("ending", ending).withColumn("rejected", why).withColumn("doc_key", F.sha2("path", 256))
 
 
