@@ -253,7 +253,7 @@ def greedy_merge(boxes: DataFrame, threshold: float = 0.6, min_share: float = 0.
             free &= ~mine
             out.append((key[0], key[1], len(out), box[mine, 0].min(), box[mine, 1].min(), box[mine, 2].max(), box[mine, 3].max(), conf[mine].max(), int(mine.sum())))
         made = pd.DataFrame(out, columns=["doc_id", "page_number", "merged_idx", "x1", "y1", "x2", "y2", "confidence", "n_merged"])
-        return made.astype({k: "float64" if k == "confidence" else "int64" for k in made if k != "doc_id"} | ({"doc_id": p["doc_id"].dtype} if "doc_id" in p else {}))
+        return made.astype({k: "float64" if k == "confidence" else "int32" for k in made if k != "doc_id"} | ({"doc_id": p["doc_id"].dtype} if "doc_id" in p else {}))
 
     kind = boxes.schema["doc_id"].dataType.simpleString()
     cols = [*PAGE, "line_idx", "x1", "y1", "x2", "y2", "confidence", "page_width", "page_height"]

@@ -133,9 +133,9 @@ def test_files_and_plugins(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     got = {r.path.rsplit("/", 1)[1]: r.rejected for r in files.checked(files.scan(spark, str(tmp_path))).collect()}
     assert got == {"a.png": None, "b.TXT": "extension", "c.pdf": "unreadable"}
-    assert files.profile() == files.Profile() == files.profile(str(tmp_path / "none.yaml"))
+    assert files.profile() == files.Profile() == files.profile(str(tmp_path / "fast_draft.yaml"))
     with pytest.raises(ValueError):
-        plugins.backend("other")
+        plugins.backend("detector", "other")
 
 
 def test_text_rules(spark):
