@@ -6,8 +6,9 @@ segment, which is what travels: a row of hashes for each, and its symbols where
 again. An anchor routes its segments to one shard, where a matcher works on their symbols.
 
 An anchor with many different contents (the edge of a passage that many documents hold) is cut finer:
-its windows go in blocks of `fine` by their distance from the anchor, and a block is keyed by the
-symbols that all its windows share, so that windows with different surroundings part.
+of equal segments the first goes on, and its windows go in blocks of `fine` by their distance from the
+anchor; a block is keyed by the symbols that all its windows share, so that windows with different
+surroundings part.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from .common import PASS_BYTES, Ranges, far, passes, written
 
 #: An anchor with more different contents is cut finer. Either way the matcher gets all of them.
 CROWD = 512
-#: So many of these anchors go to all tasks at once (8 bytes each); more are joined.
-BROADCAST_CROWDS = 100_000
 #: Rows of one anchor that go to one place of a matcher that takes copies; more are dealt out.
 TOGETHER = 2000
 #: Bytes of segments in one shard of a matcher, beyond which it begins the next.
@@ -173,8 +172,9 @@ class Asked:
     nw: np.ndarray
 
 
-def asked_parts(key: int, raw: bytes, g: np.ndarray, pos: np.ndarray, nw: np.ndarray, kind: Kind) -> Iterator[Asked]:
+def asked_parts(key: int, raw: bytes, want, kind: Kind) -> Iterator[Asked]:
     """A normal text with its segments; a long one in parts of PIECE_BYTES symbols or one segment."""
+    g, pos, nw = (np.array([w[c] for w in want], dtype=np.int64) for c in ("g", "pos", "nw"))
     order = np.argsort(pos)
     g, pos, nw = g[order], pos[order], nw[order]
     part = pos // max(1, PIECE_BYTES)
@@ -233,68 +233,54 @@ def covered(base: DataFrame, kind: Kind, matcher: Callable[[pd.DataFrame, Kind],
     """
     spark, size = base.sparkSession, kind.window
     on_g = lambda d: d.withColumn("j", far(F.col("g")))
-    found = written(on_g(occurrences(base, kind)).join(again(occurrences(base, kind), kind), "j").select("g", "seg", "_id", "pos", "nw", "c"), spark)
-    firsts = written(found.groupBy("g", "seg").agg(F.min(F.struct("_id", "pos")).alias("first")), spark)
-    crowds = firsts.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("g", far(F.col("g")).alias("j"))
 
-    def finer(parts: Iterator[Asked]) -> Iterator[pd.DataFrame]:
-        held, volume = [], 0
-        for x in parts:
-            held.append(x)
-            volume += len(x.part)
-            if volume >= PASS_BYTES:
-                yield blocks_of(held, kind)
-                held, volume = [], 0
+    def settled(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+        """rows, and whether the first of equal segments stands before."""
+        own = rows.withColumns({"j1": far(F.col("g")), "j2": far(F.col("seg"))}).join(firsts.select(far(F.col("g")).alias("j1"), far(F.col("seg")).alias("j2"), "first"), ["j1", "j2"])
+        later = F.col("_id") > F.col("first._id") if kind.per_document else F.struct("_id", "pos") > F.col("first")
+        return own.select("g", "seg", "_id", "pos", "nw", "c", later.alias("later"))
+
+    whole = lambda d: d.where("later").select("_id", F.col("pos").alias("s"), (F.col("pos") + F.col("nw") + size - 1).alias("e"))
+    first_of = lambda d: d.groupBy("g", "seg").agg(F.min(F.struct("_id", "pos")).alias("first"))
+    found = written(on_g(occurrences(base, kind)).join(again(occurrences(base, kind), kind), "j").select("g", "seg", "_id", "pos", "nw", "c"), spark)
+    firsts = written(first_of(found), spark)
+    crowds = written(firsts.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select(far(F.col("g")).alias("j")), spark)
+    crowd = lambda d, how: on_g(d).join(crowds, "j", how).drop("j")
+    crowded = written(settled(crowd(found, "left_semi"), crowd(firsts, "left_semi")), spark)
+    asked = crowded.where("not later").groupBy("_id").agg(F.collect_list(F.struct("g", "pos", "nw")).alias("want"))
+
+    def finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z, held, volume = zstandard.ZstdDecompressor(), [], 0
+        for rows in batches:
+            for key, raw, want in zip(rows["_id"], rows["z"], rows["want"]):
+                for x in asked_parts(key, kind.normal(z.decompress(bytes(raw))), want, kind):
+                    held.append(x)
+                    volume += len(x.part)
+                    if volume >= PASS_BYTES:
+                        yield blocks_of(held, kind)
+                        held, volume = [], 0
         if held:
             yield blocks_of(held, kind)
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdDecompressor()
-        columns = lambda want: (np.array([w[c] for w in want], dtype=np.int64) for c in ("g", "pos", "nw"))
-        yield from finer(x for rows in batches for key, raw, want in zip(rows["_id"], rows["z"], rows["want"]) for x in asked_parts(key, kind.normal(z.decompress(bytes(raw))), *columns(want), kind))
-
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parts() -> Iterator[Asked]:
-            for rows in batches:
-                keys, texts = rows["_id"].to_numpy(np.int64), [kind.text(t) for t in rows["_text"]]
-                for owner, g, _, pos, nw in segments(texts, kind):
-                    g = g.view(np.int64)
-                    own = np.flatnonzero(known.value[np.minimum(np.searchsorted(known.value, g), len(known.value) - 1)] == g)
-                    for lo, hi in zip(*_runs(owner[own])):
-                        i = own[lo:hi]
-                        yield from asked_parts(int(keys[owner[i[0]]]), texts[owner[i[0]]], g[i], pos[i], nw[i], kind)
-
-        yield from finer(parts())
-
-    schema = "g long, seg long, _id long, pos int, nw int"
-    few = crowds.select("g").limit(BROADCAST_CROWDS + 1).toPandas()["g"].to_numpy(np.int64)  # bounded
-    if len(few) <= BROADCAST_CROWDS:
-        known = spark.sparkContext.broadcast(np.sort(few))
-        fine = base.mapInPandas(scanned, schema) if len(few) else base.limit(0).mapInPandas(scanned, schema)
-    else:
-        asked = on_g(found).join(crowds.select("j"), "j").groupBy("_id").agg(F.collect_list(F.struct("g", "pos", "nw")).alias("want"))
-        fine = squeezed(base).join(asked, "_id").mapInPandas(joined, schema)
+    fine = squeezed(base).join(asked, "_id").mapInPandas(finer, "g long, seg long, _id long, pos int, nw int") if not crowds.isEmpty() else found.limit(0).select("g", "seg", "_id", "pos", "nw")
     fine = written(fine, spark)
     fine = written(on_g(fine).join(again(fine, kind), "j").select("g", "seg", "_id", "pos", "nw", "c"), spark)
-    plain = lambda d: on_g(d).join(crowds.select("j"), "j", "left_anti").drop("j")
-    parts = plain(found).unionAll(fine)
-    firsts = plain(firsts).unionAll(fine.groupBy("g", "seg").agg(F.min(F.struct("_id", "pos")).alias("first")))
+    parts = crowd(found, "left_anti").unionAll(fine)
+    firsts = crowd(firsts, "left_anti").unionAll(first_of(fine))
 
     if kind.copies:
         # A key with very many rows is dealt out; each share also gets the first of every content.
         n = F.ceil(F.col("c") / TOGETHER).cast("int")
         wanted = parts.select("_id", "g", "pos", "nw", F.when(n > 1, F.pmod(F.xxhash64("_id"), n)).otherwise(F.lit(0)).cast("int").alias("salt"))
-        hot = on_g(fine.unionAll(found).where(n > 1).select("g", "c").distinct())
-        known = firsts.withColumn("j", far(F.col("g"))).join(hot.select("j", "c"), "j").join(parts.where(n > 1).select("g", "seg", F.col("_id").alias("i"), F.col("pos").alias("p"), "nw"), ["g", "seg"]).where("i = first._id AND p = first.pos")
-        known = known.select(F.col("i").alias("_id"), "g", F.col("p").alias("pos"), "nw", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
-        wanted, copies = wanted.unionAll(known), None
+        many = parts.where(n > 1)
+        known = settled(many, firsts.join(many.select("g").distinct(), "g", "left_semi")).where("not later")
+        known = known.select("_id", "g", "pos", "nw", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+        wanted, copies = wanted.unionAll(known), whole(crowded)
     else:
-        keyed = parts.withColumns({"j1": far(F.col("g")), "j2": far(F.col("seg"))}).join(firsts.select(far(F.col("g")).alias("j1"), far(F.col("seg")).alias("j2"), "first"), ["j1", "j2"])
-        later = F.col("_id") > F.col("first._id") if kind.per_document else F.struct("_id", "pos") > F.col("first")
-        settled = keyed.select("g", "seg", "_id", "pos", "nw", later.alias("later"))
-        copies = settled.where("later").select("_id", F.col("pos").alias("s"), (F.col("pos") + F.col("nw") + size - 1).alias("e"))
+        every = written(settled(parts, firsts), spark)
+        copies = whole(crowded.unionAll(every))
         mixed = firsts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(far(F.col("g")).alias("j"))
-        wanted = on_g(settled.where(~F.col("later"))).join(mixed, "j").select("_id", "g", "pos", "nw", F.lit(0).alias("salt"))
+        wanted = on_g(every.where("not later")).join(mixed, "j").select("_id", "g", "pos", "nw", F.lit(0).alias("salt"))
     asked = wanted.groupBy("_id").agg(F.collect_list(F.struct("g", "salt", "pos", "nw")).alias("want"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,7 +331,7 @@ def covered(base: DataFrame, kind: Kind, matcher: Callable[[pd.DataFrame, Kind],
             yield matcher(pd.concat(held, ignore_index=True), kind)
 
     matched = texts.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInPandas(match, "_id long, s int, e int")
-    return matched if copies is None else copies.unionAll(matched)
+    return copies.unionAll(written(matched, spark))
 
 
 def with_cuts(base: DataFrame, kind: Kind, matcher, finish: Callable[[str, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:

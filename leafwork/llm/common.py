@@ -30,9 +30,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut and a lost executor costs nothing."""
+    """df as a table in the shared folder: lineage is cut and a lost executor costs nothing. The driver is
+    asked to collect its garbage, as files of the shuffles behind df stay on disk until it does."""
     path = scratch_dir(spark)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

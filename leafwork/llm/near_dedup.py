@@ -253,3 +253,21 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
+#: The rarest shingles of each set that others have too are enough to find all links by; these are counted on full sets.
+SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS c FROM s GROUP BY g HAVING count(*) > 1),
+k AS MATERIALIZED (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r FROM s JOIN f USING (g) JOIN n USING (doc_id)),
+a AS MATERIALIZED (SELECT doc_id, count(*) AS shared FROM k GROUP BY doc_id),
+pre AS MATERIALIZED (SELECT k.doc_id, g, n FROM k JOIN a USING (doc_id) WHERE r <= n // 5 + 1),
+cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS i, y.doc_id AS j FROM pre x JOIN pre y ON x.g = y.g AND x.doc_id < y.doc_id AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+l AS MATERIALIZED (SELECT i, j FROM cand JOIN s x ON x.doc_id = i JOIN s y ON y.doc_id = j AND y.g = x.g JOIN n p ON p.doc_id = i JOIN n q ON q.doc_id = j GROUP BY i, j, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+e AS MATERIALIZED (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, e.j FROM reach JOIN e ON reach.b = e.i),
+root AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept FROM (SELECT DISTINCT doc_id FROM w) w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
-ORACLES = {"op1_line_dedup": line_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL}
+ORACLES = {"op1_line_dedup": line_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL}

@@ -147,3 +147,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, min(hex(encode(coalesce(text, '')))) AS x FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS k, doc_id * 4294967296::HUGEINT + p AS z FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS p FROM d WHERE length(x) >= 200)),
+m AS (SELECT h.doc_id, h.p FROM h JOIN (SELECT k, min(z) AS low FROM h GROUP BY k HAVING count(*) > 1) USING (k) WHERE z > low),
+e AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM m),
+r AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS t FROM (SELECT *, sum((q IS NULL OR p > q + 100)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e) GROUP BY doc_id, run),
+c AS (SELECT doc_id, list(s ORDER BY s) AS ss, list(t ORDER BY s) AS ts FROM r GROUP BY doc_id),
+o AS (SELECT d.doc_id, x, coalesce(ss, []) AS ss, coalesce(ts, []) AS ts FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(list_sum(list_transform(ss, lambda s, i: ts[i] - s)), 0)::BIGINT AS n_removed, len(ss)::BIGINT AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(len(ss) + 1), lambda i: substr(x, 2 * CASE WHEN i = 0 THEN 0 ELSE ts[i] END + 1, 2 * (CASE WHEN i = len(ss) THEN length(x) // 2 ELSE ss[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ts[i] END))), ''))) AS kept_sha256 FROM o
+"""

@@ -68,7 +68,6 @@ def test_lines_keep_all_columns(spark):
 def test_substring_dedup(spark, monkeypatch, crowd, together):
     monkeypatch.setattr(anchors, "CROWD", crowd)
     monkeypatch.setattr(anchors, "TOGETHER", together)
-    monkeypatch.setattr(anchors, "BROADCAST_CROWDS", 0 if together == 1 else 100_000)
     if together == 1:
         monkeypatch.setattr(anchors, "PASS_BYTES", 500)
         monkeypatch.setattr(anchors, "PIECE_BYTES", 500)
@@ -88,7 +87,6 @@ def test_substring_dedup(spark, monkeypatch, crowd, together):
 def test_suffix_dedup(spark, monkeypatch, crowd, together):
     monkeypatch.setattr(anchors, "CROWD", crowd)
     monkeypatch.setattr(anchors, "TOGETHER", together)
-    monkeypatch.setattr(anchors, "BROADCAST_CROWDS", 0 if together == 1 else 100_000)
     if together == 1:
         monkeypatch.setattr(anchors, "PASS_BYTES", 500)
         monkeypatch.setattr(anchors, "PIECE_BYTES", 500)
