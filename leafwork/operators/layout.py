@@ -238,8 +238,8 @@ def greedy_merge(boxes: DataFrame, threshold: float = 0.6, min_share: float = 0.
     """Boxes by falling area; each takes in the later ones whose IoU with it reaches the threshold."""
 
     def page(key, p: pd.DataFrame) -> pd.DataFrame:
-        a = (p["x2"] - p["x1"]) * (p["y2"] - p["y1"])
-        p = p[a >= min_share * p["page_width"] * p["page_height"]].assign(a=a).sort_values(["a", "line_idx"], ascending=[False, True], kind="stable")
+        p = p.assign(a=(p["x2"] - p["x1"]) * (p["y2"] - p["y1"]))
+        p = p[p["a"] >= min_share * p["page_width"] * p["page_height"]].sort_values(["a", "line_idx"], ascending=[False, True], kind="stable")
         box, conf, area = p[["x1", "y1", "x2", "y2"]].to_numpy(np.int64), p["confidence"].to_numpy(), p["a"].to_numpy()
         free, out = np.ones(len(p), dtype=bool), []
         for i in range(len(p)):
