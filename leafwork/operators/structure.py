@@ -177,15 +177,18 @@ def table_grid(words: DataFrame, gap_x: int = 10, gap_y: int = 2) -> DataFrame:
 
 
 def merged_tokens(tokens_: DataFrame, gap: int = 20) -> DataFrame:
-    """Consecutive paragraphs of a column as one while each begins within gap under the first's box. The
-    confidence is the running pairwise mean. A fold over the page's array."""
-    item = F.struct("block_order", "block_type", "column_id", "text", "y", "height", "confidence")
+    """Consecutive paragraphs of a column, a cluster and the same table flag (where tokens have these) as
+    one while each begins within gap under the first's box. The confidence is the running pairwise mean. A
+    fold over the page's array."""
+    own = lambda k, kind: (F.col(k) if k in tokens_.columns else F.lit(None)).cast(kind).alias(k)
+    item = F.struct("block_order", "block_type", "column_id", own("cluster_id", "long"), own("table_candidate", "boolean"), "text", "y", "height", "confidence")
     per = tokens_.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("s"))
 
     def step(acc, v):
         last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (v["block_type"] == "paragraph") & (last["block_type"] == "paragraph") & (v["column_id"] == last["column_id"]) & (v["y"] - (last["y"] + last["height"]) < gap)
-        grown = F.struct(last["block_order"].alias("block_order"), last["block_type"].alias("block_type"), last["column_id"].alias("column_id"), F.concat(last["text"], F.lit(" "), v["text"]).alias("text"), last["y"].alias("y"), last["height"].alias("height"), ((last["confidence"] + v["confidence"]) / 2).alias("confidence"))
+        same = last["column_id"].eqNullSafe(v["column_id"]) & last["cluster_id"].eqNullSafe(v["cluster_id"]) & last["table_candidate"].eqNullSafe(v["table_candidate"])
+        joins = (F.size(acc) > 0) & (v["block_type"] == "paragraph") & (last["block_type"] == "paragraph") & same & (v["y"] - (last["y"] + last["height"]) < gap)
+        grown = F.struct(*[last[k].alias(k) for k in ("block_order", "block_type", "column_id", "cluster_id", "table_candidate")], F.concat(t.strip(last["text"]), F.lit(" "), t.strip(v["text"])).alias("text"), last["y"].alias("y"), last["height"].alias("height"), ((last["confidence"] + v["confidence"]) / 2).alias("confidence"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(v)))
 
     # element_at(-1) of an empty array is null under when, never an error, with try_element_at

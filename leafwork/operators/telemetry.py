@@ -73,3 +73,10 @@ def context_status(final: DataFrame, states: DataFrame) -> DataFrame:
     n = states.groupBy("doc_id").agg(F.count("*").alias("n_events"))
     status = F.when(F.col("final_state") == "COMPLETED", "success").when(F.col("final_state") == "FAILED", "failed").otherwise("partial")
     return final.join(n, "doc_id").join(bad, "doc_id", "left").select("doc_id", status.alias("status"), F.coalesce("error_stage", F.lit("")).alias("error_stage"), "n_events")
+
+
+def rolled_up(states: DataFrame) -> DataFrame:
+    """Events and their latency by day and state, with totals: of a day where state is null, of all where
+    both are."""
+    r = states.withColumn("day", F.to_date("ts")).rollup("day", "state").agg(F.count("*").alias("n"), F.round(F.sum("latency"), 4).alias("latency"))
+    return r.select("day", "state", "n", "latency")

@@ -182,6 +182,7 @@ QUERIES = {
     "telemetry_violations": lambda s, d: telemetry.violations(_states(s, d)),
     "telemetry_final_states": lambda s, d: telemetry.final_states(_states(s, d)),
     "telemetry_durations": lambda s, d: telemetry.durations(_states(s, d)),
+    "telemetry_rollup": lambda s, d: telemetry.rolled_up(_states(s, d)),
     "telemetry_batch": lambda s, d: telemetry.batch_outcome(telemetry.final_states(_states(s, d))),
     "stream_windows": lambda s, d: streams.windowed(pages.table(s, d, "events")),
     "image_tiers": lambda s, d: pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", images.tier(F.col("l_quantity") * 30).alias("tier"), images.denoise_decision(F.col("l_quantity") * 30, F.col("l_linenumber") % 2 == 0).alias("denoise")),
@@ -392,6 +393,7 @@ ORACLES = {
     "telemetry_violations": _STATES + "SELECT doc_id, event_id, before, state FROM (SELECT *, lag(state) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS before FROM st) WHERE before IS NOT NULL AND before <> state AND (before, state) NOT IN (" + ", ".join(f"('{a}', '{b}')" for a, b in telemetry.ALLOWED) + ")",
     "telemetry_final_states": _STATES + "SELECT * FROM fin",
     "telemetry_durations": _STATES + "SELECT doc_id, state, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM st GROUP BY ALL",
+    "telemetry_rollup": _STATES + "SELECT ts::DATE AS day, state, count(*) AS n, round(sum(latency), 4) AS latency FROM st GROUP BY ROLLUP (day, state)",
     "telemetry_batch": _STATES + "SELECT count(*) AS documents, count_if(final_state = 'COMPLETED') AS succeeded, round(avg((final_state = 'COMPLETED')::INT), 6) AS success_rate, avg((final_state = 'COMPLETED')::INT) >= 0.85 AS target_met FROM fin",
     "stream_windows": "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS latency FROM events GROUP BY ALL",
     "image_corner_order": _with(", z AS (SELECT *, word_idx % 3 - 1 AS d FROM words) ", "SELECT doc_id, page_number, word_idx AS box_idx, (x1 + d)::DOUBLE AS x0, (y1 + d)::DOUBLE AS y0, (x2 + d)::DOUBLE AS x1, (y1 + d)::DOUBLE AS y1, (x2 + d)::DOUBLE AS x2, (y2 + d)::DOUBLE AS y2, (x1 + d)::DOUBLE AS x3, (y2 + d)::DOUBLE AS y3 FROM z", "words"),

@@ -23,3 +23,15 @@ def arriving(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Writes what there is and ends."""
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arriving_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder as they come in, whole: path, modificationTime, length, content, head."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
+    return files.withColumn("head", F.substring("content", 1, 4))
+
+
+def each_batch(stream: DataFrame, sink, checkpoint: str):
+    """Gives what there is to sink(batch, number), batch by batch, and ends. A sink that raises leaves its
+    batch for the next run, so that it must put up with getting one twice."""
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

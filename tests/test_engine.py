@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.operators import evaluate, images, layout, plugins
+from leafwork.operators import evaluate, images, layout, plugins, structure
 from leafwork.plans import run
 from leafwork.sources import files, sinks
+from leafwork.streaming import events
 
 HIGH = """
 profile_id: high_accuracy
@@ -232,3 +233,23 @@ def test_time_of_many_boxes(spark):
     layout.region_graph(b).count()
     began = time.time()
     assert layout.region_graph(b).count() > 0 and time.time() - began < 5
+
+
+def test_merged_tokens_stay_within_clusters(spark):
+    row = lambda i, cluster, table: (1, 1, i, "paragraph", 0, cluster, table, f" t{i} ", 10 + i, 5, 0.8)
+    t = spark.createDataFrame([row(0, 1, False), row(1, 1, False), row(2, 2, False), row(3, 2, True), row(4, 2, True)], "doc_id long, page_number int, block_order int, block_type string, column_id int, cluster_id long, table_candidate boolean, text string, y int, height int, confidence double")
+    assert [r.text.strip() for r in structure.merged_tokens(t).orderBy("block_order").collect()] == ["t0 t1", "t2", "t3 t4"]
+
+
+def test_files_as_they_come(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(b"x" * 9)
+    got = []
+
+    def sink(batch, number):
+        got.extend((r.path.rsplit("/", 1)[1], r.rejected) for r in files.checked(batch).collect())
+
+    for name in ("b.txt", "c.pdf"):
+        events.each_batch(events.arriving_files(spark, str(tmp_path / "in")), sink, str(tmp_path / "state")).awaitTermination(120)
+        (tmp_path / "in" / name).write_bytes(b"y" * 9)
+    assert got[0] == ("a.png", None) and ("b.txt", "extension") in got and len(got) == 2

@@ -17,7 +17,7 @@ def test_names():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["layout_textlines", "layout_column_boundaries", "layout_table_candidates_ledger", "telemetry_violations", "structure_table_grid", "layout_box_arithmetic", "layout_column_assignment", "structure_blocks", "structure_sections", "structure_merged_tokens", "graph_order", "ocr_batches", "ocr_metrics", "typography_tables", "export_txt", "export_markdown", "export_docx_commands", "export_draw_commands", "export_legacy_json", "plugin_relative_boxes", "layout_contract_defaults", "image_overrides", "evaluate_report", "telemetry_recovery", "telemetry_context"])
+@pytest.mark.parametrize("name", ["layout_textlines", "layout_column_boundaries", "layout_table_candidates_ledger", "telemetry_violations", "structure_table_grid", "layout_box_arithmetic", "layout_column_assignment", "structure_blocks", "graph_order", "ocr_batches", "typography_tables", "export_txt", "export_docx_commands", "export_draw_commands", "export_legacy_json", "image_overrides", "telemetry_recovery", "telemetry_context", "telemetry_rollup"])
 def test_against_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     con = duckdb.connect()
@@ -49,7 +49,7 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
 
 
 @needs_data
-@pytest.mark.parametrize("name, most", [("layout_reading_order", 4), ("structure_blocks", 9), ("structure_sections", 9), ("evaluate_one_to_one", 2)])
+@pytest.mark.parametrize("name, most", [("layout_reading_order", 4), ("structure_blocks", 9), ("evaluate_one_to_one", 2)])
 def test_scans(spark, name, most):
     """What several branches read is a table; the documents themselves are read once before."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
