@@ -28,9 +28,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def columned(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with columns. Lines are a table, as boundaries, votes and the result each read them."""
+    """Lines with columns. Lines and boundaries are tables, as boundaries, votes and the result read them."""
     held = written(lines(spark, sf))
-    return layout.assigned_columns(held, layout.column_boundaries(held))
+    return layout.assigned_columns(held, written(layout.column_boundaries(held)))
 
 
 def ordered(spark: SparkSession, sf: str) -> DataFrame:
