@@ -29,7 +29,7 @@ CROWD = 512
 #: Rows of one anchor that go to one place of a matcher that takes copies; more are dealt out.
 TOGETHER = 2000
 #: Bytes of segments in one shard of a matcher, beyond which it begins the next.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 #: Longer texts are hashed piece by piece. The lower bits of a sort key hold a place in a piece.
 PIECE_BYTES, PLACE = 1 << 22, np.uint64((1 << 24) - 1)
 
