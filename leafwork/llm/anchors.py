@@ -234,19 +234,18 @@ def covered(base: DataFrame, kind: Kind, matcher: Callable[[pd.DataFrame, Kind],
     spark, size = base.sparkSession, kind.window
     on_g = lambda d: d.withColumn("j", far(F.col("g")))
 
-    def settled(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-        """rows, and whether the first of equal segments stands before."""
-        own = rows.withColumns({"j1": far(F.col("g")), "j2": far(F.col("seg"))}).join(firsts.select(far(F.col("g")).alias("j1"), far(F.col("seg")).alias("j2"), "first"), ["j1", "j2"])
+    def settled(rows: DataFrame) -> DataFrame:
+        """rows, whether the first of equal segments stands before, and how many contents the anchor has."""
+        firsts = written(rows.groupBy("g", "seg").agg(F.min(F.struct("_id", "pos")).alias("first")), spark)
+        kinds = firsts.groupBy("g").agg(F.count("*").alias("k")).select(far(F.col("g")).alias("j"), "k")
+        firsts = on_g(firsts).join(kinds, "j").select(far(F.col("g")).alias("j1"), far(F.col("seg")).alias("j2"), "first", "k")
         later = F.col("_id") > F.col("first._id") if kind.per_document else F.struct("_id", "pos") > F.col("first")
-        return own.select("g", "seg", "_id", "pos", "nw", "c", later.alias("later"))
+        own = rows.withColumns({"j1": far(F.col("g")), "j2": far(F.col("seg"))}).join(firsts, ["j1", "j2"])
+        return written(own.select("g", "_id", "pos", "nw", "c", "k", later.alias("later")), spark)
 
-    whole = lambda d: d.where("later").select("_id", F.col("pos").alias("s"), (F.col("pos") + F.col("nw") + size - 1).alias("e"))
-    first_of = lambda d: d.groupBy("g", "seg").agg(F.min(F.struct("_id", "pos")).alias("first"))
     found = written(on_g(occurrences(base, kind)).join(again(occurrences(base, kind), kind), "j").select("g", "seg", "_id", "pos", "nw", "c"), spark)
-    firsts = written(first_of(found), spark)
-    crowds = written(firsts.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select(far(F.col("g")).alias("j")), spark)
-    crowd = lambda d, how: on_g(d).join(crowds, "j", how).drop("j")
-    crowded = written(settled(crowd(found, "left_semi"), crowd(firsts, "left_semi")), spark)
+    every = settled(found)
+    crowded, plain = every.where(F.col("k") > CROWD), every.where(F.col("k") <= CROWD)
     asked = crowded.where("not later").groupBy("_id").agg(F.collect_list(F.struct("g", "pos", "nw")).alias("want"))
 
     def finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,25 +261,20 @@ def covered(base: DataFrame, kind: Kind, matcher: Callable[[pd.DataFrame, Kind],
         if held:
             yield blocks_of(held, kind)
 
-    fine = squeezed(base).join(asked, "_id").mapInPandas(finer, "g long, seg long, _id long, pos int, nw int") if not crowds.isEmpty() else found.limit(0).select("g", "seg", "_id", "pos", "nw")
+    fine = squeezed(base).join(asked, "_id").mapInPandas(finer, "g long, seg long, _id long, pos int, nw int") if not crowded.isEmpty() else found.limit(0).select("g", "seg", "_id", "pos", "nw")
     fine = written(fine, spark)
-    fine = written(on_g(fine).join(again(fine, kind), "j").select("g", "seg", "_id", "pos", "nw", "c"), spark)
-    parts = crowd(found, "left_anti").unionAll(fine)
-    firsts = crowd(firsts, "left_anti").unionAll(first_of(fine))
+    fine = settled(written(on_g(fine).join(again(fine, kind), "j").select("g", "seg", "_id", "pos", "nw", "c"), spark))
+    parts = plain.unionAll(fine)
 
     if kind.copies:
         # A key with very many rows is dealt out; each share also gets the first of every content.
         n = F.ceil(F.col("c") / TOGETHER).cast("int")
         wanted = parts.select("_id", "g", "pos", "nw", F.when(n > 1, F.pmod(F.xxhash64("_id"), n)).otherwise(F.lit(0)).cast("int").alias("salt"))
-        many = parts.where(n > 1)
-        known = settled(many, firsts.join(many.select("g").distinct(), "g", "left_semi")).where("not later")
-        known = known.select("_id", "g", "pos", "nw", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
-        wanted, copies = wanted.unionAll(known), whole(crowded)
+        known = parts.where((n > 1) & ~F.col("later")).select("_id", "g", "pos", "nw", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+        wanted, same = wanted.unionAll(known), crowded
     else:
-        every = written(settled(parts, firsts), spark)
-        copies = whole(crowded.unionAll(every))
-        mixed = firsts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(far(F.col("g")).alias("j"))
-        wanted = on_g(every.where("not later")).join(mixed, "j").select("_id", "g", "pos", "nw", F.lit(0).alias("salt"))
+        wanted, same = parts.where((F.col("k") > 1) & ~F.col("later")).select("_id", "g", "pos", "nw", F.lit(0).alias("salt")), every.unionAll(fine)
+    copies = same.where("later").select("_id", F.col("pos").alias("s"), (F.col("pos") + F.col("nw") + size - 1).alias("e"))
     asked = wanted.groupBy("_id").agg(F.collect_list(F.struct("g", "salt", "pos", "nw")).alias("want"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
