@@ -198,3 +198,10 @@ def test_one_to_one_goes_on_until_no_pair_is_left(spark):
         left = [p for p in left if p[1] != left[0][1] and p[2] != left[0][2]]
     got = evaluate.one_to_one(found, truth).collect()
     assert sorted((r.line_idx, r.truth_idx) for r in got) == sorted(want) and len(want) == 7
+
+
+def test_confidence_of_blocks_rounds_as_sql(spark):
+    rows = [(1, 0, 0, 0.85), (1, 0, 1, 0.743333), (1, 1, 2, 0.75), (1, 1, 3, 0.78), (1, 1, 4, 0.69375), (1, 1, 5, 0.735), (1, 2, 6, 0.745), (1, 2, 7, 0.723333), (1, 3, 8, None)]
+    n = spark.createDataFrame([(d, 1, b, i, f"t{i}", 0.0, 20.0 * i, 9.0, 9.0, c) for d, b, i, c in rows], "doc_id long, page_number int, block_no int, node int, text string, x double, y double, width double, height double, confidence double")
+    got = {r.block_no: r.confidence for r in structure.blocks_of(n, "paragraph", ["y", "x"], " ", F.lit(0)).collect()}
+    assert got == {0: 0.796667, 1: 0.739688, 2: 0.734167, 3: None}
