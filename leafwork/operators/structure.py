@@ -207,4 +207,4 @@ def merged_tokens(tokens_: DataFrame, gap: int = 20) -> DataFrame:
     # element_at(-1) of an empty array is null under when, never an error, with try_element_at
     first = F.slice("s", 1, 1)
     rest = F.slice("s", 2, F.greatest(F.lit(1), F.size("s")))
-    return per.select(*PAGE, F.explode(F.aggregate(rest, first, step)).alias("m")).select(*PAGE, "m.block_order", "m.block_type", "m.column_id", "m.text", F.round("m.confidence", 6).alias("confidence"))
+    return per.select(*PAGE, F.explode(F.aggregate(rest, first, step)).alias("m")).select(*PAGE, "m.block_order", "m.block_type", "m.column_id", "m.text", millionths(F.col("m.confidence")).alias("confidence"))

@@ -253,3 +253,8 @@ def test_files_as_they_come(spark, tmp_path):
         events.each_batch(events.arriving_files(spark, str(tmp_path / "in")), sink, str(tmp_path / "state")).awaitTermination(120)
         (tmp_path / "in" / name).write_bytes(b"y" * 9)
     assert got[0] == ("a.png", None) and ("b.txt", "extension") in got and len(got) == 2
+
+
+def test_merged_confidence_rounds_as_sql(spark):
+    t = spark.createDataFrame([(1, p, i, "paragraph", 0, f"t{i}", 10 + i, 5, c) for p, cs in ((1, (0.85, 0.743333)), (2, (0.75, 0.78, 0.7))) for i, c in enumerate(cs)], "doc_id long, page_number int, block_order int, block_type string, column_id int, text string, y int, height int, confidence double")
+    assert sorted((r.page_number, r.confidence) for r in structure.merged_tokens(t).collect()) == [(1, 0.796667), (2, 0.7325)]
