@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.llm import anchors, decontaminate, html_extract, katz, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
+from leafwork.llm import anchors, common, decontaminate, html_extract, katz, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -447,3 +447,16 @@ def test_clashing_columns_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(d).collect()) == [(1, 0), (2, 70)]
     assert sorted((r.doc_id, r.kept) for r in near_dedup.near_dedup(d).collect()) == [(1, True), (1, True), (2, False)]
     assert suffix_dedup.suffix_dedup(d).count() == 2 and line_dedup.line_dedup(d).count() == 3 and packing.pack(d).count() == 3
+
+
+def _left(monkeypatch, folder, run):
+    """Tables that a query has left in its scratch folder, and its rows."""
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"{folder}/{time.time_ns()}")
+    rows = run().collect()
+    return len(list(folder.iterdir())), rows
+
+
+def test_katz_keeps_two_tables(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} and more") for i in range(60)], "doc_id long, text string")
+    n, rows = _left(monkeypatch, tmp_path, lambda: katz.katz_scores(docs))
+    assert n == 2 and len(rows) == 60  # chunks with their words' counts, answers about pairs
