@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import far, written
+from .common import dropped, far, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +66,16 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     slim = written(contracted(edges), spark)
     both = written(slim.where("a <> b").select("a", "b").unionAll(slim.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), spark)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), spark)
+    dropped(slim)
+    labels = held = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), spark)
     while True:
         told = both.withColumn("j", far(F.col("b"))).join(labels.select(far(F.col("node")).alias("j"), "root"), "j").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
         low = labels.join(told, "node").select("node", "root", F.least("root", "r").alias("r"))
         # root's own label, one step further
         jump = labels.select(far(F.col("node")).alias("j"), F.col("root").alias("rr"))
         nxt = written(low.withColumn("j", far(F.col("r"))).join(jump, "j").select("node", F.least("r", "rr").alias("root"), (F.least("r", "rr") < F.col("root")).alias("moved")), spark)
-        labels = nxt.select("node", "root")
+        dropped(held)
+        labels, held = nxt.select("node", "root"), nxt
         if nxt.where("moved").limit(1).count() == 0:
+            dropped(both)
             return labels

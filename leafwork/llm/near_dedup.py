@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, far, keyed, mix, passes, table, written
+from .common import Ranges, dropped, far, freed, keyed, mix, passes, table, written
 from .components import components
 
 #: A list of more documents isn't paired but joins its documents to one family.
@@ -118,7 +118,7 @@ def sketches(base: DataFrame, width: int, percent: int, late: np.ndarray) -> Dat
 
 
 def members(base: DataFrame, width: int) -> DataFrame:
-    """(_id, n, rep): set size, and the smallest id of a document with an equal set."""
+    """(_id, n, rep): set size, and the smallest id of a document with an equal set; a table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, sets in slices(batches, width):
@@ -132,7 +132,9 @@ def members(base: DataFrame, width: int) -> DataFrame:
     each = written(base.mapInPandas(run, "_id long, n long, h1 long, h2 long"), base.sparkSession)
     reps = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep")).select(far(F.col("h1")).alias("j1"), far(F.col("h2")).alias("j2"), far(F.col("n")).alias("j3"), "rep")
     both = each.withColumns({"j1": far(F.col("h1")), "j2": far(F.col("h2")), "j3": far(F.col("n"))}).join(reps, ["j1", "j2", "j3"], "left")
-    return both.select("_id", "n", F.coalesce("rep", "_id").alias("rep"))
+    who = written(both.select("_id", "n", F.coalesce("rep", "_id").alias("rep")), base.sparkSession)
+    dropped(each)
+    return who
 
 
 def linked_groups(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -181,19 +183,25 @@ def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     """(_id, n, root): set size and the smallest id reachable, of each document with an id."""
     spark = docs.sparkSession
     base = keyed(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    who = written(members(base, width), spark)
+    who = members(base, width)
     none = np.zeros(0, np.uint64)
     counted = sketches(base, width, percent, none).groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > LATE_COUNT)
     frequent = counted.orderBy(F.desc("c"), "v").limit(LATE).select("v").toPandas()["v"].to_numpy(np.int64)  # at most LATE values
     late = np.sort(frequent.view(np.uint64))
+    freed(spark, 2)
 
     rows = sketches(base, width, percent, late)
-    several = rows.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select(far(F.col("v")).alias("j"))
+    # a table, so that the shuffle that counts all values is gone before the next one moves them
+    several = written(rows.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select(far(F.col("v")).alias("j")), spark)
+    freed(spark, 2)
     listed = rows.withColumn("j", far(F.col("v"))).join(several, "j").select("v", "_id")
     once = written(listed.join(who.select("_id", "rep", "n"), "_id").groupBy("v", "rep").agg(F.max("n").alias("n")), spark)
+    dropped(several)
+    freed(spark, 2)
     sizes = once.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
     lists = once.withColumn("j", far(F.col("v"))).join(sizes.select(far(F.col("v")).alias("j"), "c", "lead"), "j").select("v", "rep", "n", "c", "lead")
     lists = written(lists, spark)
+    dropped(once)
     short = lists.where(F.col("c") <= PAIRED)  # at most PAIRED rows of a value
     a, b = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
     need = least_shared(F.col("na"), F.col("nb"), percent)
@@ -201,6 +209,7 @@ def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where(F.col("both") >= need).select("a", "b")
     stars = lists.where((F.col("c") > PAIRED) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     family = components(pairs.unionAll(stars))
+    dropped(lists)
 
     sizes = family.join(who.where("_id = rep").dropDuplicates(["_id"]).select(F.col("_id").alias("node"), "n"), "node")
     blocks = sizes.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb"))

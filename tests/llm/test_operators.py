@@ -460,3 +460,9 @@ def test_katz_keeps_two_tables(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame([(i, f"some words of text {i % 7} and more") for i in range(60)], "doc_id long, text string")
     n, rows = _left(monkeypatch, tmp_path, lambda: katz.katz_scores(docs))
     assert n == 2 and len(rows) == 60  # chunks with their words' counts, answers about pairs
+
+
+def test_near_dedup_keeps_what_its_result_reads(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten eleven {i % 3}") for i in range(30)], "doc_id long, text string")
+    n, rows = _left(monkeypatch, tmp_path, lambda: near_dedup.near_dedup(docs, width=2))
+    assert n <= 4 and {r.component_id for r in rows} == {0}  # sizes, families, links, roots
