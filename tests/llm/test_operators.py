@@ -369,6 +369,42 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), empty).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    ids = [i for i in range(10_500) if zlib.crc32(str(i).encode()) % 5]
+    order = [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").orderBy(F.xxhash64("id")).collect()]
+    late = set(order[8000:])  # label 1 is only beyond the 8000 smallest hashes
+    assert len(late) > 300
+    rows = [(i, prose(i, 4, 300) + (" vequxyz" if i in late else "")) for i in ids] + [(20_000, "w1 w2 vequxyz w3"), (20_001, "w1 w2 w3")]
+    m = toxicity.fit(docs(spark, rows), spark.createDataFrame([(i, int(i in late)) for i in ids], "doc_id long, toxic int"))
+    got = m.scores([t for _, t in rows[-2:]])
+    assert got[0] > 0.5 > got[1] and got[1] < m.default <= got[0]
+
+
+def test_toxicity_packs_hold_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PACK_ROWS", 40)
+    monkeypatch.setattr(toxicity, "PACK_WORDS", 700)
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 300)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rows = [(i, None if i == 7 else prose(i, 30, 200) + (" scumbag" if i % 4 == 0 else "")) for i in range(300)]
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    want = Counter((int(i % 4 == 0), len(words(t))) for i, t in rows if zlib.crc32(str(i).encode()) % 5)
+    models = []
+    for wide in (10**6, 0):  # labels broadcast, and joined by shuffle
+        monkeypatch.setattr(toxicity, "WIDE", wide)
+        packs = toxicity.packed(d.unionAll(d), labels, "doc_id", "text", "toxic", "lang").collect()
+        assert len(packs) > 6
+        got = Counter()
+        for r in packs:
+            w, y, _ = toxicity.unpacked(r)
+            got.update(zip(y.tolist(), map(len, w)))
+        assert got == want
+        models.append(toxicity.fit(d, labels))
+    assert np.array_equal(models[0].flat(), models[1].flat()) and models[0].thresholds == models[1].thresholds
+    p = models[0].scores([t or "" for _, t in rows])
+    assert np.mean((p >= 0.5) == [i % 4 == 0 for i, _ in rows]) > 0.95
+    assert np.mean((p >= models[0].thresholds["en"]) == [i % 4 == 0 for i, _ in rows]) > 0.95
+
+
 def test_html():
     page = """<html><head><title>T</title></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=a>A</a></ul></nav>
     <div class="cookie-notice">We use cookies, many, of them.</div><div id=main><article><h1>Head &amp; line</h1><p>First, with   <b>bold</b> text,<br>and more of it.<p>Second&nbsp;one, yes.
