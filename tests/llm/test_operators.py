@@ -4,6 +4,7 @@ import html
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -283,6 +284,24 @@ def test_katz(spark, monkeypatch):
         assert r.score == pytest.approx(sum(katz_logs(tok, held, [w for w in t])))
 
 
+def test_katz_chunk_memory():
+    texts = [prose(i, 2000, 3000).encode() for i in range(60)]
+    packed = katz.planes(np.arange(60)), katz.planes(np.array([len(t) for t in texts])), katz.zstandard.ZstdCompressor().compress(b"".join(texts))
+    katz.Chunk(*packed)  # powers of the hash are kept
+    tracemalloc.start()
+    try:
+        c = katz.Chunk(*packed)
+        assert tracemalloc.get_traced_memory()[1] < 80 * len(c.word)
+        tracemalloc.reset_peak()
+        h, w, _, back = c.pairs()
+        assert tracemalloc.get_traced_memory()[1] < 70 * len(c.word)
+    finally:
+        tracemalloc.stop()
+    want = [x for i, t in enumerate(texts) for x in ["<", *t.split(), ">"][:-1]]
+    assert len(c.word) == 60 * 2001 and len(set(want)) == len(np.unique(c.history))
+    assert np.array_equal(h[back], c.history) and np.array_equal(w[back], c.word)
+
+
 def good_turing(counts):
     n = Counter(counts)
     common = 6 * n[6] / n[1] if n[1] else 1
