@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -424,6 +425,33 @@ def test_toxicity_packs_hold_each_row_once(spark, monkeypatch):
     assert np.mean((p >= models[0].thresholds["en"]) == [i % 4 == 0 for i, _ in rows]) > 0.95
 
 
+def test_toxicity_holds_few_texts_at_a_time():
+    rng = np.random.default_rng(4)
+    m = toxicity.start(rng.random((2, toxicity.BUCKETS)) * 100, 3000, 1000)
+    vocabulary = prose(5, 3000, 10**6).split()
+    texts = [" ".join(vocabulary[i % 2000 : i % 2000 + 300 + i % 700]) for i in range(1500)]
+    want = m.scores(texts)  # powers of the hash are kept
+    tracemalloc.start()
+    try:
+        got = m.scores(texts)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20 < 6 * sum(map(len, texts))
+        batch = pa.RecordBatch.from_pydict({"id": list(range(1500)), "text": texts})
+        tracemalloc.reset_peak()
+        parts = [(rows.num_rows, s) for rows, s, _ in toxicity.rated(m, iter([batch]), "text", "lang")]
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20 and max(n for n, _ in parts) <= toxicity.ROWS
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got, want)
+
+
+def test_toxicity_packs_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PACK_ROWS", 40)
+    rows = [(i, prose(i, 10, 200)) for i in range(600)]
+    packs = toxicity.packed(docs(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"), "doc_id", "text", "toxic", "lang")
+    found = packs.select("bucket", F.input_file_name().alias("file")).distinct().collect()
+    assert len(found) == len({r.file for r in found}) == len({r.bucket for r in found}) > 6  # a task for each
+
+
 def test_html():
     page = """<html><head><title>T</title></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=a>A</a></ul></nav>
     <div class="cookie-notice">We use cookies, many, of them.</div><div id=main><article><h1>Head &amp; line</h1><p>First, with   <b>bold</b> text,<br>and more of it.<p>Second&nbsp;one, yes.
