@@ -441,7 +441,9 @@ def test_toxicity_holds_few_texts_at_a_time():
         assert tracemalloc.get_traced_memory()[1] < 40 << 20 and max(n for n, _ in parts) <= toxicity.ROWS
     finally:
         tracemalloc.stop()
-    assert np.array_equal(got, want)
+    assert np.array_equal(got, want) and np.allclose(np.concatenate([s for _, s in parts]), want, rtol=1e-5, atol=1e-7)
+    alone = [float(m.scores([t])[0]) for t in texts[:40]]
+    assert np.allclose(alone, want[:40], rtol=1e-5, atol=1e-7)
 
 
 def test_toxicity_packs_are_dealt_evenly(spark, monkeypatch):
