@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, html_extract, katz, line_dedup, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
+from . import decontaminate, html_extract, katz, line_dedup, mixing, near_dedup, packing, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_html_extraction": html_extract.op10_html_extraction,
+    "op11_mixing": mixing.op11_mixing,
 }
-ORACLES = {"op1_line_dedup": line_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL}
+ORACLES = {"op1_line_dedup": line_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op9_exact_topk": topk.SQL, "op11_mixing": mixing.SQL}
