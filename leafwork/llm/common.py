@@ -57,6 +57,24 @@ def freed(spark: SparkSession, rounds: int = 1) -> None:
         with contextlib.suppress(Py4JError):  # busy for longer than that: what is free by now
             spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
         spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
+
+
+def give_back() -> None:
+    """Hands memory that this process has no use for back to the system: allocators keep what is free."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(spark: SparkSession) -> None:
+    """give_back() for the driver: its Python, and what its JVM holds outside the heap (compilers and
+    file formats leave hundreds of megabytes there), which the JVM's own command for it returns."""
+    give_back()
+    jvm = spark.sparkContext._jvm
+    with contextlib.suppress(Py4JError):  # other JVMs have no such command
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        beans.invoke(jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -70,11 +88,6 @@ def lean(run):
     """run, a function over a task's batches, which hands the memory that its worker has no use for back to
     the system before and after: workers outlive their tasks, and allocators keep what is free."""
 
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
-
     def own(batches):
         give_back()
         try:
