@@ -551,3 +551,35 @@ def test_near_dedup_keeps_what_its_result_reads(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten eleven {i % 3}") for i in range(30)], "doc_id long, text string")
     n, rows = _left(monkeypatch, tmp_path, lambda: near_dedup.near_dedup(docs, width=2))
     assert n <= 4 and {r.component_id for r in rows} == {0}  # sizes, families, links, roots
+
+
+def bins(lang, scores, labels):
+    """Counts by language and place on the grid of log odds."""
+    import pandas as pd
+
+    x = np.floor(np.log(np.asarray(scores) / (1 - np.asarray(scores))) * toxicity.GRID).astype(np.int64)
+    return pd.DataFrame({"lang": lang, "bin": x, "n": 1, "hits": labels}).groupby(["lang", "bin"], as_index=False).sum()
+
+
+def test_thresholds_of_small_languages_follow_all_rows():
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    m = toxicity.start(np.zeros((2, toxicity.BUCKETS)), 900, 100)
+    many = bins("en", [*r.uniform(0.01, 0.4, 900), *r.uniform(0.6, 0.99, 100)], [0] * 900 + [1] * 100)
+    few = bins("fr", [*r.uniform(0.001, 0.3, 60), 0.002, 0.9, 0.91, 0.92, 0.93], [0] * 60 + [1] * 5)  # best F1 alone might reach down to 0.002
+    loud = bins("de", [*r.uniform(0.3, 0.9, 500), *r.uniform(0.85, 0.99, 50)], [0] * 500 + [1] * 50)
+    toxicity.calibrate(m, pd.concat([many, few, loud]))
+    assert m.thresholds["fr"] == m.default > 0.3
+    assert 0.4 < m.thresholds["en"] <= 0.7
+    for lang, own in (("en", many), ("fr", few), ("de", loud)):
+        place = np.log(m.thresholds[lang] / (1 - m.thresholds[lang])) * toxicity.GRID
+        false = own[own["bin"] >= place - 1e-6]
+        clean = (own["n"] - own["hits"]).sum()
+        assert (false["n"] - false["hits"]).sum() <= max(1, toxicity.MOST_FALSE * clean)
+
+
+def test_thresholds_without_a_label_stay():
+    m = toxicity.start(np.zeros((2, toxicity.BUCKETS)), 10, 1)
+    toxicity.calibrate(m, bins("en", [0.2, 0.3], [0, 0]))
+    assert m.default == 0.5 and not m.thresholds
