@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
+from leafwork.functions.intervals import placed
 from leafwork.functions.text import words
 
 PAGE = ["doc_id", "page_number"]
 
 
 def pairs(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    a, b = found.alias("a"), truth.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (g.iou("a", "b") >= g.real(least))
-    return a.join(b, on).select(*[F.col(f"a.{k}") for k in PAGE], F.col("a.line_idx"), F.col("b.truth_idx"), F.round(g.iou("a", "b"), 9).alias("iou"))
+    """(page, line_idx, truth_idx, iou) of boxes that overlap by that much; least is over 0. Two boxes
+    overlap in y only if one begins within the other, so pairs come from two such joins."""
+    sides = (placed(found, truth, PAGE, "y1", "y2", "y1"), "a", "b"), (placed(truth, found, PAGE, "y1", "y2", "y1").where("b.y1 > a.y1"), "b", "a")
+    near = [p.where(g.iou(f, t) >= g.real(least)).select(*[F.col(f"{f}.{k}") for k in PAGE], F.col(f"{f}.line_idx"), F.col(f"{t}.truth_idx"), F.round(g.iou(f, t), 9).alias("iou")) for p, f, t in sides]
+    return near[0].unionByName(near[1])
 
 
 def any_match(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:

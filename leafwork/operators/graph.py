@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
 from leafwork.functions import text as t
+from leafwork.functions.intervals import overlapping
 from leafwork.functions.islands import anchored
 
 PAGE = ["doc_id", "page_number"]
@@ -21,26 +22,58 @@ def nodes(lines: DataFrame) -> DataFrame:
                        d(F.col("y2") - F.col("y1")).alias("height"), "text", "confidence", "page_width", "page_height")
 
 
-def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85) -> DataFrame:
-    """(page, src, dst, relation, weight) between nodes of a page; an array of relations per pair."""
+RELATIONS = ("BELOW", "ADJACENT", "RIGHT_OF", "SAME_COLUMN", "SAME_ROW", "INSIDE", "CONTAINS")
+
+
+def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85, only: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """(page, src, dst, relation, weight) between nodes of a page, of the relations in only.
+
+    Boxes below each other, or in each other, overlap in x, and those beside each other in y; so two
+    sweeps over the boxes' sides find all pairs that may have a relation, and no others are looked at.
+    """
     slim = n.select(*NODE, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
-    a, b = slim.alias("a"), slim.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (F.col("a.node") != F.col("b.node"))
     both = g.intersection("a", "b")
     solid = (g.area("a") > 0) & (g.area("b") > 0)
     in_a, in_b = solid & (both / g.area("a") >= g.real(inside)), solid & (both / g.area("b") >= g.real(inside))
-    ox = g.overlap_share(F.col("a.x1"), F.col("a.x2"), F.col("b.x1"), F.col("b.x2"))
-    oy = g.overlap_share(F.col("a.y1"), F.col("a.y2"), F.col("b.y1"), F.col("b.y2"))
-    v, h = F.col("b.y1") - F.col("a.y2"), F.col("b.x1") - F.col("a.x2")
-    one = lambda when, name, weight: F.when(when, F.struct(F.lit(name).alias("relation"), weight.alias("weight")))
-    below, right = (ox > g.real(0.3)) & (v >= 0) & (v <= g.real(near)), (oy > g.real(0.3)) & (h >= 0) & (h <= g.real(2 * near))
-    open_ = F.array(
-        one(below, "BELOW", v + g.real(1)), one(below, "ADJACENT", v + g.real(1)), one(right, "RIGHT_OF", h + g.real(1)),
-        one(ox > g.real(0.5), "SAME_COLUMN", F.abs(g.centre_y("a") - g.centre_y("b"))), one(oy > g.real(0.5), "SAME_ROW", F.abs(g.centre_x("a") - g.centre_x("b"))),
-    )
-    rel = F.when(in_a, F.array(one(F.lit(True), "INSIDE", g.real(0.1)))).when(in_b, F.array(one(F.lit(True), "CONTAINS", g.real(0.1)))).otherwise(open_)
-    e = a.join(b, on).select(*[F.col(f"a.{k}") for k in PAGE], F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.explode(F.filter(rel, lambda x: x.isNotNull())).alias("r"))
-    return e.select(*PAGE, "src", "dst", "r.relation", F.round("r.weight", 6).alias("weight"))
+
+    def found(axis: str, direct: Column, rows: Column) -> DataFrame:
+        """Pairs that overlap along the axis, with their relations: structs (turned, relation, weight)."""
+        p = overlapping(slim, PAGE, f"{axis}1", f"{axis}2", "node")
+        share = g.overlap_share(F.col(f"a.{axis}1"), F.col(f"a.{axis}2"), F.col(f"b.{axis}1"), F.col(f"b.{axis}2"))
+        p = p.withColumns({"_share": share, "_in_a": in_a, "_in_b": in_b}).where(direct)
+        pairs = p.select(*[F.col(f"a.{k}") for k in PAGE], F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.explode(rows).alias("r")).where("r is not null")
+        turned = F.col("r.turned")
+        return pairs.select(*PAGE, F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), "r.relation", F.round("r.weight", 6).alias("weight"))
+
+    def both_ways(when: Column, name: str, weight: Column) -> list[Column]:
+        return [one(when, name, weight, turned) for turned in (False, True)]
+
+    def one(when: Column, name: str, weight: Column, turned: bool) -> Column:
+        return F.when(when, F.struct(F.lit(turned).alias("turned"), F.lit(name).alias("relation"), weight.alias("weight")))
+
+    def gap(axis: str, far: float, *names: str) -> list[Column]:
+        out = []
+        for turned, (p, q) in ((False, "ab"), (True, "ba")):
+            d = F.col(f"{q}.{axis}1") - F.col(f"{p}.{axis}2")
+            out += [one((F.col("_share") > g.real(0.3)) & (d >= 0) & (d <= g.real(far)), k, d + g.real(1), turned) for k in names if k in only]
+        return out
+
+    apart, sides = ~F.col("_in_a") & ~F.col("_in_b"), []
+    within = [
+        *([one(F.col("_in_a"), "INSIDE", g.real(0.1), False), one(F.col("_in_b"), "INSIDE", g.real(0.1), True)] if "INSIDE" in only else []),
+        *([one(F.col("_in_b") & ~F.col("_in_a"), "CONTAINS", g.real(0.1), False), one(F.col("_in_a") & ~F.col("_in_b"), "CONTAINS", g.real(0.1), True)] if "CONTAINS" in only else []),
+    ]
+    column = gap("y", near, "BELOW", "ADJACENT") + (both_ways(F.col("_share") > g.real(0.5), "SAME_COLUMN", F.abs(g.centre_y("a") - g.centre_y("b"))) if "SAME_COLUMN" in only else [])
+    row = gap("x", 2 * near, "RIGHT_OF") + (both_ways(F.col("_share") > g.real(0.5), "SAME_ROW", F.abs(g.centre_x("a") - g.centre_x("b"))) if "SAME_ROW" in only else [])
+    if column or within:
+        some = F.col("_share") > g.real(0.3)
+        sides.append(found("x", (F.col("_in_a") | F.col("_in_b") | some) if within else apart & some, F.when(apart, F.array(*column)).otherwise(F.array(*within)) if column and within else F.array(*(column or within))))
+    if row:
+        sides.append(found("y", apart & (F.col("_share") > g.real(0.3)), F.array(*row)))
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def orphan_links(n: DataFrame, e: DataFrame) -> DataFrame:

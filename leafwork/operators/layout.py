@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
+from leafwork.functions.components import components
+from leafwork.functions.intervals import overlapping, placed
 from leafwork.functions.islands import islands
 
 PAGE = ["doc_id", "page_number"]
@@ -106,34 +108,36 @@ def reading_order(lines: DataFrame, column: Column | None = None) -> DataFrame:
 
 
 def collisions(boxes: DataFrame, pad_x: int = 4, pad_y: int = 6, cell: int | None = None) -> DataFrame:
-    """Padded boxes that overlap: pressure on each box, the push away from its neighbours, their ids.
-
-    The pair is sought on its page, or with cell (pixels) in the cells that both touch, and kept only in
-    the first of these; both give the same rows, and cells bound the work on pages with very many boxes.
-    """
+    """Padded boxes that overlap: pressure on each box, the push away from its neighbours, their ids. Only
+    boxes that overlap in y are looked at as pairs, or with cell those that touch one band of so many
+    pixels, where the pair is kept in the first one that both touch; both give the same rows."""
     v = boxes.select(
         *PAGE, "word_idx", "x1", "y1", "x2", "y2",
         F.greatest(F.lit(0), F.col("x1") - pad_x).alias("vx1"), F.greatest(F.lit(0), F.col("y1") - pad_y).alias("vy1"),
         F.least("page_width", F.col("x2") + pad_x).alias("vx2"), F.least("page_height", F.col("y2") + pad_y).alias("vy2"),
     )
-    keys = list(PAGE)
-    if cell:
-        keys += ["gy"]
-        v = v.withColumn("fy", F.floor(F.col("vy1") / cell)).withColumn("gy", F.explode(F.sequence(F.floor(F.col("vy1") / cell), F.floor(F.col("vy2") / cell))))
-    a, b = v.alias("a"), v.alias("b")
     w = F.least("a.vx2", "b.vx2") - F.greatest("a.vx1", "b.vx1")
     h = F.least("a.vy2", "b.vy2") - F.greatest("a.vy1", "b.vy1")
-    on = (F.col("a.word_idx") != F.col("b.word_idx")) & (w > 0) & (h > 0)
-    for k in keys:
-        on &= F.col(f"a.{k}") == F.col(f"b.{k}")
+
+    def pushed(p: str, q: str) -> Column:
+        dx, dy = g.centre_x(p) - g.centre_x(q), g.centre_y(p) - g.centre_y(q)
+        across = F.abs(dx) > F.abs(dy)
+        return F.struct(
+            F.col(f"{p}.word_idx").alias("word_idx"), F.col(f"{q}.word_idx").alias("other"), (w * h).alias("over"),
+            F.when(across, F.when(dx > 0, w).otherwise(-w)).otherwise(0).alias("fx"), F.when(across, 0).otherwise(F.when(dy > 0, h).otherwise(-h)).alias("fy"),
+        )
+
     if cell:
-        on &= F.col("a.gy") == F.greatest("a.fy", "b.fy")
-    dx, dy = g.centre_x("a") - g.centre_x("b"), g.centre_y("a") - g.centre_y("b")
-    across = F.abs(dx) > F.abs(dy)
-    p = a.join(b, on).select(
-        *[F.col(f"a.{k}") for k in PAGE], F.col("a.word_idx"), F.col("b.word_idx").alias("other"), (w * h).alias("over"),
-        F.when(across, F.when(dx > 0, w).otherwise(-w)).otherwise(0).alias("fx"), F.when(across, 0).otherwise(F.when(dy > 0, h).otherwise(-h)).alias("fy"),
-    )
+        band = lambda c: F.floor(F.col(c) / cell)
+        v = v.withColumn("fy", band("vy1")).withColumn("gy", F.explode(F.sequence(band("vy1"), band("vy2"))))
+        on = (F.col("a.word_idx") < F.col("b.word_idx")) & (F.col("a.gy") == F.greatest("a.fy", "b.fy"))
+        for k in [*PAGE, "gy"]:
+            on &= F.col(f"a.{k}") == F.col(f"b.{k}")
+        met = v.alias("a").join(v.alias("b"), on)
+    else:
+        met = overlapping(v, PAGE, "vy1", "vy2", "word_idx")
+    met = met.where((w > 0) & (h > 0))
+    p = met.select(*[F.col(f"a.{k}") for k in PAGE], F.explode(F.array(pushed("a", "b"), pushed("b", "a"))).alias("p")).select(*PAGE, "p.*")
     s = p.groupBy(*PAGE, "word_idx").agg(F.sum("over").alias("over"), F.sum("fx").alias("fx"), F.sum("fy").alias("fy"), F.array_sort(F.collect_list("other")).alias("neighbours"))
     one = F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     return boxes.join(s, [*PAGE, "word_idx"], "left").select(
@@ -166,46 +170,25 @@ def table_candidates(lines: DataFrame, min_rows: int = 3, min_cols: int = 2, tol
 
 
 def region_graph(lines: DataFrame, share: float = 0.08) -> DataFrame:
-    """(page, src, dst) of lines whose gap is at most a share of the page, looked for in nearby cells."""
+    """(page, src, dst) of lines whose gap is at most a share of the page, of those in nearby cells. Only
+    lines no further from each other in y than that are looked at as pairs."""
     d = F.greatest(F.lit(10), (F.greatest("page_width", "page_height") * g.real(share)).cast("int"))
     n = lines.withColumn("d", d).withColumn("cell", F.greatest(F.lit(20), F.floor(F.col("d") / 3)))
-    n = n.withColumn("gx", F.floor(g.centre_x().cast("int") / F.col("cell"))).withColumn("gy", F.floor(g.centre_y().cast("int") / F.col("cell"))).select(*PAGE, "line_idx", "x1", "y1", "x2", "y2", "d", "cell", "gx", "gy")
-    a, b = n.alias("a"), n.alias("b")
+    n = n.withColumn("gx", F.floor(g.centre_x().cast("int") / F.col("cell"))).withColumn("gy", F.floor(g.centre_y().cast("int") / F.col("cell"))).select(*PAGE, "line_idx", "x1", "y1", "x2", "y2", (F.col("y2") + F.col("d")).alias("reach"), "d", "cell", "gx", "gy")
+    later = (F.col("b.y1") > F.col("a.y1")) | (F.col("b.line_idx") > F.col("a.line_idx"))
     radius = F.floor(F.col("a.d") / F.col("a.cell")) + 1
-    on = (F.col("a.line_idx") != F.col("b.line_idx")) & (F.abs(F.col("a.gx") - F.col("b.gx")) <= radius) & (F.abs(F.col("a.gy") - F.col("b.gy")) <= radius)
-    on &= F.greatest(-g.overlap_x("a", "b"), -g.overlap_y("a", "b")) <= F.col("a.d")
-    for k in PAGE:
-        on &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    return a.join(b, on).select(*[F.col(f"a.{k}") for k in PAGE], F.col("a.line_idx").alias("src"), F.col("b.line_idx").alias("dst"))
+    close = (F.abs(F.col("a.gx") - F.col("b.gx")) <= radius) & (F.abs(F.col("a.gy") - F.col("b.gy")) <= radius) & (F.greatest(-g.overlap_x("a", "b"), -g.overlap_y("a", "b")) <= F.col("a.d"))
+    met = placed(n, n, PAGE, "y1", "reach", "y1").where(later & close).select(*[F.col(f"a.{k}") for k in PAGE], F.col("a.line_idx").alias("i"), F.col("b.line_idx").alias("j"))
+    ends = lambda s, t: F.struct(F.col(s).alias("src"), F.col(t).alias("dst"))
+    return met.select(*PAGE, F.explode(F.array(ends("i", "j"), ends("j", "i"))).alias("e")).select(*PAGE, "e.*")
 
 
 def page_components(nodes: DataFrame, edges: DataFrame, ordinal: str = "line_idx", name: str = "cluster_id") -> DataFrame:
-    """nodes with the number of their component, numbered by first node. One group is one page."""
-    e = edges.groupBy(*PAGE).agg(F.collect_list(F.struct("src", "dst")).alias("e"))
-    p = nodes.groupBy(*PAGE).agg(F.collect_list(ordinal).alias("n")).join(e, PAGE, "left")
-
-    def label(batches):
-        for b in batches:
-            out = []
-            for doc, page, n, e in zip(b["doc_id"], b["page_number"], b["n"], b["e"]):
-                root = {int(x): int(x) for x in n}
-
-                def find(x: int, root=root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for x in e if e is not None else ():
-                    s, t = find(x["src"]), find(x["dst"])
-                    root[max(s, t)] = min(s, t)
-                rank: dict[int, int] = {}
-                for x in sorted(root):
-                    out.append((doc, page, x, rank.setdefault(find(x), len(rank))))
-            yield pd.DataFrame(out, columns=[*PAGE, ordinal, name])
-
-    kinds = f"doc_id {nodes.schema['doc_id'].dataType.simpleString()}, page_number int, {ordinal} int, {name} int"
-    return p.mapInPandas(label, kinds)
+    """nodes with the number of their component, numbered by first node."""
+    root = components(edges, PAGE).withColumnRenamed("node", ordinal)
+    own = nodes.select(*PAGE, ordinal).join(root, [*PAGE, ordinal], "left").withColumn("_root", F.coalesce("root", ordinal))
+    number = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_root")) - 1
+    return own.select(*PAGE, F.col(ordinal).cast("int").alias(ordinal), number.cast("int").alias(name))
 
 
 def paragraph_clusters(lines: DataFrame, gap_share: float = 0.03, align_share: float = 0.05) -> DataFrame:

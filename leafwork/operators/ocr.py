@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
+from leafwork.functions.intervals import placed
 from leafwork.functions.islands import joined
 from leafwork.functions.text import strip
 
@@ -33,11 +34,12 @@ def cleaned(boxes: DataFrame) -> DataFrame:
 
 def matched(lines: DataFrame, boxes: DataFrame, keep: float = 0.0) -> DataFrame:
     """lines (with reading_order) and the boxes whose centre is in them, first line in order wins: text
-    joined in the boxes' order, mean confidence; a line without boxes has an empty text and 0."""
+    joined in the boxes' order, mean confidence; a line without boxes has an empty text and 0. A centre is
+    held against the lines whose rows it lies in alone."""
     b = ocr_order(centroids(boxes.where(strip(F.coalesce("text", F.lit(""))) != ""))).select(*PAGE, "box_idx", "ocr_order", "text", "confidence", "cx", "cy")
-    inside = F.col("cx").between(F.col("x1"), F.col("x2")) & F.col("cy").between(F.col("y1"), F.col("y2"))
     held = lines.select(*PAGE, "line_idx", "reading_order", "x1", "y1", "x2", "y2")
-    own = b.join(held, PAGE).where(inside).groupBy(*PAGE, "box_idx", "ocr_order", "text", "confidence").agg(F.min(F.struct("reading_order", "line_idx")).alias("to"))
+    met = placed(held, b, PAGE, "y1", "y2", "cy").where(F.col("b.cx").between(F.col("a.x1"), F.col("a.x2")))
+    own = met.groupBy(*[F.col(f"b.{k}").alias(k) for k in (*PAGE, "box_idx", "ocr_order", "text", "confidence")]).agg(F.min(F.struct("a.reading_order", "a.line_idx")).alias("to"))
     per = own.groupBy(*PAGE, F.col("to.line_idx").alias("line_idx")).agg(joined(F.collect_list(F.struct("ocr_order", "text")), " ").alias("ocr_text"), F.round(F.avg("confidence"), 6).alias("ocr_confidence"), F.count("*").alias("n_boxes"))
     out = held.join(per, [*PAGE, "line_idx"], "left").select(*PAGE, "line_idx", "reading_order", F.coalesce("ocr_text", F.lit("")).alias("ocr_text"), F.coalesce("ocr_confidence", g.real(0)).alias("ocr_confidence"), F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"))
     return out.where(F.col("ocr_confidence") >= g.real(keep)) if keep > 0 else out

@@ -38,9 +38,12 @@ def millionths(column: Column) -> Column:
     return F.round(column * g.real(1e6)) / g.real(1e6)
 
 
-def total(values: Column) -> Column:
-    """Sum of an array from left to right, so that its last digits don't hang on the order in which rows arrive."""
-    return F.aggregate(values, g.real(0), lambda acc, v: acc + v)
+def mean(values: Column) -> Column:
+    """Mean of an array of numbers of six digits, itself of six, halves up: a sum of whole millionths, so
+    that it doesn't hang on the order of rows. Null for an empty array."""
+    n = F.size(values)
+    whole = F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + F.round(v * g.real(1e6)).cast("long"))
+    return F.when(n > 0, F.floor((2 * whole + n) / (2 * n)) / g.real(1e6))
 
 
 def blocks_of(grouped: DataFrame, kind: str, order: list[str], sep: str, column: Column) -> DataFrame:
@@ -51,9 +54,8 @@ def blocks_of(grouped: DataFrame, kind: str, order: list[str], sep: str, column:
         column.alias("column_id"),
     )
     known = F.filter(F.transform("s", lambda v: v["confidence"]), lambda v: v.isNotNull())
-    mean = millionths(total(known) / F.nullif(F.size(known), F.lit(0)))
     return b.select(*PAGE, F.lit(kind).alias("block_type"), "block_no", F.array_join(F.transform("s", lambda v: v["text"]), sep).alias("text"), "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("d") - F.col("y")).alias("height"),
-                    "column_id", role(F.col("column_id")).alias("layout_role"), F.transform("s", lambda v: v["node"]).alias("children"), mean.alias("confidence"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
+                    "column_id", role(F.col("column_id")).alias("layout_role"), F.transform("s", lambda v: v["node"]).alias("children"), mean(known).alias("confidence"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
 
 
 def headings(n: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def tables(n: DataFrame, e: DataFrame, gap: float = 40.0) -> DataFrame:
     r = table_rows(n, e).groupBy(*PAGE, "row_no").agg(
         F.min("y").alias("y"), F.max(F.col("y") + F.col("height")).alias("d"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("r"),
         F.array_sort(F.collect_list(F.struct("x", "node", "text", "confidence"))).alias("cells"), F.count("*").alias("k"),
-    ).withColumn("conf", total(F.transform("cells", lambda c: F.coalesce(c["confidence"], g.real(0)))))
+    ).withColumn("conf", F.transform("cells", lambda c: F.coalesce(c["confidence"], g.real(0))))
     w = Window.partitionBy(*PAGE).orderBy("y", "row_no")
     grouped = islands(r, PAGE, ["y", "row_no"], F.col("y") - F.lag("d").over(w) >= g.real(gap), "run")
     whole = grouped.groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list(F.struct("y", "row_no", "cells", "conf"))).alias("s"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("r").alias("r"), F.max("d").alias("d"), F.sum("k").alias("k")).where(F.size("s") >= 2)
@@ -82,7 +84,7 @@ def tables(n: DataFrame, e: DataFrame, gap: float = 40.0) -> DataFrame:
     no = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("run")) - 1).cast("int")
     return whole.withColumn("table_rows", cells).select(
         *PAGE, F.lit("table").alias("block_type"), no.alias("block_no"), F.array_join(F.transform("table_rows", lambda v: F.array_join(v, " | ")), "\n").alias("text"), "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("d") - F.col("y")).alias("height"),
-        F.lit(-1).alias("column_id"), F.lit("full_width").alias("layout_role"), F.flatten(F.transform("s", lambda v: F.transform(v["cells"], lambda c: c["node"]))).alias("children"), millionths(total(F.transform("s", lambda v: v["conf"])) / F.col("k")).alias("confidence"), "table_rows",
+        F.lit(-1).alias("column_id"), F.lit("full_width").alias("layout_role"), F.flatten(F.transform("s", lambda v: F.transform(v["cells"], lambda c: c["node"]))).alias("children"), mean(F.flatten(F.transform("s", lambda v: v["conf"]))).alias("confidence"), "table_rows",
     )
 
 

@@ -51,7 +51,7 @@ def ledger_nodes(spark: SparkSession, sf: str) -> DataFrame:
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks in order. Nodes, edges and blocks are tables: each class of block reads them again."""
     n = written(nodes(spark, sf))
-    return structure.ordered(written(structure.build(n, written(graph.edges(n).where("relation = 'SAME_ROW'")))))
+    return structure.ordered(written(structure.build(n, written(graph.edges(n, only=("SAME_ROW",))))))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,16 +140,16 @@ QUERIES = {
     "ocr_batches": lambda s, d: ocr.batches(_lines(s, d).withColumn("px", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 16, 60_000),
     "graph_nodes": lambda s, d: graph.nodes(_decorated_lines(s, d)).drop("page_width", "page_height"),
     "graph_edges": lambda s, d: graph.edges(graph.nodes(_decorated_lines(s, d))),
-    "graph_inverse_edges": lambda s, d: graph.inverse(graph.edges(graph.nodes(_decorated_lines(s, d)))),
+    "graph_inverse_edges": lambda s, d: graph.inverse(graph.edges(graph.nodes(_decorated_lines(s, d)), only=("BELOW", "RIGHT_OF"))),
     "graph_orphans": lambda s, d: graph.orphan_links(n := graph.nodes(_decorated_lines(s, d)), graph.edges(n)),
     "graph_neighbours": lambda s, d: graph.neighbours(n := graph.nodes(_decorated_lines(s, d)), graph.edges(n)),
     "graph_column_centres": lambda s, d: graph.column_centres(graph.nodes(_decorated_lines(s, d))),
     "graph_columns": lambda s, d: nodes(s, d).select(*PAGE, "node", "column_id", "num_columns"),
     "graph_order": lambda s, d: graph.banded_order(nodes(s, d)),
-    "graph_labels": lambda s, d: graph.labels(n := nodes(s, d), graph.edges(n)),
+    "graph_labels": lambda s, d: graph.labels(n := nodes(s, d), graph.edges(n, only=("BELOW", "SAME_ROW"))),
     "structure_headings": lambda s, d: structure.headings(nodes(s, d)).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "confidence"),
-    "structure_table_rows": lambda s, d: structure.table_rows(n := ledger_nodes(s, d), graph.edges(n)).select(*PAGE, "node", "row_no"),
-    "structure_tables": lambda s, d: structure.tables(n := ledger_nodes(s, d), graph.edges(n)).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "confidence"),
+    "structure_table_rows": lambda s, d: structure.table_rows(n := ledger_nodes(s, d), graph.edges(n, only=("SAME_ROW",))).select(*PAGE, "node", "row_no"),
+    "structure_tables": lambda s, d: structure.tables(n := ledger_nodes(s, d), graph.edges(n, only=("SAME_ROW",))).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "confidence"),
     "structure_key_values": lambda s, d: structure.key_values(nodes(s, d)).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "confidence"),
     "structure_lists": lambda s, d: structure.lists(nodes(s, d)).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "column_id", "layout_role"),
     "structure_paragraphs": lambda s, d: structure.paragraphs(nodes(s, d)).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "column_id", "layout_role"),
@@ -162,14 +162,14 @@ QUERIES = {
     "structure_table_grid": lambda s, d: structure.table_grid(pages.ledger_words(pages.table(s, d, "orders")).withColumnRenamed("word_idx", "line_idx")),
     "structure_merged_tokens": lambda s, d: structure.merged_tokens(structure.tokens(blocks(s, d))),
     "typography_solved": lambda s, d: solved_sizes(s, d).select(*PAGE, "token_id", "block_type", "font", "weight", "spacing", "align", "wrap", "status"),
-    "typography_tables": lambda s, d: typography.solved(structure.tokens(structure.tables(n := ledger_nodes(s, d), graph.edges(n)).withColumn("block_order", F.col("block_no")).withColumn("width", F.col("width") * (F.col("page_number") % 5) / 8))).select(*PAGE, "token_id", "font", "wrap", "status"),
+    "typography_tables": lambda s, d: typography.solved(structure.tokens(structure.tables(n := ledger_nodes(s, d), graph.edges(n, only=("SAME_ROW",))).withColumn("block_order", F.col("block_no")).withColumn("width", F.col("width") * (F.col("page_number") % 5) / 8))).select(*PAGE, "token_id", "font", "wrap", "status"),
     "typography_tree": lambda s, d: typography.tree(simple_tokens(s, d)),
     "typography_viewer": lambda s, d: typography.viewer_offsets(_lines(s, d).groupBy(*PAGE).agg(F.first("page_height").alias("page_height"))),
     "export_txt": lambda s, d: sinks.txt(mixed_tokens(s, d)),
     "export_markdown": lambda s, d: sinks.markdown(mixed_tokens(s, d)),
     "export_docx_commands": lambda s, d: sinks.docx_commands(mixed_tokens(s, d)),
     "export_json": lambda s, d: sinks.json_documents(tokens(s, d)),
-    "export_table_cells": lambda s, d: sinks.table_cells(structure.tokens(structure.tables(n := ledger_nodes(s, d), graph.edges(n)).withColumn("block_order", F.col("block_no")))),
+    "export_table_cells": lambda s, d: sinks.table_cells(structure.tokens(structure.tables(n := ledger_nodes(s, d), graph.edges(n, only=("SAME_ROW",))).withColumn("block_order", F.col("block_no")))),
     "export_draw_commands": lambda s, d: sinks.draw_commands(mixed_tokens(s, d)),
     "export_overlays": lambda s, d: sinks.overlays(_ordered(s, d)),
     "export_violations": lambda s, d: sinks.violations(simple_tokens(s, d).withColumn("width", F.when(F.col("block_order") % 9 == 0, 0).otherwise(F.col("width")))),
@@ -216,9 +216,9 @@ _DECORATED = """SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM (S
 _D = {"src": _DECORATED}
 _ORDERED = "SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y1, x1, -((x2 - x1) * (y2 - y1)), region_id, line_idx) - 1 AS reading_order FROM lines"
 _STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
-_OCR = f""", o AS ({_ORDERED}), b0 AS (SELECT *, word_idx % 3 - 1 AS d FROM words),
- b AS (SELECT doc_id, page_number, word_idx AS box_idx, text, confidence, ((x1 + d) + (x2 + d)) / 2.0::DOUBLE AS cx, ((y1 + d) + (y2 + d)) / 2.0::DOUBLE AS cy, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY round_even((y1 + d) / 10.0::DOUBLE, 0) * 10, x1 + d, word_idx) - 1 AS ocr_order FROM b0),
- m AS (SELECT b.doc_id, b.page_number, box_idx, any_value(b.text) AS text, any_value(b.confidence) AS confidence, any_value(ocr_order) AS ocr_order, arg_min(line_idx, reading_order) AS line_idx FROM b JOIN o ON b.doc_id = o.doc_id AND b.page_number = o.page_number AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2 GROUP BY ALL),
+_OCR = f""", o AS MATERIALIZED ({_ORDERED}), b0 AS (SELECT *, word_idx % 3 - 1 AS d FROM words),
+ b AS MATERIALIZED (SELECT doc_id, page_number, word_idx AS box_idx, text, confidence, ((x1 + d) + (x2 + d)) / 2.0::DOUBLE AS cx, ((y1 + d) + (y2 + d)) / 2.0::DOUBLE AS cy, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY round_even((y1 + d) / 10.0::DOUBLE, 0) * 10, x1 + d, word_idx) - 1 AS ocr_order FROM b0),
+ m AS MATERIALIZED (SELECT b.doc_id, b.page_number, box_idx, any_value(b.text) AS text, any_value(b.confidence) AS confidence, any_value(ocr_order) AS ocr_order, arg_min(line_idx, reading_order) AS line_idx FROM b JOIN o ON b.doc_id * 1000000 + b.page_number = o.doc_id * 1000000 + o.page_number AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2 GROUP BY ALL),
  rec AS (SELECT o.doc_id, o.page_number, o.line_idx, reading_order, coalesce(t, '') AS ocr_text, coalesce(c, 0) AS ocr_confidence, coalesce(n, 0) AS n_boxes FROM o LEFT JOIN (SELECT doc_id, page_number, line_idx, string_agg(text, ' ' ORDER BY ocr_order) AS t, round(avg(confidence), 6) AS c, count(*) AS n FROM m GROUP BY ALL) USING (doc_id, page_number, line_idx))
  """
 _NODES = f""", n AS MATERIALIZED (SELECT doc_id, page_number, line_idx AS node, 'p' || page_number || '-' || line_idx AS node_id, x1::DOUBLE AS x, y1::DOUBLE AS y, (x2 - x1)::DOUBLE AS width, (y2 - y1)::DOUBLE AS height, {_STRIP.format('text')} AS text, confidence FROM lines WHERE {_STRIP.format('text')} <> '')
@@ -271,9 +271,9 @@ _LED = {"lines": "SELECT *, word_idx AS line_idx FROM ledger"}
 _ROWS = """, comp AS (SELECT doc_id, page_number, node, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY y) - 1 AS row_no FROM n)
  """
 _TAB = """SELECT doc_id, page_number, 0 AS block_no, string_agg(line, chr(10) ORDER BY y) AS text, min(x) AS x, min(y) AS y, max(r) - min(x) AS width, max(d) - min(y) AS height, 0.9::DOUBLE AS confidence FROM (SELECT doc_id, page_number, y, string_agg(text, ' | ' ORDER BY x) AS line, min(x) AS x, max(x + width) AS r, max(y + height) AS d FROM n GROUP BY doc_id, page_number, y) GROUP BY doc_id, page_number HAVING count(*) >= 2"""
-_PAIRS = """, tr AS (SELECT doc_id, page_number, line_idx AS truth_idx, x1 + line_idx % 5 * 3 AS x1, y1, x2 + line_idx % 5 * 3 AS x2, y2 FROM lines WHERE line_idx % 11 <> 0),
- ov AS (SELECT a.doc_id, a.page_number, a.line_idx, b.truth_idx, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM lines a JOIN tr b ON a.doc_id = b.doc_id AND a.page_number = b.page_number),
- pr AS (SELECT doc_id, page_number, line_idx, truth_idx, round(i / (s - i)::DOUBLE, 9) AS iou FROM ov WHERE i / (s - i)::DOUBLE >= 0.5::DOUBLE),
+_PAIRS = """, tr AS MATERIALIZED (SELECT doc_id, page_number, line_idx AS truth_idx, x1 + line_idx % 5 * 3 AS x1, y1, x2 + line_idx % 5 * 3 AS x2, y2 FROM lines WHERE line_idx % 11 <> 0),
+ ov AS (SELECT a.doc_id, a.page_number, a.line_idx, b.truth_idx, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM lines a JOIN tr b ON a.doc_id * 1000000 + a.page_number = b.doc_id * 1000000 + b.page_number AND a.y1 < b.y2 AND b.y1 < a.y2),
+ pr AS MATERIALIZED (SELECT doc_id, page_number, line_idx, truth_idx, round(i / (s - i)::DOUBLE, 9) AS iou FROM ov WHERE i / (s - i)::DOUBLE >= 0.5::DOUBLE),
  am AS (SELECT l.doc_id, l.page_number, coalesce(tp, 0) AS tp, n - coalesce(tp, 0) AS fp, coalesce(m, 0) - coalesce(hit, 0) AS fn FROM (SELECT doc_id, page_number, count(*) AS n, count_if(line_idx % 11 <> 0) AS m FROM lines GROUP BY ALL) l LEFT JOIN (SELECT doc_id, page_number, count(DISTINCT line_idx) AS tp, count(DISTINCT truth_idx) AS hit FROM pr GROUP BY ALL) USING (doc_id, page_number))
  """
 
@@ -296,11 +296,11 @@ def _banded(src: str, tolerance: int, wide: str, name: str) -> str:
  """
 
 
-_KIDS = ", list(node ORDER BY {}, node) AS children, round(avg(confidence), 6) AS confidence, NULL::VARCHAR[][] AS table_rows"
+_KIDS = ", list(node ORDER BY {}, node) AS children, (2 * sum(round(confidence * 1000000)::BIGINT) + count(confidence)) // (2 * count(confidence)) / 1000000::DOUBLE AS confidence, NULL::VARCHAR[][] AS table_rows"
 _ALL_BLOCKS = f""", ncm AS MATERIALIZED (SELECT * FROM nc), hd AS (SELECT *, (length(text) < 80 AND (width > 0.55::DOUBLE * 800 OR ({_UP} AND length(text) > 2))) AS is_h FROM ncm), rest AS (SELECT * FROM hd WHERE NOT is_h),
- rw AS (SELECT doc_id, page_number, y, max(y + height) AS d, min(x) AS x, max(x + width) AS r, list(text ORDER BY x, node) AS cells, list(node ORDER BY x, node) AS kids, sum(confidence) AS conf, count(*) AS k FROM rest GROUP BY doc_id, page_number, y HAVING count(*) >= 2),
+ rw AS (SELECT doc_id, page_number, y, max(y + height) AS d, min(x) AS x, max(x + width) AS r, list(text ORDER BY x, node) AS cells, list(node ORDER BY x, node) AS kids, sum(round(coalesce(confidence, 0) * 1000000)::BIGINT) AS conf, count(*) AS k FROM rest GROUP BY doc_id, page_number, y HAVING count(*) >= 2),
  rn AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page_number ORDER BY y) AS run FROM (SELECT *, CASE WHEN y - lag(d) OVER (PARTITION BY doc_id, page_number ORDER BY y) < 40 THEN 0 ELSE 1 END AS b FROM rw)),
- tb AS MATERIALIZED (SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY run) - 1 AS block_no, list(cells ORDER BY y) AS rows, flatten(list(kids ORDER BY y)) AS children, min(x) AS x, min(y) AS y, max(r) AS r, max(d) AS d, round(sum(conf) / sum(k), 6) AS confidence FROM rn GROUP BY doc_id, page_number, run HAVING count(*) >= 2),
+ tb AS MATERIALIZED (SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY run) - 1 AS block_no, list(cells ORDER BY y) AS rows, flatten(list(kids ORDER BY y)) AS children, min(x) AS x, min(y) AS y, max(r) AS r, max(d) AS d, (2 * sum(conf) + sum(k)) // (2 * sum(k)) / 1000000::DOUBLE AS confidence FROM rn GROUP BY doc_id, page_number, run HAVING count(*) >= 2),
  rest2 AS MATERIALIZED (SELECT * FROM rest ANTI JOIN (SELECT doc_id, page_number, unnest(children) AS node FROM tb) USING (doc_id, page_number, node)),
  bl AS (SELECT doc_id, page_number, 'heading' AS block_type, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY node) - 1 AS block_no, text, x, y, width, height, -1 AS column_id, 'full_width' AS layout_role, [node] AS children, round(confidence, 6) AS confidence, NULL::VARCHAR[][] AS table_rows FROM hd WHERE is_h
   UNION ALL SELECT doc_id, page_number, 'table', block_no, array_to_string(list_transform(rows, lambda c: array_to_string(c, ' | ')), chr(10)), x, y, r - x, d - y, -1, 'full_width', children, confidence, rows FROM tb
@@ -335,7 +335,7 @@ ORACLES = {
     "structure_headings": _with(_NODES, f"SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY node) - 1 AS block_no, text, x, y, width, height, confidence FROM n WHERE length(text) < 80 AND (width > 0.55::DOUBLE * 800 OR ({_UP} AND length(text) > 2))", "lines", swap=_D),
     "structure_table_rows": _with(_NODES + _ROWS, "SELECT doc_id, page_number, node, row_no FROM comp", "ledger", "lines", swap=_LED),
     "structure_tables": _with(_NODES, _TAB, "ledger", "lines", swap=_LED),
-    "structure_key_values": _rec(_NODES + _CENTRES, _blocks(_KV, "y, x", 30, "chr(10)", False, ", round(avg(confidence), 6) AS confidence"), "lines", swap=_D),
+    "structure_key_values": _rec(_NODES + _CENTRES, _blocks(_KV, "y, x", 30, "chr(10)", False, ", (2 * sum(round(confidence * 1000000)::BIGINT) + count(confidence)) // (2 * count(confidence)) / 1000000::DOUBLE AS confidence"), "lines", swap=_D),
     "structure_lists": _rec(_NODES + _CENTRES, _blocks(_LIST, "column_id, y", 25, "chr(10)", True, _ROLE), "lines", swap=_D),
     "structure_paragraphs": _rec(_NODES + _CENTRES, _blocks("true", "column_id, y, x", 30, "' '", True, _ROLE), "lines", swap=_D),
     "graph_order": _rec(_NODES + _CENTRES + ", ncm AS MATERIALIZED (SELECT * FROM nc)" + _banded("ncm", 15, "num_columns > 1 AND width / CASE WHEN span > 0 THEN span ELSE 1 END > 0.6::DOUBLE", "go"), "SELECT doc_id, page_number, node, band, place AS resolved_order FROM go", "lines", swap=_D),

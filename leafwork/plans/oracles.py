@@ -36,7 +36,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "hit": (("lines", "cols"), "SELECT l.*, c.boundaries, (x1 + x2) / 2.0::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE AS cy, list_position(list_transform(c.boundaries, lambda b: (x1 + x2) / 2.0::DOUBLE <= b + 0.015::DOUBLE * 800), true) AS h FROM lines l JOIN cols c USING (doc_id, page_number)"),
     "direct": (("hit",), """SELECT *, boundaries[h] AS b, CASE WHEN coalesce(h, 0) = 0 THEN len(boundaries) WHEN cx < boundaries[h] - 0.015::DOUBLE * 800 THEN h - 1
         WHEN greatest(0, boundaries[h] - x1) > 1.5::DOUBLE * greatest(0, x2 - boundaries[h]) THEN h - 1 WHEN greatest(0, x2 - boundaries[h]) > 1.5::DOUBLE * greatest(0, boundaries[h] - x1) THEN h END AS direct FROM hit"""),
-    "vote": (("direct",), """SELECT a.doc_id, a.page_number, a.line_idx, arg_min(CASE WHEN o.cx < a.b THEN a.h - 1 ELSE a.h END, abs(a.cy - o.cy) * 1000000 + o.line_idx) AS v FROM direct a JOIN direct o ON a.doc_id = o.doc_id AND a.page_number = o.page_number
+    "vote": (("direct",), """SELECT a.doc_id, a.page_number, a.line_idx, arg_min(CASE WHEN o.cx < a.b THEN a.h - 1 ELSE a.h END, abs(a.cy - o.cy) * 1000000 + o.line_idx) AS v FROM direct a JOIN direct o ON a.doc_id * 1000000 + a.page_number = o.doc_id * 1000000 + o.page_number
         AND a.line_idx <> o.line_idx AND abs(o.cx - a.b) > 0.015::DOUBLE * 800 AND abs(a.cy - o.cy) < 200 WHERE a.direct IS NULL GROUP BY ALL"""),
     "assigned": (("direct", "vote"), "SELECT d.* EXCLUDE (boundaries, cx, cy, h, b, direct), coalesce(direct, v, h - 1)::INT AS column_id FROM direct d LEFT JOIN vote USING (doc_id, page_number, line_idx)"),
     "ordered": (("assigned",), "SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY column_id, y1, x1, -((x2 - x1) * (y2 - y1)), region_id, line_idx) - 1 AS reading_order FROM assigned"),
@@ -47,7 +47,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rows": (("cells",), "SELECT doc_id, page_number, row_band, max(col_band) + 1 AS k, min(y1) AS top FROM cells GROUP BY ALL"),
     "tables": (("rows",), """SELECT doc_id, page_number, count(*)::INT AS n_rows, count(*) >= 3 AND count_if(k >= 2) >= greatest(3, count(*) * 0.6::DOUBLE) AND (coalesce(avg(gap), 0) <= 0 OR round(stddev_pop(gap) / avg(gap), 9) <= 0.45::DOUBLE) AS table_candidate
         FROM (SELECT *, lead(top) OVER (PARTITION BY doc_id, page_number ORDER BY row_band) - top AS gap FROM rows) GROUP BY doc_id, page_number"""),
-    "graph": (("lines",), """SELECT a.doc_id, a.page_number, a.line_idx AS src, b.line_idx AS dst FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.line_idx <> b.line_idx
+    "graph": (("lines",), """SELECT a.doc_id, a.page_number, a.line_idx AS src, b.line_idx AS dst FROM lines a JOIN lines b ON a.doc_id * 1000000 + a.page_number = b.doc_id * 1000000 + b.page_number AND a.line_idx <> b.line_idx
         AND abs(trunc((a.x1 + a.x2) / 2.0::DOUBLE)::INT // 29 - trunc((b.x1 + b.x2) / 2.0::DOUBLE)::INT // 29) <= 4 AND abs(trunc((a.y1 + a.y2) / 2.0::DOUBLE)::INT // 29 - trunc((b.y1 + b.y2) / 2.0::DOUBLE)::INT // 29) <= 4
         AND greatest(greatest(a.x1, b.x1) - least(a.x2, b.x2), greatest(a.y1, b.y1) - least(a.y2, b.y2)) <= 88"""),
     "pad": (("gated",), "SELECT *, greatest(0, x1 - 4) AS vx1, greatest(0, y1 - 6) AS vy1, least(800, x2 + 4) AS vx2, least(1100, y2 + 6) AS vy2 FROM gated"),
@@ -62,7 +62,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 #: Parts that several others read.
-HELD = {"words", "gated", "lines", "direct"}
+HELD = {"words", "gated", "lines", "cols", "hit", "direct", "vote"}
 
 
 def sql(query: str, *needs: str, swap: dict[str, str] | None = None) -> str:
