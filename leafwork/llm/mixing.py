@@ -48,7 +48,7 @@ def permuted(i: Column, n: Column, keys: Column) -> Column:
     def turn(x: Column, key: Column) -> Column:
         d = key["sum"] - x
         other = F.when(d < 0, d + n).otherwise(d)
-        bit = lambda top: F.shiftright(stirred(stirred(key["mark"], top.bitwiseAND(PRIME)), F.shiftright(top, 31)), 16).bitwiseAND(1)
+        bit = lambda top: F.shiftright(stirred(key["mark"] + FACTOR * F.shiftright(top, 31), top.bitwiseAND(PRIME)), 16).bitwiseAND(1)
         return F.when(F.get(F.transform(F.array(F.greatest(x, other)), bit), F.lit(0)) == 1, other).otherwise(x)
 
     return F.aggregate(keys, i, turn)
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("_text"))
-    rows = laid_out(base, [F.col("source").asc_nulls_last(), F.col("id").asc_nulls_last(), F.col("size").asc(), F.col("_text").asc()], "row")
+    rows = laid_out(written(base, spark), [F.col("source").asc_nulls_last(), F.col("id").asc_nulls_last(), F.col("size").asc(), F.col("_text").asc()], "row")
 
     sources = written(shares(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, share, cap, block), spark)
     named = rows.join(sources.select(F.col("source").alias("_s"), "sid"), F.col("source").eqNullSafe(F.col("_s"))).select("row", "id", "source", "size", "sid")
@@ -189,7 +189,7 @@ i AS (SELECT sid, n_full, greatest(1, n_full) AS n, rank // n_blocks AS e, rank
 k AS (SELECT sid, e, list({_STIR(_BASE, "1")} * {PRIME + 1} + {_STIR(_BASE, "2")} ORDER BY r) AS keys
       FROM (SELECT sid, unnest(range({CAP + 1})) AS e FROM s8), (SELECT unnest(range({ROUNDS})) AS r) GROUP BY sid, e),
 p AS (SELECT sid, take, CASE WHEN i >= n_full THEN i ELSE list_reduce(keys, lambda x, k: CASE
-        WHEN ({_STIR(_STIR(f"k % {PRIME}", f"({_TOP} & {PRIME})"), f"({_TOP} >> 31)")} >> 16) & 1 = 1 THEN (k % n + n - x) % n ELSE x END, i) END AS idx
+        WHEN ({_STIR(f"k % {PRIME} + {FACTOR} * ({_TOP} >> 31)", f"({_TOP} & {PRIME})")} >> 16) & 1 = 1 THEN (k % n + n - x) % n ELSE x END, i) END AS idx
       FROM i JOIN k USING (sid, e)),
 o AS (SELECT doc_id, size, sid, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
         row_number() OVER (ORDER BY sid, doc_id, size) AS rn FROM d JOIN s0 ON d.source IS NOT DISTINCT FROM s0.source),
