@@ -22,8 +22,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that never hold main text, and those that don't unless the article is in them.
-NEVER = RAW | {"nav", "footer", "aside", "head", "button", "select", "option", "datalist", "input", "menu", "dialog", "svg", "object", "embed", "canvas", "audio", "video", "map", "label", "search"}
+NEVER = RAW | {"nav", "footer", "aside", "head", "button", "select", "option", "datalist", "input", "menu", "dialog", "svg", "object", "embed", "canvas", "audio", "video", "map", "search"}
 SELDOM = {"form", "fieldset"}
+#: A label in one of these is part of a sentence.
+SENTENCE = {"p", "li", "td", "th", "dd", "dt", "blockquote", "figcaption", "span", "em", "strong", "b", "i", "a", "code", "cite", "q", "sub", "sup"} | HEADING
+#: Elements of running text.
+PROSE = {"p", "blockquote", "pre"}
 #: Words in class, id or role that mark what stands beside an article; the weak ones can also be names
 #: of an article's own sections, so that inside one they don't count in an id.
 _WORDS = r"(?:^|[\s_-])(?:{})(?=$|[\s_-]|\d)"
@@ -33,6 +37,13 @@ BESIDE = re.compile(_WORDS.format(
     r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|outbrain|taboola|popup|modal|overlay|cookies?|consent|gdpr|newsletter|subscri\w*|signup|login|paywall|nav|navbar|navigation|menu|menus|breadcrumbs?|pagination|pager"
     r"|sidebar|sidebars|widgets?|share|sharing|social|footer|foot|copyright|complementary|contentinfo|dialog|toolbar"), re.I)
 WEAK = re.compile(_WORDS.format(r"notices?|notification|alert|toc|side|aside|rail|related|recommend\w*|popular|trending|more-\w+|see-also|read-next|teasers?|discussion|reviews?|follow|legal|disclaimer|tags|skip|search"), re.I)
+#: Classes and roles that mark such things inside an article too, as whole words. Words that only match the
+#: patterns above may be a section's name there: that goes if its text is mostly links, or mostly outside
+#: paragraphs.
+PLAIN = re.compile(
+    r"ads?|advert\w*|adsense|ad-(?:slot|unit|box|banner|container|wrapper)|sponsor(?:ed|s)?|promo(?:s|tions?)?|outbrain|taboola|newsletter(?:-(?:signup|form|box))?|subscribe|subscription|sign-?up|login|paywall"
+    r"|share|sharing|share-(?:bar|buttons?|links?|tools)|social|social-(?:share|sharing|links?|bar|buttons?|media)|(?:cookies?|consent|gdpr)(?:-\w+)*|popup|modal|dialog|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager"
+    r"|sidebars?|widgets?|toolbar|footer|copyright|complementary|contentinfo|banner|notices?|notification|toc|related(?:-(?:posts?|articles?|links?|stories|content))?|recommended|trending|teasers?|skip-link", re.I)
 GOOD = re.compile(r"article|post|entry|content|story|main|text|body", re.I)
 SPACE = re.compile(r"\s+")
 #: A start tag of the left closes an open element of the right.
@@ -43,7 +54,7 @@ DEPTH = 512
 
 class Node:
     """why: what speaks against the element itself: "", "never", "hidden", "header" (a page's), "top",
-    "readers" or "beside"; skip says whether it or one above is left out."""
+    "readers", "beside" or "perhaps"; skip says whether it or one above is left out."""
 
     __slots__ = ("tag", "hint", "parent", "kids", "depth", "inside", "why", "skip", "size", "text", "linked", "score")
 
@@ -67,7 +78,7 @@ def _judge(tag: str, attrs: str, parent: Node) -> tuple[str, str]:
         elif key in ("class", "id", "role"):
             named[key] = value
     hint = " ".join(named.values())
-    if tag in NEVER:
+    if tag in NEVER or (tag == "label" and parent.tag not in SENTENCE):
         return hint, "never"
     if hide:
         return hint, "hidden"
@@ -83,8 +94,10 @@ def _judge(tag: str, attrs: str, parent: Node) -> tuple[str, str]:
     if READERS.search(hint):
         return hint, "readers"
     weak = " ".join(v for k, v in named.items() if k != "id") if parent.inside else hint
-    if BESIDE.search(hint) or WEAK.search(weak):
+    if parent.inside and any(map(PLAIN.fullmatch, weak.split())):
         return hint, "beside"
+    if BESIDE.search(hint) or WEAK.search(weak):
+        return hint, "perhaps" if parent.inside else "beside"
     return hint, "top" if TOP.search(weak) else ""
 
 
@@ -187,13 +200,23 @@ def parse(page: str) -> list[Node]:
 
 def left_out(nodes: list[Node], strict: bool = True) -> None:
     """Mark what is left out. A wrapper stays if most of the page's text and the article's headline or
-    element are in it; a headline's wrapper stays in an article. Not strict: only what never counts."""
+    element are in it; a headline's wrapper stays in an article, and so does a section of paragraphs
+    whose name only might speak against it. Not strict: only what never counts."""
     never = ("never", "hidden", "header") if strict else ("never", "hidden")
     holds: dict[int, str] = {}
+    linked: dict[int, int] = {}
+    prose: dict[int, int] = {}
+    dull = lambda n: 2 * linked.get(id(n), 0) > n.size or 2 * prose.get(id(n), 0) < n.size
     for n in reversed(nodes):
         n.size += sum(len(k.strip()) for k in n.kids if isinstance(k, str))
         if n.why in never:
             continue
+        for sums, own in ((linked, n.tag == "a"), (prose, n.tag in PROSE or n.tag in HEADING)):
+            got = n.size if own else sums.get(id(n), 0)
+            if got:
+                sums[id(n)] = got
+                if n.parent:
+                    sums[id(n.parent)] = sums.get(id(n.parent), 0) + got
         if n.tag in ("main", "h1") or (n.tag == "article" and not n.why):
             holds[id(n)] = "h1" if n.tag == "h1" else holds.get(id(n), n.tag)
         if n.parent:
@@ -202,7 +225,7 @@ def left_out(nodes: list[Node], strict: bool = True) -> None:
                 holds[id(n.parent)] = holds[id(n)]
     whole = nodes[0].size
     for n in nodes:
-        stays = not n.why or (n.why not in never and (not strict or (id(n) in holds and n.why != "readers" and (2 * n.size > whole or (n.why == "top" and (n.inside or GOOD.search(n.hint)))))))
+        stays = not n.why or (n.why == "perhaps" and not dull(n)) or (n.why not in never and (not strict or (id(n) in holds and n.why != "readers" and (2 * n.size > whole or (n.why == "top" and (n.inside or GOOD.search(n.hint)))))))
         n.skip = not stays or (n.parent is not None and n.parent.skip)
 
 

@@ -57,11 +57,15 @@ def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+#: The score of a place that no row has taken.
+NONE = np.iinfo(np.int64).min
+
+
 def search(tree: dict, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(queries, k) best ids and scores of this shard; id -1 where there are fewer. Candidates under
+    """(queries, k) best ids and scores of this shard; NONE is the score where there are fewer. Candidates under
     a query's floor may be missing; floor rises in place to the k-th best score seen."""
     n = len(q)
-    best_s = np.full((n, k), np.iinfo(np.int64).min)
+    best_s = np.full((n, k), NONE)
     best_i = np.full((n, k), np.iinfo(np.int64).max)
     size = np.linalg.norm(q.astype(np.float64), axis=1)
     slack = 1e-9 * (1 + size * (np.linalg.norm(tree["centre"], axis=1).max() + tree["radius"].max()))
@@ -82,7 +86,7 @@ def search(tree: dict, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.
                 nxt += [(tree["left"][node], who), (tree["right"][node], who)]
         level = nxt
     if not found:
-        return np.full((n, k), -1), best_s
+        return best_i, best_s
     who = np.concatenate([w for w, _, _ in found])
     node = np.concatenate([np.full(len(w), m) for w, m, _ in found])
     bound = np.concatenate([b for _, _, b in found])
@@ -107,13 +111,13 @@ def search(tree: dict, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.
             own = who[part]
             s = product(q[own], x[rows])
             i = np.broadcast_to(ids[rows], s.shape)
-            s = np.where(i == q_ids[own, None], np.iinfo(np.int64).min, s)
-            s, i = np.concatenate([best_s[own], s], axis=1), np.concatenate([best_i[own], np.where(s == np.iinfo(np.int64).min, np.iinfo(np.int64).max, i)], axis=1)
-            keep = np.lexsort((i, -s.astype(np.float64) if np.abs(s[s > np.iinfo(np.int64).min]).max(initial=0) < 2**53 else ~s), axis=1)[:, :k]
+            s = np.where(i == q_ids[own, None], NONE, s)
+            s, i = np.concatenate([best_s[own], s], axis=1), np.concatenate([best_i[own], np.where(s == NONE, np.iinfo(np.int64).max, i)], axis=1)
+            keep = np.lexsort((i, -s.astype(np.float64) if np.abs(s[s > NONE]).max(initial=0) < 2**53 else ~s), axis=1)[:, :k]
             best_s[own], best_i[own] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
             floor[own] = np.maximum(floor[own], best_s[own, k - 1])
         at, width = at + width, width * 2
-    return np.where(best_s == np.iinfo(np.int64).min, -1, best_i), best_s
+    return best_i, best_s
 
 
 def whole(vector: Column, scale: int) -> Column:
@@ -188,7 +192,7 @@ def top_k(points: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
                     i, s = search(t, t["ids"], t["x"].astype(np.int64), q_ids[own], q[own], f, k)
                     if not home:
                         floor[dim][own] = f
-                    r, c = np.nonzero(i != -1) if i.size else (np.zeros(0, int),) * 2
+                    r, c = np.nonzero(s != NONE)
                     yield pd.DataFrame({"query_id": q_ids[own][r], "vec_id": i[r, c], "score": s[r, c]})
 
         floors: dict[int, int] = {}

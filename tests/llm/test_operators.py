@@ -583,3 +583,58 @@ def test_thresholds_without_a_label_stay():
     m = toxicity.start(np.zeros((2, toxicity.BUCKETS)), 10, 1)
     toxicity.calibrate(m, bins("en", [0.2, 0.3], [0, 0]))
     assert m.default == 0.5 and not m.thresholds
+
+
+SECTION = "<h2>Named</h2><p>This part of the article has sentences of its own, and they are long enough to be read.</p>"
+
+
+@pytest.mark.parametrize("name", ["discussion", "reviews", "legal", "tags", "share-prices", "social-history", "follow-up", "popular-science", "overlay", "recommend", "side-effects", "menu-engineering", "footnotes"])
+def test_html_sections_of_an_article_stay(name):
+    own = WANT + ["Named", SECTION[SECTION.index("<p>") + 3 : -4]]
+    for page in (f"<body><article>{HEAD}{BODY}<section class='{name}'>{SECTION}</section></article>", f"<main>{HEAD}{BODY}<div class='{name}' id='{name}'>{SECTION}</div></main>"):
+        assert html_extract.main_text(page).split("\n\n") == own
+
+
+@pytest.mark.parametrize("name", ["ad", "advertisement", "sponsored", "newsletter", "newsletter-signup", "share-bar", "social-share", "comments", "cookie-notice", "notice", "sidebar", "related-posts"])
+def test_html_adverts_in_an_article_go(name):
+    assert html_extract.main_text(f"<body><article>{HEAD}{BODY}<section class='{name}'>{SECTION}</section></article>").split("\n\n") == WANT
+
+
+@pytest.mark.parametrize("inner", ["<h2>Tags</h2><a href=a>physics</a>, <a href=b>mathematics</a>", "<ul><li>physics<li>mathematics</ul>", "<p><a href=a>Read the next one, which is long</a></p>"])
+def test_html_lists_beside_the_text_go(inner):
+    assert html_extract.main_text(f"<body><article>{HEAD}{BODY}<div class='tags'>{inner}</div></article>").split("\n\n") == WANT
+
+
+@pytest.mark.parametrize("name", ["discussion", "reviews", "popular-science", "recommend", "overlay"])
+def test_html_sections_beside_an_article_go(name):
+    assert html_extract.main_text(f"<body><article>{HEAD}{BODY}</article><section class='{name}'>{SECTION}</section>").split("\n\n") == WANT
+
+
+def test_html_labels():
+    page = f"<article>{HEAD}{BODY}<p>Tick the <label>small box</label> below.</p><label>Menu</label></article>"
+    assert html_extract.main_text(page).split("\n\n") == [*WANT, "Tick the small box below."]
+
+
+def test_html_empty_and_clashing(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert html_extract.extract_text(spark.createDataFrame([], schema)).count() == 0
+    out = html_extract.extract_text(spark.createDataFrame([(1, "u", "<p>A, b</p>", "other", 9)] * 2, schema)).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in out] == [(1, "A, b", 4)] * 2
+
+
+def test_top_k_of_any_ids(spark):
+    rng = np.random.default_rng(9)
+    ids = [-1, 0, 50, 3, 4, -50, -100, 2**62, -(2**63), *range(1000, 1090)]
+    v = rng.integers(-3, 4, (len(ids), 4)) / 4
+    d = spark.createDataFrame([(i, x.tolist(), 1, 2.0, 3) for i, x in zip(ids, v)] + [(-1, v[0].tolist(), 1, 2.0, 3)], "vec_id long, embedding array<double>, rank int, score double, query_id int")
+    for rows in (10, 1000):
+        got = {}
+        for r in topk.top_k(d, F.col("vec_id") % 50 == 0, shard_rows=rows).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        q = np.floor(256 * v).astype(np.int64)
+        for j, i in enumerate(ids):
+            if i % 50 == 0:
+                top = sorted((-int(q[k] @ q[j]), o) for k, o in enumerate(ids) if o != i)[:5]
+                assert sorted(got.pop(i)) == [(n + 1, o, -s) for n, (s, o) in enumerate(top)]
+        assert not got
+    assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
