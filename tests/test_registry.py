@@ -49,7 +49,7 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
 
 
 @needs_data
-@pytest.mark.parametrize("name, most", [("layout_reading_order", 6), ("structure_blocks", 9), ("evaluate_one_to_one", 2)])
+@pytest.mark.parametrize("name, most", [("layout_reading_order", 6), ("structure_blocks", 9), ("evaluate_one_to_one", 6)])
 def test_scans(spark, name, most):
     """What several branches read is a table; the documents themselves are read once before."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
