@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.operators import contours
+
 #: Blur scores that part the tiers, and what a tier changes in a profile.
 TIERS = ((300.0, "blurred"), (700.0, "low_quality"), (1000.0, "normal"))
 OVERRIDES: dict[str, dict] = {
@@ -323,35 +325,35 @@ def ordered_corners(quad: Column) -> Column:
     return F.array(best(lambda p: p["x"] + p["y"]), best(lambda p: p["y"] - p["x"]), best(lambda p: -p["x"] - p["y"]), best(lambda p: p["x"] - p["y"]))
 
 
-def page_corners(img: np.ndarray, least: float = 0.2, full: float = 0.85) -> np.ndarray | None:
-    """Corners (x, y) of the bright page on a darker ground, in order; None unless the bright part nearly
-    fills the quadrilateral of its outermost points and that is a fifth of the picture."""
+def page_corners(img: np.ndarray, least: float = contours.LEAST) -> np.ndarray | None:
+    """Corners (x, y) of the document in a picture, in order, by its outline; None if none of the largest
+    outlines is a quadrilateral of at least that share of the picture."""
     g = gray(img)
-    y, x = np.nonzero(g > otsu(g))
-    if not len(x):
+    if min(g.shape) < 3:
         return None
-    at = [np.argmin(x + y), np.argmin(y - x), np.argmax(x + y), np.argmax(y - x)]
-    q = np.stack([x[at], y[at]], axis=1).astype(np.float64)
-    nxt = np.roll(q, -1, axis=0)
-    size = abs((q[:, 0] * nxt[:, 1] - nxt[:, 0] * q[:, 1]).sum()) / 2
-    return q if size >= least * g.size and len(x) >= full * size and size < 0.98 * (g.shape[0] - 1) * (g.shape[1] - 1) else None
+    return contours.document(g, gaussian(g, 5), least)
 
 
 def flattened(img: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The page seen from above, and whether it was found; else the picture as it is."""
+    """The document seen from above, by linear interpolation, and whether it was found; else the picture
+    as it is."""
     q = page_corners(img)
     if q is None:
         return gray(img), False
-    w = max(2, round(max(np.hypot(*(q[1] - q[0])), np.hypot(*(q[2] - q[3])))))
-    h = max(2, round(max(np.hypot(*(q[3] - q[0])), np.hypot(*(q[2] - q[1])))))
+    w = max(2, int(max(np.hypot(*(q[1] - q[0])), np.hypot(*(q[2] - q[3])))))
+    h = max(2, int(max(np.hypot(*(q[3] - q[0])), np.hypot(*(q[2] - q[1])))))
     target = [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)]
     rows = [r for (u, v), (a, b) in zip(target, q) for r in ([u, v, 1, 0, 0, 0, -a * u, -a * v], [0, 0, 0, u, v, 1, -b * u, -b * v])]
     m = np.append(np.linalg.solve(np.array(rows, dtype=np.float64), q.reshape(-1)), 1).reshape(3, 3)
     v, u = np.mgrid[0:h, 0:w]
     d = m[2, 0] * u + m[2, 1] * v + 1
-    sx, sy = (m[0, 0] * u + m[0, 1] * v + m[0, 2]) / d, (m[1, 0] * u + m[1, 1] * v + m[1, 2]) / d
-    g = gray(img)
-    return g[np.clip(np.rint(sy).astype(int), 0, g.shape[0] - 1), np.clip(np.rint(sx).astype(int), 0, g.shape[1] - 1)], True
+    g = gray(img).astype(np.float64)
+    x, y = (np.clip((m[k, 0] * u + m[k, 1] * v + m[k, 2]) / d, 0, g.shape[1 - k] - 1) for k in (0, 1))
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    x1, y1 = np.minimum(x0 + 1, g.shape[1] - 1), np.minimum(y0 + 1, g.shape[0] - 1)
+    fx, fy = x - x0, y - y0
+    out = (g[y0, x0] * (1 - fx) + g[y0, x1] * fx) * (1 - fy) + (g[y1, x0] * (1 - fx) + g[y1, x1] * fx) * fy
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8), True
 
 
 def prepared(img: np.ndarray, p) -> tuple[np.ndarray, list[str], float]:
@@ -396,35 +398,8 @@ def prepared(img: np.ndarray, p) -> tuple[np.ndarray, list[str], float]:
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Numbers from 1 of the 8-connected parts of a mask, and how many: row runs joined by least label."""
-    h, w = mask.shape
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    root = np.arange(len(row))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    first = np.searchsorted(row, np.arange(h + 1))
-    for y in range(1, h):
-        i, j = first[y - 1], first[y]
-        while i < first[y] and j < first[y + 1]:
-            if a[i] <= b[j] and a[j] <= b[i]:
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-            if b[i] < b[j]:
-                i += 1
-            else:
-                j += 1
-    roots = np.array([find(i) for i in range(len(root))], dtype=int)
-    _, number = np.unique(roots, return_inverse=True)
-    out = np.zeros((h, w + 1), dtype=int)
-    np.add.at(out, (row, a), number + 1)
-    np.add.at(out, (row, b), -(number + 1))
-    return np.cumsum(out, axis=1)[:, :w], int(number.max()) + 1 if len(number) else 0
+    """Numbers from 1 of the 8-connected parts of a mask, and how many."""
+    return contours.parts(mask)
 
 
 def _ink(img: np.ndarray) -> np.ndarray:
