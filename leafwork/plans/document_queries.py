@@ -120,7 +120,7 @@ def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn against the one before it, as recognised text against truth."""
     c = pages.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("truth"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("truth").alias("found"))
-    return evaluate.wer(c.join(nxt, ["conv_id", "turn"])).select("conv_id", "turn", "errors", "n_words", "wer")
+    return evaluate.wer(c.join(nxt, ["conv_id", "turn"]))
 
 
 def solved_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,8 +176,10 @@ QUERIES = {
     "evaluate_pairs": lambda s, d: evaluate.pairs(*_truth(s, d)),
     "evaluate_any_match": lambda s, d: evaluate.any_match(*_truth(s, d)),
     "evaluate_one_to_one": lambda s, d: evaluate.one_to_one(*_truth(s, d)),
+    "evaluate_best_one_to_one": lambda s, d: evaluate.best_one_to_one(*_truth(s, d)),
     "evaluate_scores": lambda s, d: evaluate.scores(evaluate.any_match(*_truth(s, d))),
-    "evaluate_wer": conversation_pairs,
+    "evaluate_wer": lambda s, d: conversation_pairs(s, d).select("conv_id", "turn", "errors", "n_words", "wer"),
+    "evaluate_word_edits": lambda s, d: conversation_pairs(s, d).select("conv_id", "turn", "substitutions", "insertions", "deletions"),
     "telemetry_stage_metrics": lambda s, d: telemetry.stage_metrics(_states(s, d)),
     "telemetry_violations": lambda s, d: telemetry.violations(_states(s, d)),
     "telemetry_final_states": lambda s, d: telemetry.final_states(_states(s, d)),
