@@ -46,6 +46,25 @@ def final_states(states: DataFrame) -> DataFrame:
     return s.select("doc_id", F.col("m.state").alias("last_state"), state.alias("final_state"))
 
 
+def outcome(failed: bool, loaded: bool) -> str:
+    """The final state of a run by what it has been through, as `final_states` has it."""
+    return "FAILED" if failed else "COMPLETED" if loaded else "PARTIAL_FAILURE"
+
+
+def runs(states: DataFrame, silence_minutes: int = 60) -> DataFrame:
+    """(doc_id, run, last_state, final_state, n, illegal): a document's events fall into runs that a longer
+    silence parts; illegal counts those whose state may not follow the one before in the run."""
+    w = Window.partitionBy("doc_id").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = states.withColumn("_at", at).withColumns({"_gap": F.col("_at") - F.lag("_at").over(w), "_before": F.lag("state").over(w)})
+    e = e.withColumn("_new", F.coalesce(F.col("_gap") > silence_minutes * 60_000_000, F.lit(True))).withColumn("run", (F.sum(F.col("_new").cast("int")).over(w) - 1).cast("int"))
+    ok = F.array(*[F.lit(f"{a}>{b}") for a, b in ALLOWED])
+    bad = ~F.col("_new") & (F.col("_before") != F.col("state")) & ~F.array_contains(ok, F.concat_ws(">", "_before", "state"))
+    per = e.groupBy("doc_id", "run").agg(F.max(F.struct("ts", "event_id", "state")).alias("m"), F.count_if(F.col("state") == "FAILED").alias("fatal"), F.count_if(F.col("state") == "LOADED").alias("loaded"), F.count("*").alias("n"), F.count_if(bad).alias("illegal"))
+    final = F.when(F.col("fatal") > 0, outcome(True, True)).when(F.col("loaded") == 0, outcome(False, False)).otherwise(outcome(False, True))
+    return per.select("doc_id", "run", F.col("m.state").alias("last_state"), final.alias("final_state"), "n", "illegal")
+
+
 def durations(states: DataFrame) -> DataFrame:
     """Seconds from the first to the last event of each document's state."""
     return states.groupBy("doc_id", "state").agg((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("micros"))

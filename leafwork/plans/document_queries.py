@@ -185,6 +185,7 @@ QUERIES = {
     "telemetry_final_states": lambda s, d: telemetry.final_states(_states(s, d)),
     "telemetry_durations": lambda s, d: telemetry.durations(_states(s, d)),
     "telemetry_rollup": lambda s, d: telemetry.rolled_up(_states(s, d)),
+    "telemetry_runs": lambda s, d: telemetry.runs(_states(s, d), 24 * 60),
     "telemetry_batch": lambda s, d: telemetry.batch_outcome(telemetry.final_states(_states(s, d))),
     "stream_windows": lambda s, d: streams.windowed(pages.table(s, d, "events")),
     "image_tiers": lambda s, d: pages.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", images.tier(F.col("l_quantity") * 30).alias("tier"), images.denoise_decision(F.col("l_quantity") * 30, F.col("l_linenumber") % 2 == 0).alias("denoise")),
@@ -312,7 +313,12 @@ _ALL_BLOCKS = f""", ncm AS MATERIALIZED (SELECT * FROM nc), hd AS (SELECT *, (le
  bn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y, x, block_type, block_no) AS node FROM bl)
  """ + _banded("bn", 20, "layout_role = 'full_width'", "bo")
 _BLOCK_COLS = "doc_id, page_number, block_no, text, x, y, width, height"
+_OK = ", ".join(f"'{a}>{b}'" for a, b in telemetry.ALLOWED)
 ORACLES = {
+    "telemetry_runs": _STATES + f""", g AS (SELECT *, lag(state) OVER w AS before, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 24 * 3600 * 1000000::BIGINT, true) AS fresh FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)),
+ r AS (SELECT *, (sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1)::INT AS run FROM g)
+ SELECT doc_id, run, arg_max(state, (ts, event_id)) AS last_state, CASE WHEN count_if(state = 'FAILED') > 0 THEN 'FAILED' WHEN count_if(state = 'LOADED') = 0 THEN 'PARTIAL_FAILURE' ELSE 'COMPLETED' END AS final_state, count(*) AS n,
+ count_if(NOT fresh AND before <> state AND before || '>' || state NOT IN ({_OK}))::BIGINT AS illegal FROM r GROUP BY doc_id, run""",
     "files_extension_rule": r"""SELECT rejected, count(*) AS n FROM (SELECT CASE WHEN length(html) < 4 THEN 'unreadable' WHEN lower(regexp_extract(url, '(\.[^./]+)$', 1)) NOT IN ('.pdf', '.png', '.jpg', '.jpeg', '.tiff', '.bmp') THEN 'extension' WHEN length(html) / 1048576::DOUBLE > 0.005::DOUBLE THEN 'size' END AS rejected FROM pages) GROUP BY ALL""",
     "files_page_limit": sql("SELECT doc_id, count(DISTINCT page_number) AS page_count, 800 AS width, 1100 AS height FROM lines GROUP BY doc_id HAVING count(DISTINCT page_number) <= 2", "lines"),
     "ocr_boxes": _with(_OCR, "SELECT doc_id, page_number, box_idx, cx, cy FROM b", "lines"),
