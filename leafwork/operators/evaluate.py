@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import resource
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import edits
@@ -62,13 +63,29 @@ def best_one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5) -> D
     root = components(ends, PAGE).withColumnRenamed("root", "part")
     parts = p.withColumn("node", 2 * F.col("line_idx").cast("long")).join(root, [*PAGE, "node"]).drop("node")
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["line_idx", "truth_idx"], kind="stable")
-        number = lambda k: pd.factorize(rows[k])[0].tolist()
-        kept = heaviest(number("line_idx"), number("truth_idx"), [round(x * 1e9) for x in rows["iou"]])
-        return rows.iloc[kept].drop(columns="part")
-
-    return parts.groupBy(*PAGE, "part").applyInPandas(choose, p.schema)
+    of, names = [*PAGE, "part"], p.columns
+    held = parts.withColumn("_n", F.count("*").over(Window.partitionBy(*of)))
+    alone, rest = held.where("_n = 1").select(*p.columns), held.where("_n > 1").drop("_n")
+
+    def choose(rows: list[tuple]) -> list[tuple]:
+        number = lambda k: pd.factorize(pd.Series([r[k] for r in rows]))[0].tolist()
+        return [rows[k][:-1] for k in heaviest(number(2), number(3), [round(r[4] * 1e9) for r in rows])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.itertuples(index=False, name=None):
+                if own and (own[0][:2], own[0][-1]) != (r[:2], r[-1]):
+                    out += choose(own)
+                    own = []
+                own.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if own:
+            yield pd.DataFrame(choose(own), columns=names)
+
+    return alone.unionByName(rest.select(*p.columns, "part").repartition(*of).sortWithinPartitions(*of, "line_idx", "truth_idx").mapInPandas(run, p.schema))
 
 
 def scores(counts: DataFrame) -> DataFrame:
