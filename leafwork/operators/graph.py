@@ -9,6 +9,7 @@ from leafwork.functions import geometry as g
 from leafwork.functions import text as t
 from leafwork.functions.intervals import overlapping
 from leafwork.functions.islands import anchored
+from leafwork.functions.nearest import near
 
 PAGE = ["doc_id", "page_number"]
 NODE = [*PAGE, "node"]
@@ -77,13 +78,14 @@ def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85, only: tuple[st
 
 
 def orphan_links(n: DataFrame, e: DataFrame) -> DataFrame:
-    """Nodes without any edge, tied to the nearest centre."""
+    """Nodes without any edge, tied to the nearest centre: by distance to six digits, then by number."""
     used = e.select(*PAGE, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    lone = n.join(used, NODE, "left_anti").select(*NODE, (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy"))
-    other = n.select(*PAGE, F.col("node").alias("dst"), (F.col("x") + F.col("width") / 2).alias("ox"), (F.col("y") + F.col("height") / 2).alias("oy"))
+    at = n.select(*NODE, (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy"))
+    found = near(at, at.join(used, NODE, "left_anti"), PAGE, "node", "cx", "cy")
+    other = at.select(*PAGE, F.col("node").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     d = F.round(F.sqrt(F.pow(F.col("cx") - F.col("ox"), g.real(2)) + F.pow(F.col("cy") - F.col("oy"), g.real(2))), 6)
-    near = lone.join(other, PAGE).where("node <> dst").groupBy(*NODE).agg(F.min(F.struct(d.alias("w"), F.col("dst"))).alias("m"))
-    return near.select(*PAGE, F.col("node").alias("src"), F.col("m.dst").alias("dst"), F.lit("ADJACENT").alias("relation"), F.col("m.w").alias("weight"))
+    one = found.join(at, NODE).join(other, [*PAGE, "other"]).groupBy(*NODE).agg(F.min(F.struct(d.alias("w"), F.col("other").alias("dst"))).alias("m"))
+    return one.select(*PAGE, F.col("node").alias("src"), F.col("m.dst").alias("dst"), F.lit("ADJACENT").alias("relation"), F.col("m.w").alias("weight"))
 
 
 def inverse(e: DataFrame) -> DataFrame:

@@ -122,3 +122,33 @@ def test_a_page_of_a_million_edges(spark):
     e = e.where("src % 2 = dst % 2")
     got = cc.components(e, ["doc_id", "page_number"]).groupBy("root").count().collect()
     assert sorted((r.root, r["count"]) for r in got) == [(0, 1000), (1, 1000)]
+
+
+def test_nearest_looks_at_few():
+    from leafwork.functions import nearest
+
+    r = np.random.default_rng(7)
+    for xy in (r.random((20_000, 2)) * 1000, np.repeat(r.integers(0, 30, (500, 2)), 3, axis=0).astype(float), np.zeros((40, 2))):
+        t = nearest.Tree(xy)
+        asks = r.integers(0, len(xy), 60)
+        for i in asks:
+            d = np.hypot(*(xy - xy[i]).T)
+            d[i] = np.inf
+            assert sorted(t.nearest(xy[i], int(i))) == np.flatnonzero(d <= d.min() + nearest.EQUAL).tolist()
+        assert len(xy) < 10_000 or t.looked < 60 * 100
+    assert nearest.Tree(np.array([[1.0, 2.0]])).nearest(np.array([0.0, 0.0]), 0) == []
+
+
+def test_orphans(spark):
+    r = np.random.default_rng(8)
+    rows = [(d, 1, i, float(x), float(y), 4.0, 4.0) for d in (1, 2) for i, (x, y) in enumerate(r.integers(0, 40, (60, 2)) * 50)] + [(3, 1, 0, 1.0, 1.0, 2.0, 2.0)]
+    n = spark.createDataFrame(rows, NODES)
+    e = graph.edges(n, only=("BELOW", "RIGHT_OF"))
+    used = {(x.doc_id, k) for x in e.collect() for k in (x.src, x.dst)}
+    want = []
+    for d, _, i, x, y, *_ in rows:
+        rest = [(round(float(np.hypot(x - v[3], y - v[4])), 6), v[2]) for v in rows if v[0] == d and v[2] != i]
+        if (d, i) not in used and rest:
+            want.append((d, i, min(rest)[1], min(rest)[0]))
+    got = sorted((x.doc_id, x.src, x.dst, x.weight) for x in graph.orphan_links(n, e).collect())
+    assert len(want) > 10 and got == sorted(want)
