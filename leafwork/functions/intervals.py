@@ -18,23 +18,23 @@ def placed(wide: DataFrame, places: DataFrame, keys: list[str], lo: str, hi: str
     """The rows of wide and places, as aliases a and b, with equal keys and a.lo <= b.at <= a.hi.
 
     An interval stands in the one or two cells of its own size that it touches, and in more only if it is
-    wider than all cells; a place looks into one cell for each size that its key has. So what meets in a
-    cell is at most twice the interval's width away from it, whatever else the page holds, each pair meets
-    once, and a key with very many rows is spread over its cells. Neither side may have columns _level,
-    _cell or _levels; keys have to be equal as such, so nulls meet nothing.
+    wider than all cells; a place looks into one cell for each size that wide has (61 at most, asked for
+    when this is called). So what meets in a cell is at most twice the interval's width away from it,
+    whatever else the page holds, each pair meets once, and a key with very many rows is spread over its
+    cells. They meet by one hash of key, size and cell, so that sorting is cheap; equality is that of the
+    values. Neither side may have columns _level, _cell or _meet; nulls meet nothing.
     """
     size = F.pow(F.lit(2.0), F.col("_level"))
     cell = lambda x: F.floor(x / size)
+    meet = lambda df: df.withColumn("_meet", F.xxhash64(*keys, "_level", "_cell"))
     a = wide.where(F.col(lo) <= F.col(hi)).withColumn("_level", level(F.col(hi) - F.col(lo)))
-    levels = a.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.collect_set("_level").alias("_levels"))  # 61 at most
-    a = a.withColumn("_cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi))))).alias("a")
-    same = None
-    for i, k in enumerate(keys):
-        same = (F.col(k) == F.col(f"_k{i}")) if same is None else same & (F.col(k) == F.col(f"_k{i}"))
-    b = places.join(levels, same).withColumn("_level", F.explode("_levels")).withColumn("_cell", cell(F.col(at))).drop("_levels", *[f"_k{i}" for i in range(len(keys))]).alias("b")
-    on = (F.col(f"b.{at}") >= F.col(f"a.{lo}")) & (F.col(f"b.{at}") <= F.col(f"a.{hi}"))
+    sizes = F.array(*[F.lit(r[0]) for r in a.select("_level").distinct().orderBy("_level").collect()]).cast("array<int>")
+    a = meet(a.withColumn("_cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))).alias("a")
+    b = meet(places.withColumn("_level", F.explode(sizes)).withColumn("_cell", cell(F.col(at)))).alias("b")
+    on = (F.col("a._meet") == F.col("b._meet")) & (F.col(f"b.{at}") >= F.col(f"a.{lo}")) & (F.col(f"b.{at}") <= F.col(f"a.{hi}"))
     for k in [*keys, "_level", "_cell"]:
-        on &= F.col(f"a.{k}") == F.col(f"b.{k}")
+        # equal either way, but not as a key of the join
+        on &= ~(F.col(f"a.{k}") < F.col(f"b.{k}")) & ~(F.col(f"a.{k}") > F.col(f"b.{k}")) & F.col(f"a.{k}").isNotNull()
     return a.join(b, on)
 
 

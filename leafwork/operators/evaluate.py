@@ -21,8 +21,12 @@ PAGE = ["doc_id", "page_number"]
 
 
 def pairs(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """(page, line_idx, truth_idx, iou) of boxes that overlap by that much; least is over 0. Two boxes
-    overlap in y only if one begins within the other, so pairs come from two such joins."""
+    """(page, line_idx, truth_idx, iou) of boxes that overlap by that much; least is over 0. From a half on
+    the middle of a truth's rows lies in those of the box; below, one begins within the other, so that
+    pairs come from two joins."""
+    if least >= 0.5:
+        p = placed(found, truth.withColumn("_mid", g.centre_y()), PAGE, "y1", "y2", "_mid").where(g.iou("a", "b") >= g.real(least))
+        return p.select(*[F.col(f"a.{k}") for k in PAGE], "a.line_idx", "b.truth_idx", F.round(g.iou("a", "b"), 9).alias("iou"))
     sides = (placed(found, truth, PAGE, "y1", "y2", "y1"), "a", "b"), (placed(truth, found, PAGE, "y1", "y2", "y1").where("b.y1 > a.y1"), "b", "a")
     near = [p.where(g.iou(f, t) >= g.real(least)).select(*[F.col(f"{f}.{k}") for k in PAGE], F.col(f"{f}.line_idx"), F.col(f"{t}.truth_idx"), F.round(g.iou(f, t), 9).alias("iou")) for p, f, t in sides]
     return near[0].unionByName(near[1])

@@ -33,7 +33,7 @@ def _ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recognised(spark: SparkSession, sf: str) -> DataFrame:
-    words = pages.text_words(pages.table(spark, sf, "documents"))
+    words = written(pages.text_words(pages.table(spark, sf, "documents")))
     return ocr.matched(layout.reading_order(layout.textlines(layout.confidence_gate(words)), F.lit(0)), pages.ocr_boxes(words))
 
 
@@ -43,8 +43,13 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.assigned(n, graph.column_centres(n))
 
 
+def plain_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes without columns, written, as joins of pairs read them several times."""
+    return written(graph.nodes(_decorated_lines(spark, sf)))
+
+
 def ledger_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    n = graph.nodes(pages.ledger_words(pages.table(spark, sf, "orders")).withColumnRenamed("word_idx", "line_idx"))
+    n = written(graph.nodes(pages.ledger_words(pages.table(spark, sf, "orders")).withColumnRenamed("word_idx", "line_idx")))
     return n.withColumn("column_id", F.lit(0)).withColumn("num_columns", F.lit(1))
 
 
@@ -139,14 +144,14 @@ QUERIES = {
     "ocr_metrics": lambda s, d: ocr.metrics(recognised(s, d), 0.7),
     "ocr_batches": lambda s, d: ocr.batches(_lines(s, d).withColumn("px", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 16, 60_000),
     "graph_nodes": lambda s, d: graph.nodes(_decorated_lines(s, d)).drop("page_width", "page_height"),
-    "graph_edges": lambda s, d: graph.edges(graph.nodes(_decorated_lines(s, d))),
-    "graph_inverse_edges": lambda s, d: graph.inverse(graph.edges(graph.nodes(_decorated_lines(s, d)), only=("BELOW", "RIGHT_OF"))),
-    "graph_orphans": lambda s, d: graph.orphan_links(n := graph.nodes(_decorated_lines(s, d)), graph.edges(n)),
-    "graph_neighbours": lambda s, d: graph.neighbours(n := graph.nodes(_decorated_lines(s, d)), graph.edges(n)),
+    "graph_edges": lambda s, d: graph.edges(plain_nodes(s, d)),
+    "graph_inverse_edges": lambda s, d: graph.inverse(graph.edges(plain_nodes(s, d), only=("BELOW", "RIGHT_OF"))),
+    "graph_orphans": lambda s, d: graph.orphan_links(n := plain_nodes(s, d), graph.edges(n)),
+    "graph_neighbours": lambda s, d: graph.neighbours(n := plain_nodes(s, d), graph.edges(n)),
     "graph_column_centres": lambda s, d: graph.column_centres(graph.nodes(_decorated_lines(s, d))),
     "graph_columns": lambda s, d: nodes(s, d).select(*PAGE, "node", "column_id", "num_columns"),
     "graph_order": lambda s, d: graph.banded_order(nodes(s, d)),
-    "graph_labels": lambda s, d: graph.labels(n := nodes(s, d), graph.edges(n, only=("BELOW", "SAME_ROW"))),
+    "graph_labels": lambda s, d: graph.labels(n := written(nodes(s, d)), graph.edges(n, only=("BELOW", "SAME_ROW"))),
     "structure_headings": lambda s, d: structure.headings(nodes(s, d)).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "confidence"),
     "structure_table_rows": lambda s, d: structure.table_rows(n := ledger_nodes(s, d), graph.edges(n, only=("SAME_ROW",))).select(*PAGE, "node", "row_no"),
     "structure_tables": lambda s, d: structure.tables(n := ledger_nodes(s, d), graph.edges(n, only=("SAME_ROW",))).select(*PAGE, "block_no", "text", "x", "y", "width", "height", "confidence"),

@@ -71,8 +71,8 @@ QUERIES = {
     "layout_normalised_boxes": normalised_boxes,
     "layout_box_extent": extent,
     "layout_confidence_gate": lambda s, d: gated(s, d).select("doc_id", "page_number", "word_idx", "confidence", "low_confidence"),
-    "layout_collisions": lambda s, d: layout.collisions(gated(s, d)),
-    "layout_collisions_by_cell": lambda s, d: layout.collisions(gated(s, d), cell=32),
+    "layout_collisions": lambda s, d: layout.collisions(written(gated(s, d))),
+    "layout_collisions_by_cell": lambda s, d: layout.collisions(written(gated(s, d)), cell=32),
     "layout_textlines": lambda s, d: lines(s, d).drop("page_width", "page_height", "word_ids"),
     "layout_density": lambda s, d: layout.densities(lines(s, d)).drop("page_width"),
     "layout_column_boundaries": lambda s, d: layout.column_boundaries(lines(s, d)),
@@ -83,8 +83,8 @@ QUERIES = {
     "layout_row_column_bands": lambda s, d: layout.column_bands(layout.row_bands(lines(s, d))).select(*LINE, "row_band", "col_band"),
     "layout_table_candidates": lambda s, d: layout.table_candidates(lines(s, d)),
     "layout_table_candidates_ledger": lambda s, d: layout.table_candidates(ledger_lines(s, d)),
-    "layout_region_graph": lambda s, d: layout.region_graph(lines(s, d)),
-    "layout_clusters": lambda s, d: layout.page_components(h := lines(s, d), layout.region_graph(h)),
+    "layout_region_graph": lambda s, d: layout.region_graph(written(lines(s, d))),
+    "layout_clusters": lambda s, d: layout.page_components(h := written(lines(s, d)), layout.region_graph(h)),
     "layout_paragraph_clusters": lambda s, d: layout.paragraph_clusters(columned(s, d)),
     "layout_greedy_merge": lambda s, d: layout.greedy_merge(lines(s, d)),
     "layout_greedy_merge_looser": lambda s, d: layout.greedy_merge(lines(s, d), 0.55),
