@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, which all executors share. Where that is unset
-    and Spark runs in one process, a local folder takes its place; on a cluster that is an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new name in the folder of spark.checkpoint.dir, which all executors share. Where that is unset and
+    Spark runs in one process, a local folder takes its place; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
@@ -19,6 +18,11 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="leafwork-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/leafwork/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/leafwork/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table under such a name: lineage is cut, and what several branches read is made once."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

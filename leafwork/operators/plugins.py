@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
+from leafwork.functions.tables import scratch
 from leafwork.operators import images
+from leafwork.operators.breaker import Breaker
 
 PAGE = ["doc_id", "page_number"]
 BOX = ["doc_id", "page_number", "word_idx", "x1", "y1", "x2", "y2", "confidence"]
@@ -171,33 +173,39 @@ def detected(pages: DataFrame, name: str = "grid") -> DataFrame:
     return pages.mapInPandas(run, "doc_id long, page_number int, word_idx int, x1 int, y1 int, x2 int, y2 int, confidence double")
 
 
-def recognised(pages: DataFrame, name: str = "bars", make=None) -> DataFrame:
-    """(page, box_idx, quad, text, confidence, page_width, page_height, failed): boxes of whole pages. A
-    page on which the recogniser raises gives one row that says so, with no box; the same worker then
-    gives its later pages of that task up without a call, as the engine can't be trusted any more."""
+def recognised(pages: DataFrame, name: str = "bars", make=None, breaker: Breaker | None = None) -> DataFrame:
+    """(page, box_idx, quad, text, confidence, page_width, page_height, failed, given_up): boxes of whole pages.
+
+    A page on which the recogniser raises gives one row that says so, with no box. Calls go through a
+    breaker that all tasks share; its default has a folder of its own for this DataFrame and opens at the
+    first failure, as an engine that raised can't be trusted. Pages that come while it is open are given up
+    without a call, and say that too.
+    """
     make = make or (lambda: backend("recogniser", name))
     if name not in REGISTRY["recogniser"]:
         backend("recogniser", name)
+    shared = breaker or Breaker(scratch(pages.sparkSession), most=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine, broken = make(), False
+        engine = make()
         for b in batches:
             rows = []
             for r in b.itertuples():
-                found = None
-                if not broken:
+                found, called = None, shared.allows()
+                if called:
                     try:
                         found = engine.read(picture(r))
-                    except Exception:  # noqa: BLE001 - whatever the engine raises, it is out
-                        broken = True
+                    except Exception:  # noqa: BLE001 - whatever the engine raises, the page has failed
+                        found = None
+                    shared.told(found is not None)
                 if found is None:
-                    rows.append((r.doc_id, r.page_number, -1, [], "", 0.0, r.width, r.height, True))
+                    rows.append((r.doc_id, r.page_number, -1, [], "", 0.0, r.width, r.height, True, not called))
                 else:
-                    rows += [(r.doc_id, r.page_number, i, [{"x": float(x), "y": float(y)} for x, y in quad], t, float(c), r.width, r.height, False) for i, (quad, t, c) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[*PAGE, "box_idx", "quad", "text", "confidence", "page_width", "page_height", "failed"])
+                    rows += [(r.doc_id, r.page_number, i, [{"x": float(x), "y": float(y)} for x, y in quad], t, float(c), r.width, r.height, False, False) for i, (quad, t, c) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[*PAGE, "box_idx", "quad", "text", "confidence", "page_width", "page_height", "failed", "given_up"])
 
     kind = pages.schema["doc_id"].dataType.simpleString()
-    return pages.select(*PAGE, "height", "width", "data").mapInPandas(run, f"doc_id {kind}, page_number int, box_idx int, quad array<struct<x:double,y:double>>, text string, confidence double, page_width int, page_height int, failed boolean")
+    return pages.select(*PAGE, "height", "width", "data").mapInPandas(run, f"doc_id {kind}, page_number int, box_idx int, quad array<struct<x:double,y:double>>, text string, confidence double, page_width int, page_height int, failed boolean, given_up boolean")
 
 
 def corrected(lines: DataFrame, name: str = "none", text: str = "text") -> DataFrame:

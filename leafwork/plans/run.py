@@ -158,7 +158,7 @@ def document_stages(spark: SparkSession, folder: str, profile: files.Profile, le
         return layout.reading_order(layout.textlines(layout.confidence_gate(found, least)), F.lit(0))
 
     def read(t: dict) -> DataFrame:
-        found = plugins.recognised(t["M2_Preprocess"].where("height > 0"), recogniser).where("not failed").drop("failed")
+        found = plugins.recognised(t["M2_Preprocess"].where("height > 0"), recogniser).where("not failed").drop("failed", "given_up")
         words = ocr.matched(t["M3_Layout"], ocr.cleaned(found))
         return t["M3_Layout"].drop("text").join(words.select("doc_id", "page_number", "line_idx", "ocr_text", "ocr_confidence"), ["doc_id", "page_number", "line_idx"]).withColumnRenamed("ocr_text", "text")
 
