@@ -218,9 +218,10 @@ QUERIES = {
 
 # -- SQL ------------------------------------------------------------------------------------------
 
-_DECORATED = """SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, CASE WHEN i = 0 THEN upper(replace(array_to_string(six, ' '), 'ß', 'ss')) WHEN (doc_id + i) % 7 = 3 THEN '- ' || l
- WHEN (doc_id + i) % 7 = 5 AND len(six) > 0 THEN array_to_string(list_concat([six[1] || ':'], six[2:6]), ' ') ELSE l END AS l FROM
- (SELECT *, list_filter(string_split(l, ' '), lambda x: x <> '')[1:6] AS six FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL))) GROUP BY doc_id"""
+_DECORATED = """SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, CASE WHEN i = 0 THEN upper(replace(array_to_string(six, ' '), 'ß', 'ss')) || rest WHEN (doc_id + i) % 7 = 3 THEN '- ' || l
+ WHEN (doc_id + i) % 7 = 5 AND len(six) > 0 THEN array_to_string(list_concat([six[1] || ':'], six[2:6]), ' ') || rest ELSE l END AS l FROM
+ (SELECT *, every[1:6] AS six, CASE WHEN len(every) > 6 THEN chr(10) || array_to_string(every[7:], ' ') ELSE '' END AS rest FROM
+ (SELECT *, list_filter(string_split(l, ' '), lambda x: x <> '') AS every FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)))) GROUP BY doc_id"""
 _D = {"src": _DECORATED}
 _ORDERED = "SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y1, x1, -((x2 - x1) * (y2 - y1)), region_id, line_idx) - 1 AS reading_order FROM lines"
 _STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"

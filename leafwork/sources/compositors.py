@@ -14,14 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def decorated(docs: DataFrame) -> DataFrame:
-    """Texts whose lines are turned into headings, list items and keys by position: line 0 is six
-    words in upper case (ß as SS); of the others, (doc_id + line) mod 7 = 3 gets a dash, 5 a key of six words."""
+    """Texts whose lines are turned into headings, list items and keys by position: of line 0 the first six
+    words in upper case (ß as SS) are a line of their own, the rest the next; of the others,
+    (doc_id + line) mod 7 = 3 gets a dash, and 5 is a key of six words, the rest again the next line."""
 
     def line(x, i):
-        six = F.slice(F.filter(F.split(x, " "), lambda w: w != ""), 1, 6)
-        key = F.when(F.size(six) > 0, F.array_join(F.concat(F.array(F.concat(six[0], F.lit(":"))), F.slice(six, 2, 6)), " ")).otherwise(x)
+        every = F.filter(F.split(x, " "), lambda w: w != "")
+        six, more = F.slice(every, 1, 6), F.slice(every, 7, F.greatest(F.lit(0), F.size(every) - 6))
+        rest = F.when(F.size(every) > 6, F.concat(F.lit("\n"), F.array_join(more, " "))).otherwise("")
+        key = F.when(F.size(six) > 0, F.concat(F.array_join(F.concat(F.array(F.concat(six[0], F.lit(":"))), F.slice(six, 2, 6)), " "), rest)).otherwise(x)
         k = (F.col("doc_id") + i) % 7
-        return F.when(i == 0, F.upper(F.replace(F.array_join(six, " "), F.lit("ß"), F.lit("ss")))).when(k == 3, F.concat(F.lit("- "), x)).when(k == 5, key).otherwise(x)
+        return F.when(i == 0, F.concat(F.upper(F.replace(F.array_join(six, " "), F.lit("ß"), F.lit("ss"))), rest)).when(k == 3, F.concat(F.lit("- "), x)).when(k == 5, key).otherwise(x)
 
     return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"))
 
