@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
 from leafwork.functions import text as t
-from leafwork.functions.intervals import overlapping
+from leafwork.functions.bypage import numbers, paged, swept
 from leafwork.functions.islands import anchored
 from leafwork.functions.nearest import near
 
@@ -30,51 +35,78 @@ def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85, only: tuple[st
     """(page, src, dst, relation, weight) between nodes of a page, of the relations in only.
 
     Boxes below each other, or in each other, overlap in x, and those beside each other in y; so two
-    sweeps over the boxes' sides find all pairs that may have a relation, and no others are looked at.
+    sweeps over the boxes' sides find all pairs that may have a relation, and no others are looked at. A task
+    holds whole pages, and some of their pairs at a time.
     """
-    slim = n.select(*NODE, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
-    both = g.intersection("a", "b")
-    solid = (g.area("a") > 0) & (g.area("b") > 0)
-    in_a, in_b = solid & (both / g.area("a") >= g.real(inside)), solid & (both / g.area("b") >= g.real(inside))
-
-    def found(axis: str, direct: Column, rows: Column) -> DataFrame:
-        """Pairs that overlap along the axis, with their relations: structs (turned, relation, weight)."""
-        p = overlapping(slim, PAGE, f"{axis}1", f"{axis}2", "node")
-        share = g.overlap_share(F.col(f"a.{axis}1"), F.col(f"a.{axis}2"), F.col(f"b.{axis}1"), F.col(f"b.{axis}2"))
-        p = p.withColumns({"_share": share, "_in_a": in_a, "_in_b": in_b}).where(direct)
-        pairs = p.select(*[F.col(f"a.{k}") for k in PAGE], F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.explode(rows).alias("r")).where("r is not null")
-        turned = F.col("r.turned")
-        return pairs.select(*PAGE, F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), "r.relation", F.round("r.weight", 6).alias("weight"))
-
-    def both_ways(when: Column, name: str, weight: Column) -> list[Column]:
-        return [one(when, name, weight, turned) for turned in (False, True)]
-
-    def one(when: Column, name: str, weight: Column, turned: bool) -> Column:
-        return F.when(when, F.struct(F.lit(turned).alias("turned"), F.lit(name).alias("relation"), weight.alias("weight")))
-
-    def gap(axis: str, far: float, *names: str) -> list[Column]:
-        out = []
-        for turned, (p, q) in ((False, "ab"), (True, "ba")):
-            d = F.col(f"{q}.{axis}1") - F.col(f"{p}.{axis}2")
-            out += [one((F.col("_share") > g.real(0.3)) & (d >= 0) & (d <= g.real(far)), k, d + g.real(1), turned) for k in names if k in only]
-        return out
-
-    apart, sides = ~F.col("_in_a") & ~F.col("_in_b"), []
-    within = [
-        *([one(F.col("_in_a"), "INSIDE", g.real(0.1), False), one(F.col("_in_b"), "INSIDE", g.real(0.1), True)] if "INSIDE" in only else []),
-        *([one(F.col("_in_b") & ~F.col("_in_a"), "CONTAINS", g.real(0.1), False), one(F.col("_in_a") & ~F.col("_in_b"), "CONTAINS", g.real(0.1), True)] if "CONTAINS" in only else []),
-    ]
-    column = gap("y", near, "BELOW", "ADJACENT") + (both_ways(F.col("_share") > g.real(0.5), "SAME_COLUMN", F.abs(g.centre_y("a") - g.centre_y("b"))) if "SAME_COLUMN" in only else [])
-    row = gap("x", 2 * near, "RIGHT_OF") + (both_ways(F.col("_share") > g.real(0.5), "SAME_ROW", F.abs(g.centre_x("a") - g.centre_x("b"))) if "SAME_ROW" in only else [])
-    if column or within:
-        some = F.col("_share") > g.real(0.3)
-        sides.append(found("x", (F.col("_in_a") | F.col("_in_b") | some) if within else apart & some, F.when(apart, F.array(*column)).otherwise(F.array(*within)) if column and within else F.array(*(column or within))))
-    if row:
-        sides.append(found("y", apart & (F.col("_share") > g.real(0.3)), F.array(*row)))
-    out = sides[0]
-    for s in sides[1:]:
-        out = out.unionByName(s)
-    return out
+    kind = {f.name: f.dataType.simpleString() for f in n.schema}
+
+    def rows(t: pa.Table, page: np.ndarray) -> pa.Table:
+        cols = [np.concatenate(c) for c in zip(*related(t, page, near, inside, only))]
+        if not cols:
+            cols = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)]
+        src, dst, name, weight = cols
+        node, at = t.column("node"), pa.array(src)
+        return pa.table([*[t.column(k).take(at) for k in PAGE], node.take(at), node.take(pa.array(dst)), pa.array(RELATIONS).take(pa.array(name)), pa.array(six(weight))], names=[*PAGE, "src", "dst", "relation", "weight"])
+
+    return paged(sides(n), PAGE, ["node"], rows, ", ".join([*[f"`{k}` {kind[k]}" for k in PAGE], f"src {kind['node']}, dst {kind['node']}, relation string, weight double"]))
+
+
+def sides(n: DataFrame) -> DataFrame:
+    return n.select(*NODE, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
+
+
+def six(v: np.ndarray) -> np.ndarray:
+    """v >= 0 to six digits as Spark rounds: halves of the shortest decimal form up."""
+    s = v * 1e6
+    out = np.floor(s + 0.5)
+    for k in np.flatnonzero(np.abs(s - np.floor(s) - 0.5) < 1e-3):
+        out[k] = int((Decimal(repr(float(v[k]))) * 1_000_000).quantize(Decimal(1), ROUND_HALF_UP))
+    return out / 1e6
+
+
+def related(t: pa.Table, page: np.ndarray, near: float, inside: float, only: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(src, dst, number of the relation, weight) of rows of whole pages by node, some at a time."""
+    x1, y1, x2, y2, node = numbers(t, "x1", "y1", "x2", "y2", "node")
+    area = np.fmax(0, x2 - x1) * np.fmax(0, y2 - y1)
+    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+    wants = {k: k in only for k in RELATIONS}
+
+    def told(name: str, ok: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray | float):
+        k = np.flatnonzero(ok)
+        return i[k], j[k], np.full(len(k), RELATIONS.index(name), np.int32), weight[k] if isinstance(weight, np.ndarray) else np.full(len(k), weight)
+
+    def pairs(lo: np.ndarray, hi: np.ndarray):
+        for i, j in swept(page, lo, hi):
+            both = np.fmax(0, np.fmin(x2[i], x2[j]) - np.fmax(x1[i], x1[j])) * np.fmax(0, np.fmin(y2[i], y2[j]) - np.fmax(y1[i], y1[j]))
+            solid = (area[i] > 0) & (area[j] > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                in_i, in_j = solid & (both / area[i] >= inside), solid & (both / area[j] >= inside)
+            share = np.maximum(0, np.minimum(hi[i], hi[j]) - np.maximum(lo[i], lo[j])) / np.minimum(hi[i] - lo[i], hi[j] - lo[j])
+            yield i, j, in_i, in_j, share, (node[i] != node[j]) | (lo[i] != lo[j])
+
+    if any(wants[k] for k in ("BELOW", "ADJACENT", "SAME_COLUMN", "INSIDE", "CONTAINS")):
+        for i, j, in_i, in_j, share, two in pairs(x1, x2):
+            apart = two & ~in_i & ~in_j
+            for a, b, in_a, in_b in ((i, j, in_i, in_j), (j, i, in_j, in_i)):
+                gap = y1[b] - y2[a]
+                for name in ("BELOW", "ADJACENT"):
+                    if wants[name]:
+                        yield told(name, apart & (share > 0.3) & (gap >= 0) & (gap <= near), a, b, gap + 1)
+                if wants["SAME_COLUMN"]:
+                    yield told("SAME_COLUMN", apart & (share > 0.5), a, b, np.abs(cy[i] - cy[j]))
+                if wants["INSIDE"]:
+                    yield told("INSIDE", two & in_a, a, b, 0.1)
+                if wants["CONTAINS"]:
+                    yield told("CONTAINS", two & in_b & ~in_a, a, b, 0.1)
+    if wants["RIGHT_OF"] or wants["SAME_ROW"]:
+        for i, j, in_i, in_j, share, two in pairs(y1, y2):
+            apart = two & ~in_i & ~in_j
+            for a, b in ((i, j), (j, i)):
+                gap = x1[b] - x2[a]
+                if wants["RIGHT_OF"]:
+                    yield told("RIGHT_OF", apart & (share > 0.3) & (gap >= 0) & (gap <= 2 * near), a, b, gap + 1)
+                if wants["SAME_ROW"]:
+                    yield told("SAME_ROW", apart & (share > 0.5), a, b, np.abs(cx[i] - cx[j]))
 
 
 def orphan_links(n: DataFrame, e: DataFrame) -> DataFrame:
@@ -154,6 +186,22 @@ def labels(n: DataFrame, e: DataFrame) -> DataFrame:
     return m.select(*NODE, label.alias("label"))
 
 
-def neighbours(n: DataFrame, e: DataFrame) -> DataFrame:
-    """(node, relation, ids of neighbours in order of weight)."""
-    return e.groupBy(*PAGE, F.col("src").alias("node"), "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("weight", "dst"))), lambda x: x["dst"]).alias("neighbours"))
+def neighbours(n: DataFrame, e: DataFrame | None = None) -> DataFrame:
+    """(node, relation, ids of neighbours in order of weight) of edges e, or of all that edges(n) has, which
+    then stay with their page and aren't made rows."""
+    if e is not None:
+        return e.groupBy(*PAGE, F.col("src").alias("node"), "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("weight", "dst"))), lambda x: x["dst"]).alias("neighbours"))
+    kind = {f.name: f.dataType.simpleString() for f in n.schema}
+
+    def lists(t: pa.Table, page: np.ndarray) -> pa.Table:
+        src, dst, name, weight = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)), *related(t, page, 30.0, 0.85, RELATIONS)))
+        (number,) = numbers(t, "node")
+        own = np.cumsum(np.append(False, (np.diff(page) != 0) | (np.diff(number) != 0)))  # rows come by page and node
+        order = np.lexsort((number[dst], six(weight), name, own[src]))
+        src, dst, name = src[order], dst[order], name[order]
+        first = np.flatnonzero(np.append(True, (np.diff(own[src]) != 0) | (np.diff(name) != 0))) if len(src) else np.zeros(0, np.int64)
+        node, at = t.column("node").combine_chunks(), pa.array(src[first])
+        found = pa.ListArray.from_arrays(pa.array(np.append(first, len(src)), pa.int32()), node.take(pa.array(dst)))
+        return pa.table([*[t.column(k).take(at) for k in PAGE], node.take(at), pa.array(RELATIONS).take(pa.array(name[first])), found], names=[*NODE, "relation", "neighbours"])
+
+    return paged(sides(n), PAGE, ["node"], lists, ", ".join([*[f"`{k}` {kind[k]}" for k in NODE], f"relation string, neighbours array<{kind['node']}>"]))

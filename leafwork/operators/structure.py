@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +63,7 @@ def headings(n: DataFrame) -> DataFrame:
 
 def table_rows(n: DataFrame, e: DataFrame) -> DataFrame:
     """Nodes of SAME_ROW components of two or more, with the component's number."""
-    keys = n.select(*NODE)
-    same = e.where("relation = 'SAME_ROW'").join(keys.withColumnRenamed("node", "src"), [*PAGE, "src"], "left_semi").join(keys.withColumnRenamed("node", "dst"), [*PAGE, "dst"], "left_semi")
-    c = page_components(n, same, "node", "row_no")
+    c = page_components(n, e.where("relation = 'SAME_ROW'"), "node", "row_no", among=True)
     return n.join(c, NODE).withColumn("_n", F.count("*").over(Window.partitionBy(*PAGE, "row_no"))).where("_n >= 2").drop("_n")
 
 
@@ -109,22 +105,31 @@ def paragraphs(n: DataFrame) -> DataFrame:
     return runs(n, "paragraph", ["column_id", "y", "x"], 30.0, " ")
 
 
-def unclaimed(n: DataFrame, blocks: DataFrame) -> DataFrame:
-    return n.join(blocks.select(*PAGE, F.explode("children").alias("node")), NODE, "left_anti")
-
-
 def build(n: DataFrame, e: DataFrame) -> DataFrame:
-    """All blocks of nodes with column_id. What a class claims by its nodes alone is left out by a
-    filter; only tables need an anti-join. A node that is a heading is never asked again."""
-    parts = [headings(n)]
-    rest = n.where(~is_heading())
-    parts.append(t_ := tables(rest, e))
-    rest = unclaimed(rest, t_)
-    parts.append(key_values(rest))
-    rest = rest.where(~is_key_value())
-    parts.append(lists(rest))
-    parts.append(paragraphs(rest.where(~is_list())))
-    return reduce(DataFrame.unionByName, parts)
+    """All blocks of nodes with column_id. What a class claims by its nodes alone is told by an expression;
+    only tables need a join. All other classes go through the same windows and groups at once, each in the
+    order and with the breaks that it has by itself. A node that is a heading is never asked again."""
+    t_ = tables(n.where(~is_heading()), e)
+    claimed = t_.select(*PAGE, F.explode("children").alias("node"), F.lit(True).alias("_claimed"))
+    kind = F.when(is_heading(), "heading").when(F.col("_claimed"), "table").when(is_key_value(), "key_value").when(is_list(), "list").otherwise("paragraph")
+    k = n.join(claimed, NODE, "left").withColumn("block_type", kind).where("block_type <> 'table'")
+    is_ = lambda *kinds: F.col("block_type").isin(*kinds)
+    columned = is_("list", "paragraph")
+    k = k.withColumns({"_c": F.when(columned, F.col("column_id")).otherwise(0), "_y": F.when(is_("heading"), g.real(0)).otherwise(F.col("y")), "_x": F.when(is_("key_value", "paragraph"), F.col("x")).otherwise(g.real(0))})
+    part, order = [*PAGE, "block_type"], ["_c", "_y", "_x", "node"]
+    w = Window.partitionBy(*part).orderBy(*order)
+    far = F.col("y") - F.lag(F.col("y") + F.col("height")).over(w) >= F.when(is_("list"), g.real(25)).otherwise(g.real(30))
+    k = islands(k, part, order, F.when(is_("heading"), F.lit(True)).when(is_("key_value"), far).otherwise((F.col("column_id") != F.lag("column_id").over(w)) | far), "block_no")
+    pick = F.struct("_c", "y", F.when(is_("list"), g.real(0)).otherwise(F.col("x")).alias("_x"), "node", "text", "confidence")
+    b = k.groupBy(*part, "block_no").agg(
+        F.array_sort(F.collect_list(pick)).alias("s"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("d"),
+        F.min_by("column_id", F.struct("y", "x", "node")).alias("column_id"),
+    ).withColumn("column_id", F.when(is_("heading"), -1).otherwise(F.col("column_id")))
+    known = F.filter(F.transform("s", lambda v: v["confidence"]), lambda v: v.isNotNull())
+    texts = F.transform("s", lambda v: v["text"])
+    rest = b.select(*PAGE, "block_type", "block_no", F.when(is_("key_value", "list"), F.array_join(texts, "\n")).otherwise(F.array_join(texts, " ")).alias("text"), "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("d") - F.col("y")).alias("height"),
+                    "column_id", role(F.col("column_id")).alias("layout_role"), F.transform("s", lambda v: v["node"]).alias("children"), mean(known).alias("confidence"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
+    return rest.unionByName(t_)
 
 
 def ordered(blocks: DataFrame) -> DataFrame:
