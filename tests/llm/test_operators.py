@@ -638,3 +638,16 @@ def test_top_k_of_any_ids(spark):
                 assert sorted(got.pop(i)) == [(n + 1, o, -s) for n, (s, o) in enumerate(top)]
         assert not got
     assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("rows", [4096, 40])
+def test_toxicity_trains_as_often_for_one_pack_as_for_several(spark, monkeypatch, rows):
+    from leafwork.llm import toxicity as tx
+
+    turns = set()
+    monkeypatch.setattr(tx, "PACK_ROWS", rows)
+    told = tx.told
+    monkeypatch.setattr(tx, "told", lambda packs, tell, dtype, mean: turns.add(len(turns)) or told(packs, tell, dtype, mean))
+    docs = spark.range(160).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 7).cast("string"), F.when(F.col("id") % 2 == 0, " foul").otherwise(" fair")).alias("text"), F.lit("en").alias("lang"))
+    assert tx.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))).fitted
+    assert len(turns) == 1 + 3  # one for the counts, three rounds
