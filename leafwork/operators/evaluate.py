@@ -5,13 +5,16 @@ from __future__ import annotations
 import resource
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import edits
 from leafwork.functions import geometry as g
 from leafwork.functions.assignment import heaviest
+from leafwork.functions.bypage import paged
 from leafwork.functions.components import components
 from leafwork.functions.intervals import placed
 from leafwork.functions.tables import written
@@ -45,17 +48,18 @@ def one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFr
     """Matches of a greedy choice by falling IoU, until no pair is left."""
     p = pairs(found, truth, least)
 
-    def choose(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["iou", "line_idx", "truth_idx"], ascending=[False, True, True])
-        a, b, taken = set(), set(), []
-        for i, j in zip(page["line_idx"], page["truth_idx"]):
-            taken.append(i not in a and j not in b)
-            if taken[-1]:
+    def choose(t: pa.Table, page: np.ndarray) -> pa.Table:
+        at, a, b, keep = -1, set(), set(), []
+        for k, i, j in zip(page.tolist(), t.column("line_idx").to_pylist(), t.column("truth_idx").to_pylist()):
+            if k != at:
+                at, a, b = k, set(), set()
+            keep.append(i not in a and j not in b)
+            if keep[-1]:
                 a.add(i)
                 b.add(j)
-        return page[taken]
+        return t.filter(pa.array(keep))
 
-    return p.groupBy(*PAGE).applyInPandas(choose, p.schema)
+    return paged(p.withColumn("_down", -F.col("iou")), PAGE, ["_down", "line_idx", "truth_idx"], lambda t, page: choose(t.drop_columns("_down"), page), p.schema)
 
 
 def best_one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver data not present")
 #: Shuffles of a query's last plan at most.
-MOVES = {"layout_collisions": 1, "layout_collisions_by_cell": 1, "graph_neighbours": 1, "graph_edges": 1, "ocr_matched": 3, "ocr_confident": 3, "ocr_page_text": 3, "ocr_metrics": 3}
+MOVES = {"layout_collisions": 1, "layout_collisions_by_cell": 1, "graph_neighbours": 1, "graph_edges": 1, "ocr_matched": 3, "ocr_confident": 3, "ocr_page_text": 3, "ocr_metrics": 3, "structure_blocks": 1, "structure_merged_tokens": 1, "export_json": 1, "layout_clusters": 3, "evaluate_one_to_one": 1}
 
 
 @pytest.mark.parametrize("name", sorted(MOVES))
