@@ -21,3 +21,9 @@ def test_shuffles(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") <= MOVES[name]
+
+
+@pytest.mark.parametrize("name", ["layout_paragraph_clusters", "layout_greedy_merge", "layout_greedy_merge_looser", "evaluate_one_to_one"])
+def test_pages_go_to_python_many_at_a_time(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
