@@ -5,8 +5,8 @@ then by mixed bits. A document's sketch is its smallest values: as many as a doc
 enough can lack, and SPARE more. What two linked documents share of the union of their sketches then
 has a least number, which follows from their sizes whatever the data (`least_shared`); it stands in
 for an estimate, which could lose links. Inverted lists of sketch values count what each pair shares;
-pairs that share enough, and lists too long to be paired, make families; within a family, exact Jaccard
-on full sets decides. Documents of equal sets are one from the start. Shingles are told apart by 64-bit
+pairs that share enough make families, and so do lists too long to be paired, of documents that can't do
+without them; within a family, exact Jaccard on full sets decides. Documents of equal sets are one from the start. Shingles are told apart by 64-bit
 hashes.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Ranges, dropped, far, freed, keyed, mix, passes, table, written
 from .components import components
 
-#: A list of more documents isn't paired but joins its documents to one family.
+#: A list of more documents isn't paired; it joins those to one family that have many such lists.
 PAIRED = 64
 #: The most frequent sketch values, up to so many, go to the end of the order; which these are changes
 #: the work and not the result. A value on fewer lists stays.
@@ -179,6 +179,30 @@ def linked_groups(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
     return ids[label]
 
 
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges over which all linked documents hang together, of lists (v, rep, n, c), c being how many
+    documents the list of v has.
+
+    Lists of over PAIRED documents aren't paired. Of what two documents share, at most as many values stand
+    on such lists as the one has that has fewer there, and the others must be found on short lists. Two linked
+    documents share at least floor(SPARE * n) + 1 values, n being either's size; so a document with no more than
+    SPARE * n values on long lists meets all that it is linked with on short ones. Only those with more are
+    tied to the first such document of each of their long lists.
+    """
+    long_ = lists.where(F.col("c") > PAIRED)
+    each = long_.groupBy("rep").agg(F.count("*").alias("l"), F.max("n").alias("_n"))
+    many = each.where(F.col("l") > F.floor(F.lit(SPARE) * F.col("_n"))).select("rep")
+    tied = long_.join(many, "rep", "left_semi").select("v", "rep")
+    lead = tied.groupBy("v").agg(F.min("rep").alias("lead")).select(far(F.col("v")).alias("j"), "lead")
+    stars = tied.select(far(F.col("v")).alias("j"), "rep").join(lead, "j").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    short = lists.where(F.col("c") <= PAIRED).join(each.select("rep", "l"), "rep", "left").withColumn("l", F.coalesce("l", F.lit(0)))  # at most PAIRED rows of a value
+    a, b = (short.select("v", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("l").alias(f"l{k}")) for k in "ab")
+    need = least_shared(F.col("na"), F.col("nb"), percent) - F.least("la", "lb")
+    fits = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("both")).where(F.col("both") >= need)
+    return pairs.select("a", "b").unionAll(stars)
+
+
 def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(_id, n, root): set size and the smallest id reachable, of each document with an id."""
     spark = docs.sparkSession
@@ -198,17 +222,11 @@ def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     once = written(listed.join(who.select("_id", "rep", "n"), "_id").groupBy("v", "rep").agg(F.max("n").alias("n")), spark)
     dropped(several)
     freed(spark, 2)
-    sizes = once.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
-    lists = once.withColumn("j", far(F.col("v"))).join(sizes.select(far(F.col("v")).alias("j"), "c", "lead"), "j").select("v", "rep", "n", "c", "lead")
+    sizes = once.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    lists = once.withColumn("j", far(F.col("v"))).join(sizes.select(far(F.col("v")).alias("j"), "c"), "j").select("v", "rep", "n", "c")
     lists = written(lists, spark)
     dropped(once)
-    short = lists.where(F.col("c") <= PAIRED)  # at most PAIRED rows of a value
-    a, b = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    need = least_shared(F.col("na"), F.col("nb"), percent)
-    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where(F.col("both") >= need).select("a", "b")
-    stars = lists.where((F.col("c") > PAIRED) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    family = components(pairs.unionAll(stars))
+    family = components(candidates(lists, percent))
     dropped(lists)
 
     sizes = family.join(who.where("_id = rep").dropDuplicates(["_id"]).select(F.col("_id").alias("node"), "n"), "node")
