@@ -16,19 +16,37 @@ def per_line(width: Column, font: Column) -> Column:
     return F.greatest(F.lit(1), (width / (font * g.real(CHAR))).cast("int"))
 
 
-def line_count(text: Column, width: Column, font: Column) -> Column:
+def line_count(lengths: Column, width: Column, font: Column) -> Column:
     """Sum over lines of their length over the characters that fit, at least one each."""
     n = per_line(width, font)
-    return F.aggregate(F.split(text, "\n"), g.real(0), lambda a, l: a + F.greatest(g.real(1), F.char_length(l) / n))
+    return F.aggregate(lengths, g.real(0), lambda a, l: a + F.greatest(g.real(1), l / n))
+
+
+def sized(tokens: DataFrame) -> DataFrame:
+    """tokens with _font, the largest of thirteen sizes from 12 downward at which a text's lines fit its box
+    (the smallest if none does), and _lines, how many lines it takes then. Each is a step of its own, and
+    a text of one line needs no fold."""
+    w, h, size = F.col("width"), F.col("height"), F.size("_lengths")
+    one = F.get("_lengths", F.lit(0))
+
+    def lines(font: Column) -> Column:
+        return F.when(size == 1, F.greatest(g.real(1), one / per_line(w, font))).otherwise(line_count(F.col("_lengths"), w, font))
+
+    sizes = [12 - 0.5 * k for k in range(13)]
+    best = F.lit(None).cast("double")
+    for s in reversed(sizes):
+        best = F.when(lines(g.real(s)) * g.real(s) * g.real(SPACING) <= h, g.real(s)).otherwise(best)
+    t = tokens.withColumn("_lengths", F.transform(F.split("text", "\n"), lambda l: F.char_length(l)))
+    t = t.withColumn("_font", F.coalesce(best, g.real(SMALL)))
+    return t.withColumn("_lines", lines(F.col("_font")))
 
 
 def text_block(width: Column, height: Column, text: Column, full: Column) -> dict[str, Column]:
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: g.real(12) - g.real(0.5) * k)
-    fits = lambda f: line_count(text, width, f) * f * g.real(SPACING) <= height
-    font = F.coalesce(F.try_element_at(F.filter(sizes, fits), F.lit(1)), g.real(SMALL))
+    """Of tokens that have gone through sized()."""
+    font, lines = F.col("_font"), F.col("_lines")
     wrapped = F.char_length(text) * g.real(12 * CHAR) > width
-    ok = fits(font)
-    spacing = F.when(ok, g.real(SPACING)).otherwise(F.greatest(g.real(1), height / (line_count(text, width, font) * font)))
+    ok = lines * font * g.real(SPACING) <= height
+    spacing = F.when(ok, g.real(SPACING)).otherwise(F.greatest(g.real(1), height / (lines * font)))
     status = F.when(~ok, "warning").when(font < 12, "shrunk").when(wrapped, "wrapped").otherwise("fit")
     return {"font": font, "weight": F.lit(400), "spacing": spacing, "align": F.when(full, "justify").otherwise("left"), "wrap": F.when(wrapped, "wrap").otherwise("none"), "status": status}
 
@@ -69,7 +87,7 @@ def solved(tokens: DataFrame) -> DataFrame:
         for kind, values in by.items():
             c = F.when(F.col("block_type") == kind, values[name]) if c is None else c.when(F.col("block_type") == kind, values[name])
         out[name] = c.otherwise(other)
-    return tokens.withColumns({k: F.round(v, 6) if k in ("font", "spacing") else v for k, v in out.items()})
+    return sized(tokens).withColumns({k: F.round(v, 6) if k in ("font", "spacing") else v for k, v in out.items()}).drop("_lengths", "_font", "_lines")
 
 
 def tree(tokens: DataFrame) -> DataFrame:

@@ -134,10 +134,13 @@ def draw_commands(tokens: DataFrame, page_height: int = 1100) -> DataFrame:
 
 def rendered(tokens: DataFrame) -> DataFrame:
     """Solved tokens as a writer takes them: boxes untouched, with the columns of their page and what
-    font, weight, alignment, wrapping and spacing were chosen; only tokens that were solved."""
-    return tokens.where(F.col("font").isNotNull()).select(
+    font, weight, alignment, wrapping and spacing were chosen; only tokens that were solved. These are told after
+    the window, below which the choice of a font would be made once more to tell them."""
+    solved = F.col("font").isNotNull()
+    columns = (F.max(F.when(solved, F.col("column_id"))).over(Window.partitionBy(*PAGE)) + 1).cast("int")
+    return tokens.withColumn("num_columns", columns).where(solved).select(
         *PAGE, "token_id", F.lower("block_type").alias("block_type"), "block_order", "text", "x", "y", "width", "height", "font", "weight", F.col("align").alias("alignment"), "wrap", F.col("spacing").alias("line_spacing"),
-        "column_id", (F.max("column_id").over(Window.partitionBy(*PAGE)) + 1).cast("int").alias("num_columns"), "confidence", "table_rows",
+        "column_id", "num_columns", "confidence", "table_rows",
     )
 
 
