@@ -109,11 +109,27 @@ def related(t: pa.Table, page: np.ndarray, near: float, inside: float, only: tup
                     yield told("SAME_ROW", apart & (share > 0.5), a, b, np.abs(cx[i] - cx[j]))
 
 
-def orphan_links(n: DataFrame, e: DataFrame) -> DataFrame:
-    """Nodes without any edge, tied to the nearest centre: by distance to six digits, then by number."""
-    used = e.select(*PAGE, F.explode(F.array("src", "dst")).alias("node")).distinct()
+def unrelated(n: DataFrame) -> DataFrame:
+    """(page, node) of nodes without any of the edges that edges(n) has, which aren't made rows."""
+    kind = {f.name: f.dataType.simpleString() for f in n.schema}
+
+    def rows(t: pa.Table, page: np.ndarray) -> pa.Table:
+        (number,) = numbers(t, "node")
+        own = np.cumsum(np.append(False, (np.diff(page) != 0) | (np.diff(number) != 0)))  # rows come by page and node
+        alone = np.ones(own[-1] + 1, dtype=bool)
+        for src, dst, _, _ in related(t, page, 30.0, 0.85, RELATIONS):
+            alone[own[src]] = alone[own[dst]] = False
+        return t.select(NODE).filter(pa.array(alone[own]))
+
+    return paged(sides(n), PAGE, ["node"], rows, ", ".join(f"`{k}` {kind[k]}" for k in NODE))
+
+
+def orphan_links(n: DataFrame, e: DataFrame | None = None) -> DataFrame:
+    """Nodes without any of edges e, or of all that edges(n) has, tied to the nearest centre: by distance to six
+    digits, then by number."""
     at = n.select(*NODE, (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy"))
-    found = near(at, at.join(used, NODE, "left_anti"), PAGE, "node", "cx", "cy")
+    asks = at.join(unrelated(n), NODE, "left_semi") if e is None else at.join(e.select(*PAGE, F.explode(F.array("src", "dst")).alias("node")).distinct(), NODE, "left_anti")
+    found = near(at, asks, PAGE, "node", "cx", "cy")
     other = at.select(*PAGE, F.col("node").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     d = F.round(F.sqrt(F.pow(F.col("cx") - F.col("ox"), g.real(2)) + F.pow(F.col("cy") - F.col("oy"), g.real(2))), 6)
     one = found.join(at, NODE).join(other, [*PAGE, "other"]).groupBy(*NODE).agg(F.min(F.struct(d.alias("w"), F.col("other").alias("dst"))).alias("m"))
