@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import resource
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,9 +13,8 @@ from leafwork.functions import edits
 from leafwork.functions import geometry as g
 from leafwork.functions.assignment import heaviest
 from leafwork.functions.bypage import paged
-from leafwork.functions.components import components
+from leafwork.functions.components import smallest
 from leafwork.functions.intervals import placed
-from leafwork.functions.tables import written
 from leafwork.functions.text import words
 
 PAGE = ["doc_id", "page_number"]
@@ -64,36 +61,27 @@ def one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFr
 
 def best_one_to_one(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """Matches of the one-to-one choice of greatest total IoU (in billionths), which a greedy choice may
-    miss. Pairs fall into components that share no box; each is settled by itself, so that a page with
-    very many boxes is many small groups. Of equal choices one that hangs on the boxes' numbers alone."""
-    p = written(pairs(found, truth, least))
-    ends = p.select(*PAGE, (2 * F.col("line_idx").cast("long")).alias("src"), (2 * F.col("truth_idx").cast("long") + 1).alias("dst"))
-    root = components(ends, PAGE).withColumnRenamed("root", "part")
-    parts = p.withColumn("node", 2 * F.col("line_idx").cast("long")).join(root, [*PAGE, "node"]).drop("node")
-
-    of, names = [*PAGE, "part"], p.columns
-    held = parts.withColumn("_n", F.count("*").over(Window.partitionBy(*of)))
-    alone, rest = held.where("_n = 1").select(*p.columns), held.where("_n > 1").drop("_n")
-
-    def choose(rows: list[tuple]) -> list[tuple]:
-        number = lambda k: pd.factorize(pd.Series([r[k] for r in rows]))[0].tolist()
-        return [rows[k][:-1] for k in heaviest(number(2), number(3), [round(r[4] * 1e9) for r in rows])]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: list[tuple] = []
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.itertuples(index=False, name=None):
-                if own and (own[0][:2], own[0][-1]) != (r[:2], r[-1]):
-                    out += choose(own)
-                    own = []
-                own.append(r)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if own:
-            yield pd.DataFrame(choose(own), columns=names)
-
-    return alone.unionByName(rest.select(*p.columns, "part").repartition(*of).sortWithinPartitions(*of, "line_idx", "truth_idx").mapInPandas(run, p.schema))
+    miss. A page's pairs fall into components that share no box; each is settled by itself, so that a page with
+    very many boxes is many small groups. Of equal choices one that hangs on the boxes' numbers alone. Pairs stay
+    with their page."""
+
+    def choose(t: pa.Table, page: np.ndarray) -> pa.Table:
+        ends = [np.unique(t.column(k).to_numpy(), return_inverse=True)[1] for k in ("line_idx", "truth_idx")]
+        # boxes of both sides by page, as numbers from 0
+        (_, a), (_, b) = (np.unique(page * np.int64(e.max() + 1) + e, return_inverse=True) for e in ends)
+        part = smallest(a, b + a.max() + 1)[a]
+        size = np.bincount(part)[part]
+        keep = size == 1
+        rest = np.flatnonzero(~keep)
+        rest = rest[np.argsort(part[rest], kind="stable")]  # rows come by line and truth
+        weight = np.rint(t.column("iou").to_numpy() * 1e9).astype(np.int64)
+        for own in np.split(rest, np.flatnonzero(np.diff(part[rest])) + 1) if len(rest) else ():
+            left, right = (pd.factorize(e[own])[0].tolist() for e in (a, b))
+            keep[own[heaviest(left, right, weight[own].tolist())]] = True
+        return t.filter(pa.array(keep))
+
+    p = pairs(found, truth, least)
+    return paged(p, PAGE, ["line_idx", "truth_idx"], choose, p.schema)
 
 
 def scores(counts: DataFrame) -> DataFrame:
