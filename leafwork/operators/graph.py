@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from leafwork.functions import geometry as g
 from leafwork.functions import text as t
 from leafwork.functions.bypage import numbers, paged, swept
-from leafwork.functions.islands import anchored
 from leafwork.functions.nearest import near
 
 PAGE = ["doc_id", "page_number"]
@@ -31,12 +31,12 @@ def nodes(lines: DataFrame) -> DataFrame:
 RELATIONS = ("BELOW", "ADJACENT", "RIGHT_OF", "SAME_COLUMN", "SAME_ROW", "INSIDE", "CONTAINS")
 
 
-def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85, only: tuple[str, ...] = RELATIONS) -> DataFrame:
+def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85, only: tuple[str, ...] = RELATIONS, ready: bool = False) -> DataFrame:
     """(page, src, dst, relation, weight) between nodes of a page, of the relations in only.
 
     Boxes below each other, or in each other, overlap in x, and those beside each other in y; so two
     sweeps over the boxes' sides find all pairs that may have a relation, and no others are looked at. A task
-    holds whole pages, and some of their pairs at a time.
+    holds whole pages, and some of their pairs at a time. ready: nodes come page by page.
     """
     kind = {f.name: f.dataType.simpleString() for f in n.schema}
 
@@ -48,7 +48,7 @@ def edges(n: DataFrame, near: float = 30.0, inside: float = 0.85, only: tuple[st
         node, at = t.column("node"), pa.array(src)
         return pa.table([*[t.column(k).take(at) for k in PAGE], node.take(at), node.take(pa.array(dst)), pa.array(RELATIONS).take(pa.array(name)), pa.array(six(weight))], names=[*PAGE, "src", "dst", "relation", "weight"])
 
-    return paged(sides(n), PAGE, ["node"], rows, ", ".join([*[f"`{k}` {kind[k]}" for k in PAGE], f"src {kind['node']}, dst {kind['node']}, relation string, weight double"]))
+    return paged(sides(n), PAGE, ["node"], rows, ", ".join([*[f"`{k}` {kind[k]}" for k in PAGE], f"src {kind['node']}, dst {kind['node']}, relation string, weight double"]), ready)
 
 
 def sides(n: DataFrame) -> DataFrame:
@@ -109,6 +109,24 @@ def related(t: pa.Table, page: np.ndarray, near: float, inside: float, only: tup
                     yield told("SAME_ROW", apart & (share > 0.5), a, b, np.abs(cx[i] - cx[j]))
 
 
+def boxes(t: pa.Table) -> pa.Table:
+    """sides() of a table of nodes in a task."""
+    x, y, w, h = numbers(t, "x", "y", "width", "height")
+    return pa.table([*map(pa.array, (x, y, x + w, y + h)), t.column("node")], names=["x1", "y1", "x2", "y2", "node"])
+
+
+def widened(n: DataFrame, more: str, *kernels: Callable[[pa.Table, np.ndarray], pa.Table], ready: bool = False) -> DataFrame:
+    """n with the columns that kernels add one after the other to whole pages by node, in one task each: nothing is
+    joined, and rows that are dealt out by document aren't moved."""
+
+    def rows(t: pa.Table, page: np.ndarray) -> pa.Table:
+        for k in kernels:
+            t = k(t, page)
+        return t
+
+    return paged(n, PAGE, ["node"], rows, StructType([StructField(f.name, f.dataType) for f in [*n.schema, *StructType.fromDDL(more)]]), ready)
+
+
 def unrelated(n: DataFrame) -> DataFrame:
     """(page, node) of nodes without any of the edges that edges(n) has, which aren't made rows."""
     kind = {f.name: f.dataType.simpleString() for f in n.schema}
@@ -173,25 +191,101 @@ def assigned(n: DataFrame, centres: DataFrame) -> DataFrame:
     return n.join(centres, PAGE).withColumn("column_id", best["i"]).withColumn("num_columns", F.size("centres")).drop("centres")
 
 
-def banded_order(n: DataFrame, tolerance: float = 15.0, full: str | None = None, name: str = "resolved_order") -> DataFrame:
-    """Rows of a page by y; bands end where y is more than tolerance from the band's first; within a band
-    full-width nodes come first, then columns from the left."""
-    page = Window.partitionBy(*PAGE)
-    span = F.max(F.col("x") + F.col("width")).over(page) - F.min("x").over(page)
+def peaks(cx: np.ndarray, page_width: float, gap_share: float) -> list[float]:
+    """column_centres of one page."""
+    if len(cx) == 1:
+        return [float(cx[0])]
+    bins = max(10, int(page_width / 40))
+    bw = page_width / bins
+    h = np.bincount(np.clip((cx / bw).astype(np.int64), 0, bins - 1), minlength=bins)
+    side = np.concatenate([[0], h, [0]])
+    c = ((np.flatnonzero((h >= max(2.0, len(cx) * 0.08)) & (h >= side[:-2]) & (h >= side[2:])) + 0.5) * bw).tolist() or [float(np.sort(cx)[len(cx) // 2])]
+    out = c[:1]
+    for v in c[1:]:
+        if v - out[-1] < gap_share * page_width:
+            out[-1] = (out[-1] + v) / 2
+        else:
+            out.append(v)
+    return out
+
+
+def in_columns(t: pa.Table, page: np.ndarray, gap_share: float = 0.15) -> pa.Table:
+    """Nodes of whole pages with what assigned() adds by column_centres."""
+    x, w, page_width = numbers(t, "x", "width", "page_width")
+    cx, edge = x + w / 2, np.append(np.flatnonzero(np.append(True, np.diff(page) != 0)), len(page)).tolist()
+    column, number = np.zeros(len(page), np.int32), np.ones(len(page), np.int32)
+    for lo, hi in zip(edge, edge[1:]):
+        c = peaks(cx[lo:hi], float(page_width[lo]), gap_share)
+        if len(c) > 1:
+            column[lo:hi], number[lo:hi] = np.abs(cx[lo:hi, None] - np.array(c)).argmin(axis=1), len(c)
+    return t.append_column("column_id", pa.array(column)).append_column("num_columns", pa.array(number))
+
+
+def columned(n: DataFrame, ready: bool = False) -> DataFrame:
+    """assigned(n, column_centres(n)) without a join: a page's nodes are together."""
+    return widened(n, "column_id int, num_columns int", in_columns, ready=ready)
+
+
+def banded(n: DataFrame, tolerance: float = 15.0, full: str | None = None, name: str = "resolved_order") -> DataFrame:
+    """n with the band and place of its rows on their page: rows by y; bands end where y is more than tolerance
+    from the band's first; within a band full-width nodes come first, then columns from the left."""
+    page_ = Window.partitionBy(*PAGE)
+    span = F.max(F.col("x") + F.col("width")).over(page_) - F.min("x").over(page_)
     wide = F.expr(full) if full else (F.col("num_columns") > 1) & (F.col("width") / F.when(span > 0, span).otherwise(1) > g.real(0.6))
-    k = n.withColumn("_p", F.when(wide, 0).otherwise(1)).withColumn("_c", F.when(wide, -1).otherwise(F.col("column_id")))
-    per = k.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", F.col("_p").alias("p"), F.col("_c").alias("c"), "x", "node"))).alias("s"))
-    per = per.withColumn("b", anchored(F.transform("s", lambda v: v["y"]), tolerance))
-    flat = per.select(*PAGE, F.explode(F.arrays_zip("s", "b")).alias("z")).select(*PAGE, F.col("z.b").alias("b"), "z.s.*")
-    order = Window.partitionBy(*PAGE).orderBy("b", "p", "c", "y", "x", "node")
-    return flat.select(*PAGE, "node", F.col("b").alias("band"), (F.row_number().over(order) - 1).cast("int").alias(name))
-
-
-def labels(n: DataFrame, e: DataFrame) -> DataFrame:
-    """(node, label) by length, case, place, marks, neighbours in its row, and words."""
-    count = e.where(F.col("relation").isin("BELOW", "SAME_ROW")).groupBy(*PAGE, F.col("src").alias("node")).agg(F.count_if(F.col("relation") == "BELOW").alias("below"), F.count_if(F.col("relation") == "SAME_ROW").alias("row"))
-    first = F.row_number().over(Window.partitionBy(*PAGE, "column_id").orderBy("y", "x", "node")) == 1
-    m = n.withColumn("_first", first).join(count, NODE, "left")
+    k = n.withColumn("_w", wide)
+
+    def bands(t: pa.Table, page: np.ndarray) -> pa.Table:
+        y, x, c, node = numbers(t, "y", "x", "column_id", "node")
+        w = t.column("_w").fill_null(False).to_numpy()
+        c = np.where(w, -1, c)
+        order = np.lexsort((node, x, c, ~w, y, page))
+        band, last, no, start = np.zeros(len(page), np.int32), -1, 0, 0.0
+        own = []
+        for p, v in zip(page[order].tolist(), y[order].tolist()):
+            if p != last:
+                last, no, start = p, 0, v
+            elif abs(v - start) > tolerance:
+                no, start = no + 1, v
+            own.append(no)
+        band[order] = own
+        order = np.lexsort((node, x, y, c, ~w, band, page))
+        place = np.zeros(len(page), np.int32)
+        place[order] = np.arange(len(page)) - np.searchsorted(page, page)
+        return t.drop_columns(["_w"]).append_column("band", pa.array(band)).append_column(name, pa.array(place))
+
+    more = StructType.fromDDL(f"band int, `{name}` int")
+    return paged(k, PAGE, ["node"], bands, StructType([StructField(f.name, f.dataType) for f in [*n.schema, *more]]))
+
+
+def banded_order(n: DataFrame, tolerance: float = 15.0, full: str | None = None, name: str = "resolved_order") -> DataFrame:
+    """(page, node, band, place) of banded(), without n's other columns."""
+    return banded(n.select(*NODE, "x", "y", "width", "column_id", "num_columns"), tolerance, full, name).select(*NODE, "band", name)
+
+
+def with_neighbours(t: pa.Table, page: np.ndarray) -> pa.Table:
+    """Nodes of whole pages with the number of their edges to others below and in their row, and whether they
+    are the first of their column."""
+    node, y, x, column = numbers(t, "node", "y", "x", "column_id")
+    own = np.cumsum(np.append(False, (np.diff(page) != 0) | (np.diff(node) != 0)))  # rows come by page and node
+    n = {k: np.zeros(own[-1] + 1, np.int64) for k in ("BELOW", "SAME_ROW")}
+    for src, _, name, _ in related(boxes(t), page, 30.0, 0.85, tuple(n)):
+        if len(src):
+            n[RELATIONS[name[0]]] += np.bincount(own[src], minlength=len(own))[: own[-1] + 1]
+    order = np.lexsort((node, x, y, column, page))
+    first = np.zeros(len(page), bool)
+    first[order[np.append(True, (np.diff(page[order]) != 0) | (np.diff(column[order]) != 0))]] = True
+    return t.append_column("below", pa.array(n["BELOW"][own])).append_column("row", pa.array(n["SAME_ROW"][own])).append_column("_first", pa.array(first))
+
+
+def labels(n: DataFrame, e: DataFrame | None = None, ready: bool = False) -> DataFrame:
+    """(node, label) by length, case, place, marks, neighbours in its row, and words: of nodes with columns and
+    edges e, or of nodes without columns and the edges that edges(n) has, neither of which is made rows."""
+    if e is None:
+        m = widened(n, "column_id int, num_columns int, below long, row long, _first boolean", in_columns, with_neighbours, ready=ready)
+    else:
+        count = e.where(F.col("relation").isin("BELOW", "SAME_ROW")).groupBy(*PAGE, F.col("src").alias("node")).agg(F.count_if(F.col("relation") == "BELOW").alias("below"), F.count_if(F.col("relation") == "SAME_ROW").alias("row"))
+        first = F.row_number().over(Window.partitionBy(*PAGE, "column_id").orderBy("y", "x", "node")) == 1
+        m = n.withColumn("_first", first).join(count, NODE, "left")
     body, w = F.col("text"), F.size(t.words(F.col("text")))
     short = F.char_length(body) < 80
     label = (
@@ -202,7 +296,7 @@ def labels(n: DataFrame, e: DataFrame) -> DataFrame:
     return m.select(*NODE, label.alias("label"))
 
 
-def neighbours(n: DataFrame, e: DataFrame | None = None) -> DataFrame:
+def neighbours(n: DataFrame, e: DataFrame | None = None, ready: bool = False) -> DataFrame:
     """(node, relation, ids of neighbours in order of weight) of edges e, or of all that edges(n) has, which
     then stay with their page and aren't made rows."""
     if e is not None:
@@ -220,4 +314,4 @@ def neighbours(n: DataFrame, e: DataFrame | None = None) -> DataFrame:
         found = pa.ListArray.from_arrays(pa.array(np.append(first, len(src)), pa.int32()), node.take(pa.array(dst)))
         return pa.table([*[t.column(k).take(at) for k in PAGE], node.take(at), pa.array(RELATIONS).take(pa.array(name[first])), found], names=[*NODE, "relation", "neighbours"])
 
-    return paged(sides(n), PAGE, ["node"], lists, ", ".join([*[f"`{k}` {kind[k]}" for k in NODE], f"relation string, neighbours array<{kind['node']}>"]))
+    return paged(sides(n), PAGE, ["node"], lists, ", ".join([*[f"`{k}` {kind[k]}" for k in NODE], f"relation string, neighbours array<{kind['node']}>"]), ready)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
 from leafwork.functions import text as t
+from leafwork.functions.bypage import numbers
+from leafwork.functions.components import smallest
 from leafwork.functions.islands import islands
-from leafwork.operators.graph import NODE, PAGE, banded_order
+from leafwork.operators.graph import NODE, PAGE, banded, boxes, in_columns, related, widened
 from leafwork.operators.layout import page_components
 
 BLOCK = ["block_type", "block_no", "text", "x", "y", "width", "height", "column_id", "layout_role", "children", "confidence", "table_rows"]
@@ -69,7 +73,47 @@ def table_rows(n: DataFrame, e: DataFrame) -> DataFrame:
 
 def tables(n: DataFrame, e: DataFrame, gap: float = 40.0) -> DataFrame:
     """Blocks of at least two rows that follow each other within the gap; cells by x."""
-    r = table_rows(n, e).groupBy(*PAGE, "row_no").agg(
+    return tables_of(table_rows(n, e), gap)
+
+
+def in_tables(t: pa.Table, page: np.ndarray, gap: float = 40.0) -> pa.Table:
+    """Nodes of whole pages by node, with row_no: the row of those that are in tables(), null for others. Nodes
+    with _heading are in none."""
+    y, h, node = numbers(t, "y", "height", "node")
+    free = ~t.column("_heading").fill_null(False).to_numpy()
+    own = np.cumsum(np.append(False, (np.diff(page) != 0) | (np.diff(node) != 0)))
+    ends = [np.zeros((2, 1), np.int64)]
+    for src, dst, _, _ in related(boxes(t), page, 30.0, 0.85, ("SAME_ROW",)):
+        k = free[src] & free[dst]
+        ends.append(np.stack([own[src[k]], own[dst[k]]]))
+    a, b = np.concatenate(ends, axis=1)
+    root = smallest(a, b)
+    root = np.append(root, np.arange(len(root), own[-1] + 1))[own]
+    at = np.flatnonzero(free & (np.bincount(root[free], minlength=len(page))[root] >= 2))
+    rows, row = np.unique(root[at], return_inverse=True)
+    top, end, sheet = np.full(len(rows), np.inf), np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+    np.minimum.at(top, row, y[at])
+    np.maximum.at(end, row, (y + h)[at])
+    sheet[row] = page[at]
+    order = np.lexsort((rows, top, sheet))
+    new = np.append(True, (np.diff(sheet[order]) != 0) | (top[order][1:] - end[order][:-1] >= gap))[: len(rows)]
+    run = np.zeros(len(rows), np.int64)
+    run[order] = np.cumsum(new) - 1
+    at = at[(np.bincount(run)[run] >= 2)[row]] if len(rows) else at
+    none, no = np.ones(len(page), bool), np.zeros(len(page), np.int32)
+    none[at], no[at] = False, root[at] - np.searchsorted(page, page[at])
+    return t.append_column("row_no", pa.array(no, mask=none))
+
+
+def tabled(n: DataFrame, ready: bool = False) -> DataFrame:
+    """Nodes without columns as build() takes them by themselves: with columns, whether they are headings, and
+    with the rows of tables among the others."""
+    return widened(n.withColumn("_heading", is_heading()), "column_id int, num_columns int, row_no int", in_columns, in_tables, ready=ready)
+
+
+def tables_of(rows: DataFrame, gap: float = 40.0) -> DataFrame:
+    """tables() of nodes with row_no."""
+    r = rows.groupBy(*PAGE, "row_no").agg(
         F.min("y").alias("y"), F.max(F.col("y") + F.col("height")).alias("d"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("r"),
         F.array_sort(F.collect_list(F.struct("x", "node", "text", "confidence"))).alias("cells"), F.count("*").alias("k"),
     ).withColumn("conf", F.transform("cells", lambda c: F.coalesce(c["confidence"], g.real(0))))
@@ -105,14 +149,16 @@ def paragraphs(n: DataFrame) -> DataFrame:
     return runs(n, "paragraph", ["column_id", "y", "x"], 30.0, " ")
 
 
-def build(n: DataFrame, e: DataFrame) -> DataFrame:
-    """All blocks of nodes with column_id. What a class claims by its nodes alone is told by an expression;
-    only tables need a join. All other classes go through the same windows and groups at once, each in the
+def build(n: DataFrame, e: DataFrame | None = None) -> DataFrame:
+    """All blocks of nodes with column_id and edges e, or of tabled() nodes. What a class claims by its nodes alone
+    is told by an expression; only tables of edges need a join. All other classes go through the same windows and groups at once, each in the
     order and with the breaks that it has by itself. A node that is a heading is never asked again."""
-    t_ = tables(n.where(~is_heading()), e)
-    claimed = t_.select(*PAGE, F.explode("children").alias("node"), F.lit(True).alias("_claimed"))
-    kind = F.when(is_heading(), "heading").when(F.col("_claimed"), "table").when(is_key_value(), "key_value").when(is_list(), "list").otherwise("paragraph")
-    k = n.join(claimed, NODE, "left").withColumn("block_type", kind).where("block_type <> 'table'")
+    if e is None:
+        t_, m = tables_of(n.where("row_no is not null")), n.where("row_no is null")
+    else:
+        t_ = tables(n.where(~is_heading()), e)
+        m = n.join(t_.select(*PAGE, F.explode("children").alias("node")), NODE, "left_anti").withColumn("_heading", is_heading())
+    k = m.withColumn("block_type", F.when(F.col("_heading"), "heading").when(is_key_value(), "key_value").when(is_list(), "list").otherwise("paragraph"))
     is_ = lambda *kinds: F.col("block_type").isin(*kinds)
     columned = is_("list", "paragraph")
     k = k.withColumns({"_c": F.when(columned, F.col("column_id")).otherwise(0), "_y": F.when(is_("heading"), g.real(0)).otherwise(F.col("y")), "_x": F.when(is_("key_value", "paragraph"), F.col("x")).otherwise(g.real(0))})
@@ -136,8 +182,7 @@ def ordered(blocks: DataFrame) -> DataFrame:
     """Blocks with their place on the page: bands of twenty pixels, full width first, then columns."""
     no = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "x", "block_type", "block_no"))
     b = blocks.withColumn("node", no.cast("int"))
-    place = banded_order(b, 20.0, "layout_role = 'full_width'", "block_order")
-    return b.join(place.drop("band"), NODE).drop("node")
+    return banded(b, 20.0, "layout_role = 'full_width'", "block_order").drop("band", "node")
 
 
 def tokens(blocks: DataFrame) -> DataFrame:
