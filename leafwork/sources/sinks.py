@@ -87,19 +87,20 @@ def docx_commands(tokens: DataFrame) -> DataFrame:
     note = F.format_string("[bbox: x=%.1f, y=%.1f, w=%.1f, h=%.1f | col=%d]", d("x"), d("y"), d("width"), d("height"), "column_id")
     none = F.lit(None).cast("string")
     command = lambda op, text, note_, row=F.lit(0), col=F.lit(0), bold=F.lit(False): F.struct(op.alias("op"), text.alias("text"), row.cast("int").alias("row"), col.cast("int").alias("col"), bold.alias("bold"), note_.alias("note"))
-    rows = grid()
-    wide = F.when(F.size(F.coalesce("table_rows", F.array().cast("array<array<string>>"))) > 0, F.array_max(F.transform(rows, lambda r: F.size(r)))).otherwise(F.size(F.get(rows, F.lit(0))))
+    # Columns of their own: within a function of each element they would be made once more for every one.
+    rows, wide, items = F.col("_rows"), F.col("_wide"), F.col("_items")
+    width = F.when(F.size(F.coalesce("table_rows", F.array().cast("array<array<string>>"))) > 0, F.array_max(F.transform(rows, lambda r: F.size(r)))).otherwise(F.size(F.get(rows, F.lit(0))))
     cells = F.flatten(F.transform(rows, lambda r, i: F.transform(F.slice(r, 1, wide), lambda c, j: command(F.lit("cell"), c, none, i, j, i == 0))))
-    items = F.filter(F.transform(text_lines(F.col("text")), unbulleted), lambda x: x != "")
     bullets = F.transform(items, lambda x, i: command(F.lit("bullet"), x, F.when(i == F.size(items) - 1, F.col("note"))))
     plain = lambda op: F.array(command(F.lit(op), F.col("text"), F.col("note")))
     tail = F.array(command(F.lit("paragraph"), F.lit(""), F.col("note")))
-    noted = tokens.withColumn("note", note)
+    start = F.lag("page_number").over(Window.partitionBy("doc_id").orderBy("page_number", "block_order"))
+    noted = tokens.withColumn("note", note).withColumn("_break", start.isNotNull() & (start != F.col("page_number")))
+    noted = noted.withColumn("_rows", F.when(is_kind("table"), grid())).withColumn("_wide", width).withColumn("_items", F.when(is_kind("list"), F.filter(F.transform(text_lines(F.col("text")), unbulleted), lambda x: x != "")))
     all_ = F.when(is_kind("heading"), plain("heading_1")).when(is_kind("table"), F.concat(cells, tail)).when(is_kind("list"), bullets).otherwise(plain("paragraph"))
-    out = noted.select(*PAGE, "block_order", F.posexplode(all_).alias("part", "c")).select(*PAGE, "block_order", "part", "c.*")
-    first = Window.partitionBy("doc_id").orderBy("page_number")
-    breaks = tokens.select(*PAGE).distinct().withColumn("_n", F.row_number().over(first)).where("_n > 1").select(*PAGE, F.lit(-1).alias("block_order"), F.lit(0).alias("part"), F.lit("page_break").alias("op"), F.lit("").alias("text"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(False).alias("bold"), none.alias("note"))
-    return out.unionByName(breaks)
+    own = F.transform(all_, lambda c, i: F.struct(F.col("block_order").alias("block_order"), i.alias("part"), c.alias("c")))
+    before = F.array(F.struct(F.lit(-1).alias("block_order"), F.lit(0).alias("part"), command(F.lit("page_break"), F.lit(""), none).alias("c")))
+    return noted.select(*PAGE, F.explode(F.when(F.col("_break"), F.concat(before, F.coalesce(own, F.slice(before, 1, 0)))).otherwise(own)).alias("v")).select(*PAGE, "v.block_order", "v.part", "v.c.*")
 
 
 def json_documents(tokens: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from leafwork.functions import bypage
 from leafwork.operators import graph, structure
+from leafwork.sources import compositors, sinks
 
 SF = "/root/testdata/sf0.001"
 driver_data = pytest.mark.skipif(not os.path.exists(SF), reason="driver data not present")
@@ -52,7 +53,7 @@ def plan_of(spark, name):
 
 
 @driver_data
-@pytest.mark.parametrize("name, scans, moves", [("structure_sections", 1, 0)])
+@pytest.mark.parametrize("name, scans, moves", [("structure_sections", 1, 0), ("export_docx_commands", 2, 3)])
 def test_tables_are_read_once(spark, name, scans, moves):
     plan = plan_of(spark, name)
     assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= moves
@@ -71,6 +72,15 @@ def test_pages_in_order(spark, monkeypatch, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_ledger_pages_are_those_of_words(spark):
+    rows = [(int(k), s, 1.25 * k, p) for k, s, p in zip(range(3, 9000, 7), ["O", "F", None] * 500, ["1-URGENT", "5-LOW" * 9, None, "x"] * 400)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    row = compositors.ledger_words(orders).withColumn("r", F.floor(F.col("word_idx") / 4)).groupBy("doc_id", "page_number", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda v: v["text"]).alias("c"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    want = row.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c"))), lambda v: v["c"]).alias("rows"), F.min("x1").alias("x"), F.min("y1").alias("y"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    got = compositors.ledger_pages(orders)
+    assert told(got) == told(want) and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+
+
 def test_numbers_of_lists(spark):
     texts = ["3) item", "12", " 7. x", "٣: y", "3)item x", "x 3", "", None, "4\u2003em", "5.\u00a0nbsp", "6\u0085nel", "1 2", "9]", "(1) a", "\n2.) b"]
     from leafwork.functions import text as t
@@ -79,3 +89,17 @@ def test_numbers_of_lists(spark):
     old = F.coalesce(F.try_element_at(t.words(F.col("x")), F.lit(1)), F.lit("")).rlike(r"^\p{Nd}+[.):]*$")
     got = df.select(old.alias("old"), t.is_numbered(F.col("x")).alias("new")).collect()
     assert [r.old for r in got] == [r.new for r in got] and 6 <= sum(r.new for r in got) < len(got)
+
+
+def test_page_breaks(spark):
+    cols = "doc_id long, page_number int, block_order int, block_type string, text string, x int, y int, width int, height int, column_id int, table_rows array<array<string>>"
+    t = lambda d, p, o, kind, text, rows=None: (d, p, o, kind, text, 1, 2, 3, 4, 0, rows)
+    rows = [t(1, 2, 0, "paragraph", "a"), t(1, 3, 4, "list", None), t(1, 5, 1, "list", "- p\n-\n- q"), t(1, 5, 0, "table", "a | b\nc"), t(2, 7, 0, "heading", "H"), t(1, 9, 0, "TABLE", "", [["x"], ["y", " z "]])]
+    got = [(r.doc_id, r.page_number, r.block_order, r.part, r.op, r.text, r.row, r.col, r.bold) for r in sinks.docx_commands(spark.createDataFrame(rows, cols)).collect()]
+    brk = lambda p: (1, p, -1, 0, "page_break", "", 0, 0, False)
+    cell = lambda p, k, text, r, c: (1, p, 0, k, "cell", text, r, c, r == 0)
+    assert sorted(got) == sorted([
+        (1, 2, 0, 0, "paragraph", "a", 0, 0, False), brk(3), brk(5), brk(9), (2, 7, 0, 0, "heading_1", "H", 0, 0, False),
+        cell(5, 0, "a", 0, 0), cell(5, 1, "b", 0, 1), cell(5, 2, "c", 1, 0), (1, 5, 0, 3, "paragraph", "", 0, 0, False), (1, 5, 1, 0, "bullet", "p", 0, 0, False), (1, 5, 1, 1, "bullet", "q", 0, 0, False),
+        cell(9, 0, "x", 0, 0), cell(9, 1, "y", 1, 0), cell(9, 2, "z", 1, 1), (1, 9, 0, 3, "paragraph", "", 0, 0, False),
+    ])
