@@ -53,13 +53,20 @@ def plan_of(spark, name):
 
 
 @driver_data
-@pytest.mark.parametrize("name, scans, moves", [("structure_sections", 1, 0), ("export_docx_commands", 2, 3)])
+@pytest.mark.parametrize("name, scans, moves", [("graph_labels", 1, 1), ("structure_sections", 1, 0), ("export_docx_commands", 2, 3)])
 def test_tables_are_read_once(spark, name, scans, moves):
     plan = plan_of(spark, name)
     assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= moves
     assert ("Join" in plan) == (name == "export_legacy_json")
 
 
+@driver_data
+@pytest.mark.parametrize("name", ["graph_labels"])
+def test_pages_that_come_in_order_stay(spark, name):
+    plan = plan_of(spark, name)
+    assert "Window" not in plan and "Sort" not in plan and plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("rows", [1, 7, 40, 20_000])
 def test_pages_in_order(spark, monkeypatch, rows):
     monkeypatch.setattr(bypage, "ROWS", rows)
