@@ -148,19 +148,20 @@ def rendered(tokens: DataFrame) -> DataFrame:
 def legacy_json(regions: DataFrame, metadata: DataFrame) -> DataFrame:
     """The older document: title, metadata, sections, tables and raw_text, keys in order. A header opens
     a section of its page and the document's first is the title; paragraphs and footers are its content;
-    tables are one row parted at bars. regions: page, region_order, type, text."""
+    tables are one row parted at bars. regions: page, region_order, type, text; they are read once."""
     by_page = Window.partitionBy(*PAGE).orderBy("region_order")
     n = regions.withColumn("sec", F.sum((F.col("type") == "header").cast("int")).over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.struct("page_number", "region_order", "text")
     texts = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, order))), lambda v: v["text"])
-    s = n.groupBy(*PAGE, "sec").agg(F.max(F.when(F.col("type") == "header", F.col("text"))).alias("heading"), texts(F.col("type").isin("paragraph", "footer")).alias("parts"))
-    s = s.where(F.size("parts") > 0).withColumn("s", F.struct(F.array_join("parts", " ").alias("content"), F.coalesce("heading", F.lit("")).alias("heading")))
-    per = s.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "sec", "s"))), lambda v: v["s"]).alias("sections"))
     cells = lambda x: F.filter(F.transform(F.split(x, r"\|", -1), t.strip), lambda c: c != "")
-    rest = regions.groupBy("doc_id").agg(F.get(texts(F.col("type") == "header"), F.lit(0)).alias("title"), F.transform(texts(F.col("type") == "table"), lambda x: F.struct(F.array(cells(x)).alias("rows"))).alias("tables"))
+    is_header = F.col("type") == "header"
+    s = n.groupBy(*PAGE, "sec").agg(F.max(F.when(is_header, F.col("text"))).alias("heading"), F.max(is_header).alias("headed"), texts(F.col("type").isin("paragraph", "footer")).alias("parts"), texts(F.col("type") == "table").alias("tables"))
+    of = lambda when, v: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("page_number", "sec", v.alias("v"))))), lambda x: x["v"])
+    section = F.struct(F.array_join("parts", " ").alias("content"), F.coalesce("heading", F.lit("")).alias("heading"))
+    whole = s.groupBy("doc_id").agg(of(F.size("parts") > 0, section).alias("sections"), F.get(of(F.col("headed"), F.col("heading")), F.lit(0)).alias("title"), F.flatten(of(F.size("tables") > 0, F.col("tables"))).alias("tables"))
+    rest = whole.withColumn("tables", F.transform("tables", lambda x: F.struct(F.array(cells(x)).alias("rows"))))
     meta = F.struct("file_size", "filename", "page_count", F.array("width", "height").alias("resolution"))
-    none = F.array().cast("array<struct<content:string,heading:string>>")
-    out = rest.join(per, "doc_id", "left").join(metadata.select("doc_id", meta.alias("metadata")), "doc_id").withColumn("sections", F.coalesce("sections", none))
+    out = rest.join(metadata.select("doc_id", meta.alias("metadata")), "doc_id")
     raw = F.array_join(F.transform("sections", lambda x: x["content"]), " ")
     return out.select("doc_id", F.to_json(F.struct("metadata", raw.alias("raw_text"), "sections", "tables", F.coalesce("title", F.lit("")).alias("title"))).alias("json"))
 

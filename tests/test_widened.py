@@ -53,7 +53,7 @@ def plan_of(spark, name):
 
 
 @driver_data
-@pytest.mark.parametrize("name, scans, moves", [("graph_labels", 1, 1), ("graph_edges", 1, 1), ("graph_inverse_edges", 1, 1), ("structure_sections", 1, 0), ("export_docx_commands", 2, 3)])
+@pytest.mark.parametrize("name, scans, moves", [("graph_labels", 1, 1), ("graph_edges", 1, 1), ("graph_inverse_edges", 1, 1), ("structure_sections", 1, 0), ("export_docx_commands", 2, 3), ("export_legacy_json", 2, 2)])
 def test_tables_are_read_once(spark, name, scans, moves):
     plan = plan_of(spark, name)
     assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= moves
