@@ -53,7 +53,7 @@ def plan_of(spark, name):
 
 
 @driver_data
-@pytest.mark.parametrize("name, scans, moves", [("graph_labels", 1, 1), ("graph_edges", 1, 1), ("graph_inverse_edges", 1, 1), ("structure_sections", 1, 0), ("export_docx_commands", 2, 3), ("export_legacy_json", 2, 2)])
+@pytest.mark.parametrize("name, scans, moves", [("graph_labels", 1, 1), ("graph_edges", 1, 1), ("graph_inverse_edges", 1, 1), ("structure_sections", 1, 0), ("export_docx_commands", 2, 3), ("export_legacy_json", 2, 2), ("export_txt", 2, 4)])
 def test_tables_are_read_once(spark, name, scans, moves):
     plan = plan_of(spark, name)
     assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= moves
@@ -88,6 +88,16 @@ def test_ledger_pages_are_those_of_words(spark):
     assert told(got) == told(want) and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
 
 
+def test_stripped_ends(spark):
+    from leafwork.functions import text as t
+
+    texts = ["", " ", "a", " a", "a ", "a\n", "\u2003a b\u00a0", "\u0085", "a\r\n", "a\u2028", "\tx y", "漢 字", " 漢", None, "a \n", "\x1cfs", "zero\u200b"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    old = F.regexp_replace(F.regexp_replace("x", r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    got = df.select(old.alias("old"), t.strip(F.col("x")).alias("new"), t.strip("x").alias("named")).collect()
+    assert [r.old for r in got] == [r.new for r in got] == [r.named for r in got] and sum(r.new != x for r, x in zip(got, texts)) >= 8
+
+
 def test_numbers_of_lists(spark):
     texts = ["3) item", "12", " 7. x", "٣: y", "3)item x", "x 3", "", None, "4\u2003em", "5.\u00a0nbsp", "6\u0085nel", "1 2", "9]", "(1) a", "\n2.) b"]
     from leafwork.functions import text as t
