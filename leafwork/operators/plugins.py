@@ -9,7 +9,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as g
@@ -161,8 +161,8 @@ def rasterised(files: DataFrame, name: str = "pixmap", most: int = 100) -> DataF
     return files.select("doc_key", "content").mapInPandas(run, "doc_key string, page_number int, height int, width int, data binary, error string")
 
 
-def detected(pages: DataFrame, name: str = "grid") -> DataFrame:
-    """Boxes of a detector."""
+def detection(name: str = "grid") -> tuple[images.Kernel, str]:
+    """What detected() does with frames of pages, and its schema."""
     backend("detector", name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,21 +170,20 @@ def detected(pages: DataFrame, name: str = "grid") -> DataFrame:
         for b in batches:
             yield model.detect(b)
 
-    return pages.mapInPandas(run, "doc_id long, page_number int, word_idx int, x1 int, y1 int, x2 int, y2 int, confidence double")
+    return run, "doc_id long, page_number int, word_idx int, x1 int, y1 int, x2 int, y2 int, confidence double"
 
 
-def recognised(pages: DataFrame, name: str = "bars", make=None, breaker: Breaker | None = None) -> DataFrame:
-    """(page, box_idx, quad, text, confidence, page_width, page_height, failed, given_up): boxes of whole pages.
+def detected(pages: DataFrame, name: str = "grid") -> DataFrame:
+    """Boxes of a detector."""
+    return pages.mapInPandas(*detection(name))
 
-    A page on which the recogniser raises gives one row that says so, with no box. Calls go through a
-    breaker that all tasks share; its default has a folder of its own for this DataFrame and opens at the
-    first failure, as an engine that raised can't be trusted. Pages that come while it is open are given up
-    without a call, and say that too.
-    """
+
+def recognition(spark: SparkSession, name: str = "bars", make=None, breaker: Breaker | None = None, kind: str = "bigint") -> tuple[images.Kernel, str]:
+    """What recognised() does with frames of pages, and its schema; kind is the type of doc_id."""
     make = make or (lambda: backend("recogniser", name))
     if name not in REGISTRY["recogniser"]:
         backend("recogniser", name)
-    shared = breaker or Breaker(scratch(pages.sparkSession), most=1)
+    shared = breaker or Breaker(scratch(spark), most=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = make()
@@ -204,8 +203,18 @@ def recognised(pages: DataFrame, name: str = "bars", make=None, breaker: Breaker
                     rows += [(r.doc_id, r.page_number, i, [{"x": float(x), "y": float(y)} for x, y in quad], t, float(c), r.width, r.height, False, False) for i, (quad, t, c) in enumerate(found)]
             yield pd.DataFrame(rows, columns=[*PAGE, "box_idx", "quad", "text", "confidence", "page_width", "page_height", "failed", "given_up"])
 
-    kind = pages.schema["doc_id"].dataType.simpleString()
-    return pages.select(*PAGE, "height", "width", "data").mapInPandas(run, f"doc_id {kind}, page_number int, box_idx int, quad array<struct<x:double,y:double>>, text string, confidence double, page_width int, page_height int, failed boolean, given_up boolean")
+    return run, f"doc_id {kind}, page_number int, box_idx int, quad array<struct<x:double,y:double>>, text string, confidence double, page_width int, page_height int, failed boolean, given_up boolean"
+
+
+def recognised(pages: DataFrame, name: str = "bars", make=None, breaker: Breaker | None = None) -> DataFrame:
+    """(page, box_idx, quad, text, confidence, page_width, page_height, failed, given_up): boxes of whole pages.
+
+    A page on which the recogniser raises gives one row that says so, with no box. Calls go through a
+    breaker that all tasks share; its default has a folder of its own for this DataFrame and opens at the
+    first failure, as an engine that raised can't be trusted. Pages that come while it is open are given up
+    without a call, and say that too.
+    """
+    return pages.select(*PAGE, "height", "width", "data").mapInPandas(*recognition(pages.sparkSession, name, make, breaker, pages.schema["doc_id"].dataType.simpleString()))
 
 
 def corrected(lines: DataFrame, name: str = "none", text: str = "text") -> DataFrame:

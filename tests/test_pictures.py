@@ -1,9 +1,16 @@
 """Pictures of pages that the plain tests of outlines and kernels don't hold."""
 
+import os
+
 import numpy as np
 import pytest
 
-from leafwork.operators import contours, images
+import __spark_entry__ as entry
+from leafwork.operators import contours, images, plugins
+from leafwork.sources import compositors
+
+SF = "/root/testdata/sf0.001"
+driver_data = pytest.mark.skipif(not os.path.exists(SF), reason="driver data not present")
 
 
 @pytest.mark.parametrize("points, want", [
@@ -32,3 +39,47 @@ def test_corners_of_no_rectangle_leave_the_page(monkeypatch, points):
     img = np.random.default_rng(1).integers(0, 256, (138, 100)).astype(np.uint8)
     out, found = images.flattened(img)
     assert not found and (out == img).all()
+
+
+def plainly_closed(mask, h, w):
+    """Closing by a rectangle, pixel by pixel: what is outside counts for neither step."""
+    def near(m, y, x, flip):
+        up, left = (h - 1 - h // 2, w - 1 - w // 2) if flip else (h // 2, w // 2)
+        return m[max(0, y - up) : max(0, y - up + h), max(0, x - left) : max(0, x - left + w)]
+
+    grown = np.array([[near(mask, y, x, False).any() for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+    return np.array([[near(grown, y, x, True).all() for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+
+
+@pytest.mark.parametrize("h, w", [(2, 35), (18, 3), (1, 1), (5, 4), (40, 40)])
+def test_closing_by_bits(h, w):
+    r = np.random.default_rng(5)
+    for rows, cols, share in ((20, 31, 0.05), (33, 16, 0.3), (1, 9, 0.4), (17, 1, 0.5), (8, 8, 0.0), (8, 8, 1.1)):
+        mask = r.random((rows, cols)) < share
+        assert (images._closed_by(mask, h, w) == plainly_closed(mask, h, w)).all()
+
+
+def test_boxes_of_parts():
+    r = np.random.default_rng(6)
+    for share in (0.02, 0.3, 0.45, 0.7, 1.1):
+        mask = r.random((40, 33)) < share
+        row, a, b, number, n = contours.runs(mask)
+        label, m = contours.parts(mask)
+        assert n == m
+        for i, box in enumerate(contours.bounds(row, a, b, number, n).T):
+            y, x = np.nonzero(label == i + 1)
+            assert box.tolist() == [x.min(), y.min(), x.max() + 1, y.max() + 1]
+    spiral = np.ones((31, 31), dtype=bool)
+    for k in range(1, 15, 2):
+        spiral[k, k - 1 : 31 - k] = spiral[k : 31 - k, 30 - k] = spiral[30 - k, k : 31 - k] = spiral[k + 2 : 31 - k, k] = False
+    assert contours.parts(spiral, diagonal=False)[1] == 1 and contours.runs(~np.eye(9, dtype=bool), diagonal=False)[4] == 2
+    assert images.found_blocks(np.full((30, 40), 255, np.uint8)) == []
+
+
+@driver_data
+@pytest.mark.parametrize("name, kernel", [("image_blocks", lambda s, p: plugins.detected(p, "shape"))])
+def test_pictures_stay_in_their_task(spark, name, kernel):
+    found = entry.queries()[name](spark, SF)
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    want = kernel(spark, images.drawn(compositors.text_lines(compositors.table(spark, SF, "documents"))))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
