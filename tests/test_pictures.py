@@ -77,7 +77,7 @@ def test_boxes_of_parts():
 
 
 @driver_data
-@pytest.mark.parametrize("name, kernel", [("image_blocks", lambda s, p: plugins.detected(p, "shape"))])
+@pytest.mark.parametrize("name, kernel", [("image_blocks", lambda s, p: plugins.detected(p, "shape")), ("plugin_recognised", lambda s, p: plugins.recognised(p))])
 def test_pictures_stay_in_their_task(spark, name, kernel):
     found = entry.queries()[name](spark, SF)
     assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
