@@ -5,11 +5,14 @@ import os
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from leafwork.operators import contours, images, plugins
-from leafwork.sources import compositors
+from leafwork.sources import compositors, files
 
 SF = "/root/testdata/sf0.001"
+PROFILE = files.Profile(denoise=True, denoise_strategy="bilateral", deskew=True, thresholding=True, perspective_correction=True, resize_scale=0.5)
 driver_data = pytest.mark.skipif(not os.path.exists(SF), reason="driver data not present")
 
 
@@ -77,9 +80,61 @@ def test_boxes_of_parts():
 
 
 @driver_data
-@pytest.mark.parametrize("name, kernel", [("image_blocks", lambda s, p: plugins.detected(p, "shape")), ("plugin_recognised", lambda s, p: plugins.recognised(p))])
+@pytest.mark.parametrize("name, kernel", [("image_blocks", lambda s, p: plugins.detected(p, "shape")), ("plugin_recognised", lambda s, p: plugins.recognised(p)), ("image_prepared", lambda s, p: images.prepare(p, PROFILE).withColumn("blur", F.round("blur", 3)))])
 def test_pictures_stay_in_their_task(spark, name, kernel):
     found = entry.queries()[name](spark, SF)
     assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     want = kernel(spark, images.drawn(compositors.text_lines(compositors.table(spark, SF, "documents"))))
     assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
+
+
+def pictures():
+    """A page of bars, one of noise, one of few values, very small ones."""
+    r = np.random.default_rng(7)
+    bars = np.full((60, 45), 242, np.uint8)
+    for y in range(4, 56, 6):
+        bars[y : y + 3, 3 : 20 + y % 23] = 40
+    return [bars, r.integers(0, 256, (37, 41)).astype(np.uint8), r.choice([0, 3, 90, 255], (50, 33)).astype(np.uint8), r.integers(0, 9, (5, 6)).astype(np.uint8), np.full((9, 9), 7, np.uint8), r.integers(0, 256, (3, 300)).astype(np.uint8), r.integers(0, 256, (200, 2)).astype(np.uint8)]
+
+
+def test_equalised_tile_by_tile():
+    for g in pictures():
+        (h, w), tiles = g.shape, 8
+        ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+        maps = np.zeros((tiles, tiles, 256))
+        for i, j in np.ndindex(tiles, tiles):
+            t = g[ys[i] : max(ys[i + 1], ys[i] + 1), xs[j] : max(xs[j + 1], xs[j] + 1)]
+            n = np.bincount(t.ravel(), minlength=256).astype(float)
+            most = max(1.0, 2.0 * t.size / 256)
+            n = np.minimum(n, most) + np.maximum(n - most, 0).sum() / 256
+            maps[i, j] = np.cumsum(n) * 255 / n.sum()
+        fy, fx = (np.clip((np.arange(n) + 0.5) * tiles / n - 0.5, 0, tiles - 1) for n in (h, w))
+        want = np.zeros(g.shape)
+        for y, x in np.ndindex(h, w):
+            a, b = int(fy[y]), int(fx[x])
+            c, d = min(a + 1, tiles - 1), min(b + 1, tiles - 1)
+            m = maps[:, :, g[y, x]]
+            want[y, x] = (1 - (fy[y] - a)) * ((1 - (fx[x] - b)) * m[a, b] + (fx[x] - b) * m[a, d]) + (fy[y] - a) * ((1 - (fx[x] - b)) * m[c, b] + (fx[x] - b) * m[c, d])
+        assert (images.clahe(g) == np.clip(np.rint(want), 0, 255)).all()
+
+
+@pytest.mark.parametrize("d", [3, 5])
+def test_bilateral_of_any_picture(d):
+    for g in pictures():
+        r, (h, w) = d // 2, g.shape
+        p = np.pad(g.astype(float), r, mode="reflect")
+        near = np.stack([p[y : y + h, x : x + w] for y in range(d) for x in range(d)])
+        far = np.array([(y - r) ** 2 + (x - r) ** 2 for y in range(d) for x in range(d)])[:, None, None]
+        k = np.exp(-((near - g) ** 2) / 1250 - far / 1250)
+        assert (images.bilateral(g, d) == np.rint((k * near).sum(axis=0) / k.sum(axis=0))).all()
+
+
+def test_skew_and_blur_of_any_picture(monkeypatch):
+    for g in pictures():
+        p = np.pad(g.astype(float), 1, mode="reflect")
+        assert images.blur_score(g) == (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var()
+        turned = [g, *(images.rotated(g, a) for a in (-7, 3)), np.pad(g, 9, constant_values=255)]
+        kept = [images.skew(x) for x in turned]
+        monkeypatch.setattr(images, "TURNED", 0)
+        assert [images.skew(x) for x in turned] == kept
+        monkeypatch.undo()
